@@ -443,7 +443,7 @@ ORACLE: dict[str, str] = {
         SELECT id, concept, column_name, score FROM (
           SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, concept) AS rank FROM (
             SELECT vec_id AS id, concept, column_name, {COSINE} AS score FROM k JOIN c USING (label) JOIN e ON TRUE))
-        WHERE rank = 1 AND score > 0.6""",
+        WHERE rank = 1 AND score > 0.3""",
     "corpus_upsert": """SELECT vec_id, label, CAST(CASE WHEN label IN (0, 2, 4, 6, 8) THEN embedding[1] * 2
         ELSE embedding[1] END AS DOUBLE) AS first_value FROM embeddings WHERE label <> 9""",
     "events_malformed_split": f"""SELECT CASE WHEN event_type = 'malformed' THEN 'malformed' ELSE 'event' END AS state,

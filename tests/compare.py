@@ -55,10 +55,14 @@ def duck_result(con, sql):
     return sorted(columns), rows_of(columns, cur.fetchall())
 
 
-def difference(df, con, sql) -> str | None:
-    """None when both give the same rows, else what differs first."""
+def difference(df, con, sql, sizes=None) -> str | None:
+    """None when both give the same rows, else what differs first. ``sizes`` collects the row counts."""
     columns, got = spark_result(df)
     expected_columns, expected = duck_result(con, sql)
+    if sizes is not None:
+        sizes.append(len(got))
+    if not expected:
+        return "empty result"
     if columns != expected_columns:
         return f"columns {columns} vs {expected_columns}"
     if len(got) != len(expected):
@@ -81,13 +85,13 @@ def main(argv: list[str]) -> int:
     for name, query in queries().items():
         if argv[1:] and name not in argv[1:]:
             continue
-        start = time.time()
+        start, sizes = time.time(), []
         try:
-            problem = difference(query(spark, sf_dir), con, oracle_sql()[name])
+            problem = difference(query(spark, sf_dir), con, oracle_sql()[name], sizes)
         except Exception as e:  # report and go on with the next query
             problem = f"{type(e).__name__}: {str(e)[:600]}"
         bad += problem is not None
-        print(f"{'ok ' if problem is None else 'BAD'} {name:30s} {time.time() - start:6.2f}s {problem or ''}", flush=True)
+        print(f"{'ok ' if problem is None else 'BAD'} {name:30s} {time.time() - start:6.2f}s {sizes} {problem or ''}", flush=True)
     print(f"{bad} differences")
     return bad
 

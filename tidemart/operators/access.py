@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,7 +25,7 @@ def mask(df: DataFrame, role: str) -> DataFrame:
     return df.withColumns({c: F.lit(MASK) for c in hidden}) if hidden else df
 
 
-def secure_table(layer: dict[str, DataFrame], table: str, role: str = "analyst") -> DataFrame:
+def secure_table(layer: Mapping[str, DataFrame], table: str, role: str = "analyst") -> DataFrame:
     if table not in allowed_tables(role):
         raise PermissionError(f"role {role} may not read {table}")
     return mask(layer[table], role)
@@ -57,7 +58,6 @@ def guarded_sql(spark: SparkSession, root: str, sql: str, role: str = "manager",
     text = validate(sql)
     own = pin_utc(spark.newSession())
     own.conf.set("spark.sql.runSQLOnFiles", "false")
-    permitted = allowed_tables(role)
-    views = {n: mask(df, role) for n, df in tables.layer(own, root).items() if n in permitted}
-    tables.register_views(views)
+    layer = tables.layer(own, root)
+    tables.register_views({n: mask(layer[n], role) for n in allowed_tables(role) if n in layer})
     return own.sql(text).limit(cap)

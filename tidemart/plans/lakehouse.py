@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -42,31 +43,37 @@ def raw_tables(spark: SparkSession, raw_root: str, **options) -> dict[str, DataF
 def read_silver(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Silver tables with their public columns (the stored ones also carry where a row came from)."""
     layer = tables.layer(spark, silver_root(root))
-    return {name: df.select(*SILVER[name].names) for name, df in layer.items() if name in SILVER}
+    return {name: layer[name].select(*SILVER[name].names) for name in layer if name in SILVER}
 
 
-def read_gold(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+def read_gold(spark: SparkSession, root: str) -> tables.Layer:
     return tables.layer(spark, gold_root(root))
 
 
-class _Run:
-    """Runs the steps of a build one after another; a failing step is recorded, not fatal."""
+Step = tuple[str, str, Callable[[], "str | None"]]  # layer, table, what writes it
+
+
+class Run:
+    """The steps of a build and how each ended. A failing step is recorded, not fatal."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.status: list[tuple[str, str, int | None, str]] = []
 
-    def step(self, layer: str, table: str, write: Callable[[], str | None]) -> bool:
+    def _do(self, step: Step) -> tuple[str, str, int | None, str]:
+        layer, table, write = step
         try:
             path = write()
         except Exception as failure:  # one bad table must not stop the others
-            self.status.append((layer, table, None, f"failed: {type(failure).__name__}"))
-            return False
+            return layer, table, None, f"failed: {type(failure).__name__}: {str(failure)[:300]}"
         if path is None:
-            self.status.append((layer, table, None, "skipped"))
-            return False
-        self.status.append((layer, table, self.spark.read.parquet(path).count(), "built"))
-        return True
+            return layer, table, None, "skipped"
+        return layer, table, self.spark.read.parquet(path).count(), "built"
+
+    def together(self, steps: list[Step]) -> None:
+        """Run steps that do not need each other at the same time, so small ones fill idle cores."""
+        with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+            self.status += pool.map(self._do, steps)
 
     def report(self) -> DataFrame:
         return self.spark.createDataFrame(self.status, STATUS)
@@ -76,7 +83,7 @@ def _with_month(fact: DataFrame) -> DataFrame:
     return fact.withColumn("month_key", month_key(F.col("date_key")))
 
 
-def build_gold(run: _Run, root: str, as_of: date | datetime | str | None) -> None:
+def build_gold(run: Run, root: str, as_of: date | datetime | str | None) -> None:
     spark, gold = run.spark, gold_root(root)
     silver = read_silver(spark, root)
 
@@ -97,17 +104,21 @@ def build_gold(run: _Run, root: str, as_of: date | datetime | str | None) -> Non
     def dim(name: str) -> DataFrame | None:
         return tables.read_current(spark, gold, name)
 
-    run.step("gold", "dim_users", users)
-    run.step("gold", "dim_products", from_silver("products", star.dim_products, "dim_products"))
-    run.step("gold", "dim_stores", from_silver("transactions", star.dim_stores, "dim_stores"))
-    run.step("gold", "dim_dates", from_silver("transactions", star.dim_dates, "dim_dates"))
-    run.step("gold", "fact_transactions", from_silver("transactions", lambda t: _with_month(
-        star.fact_transactions(t, dim("dim_users"), dim("dim_products"), dim("dim_stores"))),
-        "fact_transactions", FACT_LAYOUT))
-    run.step("gold", "fact_inventory", from_silver("inventory", lambda t: _with_month(
-        star.fact_inventory(t, dim("dim_products"), dim("dim_stores"), as_of)), "fact_inventory", FACT_LAYOUT))
-    run.step("gold", "fact_shipments", from_silver("shipments", lambda t: _with_month(
-        star.fact_shipments(t, dim("dim_stores"))), "fact_shipments", FACT_LAYOUT))
+    run.together([
+        ("gold", "dim_users", users),
+        ("gold", "dim_products", from_silver("products", star.dim_products, "dim_products")),
+        ("gold", "dim_stores", from_silver("transactions", star.dim_stores, "dim_stores")),
+        ("gold", "dim_dates", from_silver("transactions", star.dim_dates, "dim_dates")),
+    ])
+    run.together([
+        ("gold", "fact_transactions", from_silver("transactions", lambda t: _with_month(
+            star.fact_transactions(t, dim("dim_users"), dim("dim_products"), dim("dim_stores"))),
+            "fact_transactions", FACT_LAYOUT)),
+        ("gold", "fact_inventory", from_silver("inventory", lambda t: _with_month(
+            star.fact_inventory(t, dim("dim_products"), dim("dim_stores"), as_of)), "fact_inventory", FACT_LAYOUT)),
+        ("gold", "fact_shipments", from_silver("shipments", lambda t: _with_month(
+            star.fact_shipments(t, dim("dim_stores"))), "fact_shipments", FACT_LAYOUT)),
+    ])
 
 
 def build_lakehouse(
@@ -120,13 +131,16 @@ def build_lakehouse(
 
     Entities that are missing or fail are reported and skipped. Returns (layer, table, rows, status).
     """
-    run = _Run(spark)
-    for entity in ENTITIES:
-        def write(entity: str = entity) -> str | None:
+    run = Run(spark)
+
+    def cleaned(entity: str) -> Callable[[], str | None]:
+        def write() -> str | None:
             if entity not in raw:
                 return None
             return tables.publish(clean(entity, raw[entity], as_of, keep_lineage=True), silver_root(root), entity)
-        run.step("silver", entity, write)
+        return write
+
+    run.together([("silver", entity, cleaned(entity)) for entity in ENTITIES])
     build_gold(run, root, as_of)
     return run.report()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import date
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -48,7 +49,7 @@ def trend(fact: DataFrame) -> DataFrame:
     )
 
 
-def checks(tables: dict[str, DataFrame]) -> DataFrame:
+def checks(tables: Mapping[str, DataFrame]) -> DataFrame:
     """pass or warning per table: does it hold rows?"""
     status = F.when(F.col("row_count") > 0, "pass").otherwise("warning")
     return row_counts(tables).select(

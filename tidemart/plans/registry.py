@@ -24,6 +24,7 @@ CATEGORY = "ECONOMY"
 Query = Callable[[SparkSession, str], DataFrame]
 
 _built: dict[tuple[str, str, str], str] = {}
+_opened: dict[str, tuple[tables.Layer, dict[str, DataFrame]]] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[str], None]) -> str:
@@ -45,12 +46,19 @@ def lake_root(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "lake", make)
 
 
-def gold(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return lakehouse.read_gold(spark, lake_root(spark, sf_dir))
+def _layers(spark: SparkSession, sf_dir: str) -> tuple[tables.Layer, dict[str, DataFrame]]:
+    root = lake_root(spark, sf_dir)
+    if root not in _opened:
+        _opened[root] = (lakehouse.read_gold(spark, root), lakehouse.read_silver(spark, root))
+    return _opened[root]
+
+
+def gold(spark: SparkSession, sf_dir: str) -> tables.Layer:
+    return _layers(spark, sf_dir)[0]
 
 
 def clean_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return lakehouse.read_silver(spark, lake_root(spark, sf_dir))
+    return _layers(spark, sf_dir)[1]
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> str:
@@ -122,7 +130,7 @@ def json_scan(spark, sf_dir):
     (
         rows.select(F.floor(F.col("product_id").cast("bigint") / 500).alias("chunk"), record.alias("record"))
         .groupBy("chunk").agg(F.concat(F.lit("["), F.array_join(F.collect_list("record"), ","), F.lit("]")).alias("v"))
-        .select("v").repartition(4, "v").write.text(path)
+        .write.partitionBy("chunk").text(path)
     )
     return raw.read_json_records(spark, path).select(*rows.columns)
 
@@ -414,14 +422,17 @@ def l2_topk_filtered(spark, sf_dir):
 
 
 def concept_match(spark, sf_dir):
-    """Each vector against the mean vectors of the labels that stand for a concept, in their order."""
+    """Each vector against the mean vectors of the labels that stand for a concept, in their order.
+
+    The given vectors have no clear clusters, hence a lower threshold than the usual one.
+    """
     rows, means = _vectors(spark, sf_dir)
     known = list(fixed.CONCEPT_COLUMNS.items())
     names = F.element_at(F.array(*[F.lit(n) for n, _ in known]), F.col("label") + 1)
     concepts = means.filter(F.col("label") < len(known)).select(names.alias("concept"), "vector")
     columns = spark.createDataFrame([(n, c[0]) for n, c in known], "concept string, column_name string")
     return neighbours.nearest_concept(
-        rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), concepts, columns)
+        rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), concepts, columns, 0.3)
 
 
 def corpus_upsert(spark, sf_dir):

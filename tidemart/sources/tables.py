@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -95,16 +96,35 @@ def discover(spark: SparkSession, root: str) -> dict[str, str]:
     return found
 
 
-def layer(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(path) for name, path in discover(spark, root).items()}
+class Layer(Mapping):
+    """The tables of a layer by name. A table is opened when first used, and only once."""
 
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self._spark, self.paths = spark, discover(spark, root)
+        self._open: dict[str, DataFrame] = {}
 
-def register_views(tables: dict[str, DataFrame]) -> None:
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._open:
+            self._open[name] = self._spark.read.parquet(self.paths[name])
+        return self._open[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.paths)
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+
+def layer(spark: SparkSession, root: str) -> Layer:
+    return Layer(spark, root)
+
+
+def register_views(tables: Mapping[str, DataFrame]) -> None:
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
 
 
-def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table, row_count): one count per table, side by side in one plan."""
     counts = [
         df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table"), "row_count")
@@ -113,7 +133,7 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def profile(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+def profile(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table, ordinal, column, type, row_count) for every column of a layer."""
     layout = [
         (name, i, field.name, field.dataType.simpleString())

@@ -9,6 +9,7 @@ The file source follows whole files, so writers land finished files and do not a
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
 from pyspark import StorageLevel
@@ -66,7 +67,7 @@ def fold(spark: SparkSession, root: str, entity: str, rows: DataFrame,
 
 
 def refresh_gold(spark: SparkSession, root: str, as_of: date | datetime | str | None = None) -> DataFrame:
-    run = lakehouse._Run(spark)
+    run = lakehouse.Run(spark)
     lakehouse.build_gold(run, root, as_of)
     return run.report()
 
@@ -102,16 +103,19 @@ def process(batch: DataFrame, batch_id: int, root: str, as_of=None, refresh_ever
 
 def catch_up(spark: SparkSession, root: str, last: int, as_of=None) -> None:
     """Fold every landed batch up to ``last`` that is not in silver yet, then rebuild gold."""
-    changed = False
-    for entity in EVENT_ENTITIES.values():
-        paths = _pending(spark, root, entity, last)
-        if paths:
-            rows = spark.read.option("basePath", f"{root}/bronze/{entity}").parquet(*paths)
-            fold(spark, root, entity, rows, as_of)
-            _mark(spark, root, entity, last)
-            changed = True
-    if changed:
-        refresh_gold(spark, root, as_of)
+    waiting = {e: _pending(spark, root, e, last) for e in EVENT_ENTITIES.values()}
+    waiting = {e: paths for e, paths in waiting.items() if paths}
+    if not waiting:
+        return
+
+    def bring(entity: str) -> None:
+        rows = spark.read.option("basePath", f"{root}/bronze/{entity}").parquet(*waiting[entity])
+        fold(spark, root, entity, rows, as_of)
+        _mark(spark, root, entity, last)
+
+    with ThreadPoolExecutor(max_workers=len(waiting)) as pool:
+        list(pool.map(bring, waiting))  # a failure here fails the batch, which then runs again
+    refresh_gold(spark, root, as_of)
 
 
 def start(
