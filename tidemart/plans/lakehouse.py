@@ -12,13 +12,15 @@ from tidemart.functions.columns import month_key
 from tidemart.operators import history, star
 from tidemart.operators.silver import clean
 from tidemart.schemas import SILVER
-from tidemart.sources import tables
+from tidemart.sources import files, tables
 from tidemart.sources.raw import read_delimited
 
 ENTITIES = list(SILVER)
-# Facts lie in one folder per month: date ranges prune, and a month is never a tiny file. (A folder
-# per region and day, as is customary for small data, would be mostly single-row files.)
+# Large facts lie in one folder per month, so that date ranges prune whole folders. Below this size a
+# month would be a tiny file, and `month_key` stays an ordinary column. (A folder per region and day
+# would be mostly single-row files at any size.)
 FACT_LAYOUT = ["month_key"]
+FACT_LAYOUT_BYTES = 4 << 30
 STATUS = "layer string, table string, rows bigint, status string"
 
 
@@ -83,8 +85,11 @@ def _with_month(fact: DataFrame) -> DataFrame:
     return fact.withColumn("month_key", month_key(F.col("date_key")))
 
 
-def build_gold(run: Run, root: str, as_of: date | datetime | str | None) -> None:
+def build_gold(
+    run: Run, root: str, as_of: date | datetime | str | None, layout_bytes: int = FACT_LAYOUT_BYTES
+) -> None:
     spark, gold = run.spark, gold_root(root)
+    stored = tables.discover(spark, silver_root(root))
     silver = read_silver(spark, root)
 
     def users() -> str | None:
@@ -96,28 +101,34 @@ def build_gold(run: Run, root: str, as_of: date | datetime | str | None) -> None
             existing, silver["users"], day)
         return tables.publish(rows, gold, "dim_users")
 
-    def from_silver(source: str, make: Callable[[DataFrame], DataFrame], table: str, layout=None):
+    def from_silver(source: str, make: Callable[[DataFrame], DataFrame], table: str):
         def write() -> str | None:
-            return tables.publish(make(silver[source]), gold, table, layout) if source in silver else None
-        return write
+            return tables.publish(make(silver[source]), gold, table) if source in silver else None
+        return "gold", table, write
+
+    def fact(source: str, make: Callable[[DataFrame], DataFrame], table: str):
+        def write() -> str | None:
+            if source not in silver:
+                return None
+            large = files.size(spark, stored[source]) >= layout_bytes
+            return tables.publish(_with_month(make(silver[source])), gold, table, FACT_LAYOUT if large else None)
+        return "gold", table, write
 
     def dim(name: str) -> DataFrame | None:
         return tables.read_current(spark, gold, name)
 
     run.together([
         ("gold", "dim_users", users),
-        ("gold", "dim_products", from_silver("products", star.dim_products, "dim_products")),
-        ("gold", "dim_stores", from_silver("transactions", star.dim_stores, "dim_stores")),
-        ("gold", "dim_dates", from_silver("transactions", star.dim_dates, "dim_dates")),
+        from_silver("products", star.dim_products, "dim_products"),
+        from_silver("transactions", star.dim_stores, "dim_stores"),
+        from_silver("transactions", star.dim_dates, "dim_dates"),
     ])
     run.together([
-        ("gold", "fact_transactions", from_silver("transactions", lambda t: _with_month(
-            star.fact_transactions(t, dim("dim_users"), dim("dim_products"), dim("dim_stores"))),
-            "fact_transactions", FACT_LAYOUT)),
-        ("gold", "fact_inventory", from_silver("inventory", lambda t: _with_month(
-            star.fact_inventory(t, dim("dim_products"), dim("dim_stores"), as_of)), "fact_inventory", FACT_LAYOUT)),
-        ("gold", "fact_shipments", from_silver("shipments", lambda t: _with_month(
-            star.fact_shipments(t, dim("dim_stores"))), "fact_shipments", FACT_LAYOUT)),
+        fact("transactions", lambda t: star.fact_transactions(
+            t, dim("dim_users"), dim("dim_products"), dim("dim_stores")), "fact_transactions"),
+        fact("inventory", lambda t: star.fact_inventory(t, dim("dim_products"), dim("dim_stores"), as_of),
+             "fact_inventory"),
+        fact("shipments", lambda t: star.fact_shipments(t, dim("dim_stores")), "fact_shipments"),
     ])
 
 
@@ -126,6 +137,7 @@ def build_lakehouse(
     raw: Mapping[str, DataFrame],
     root: str,
     as_of: date | datetime | str | None = None,
+    layout_bytes: int = FACT_LAYOUT_BYTES,
 ) -> DataFrame:
     """Clean the raw tables, fold users into their history, build the star schema under ``root``.
 
@@ -141,7 +153,7 @@ def build_lakehouse(
         return write
 
     run.together([("silver", entity, cleaned(entity)) for entity in ENTITIES])
-    build_gold(run, root, as_of)
+    build_gold(run, root, as_of, layout_bytes)
     return run.report()
 
 
