@@ -284,7 +284,7 @@ ORACLE: dict[str, str] = {
         WHERE date_key // 100 BETWEEN 199601 AND 199606 GROUP BY 1""", "ft"),
     "fact_inventory_roundtrip": all_of("fi"),
     "table_publish": PRODUCTS.replace("p_retailprice AS price", "p_retailprice + 1 + 1 AS price"),
-    "layer_tables": "SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in GOLD) + ') v("table")',
+    "layer_tables": over(f'SELECT "table", n AS row_count FROM ({SIZES})', *GOLD.values()),
     "layer_profile": over(f"""SELECT v."table", CAST(ordinal AS INTEGER) AS ordinal, "column", "type", n AS row_count
         FROM (VALUES {FIELDS}) v("table", ordinal, "column", "type") JOIN ({SIZES}) s ON v."table" = s."table" """,
                           *GOLD.values()),

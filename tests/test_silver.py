@@ -26,11 +26,11 @@ def test_own_and_foreign_headers_together(spark, lines_in):
 
 
 def test_defaults_without_synonyms(spark):
-    got = silver.clean("transactions", _frame(spark, ["total", "extra"], [("3.5", "a"), ("4", "b")]), AS_OF).collect()
-    assert len({r.transaction_id for r in got}) == 2
+    got = silver.clean("transactions", _frame(spark, ["total", "extra"], [("3.5", "a"), ("4", "b"), ("4", "b")]), AS_OF).collect()
+    assert len({r.transaction_id for r in got}) == 3
     assert {(r.user_id, r.product_id, r.store_id) for r in got} == {("U001", "UNKNOWN", "S001")}
     assert {r.timestamp for r in got} == {dt.datetime(2024, 6, 1)}
-    assert sorted(r.amount for r in got) == [3.5, 4.0]
+    assert sorted(r.amount for r in got) == [3.5, 4.0, 4.0]
 
 
 def test_amount_chain(spark):

@@ -45,7 +45,8 @@ def pair_counts(lines: DataFrame, min_support: int, large_basket: int = LARGE_BA
 
     A basket of more than ``large_basket`` lines is never gathered into one row nor unfolded into all
     its pairs. Its pairs are counted in two ways that together miss none:
-      * pairs also seen in an ordinary basket: looked up in the large baskets;
+      * pairs also seen in an ordinary basket, often enough that the large ones could make up the rest:
+        looked up in the large baskets;
       * pairs seen in large baskets only: both products then sit in ``min_support`` large baskets,
         and only such products are paired. While there are fewer large baskets than that, none do.
     """
@@ -65,7 +66,8 @@ def pair_counts(lines: DataFrame, min_support: int, large_basket: int = LARGE_BA
         in_a = large.select(F.col("product_key").alias("product_a"), "transaction_id")
         in_b = large.select(F.col("product_key").alias("product_b"), "transaction_id")
         looked_up = (
-            seen.join(in_a, "product_a").join(in_b, ["product_b", "transaction_id"])
+            small.filter(F.col("n") >= min_support - n_large).select("product_a", "product_b")
+            .join(in_a, "product_a").join(in_b, ["product_b", "transaction_id"])
             .groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("n"))
         )
         parts = small.unionByName(looked_up)

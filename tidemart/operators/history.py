@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from tidemart.operators.keys import dense_key
+from tidemart.session import settle
 
 COLUMNS = ["surrogate_key", "user_id", "name", "email", "city", "effective_date", "end_date", "is_current"]
 
@@ -69,7 +70,8 @@ def merge(
         .when(arrived, F.array(first))
         .otherwise(F.array() if drop_missing else F.array(kept))
     )
-    merged = both.select(F.explode(rows).alias("r")).select("r.*")
+    # used twice below; the join of the whole history with the snapshot is not done twice
+    merged = settle(both.select(F.explode(rows).alias("r")).select("r.*"), "history")
 
     new = merged.filter("_group > 0")
     if drop_missing:

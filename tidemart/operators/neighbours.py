@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemart.fixed_values import CONCEPT_THRESHOLD
 from tidemart.operators.keys import dense_key
 
-BLOCK_ROWS = 4096  # query vectors handled by one task at a time
+BLOCK_BYTES = 32 << 20  # vectors of one block of queries, as doubles
+CELLS = 1 << 22  # scores a task holds at a time
 _HIT = "query_id bigint, id bigint, score double"
 
 
@@ -40,15 +41,23 @@ def _round(scores: np.ndarray, digits: int) -> np.ndarray:
 
 def _best(qids, qvec, qcat, ids, vecs, cats, k, metric, digits) -> pd.DataFrame:
     """The k best corpus rows of this batch for each query; ties by id."""
-    scores = _round(_scores(qvec, vecs, metric), digits)
-    out = []
-    by_id = np.argsort(ids, kind="stable")
-    for i in range(len(qids)):
-        pool = by_id if qcat is None else by_id[cats[by_id] == qcat[i]]
-        if len(pool):
-            top = pool[np.argsort(-scores[i, pool], kind="stable")[:k]]
-            out.append(pd.DataFrame({"query_id": qids[i], "id": ids[top], "score": scores[i, top]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+    found = []
+    step = max(1, CELLS // max(1, len(qids)))
+    for at in range(0, len(ids), step):
+        part = slice(at, at + step)
+        scores = _round(_scores(qvec, vecs[part], metric), digits)
+        if qcat is not None:
+            scores[qcat[:, None] != cats[part][None, :]] = -np.inf
+        width = scores.shape[1]
+        least = np.partition(scores, width - k, axis=1)[:, width - k] if width > k else np.full(len(qids), -np.inf)
+        q, c = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))  # k per query, and their ties
+        found.append(pd.DataFrame({"query_id": qids[q], "id": ids[part][c], "score": scores[q, c]}))
+    hits = pd.concat(found).sort_values(["query_id", "score", "id"], ascending=[True, False, True])
+    return hits.groupby("query_id", sort=False).head(k)
+
+
+def _rows_per_block(width: int | None) -> int:
+    return max(1, BLOCK_BYTES // (8 * max(1, width or 1)))
 
 
 def _keep_best(hits: DataFrame, k: int) -> DataFrame:
@@ -63,7 +72,7 @@ def top_k(
     metric: str = "cosine",
     same_category: bool = False,
     digits: int = 6,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """(query_id, id, score, rank) of the ``k`` nearest corpus vectors of each query.
 
@@ -71,12 +80,14 @@ def top_k(
     `cosine` (0 when a vector has no length) or `l2`, whose score is minus the squared distance.
     ``same_category`` keeps only corpus rows of the query's category.
 
-    Up to ``block_rows`` queries travel to every task. More than that are cut into blocks of about that
-    size, corpus batches meet each block by block number, and the rest is the same.
+    Up to ``block_rows`` queries (by default what fits ``BLOCK_BYTES``) travel to every task. More than
+    that are cut into blocks of about that size, corpus batches meet each block by block number, and the
+    rest is the same.
     """
     spark = corpus.sparkSession
     more = ["category"] if same_category else []
-    n = queries.count()
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    block_rows = block_rows or _rows_per_block(width)
     if n <= block_rows:
         rows = queries.select("query_id", "vector", *more).orderBy("query_id").collect()
         shared = spark.sparkContext.broadcast((
@@ -127,15 +138,17 @@ def nearest_concept(
     """Each vector's best concept where the cosine is above ``threshold``, with the concept's column.
 
     ``vectors`` is (id, vector); ``concepts`` is (concept, vector), ``columns`` is (concept, column_name).
-    Up to ``BLOCK_ROWS`` concepts travel to every task and no vector is shuffled; more go through ``top_k``.
+    A list of concepts up to ``BLOCK_BYTES`` travels to every task and no vector is shuffled; a longer one
+    goes through ``top_k``.
     """
-    known = concepts.orderBy("concept").limit(BLOCK_ROWS + 1).collect()
-    if len(known) > BLOCK_ROWS:
+    n, width = concepts.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    if n > _rows_per_block(width):
         numbered = dense_key(concepts, ["concept"], "id", kind="bigint")
         nearest = top_k(vectors.withColumnRenamed("id", "query_id"), numbered, 1, "cosine", digits=digits)
         hits = nearest.join(numbered.select("id", "concept"), "id").select(
             F.col("query_id").alias("id"), "concept", "score")
         return _above(hits, columns, threshold)
+    known = concepts.orderBy("concept").collect()
     names = np.array([r.concept for r in known], dtype=object)
     shared = vectors.sparkSession.sparkContext.broadcast((names, _matrix([r.vector for r in known])))
 

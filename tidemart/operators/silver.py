@@ -94,8 +94,8 @@ def type_transactions(raw: DataFrame, as_of: datetime | str | None = None) -> Da
         value = first_of(target)
         columns[target] = value if value is not None else F.lit(TRANSACTION_DEFAULTS.get(target))
     if first_of("transaction_id") is None:
-        # no id anywhere: the line itself, and where it came from, names it
-        columns["transaction_id"] = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns])), 256)
+        # no id anywhere: every line is an order of its own, equal lines too
+        columns["transaction_id"] = F.monotonically_increasing_id().cast("string")
     stamp = first_of("timestamp")
     now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
     columns["timestamp"] = stamp if stamp is not None else now

@@ -11,13 +11,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame, *columns: str) -> DataFrame:
+    """A file with fewer parts than the session has cores is dealt out before heavy work on its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *columns) if df.rdd.getNumPartitions() < cores else df
+
+
 def _store(number: Column) -> Column:
     return F.concat(F.lit("STORE_"), F.lpad(number.cast("string"), 6, "0"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    return table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    sold = _spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    return sold.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,14 +123,12 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+RAW = {"transactions": transactions, "users": users, "products": products, "inventory": inventory,
+       "shipments": shipments}
+
+
 def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {
-        "transactions": transactions(spark, sf_dir),
-        "users": users(spark, sf_dir),
-        "products": products(spark, sf_dir),
-        "inventory": inventory(spark, sf_dir),
-        "shipments": shipments(spark, sf_dir),
-    }
+    return {entity: bind(spark, sf_dir) for entity, bind in RAW.items()}
 
 
 def foreign_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,4 +191,4 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((kind == "click") & (k < 50), inventory).when(kind == "click", shipment)
         .when(k < 50, broken).otherwise(unknown)
     )
-    return table(spark, sf_dir, "events").select("event_id", text.alias("value"))
+    return _spread(table(spark, sf_dir, "events"), "event_id").select("event_id", text.alias("value"))

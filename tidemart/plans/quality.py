@@ -63,25 +63,24 @@ def column_profile(df: DataFrame, samples: int = 3) -> DataFrame:
     Each row is unfolded into (column, value) and folded again before the shuffle, so the cost is one
     pass with partial sums, however many columns there are and however common a value is.
     """
-    kinds = {f.name: column_kind(f.name, f.dataType) for f in df.schema}
-    cells = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.lit(kinds[c]).alias("kind"),
-                 F.col(f"`{c}`").cast("string").alias("value"))
-        for i, c in enumerate(df.columns)
-    ])).alias("cell")).select("cell.*")
-    values = cells.groupBy("ordinal", "column", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    cells = df.select(F.posexplode(F.array(*[
+        F.col(f"`{c}`").cast("string") for c in df.columns
+    ])).alias("ordinal", "value"))
+    values = cells.groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("ordinal").orderBy("value"))
     first = (
         values.filter(F.col("value").isNotNull()).withColumn("r", rank).filter(F.col("r") <= samples)
-        .groupBy("column").agg(F.array_join(F.transform(
+        .groupBy("ordinal").agg(F.array_join(F.transform(
             F.sort_array(F.collect_list(F.struct("r", "value"))), lambda s: s["value"]), "|").alias("samples"))
     )
-    folded = values.groupBy("ordinal", "column", "kind").agg(
+    folded = values.groupBy("ordinal").agg(
         F.sum("n").alias("_rows"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
         F.count("value").alias("unique_count"),
     )
-    return folded.join(first, "column", "left").select(
-        "ordinal", "column", "kind", "null_count",
+    names = F.array(*[F.lit(f.name) for f in df.schema])
+    kinds = F.array(*[F.lit(column_kind(f.name, f.dataType)) for f in df.schema])
+    return folded.join(first, "ordinal", "left").select(
+        "ordinal", names[F.col("ordinal")].alias("column"), kinds[F.col("ordinal")].alias("kind"), "null_count",
         F.try_divide(F.col("null_count").cast("double"), F.col("_rows")).alias("null_rate"),
         "unique_count", "samples")

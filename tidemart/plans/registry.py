@@ -89,7 +89,7 @@ def _on_gold(report: Callable[..., DataFrame], *args, **kwargs) -> Query:
 
 
 def _cleaned(entity: str) -> Query:
-    return lambda spark, sf_dir: silver.clean(entity, bindings.raw_tables(spark, sf_dir)[entity], AS_OF)
+    return lambda spark, sf_dir: silver.clean(entity, bindings.RAW[entity](spark, sf_dir), AS_OF)
 
 
 # -- sources and sinks ------------------------------------------------------------------------
@@ -171,8 +171,10 @@ def fact_inventory_roundtrip(spark, sf_dir):
 
 
 def layer_tables(spark, sf_dir):
-    names = [(n,) for n in tables.discover(spark, lakehouse.gold_root(lake_root(spark, sf_dir)))]
-    return spark.createDataFrame(names, "table string")
+    """The tables found in the gold folder, read through views of their names."""
+    found = tables.layer(spark, lakehouse.gold_root(lake_root(spark, sf_dir)))
+    tables.register_views(found)
+    return tables.row_counts({name: spark.table(name) for name in found})
 
 
 def layer_profile(spark, sf_dir):

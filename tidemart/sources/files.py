@@ -25,6 +25,12 @@ def size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    fs, p = _fs(spark, path)
+    fs.create(p, True).close()
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.delete(p, True)

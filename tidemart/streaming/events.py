@@ -13,7 +13,8 @@ MALFORMED = "malformed"
 def parse(lines: DataFrame) -> DataFrame:
     """One row per line: the event's fields, and the line itself in `_corrupt` when it is not an event."""
     event = F.from_json("value", EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    parsed = lines.select("value", event.alias("e")).select("value", "e.*")
+    # unfolding a list of one keeps later filters behind the parser; pushed before it, they would parse again
+    parsed = lines.select("value", F.inline(F.array(event)))
     is_bad = F.col("_corrupt").isNotNull() | F.col("event_type").isNull()
     return parsed.withColumn("_corrupt", F.when(is_bad, F.col("value"))).drop("value")
 

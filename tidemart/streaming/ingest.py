@@ -41,11 +41,9 @@ def land(batch: DataFrame, batch_id: int, root: str) -> dict[str, str]:
         if ev.MALFORMED in present:
             ev.malformed(parsed).write.mode("overwrite").parquet(f"{root}/quarantine/{name}")
         routed = ev.route(ev.well_formed(parsed))
-        for event_type, entity in EVENT_ENTITIES.items():
-            if event_type in present:
-                path = f"{root}/bronze/{entity}/{name}"
-                routed[entity].write.mode("overwrite").parquet(path)
-                written[entity] = path
+        written = {e: f"{root}/bronze/{e}/{name}" for kind, e in EVENT_ENTITIES.items() if kind in present}
+        with ThreadPoolExecutor(max_workers=len(EVENT_ENTITIES)) as pool:
+            list(pool.map(lambda e: routed[e].write.mode("overwrite").parquet(written[e]), written))
     finally:
         parsed.unpersist()
     return written
@@ -74,19 +72,18 @@ def refresh_gold(spark: SparkSession, root: str, as_of: date | datetime | str |
 
 def _pending(spark: SparkSession, root: str, entity: str, last: int) -> list[str]:
     """Landed batches of an entity that its silver table does not hold yet, up to batch ``last``."""
-    done = f"{root}/folded/{entity}"
-    marks = [n for n, _, _ in files.children(spark, done)]
-    seen = max((int(n) for n in marks), default=-1)
-    found = []
-    for name, path, is_dir in files.children(spark, f"{root}/bronze/{entity}"):
-        if is_dir and name.startswith("batch=") and seen < int(name[6:]) <= last:
-            found.append(path)
-    return found
+    seen = max((int(n) for n, _, _ in files.children(spark, f"{root}/folded/{entity}")), default=-1)
+    paths = (f"{root}/bronze/{entity}/{_batch_name(n)}" for n in range(seen + 1, last + 1))
+    return [p for p in paths if files.exists(spark, p)]
 
 
 def _mark(spark: SparkSession, root: str, entity: str, last: int) -> None:
-    fs, path = files._fs(spark, f"{root}/folded/{entity}/{last:012d}")
-    fs.create(path, True).close()
+    marks = f"{root}/folded/{entity}"
+    older = [path for _, path, _ in files.children(spark, marks)]
+    files.touch(spark, f"{marks}/{last:012d}")
+    for path in older:
+        if not path.endswith(f"/{last:012d}"):
+            files.delete(spark, path)
 
 
 def process(batch: DataFrame, batch_id: int, root: str, as_of=None, refresh_every: int = 1) -> None:
