@@ -29,11 +29,9 @@ def dense_key(df: DataFrame, order: list[str], name: str, base: int = 0, kind: s
     each partition its start. The numbered rows are written first: range bounds come from a sample, so
     computing them twice could place rows differently.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(c).asc() for c in order]
     placed = settle(
-        df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+        df.repartitionByRange(*by).sortWithinPartitions(*by)
         .withColumn("_slot", F.monotonically_increasing_id()),
         f"dense-{name}",
     )
