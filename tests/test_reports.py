@@ -152,6 +152,64 @@ def test_scans_read_only_what_they_need(spark, sf, name):
     assert "store_key" not in fact and "region" not in fact
 
 
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+}
+
+
+@pytest.fixture
+def hot_gold(spark, sf, tmp_path):
+    """The gold tables with one customer, product and store on a third of all lines, in several files."""
+    gold = dict(registry.gold(spark, sf).items())
+    hot = F.pmod(F.xxhash64("transaction_id", "product_key"), F.lit(3)) == 0
+    fact = gold["fact_transactions"]
+    for key in ("user_key", "store_key"):
+        fact = fact.withColumn(key, F.when(hot, F.lit(7)).otherwise(F.col(key)))
+    many = fact.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    many = many.withColumn("transaction_id", F.concat_ws("-", "transaction_id", "copy")).drop("copy")
+    many.repartition(12).write.parquet(str(tmp_path / "fact"))
+    gold["fact_transactions"] = spark.read.parquet(str(tmp_path / "fact"))
+    return gold
+
+
+@pytest.mark.parametrize("report", [kpi.city_sales, kpi.customer_segmentation])
+def test_hot_customers_are_split_over_tasks(spark, hot_gold, report):
+    want = rows(report(hot_gold))
+    old = {k: spark.conf.get(k, None) for k in SKEW}
+    for k, v in SKEW.items():
+        spark.conf.set(k, v)
+    try:
+        df = report(hot_gold)
+        assert rows(df) == want
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_products_are_split_over_tasks(spark, tmp_path):
+    """One product on a third of all lines, in the step that drops rare products."""
+    lines = spark.range(60000).selectExpr(
+        "concat('T', cast(id div 2 as string)) as transaction_id",
+        "cast(if(id % 3 = 0, 1, id % 997) as int) as product_key")
+    lines.repartition(12).write.parquet(str(tmp_path / "l"))
+    lines = spark.read.parquet(str(tmp_path / "l"))
+    old = {k: spark.conf.get(k, None) for k in SKEW}
+    for k, v in SKEW.items():
+        spark.conf.set(k, v)
+    try:
+        df = pair_counts(lines, 2)
+        df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_reports_run_without_broadcast(spark, sf):
     """Beyond the broadcast limit the same plans sort and merge, with the same results."""
     names = ["clv", "city_sales", "top_products", "seasonal_trends", "market_basket", "delivery_metrics"]

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemart.fixed_values import UNKNOWN_KEY
+from tidemart.operators.keys import per_key
 
 LARGE_BASKET = 1000
 
 
 def _support(lines: DataFrame, min_support: int) -> DataFrame:
-    counted = lines.groupBy("product_key").agg(F.count(F.lit(1)).alias("n"))
+    counted = per_key(lines, "product_key", F.count(F.lit(1)).alias("n"))
     return counted.filter(F.col("n") >= min_support).select("product_key")
 
 
@@ -51,7 +52,7 @@ def pair_counts(lines: DataFrame, min_support: int, large_basket: int = LARGE_BA
         and only such products are paired. While there are fewer large baskets than that, none do.
     """
     likely = lines.join(_support(lines, min_support), "product_key", "left_semi")
-    sizes = lines.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("size"))
+    sizes = per_key(lines, "transaction_id", F.count(F.lit(1)).alias("size"))
     large_ids = sizes.filter(F.col("size") > large_basket).select("transaction_id")
     n_large = large_ids.count()
 

@@ -21,6 +21,16 @@ def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(spec)).filter("_rank = 1").drop("_rank")
 
 
+def per_key(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
+    """One row per key, meant to be joined back to rows of ``df``.
+
+    Grouping by a function of the key as well changes no group, but the result is then not hashed on
+    the key alone, so the join shuffles it like its other side. Spark cuts a hot key of a join into
+    several tasks only when both sides come straight from a shuffle.
+    """
+    return df.groupBy(key, F.hash(key).alias("_apart")).agg(*aggregates).drop("_apart")
+
+
 def dense_key(df: DataFrame, order: list[str], name: str, base: int = 0, kind: str = "int") -> DataFrame:
     """``base`` + 1 .. n in the order of ``order``, which must be unique.
 

@@ -114,11 +114,16 @@ def top_k(
         return df.groupBy(F.pmod(F.xxhash64(key), F.lit(count)).alias(f"{prefix}block")).agg(
             F.collect_list(fields).alias(f"{prefix}rows"))
 
+    def numbers(count: int):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
+
+    # with few blocks of queries, copies of each serve several groups of corpus blocks at a time
+    groups = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
     corpus_blocks = max(1, -(-corpus.count() // block_rows))
-    left = gather(queries, "query_id", blocks, "q")
-    right = gather(corpus, "id", corpus_blocks, "c").withColumn(
-        "qblock", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    pairs = right.repartition(F.col("qblock"), F.col("cblock")).join(left, "qblock").select("qrows", "crows")
+    left = gather(queries, "query_id", blocks, "q").withColumn("group", numbers(groups))
+    right = gather(corpus, "id", corpus_blocks, "c").select(
+        "crows", F.pmod("cblock", F.lit(groups)).alias("group"), numbers(blocks).alias("qblock"))
+    pairs = right.join(left, ["qblock", "group"]).select("qrows", "crows")
 
     def score_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

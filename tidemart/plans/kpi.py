@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemart.fixed_values import NEW_CUSTOMER_DAYS, UNKNOWN_KEY
 from tidemart.functions.columns import MONEY, exact_avg, money, money_avg, money_sum
 from tidemart.operators import basket
+from tidemart.operators.keys import per_key
 from tidemart.schemas import EMPTY_KPIS
 from tidemart.sources.tables import empty
 
@@ -236,27 +237,24 @@ def seasonal_trends(gold: Gold) -> DataFrame:
 def customer_segmentation(gold: Gold) -> DataFrame:
     """Order lines within a week of the customer's first purchase day are New, later ones Returning.
 
-    A customer can count in both. avg_order_value is the mean order line. Lines are first folded per
-    customer, order and day. The first day is then joined back rather than taken by a window, which
-    would gather all rows of a customer in one task.
+    A customer can count in both. avg_order_value is the mean order line. The first day is joined back
+    rather than taken by a window, which would gather all rows of a customer in one task.
     """
     missing = _needs(gold, "customer_segmentation", "fact_transactions")
     if missing is not None:
         return missing
     fact = gold["fact_transactions"].filter(_known("user_key"))
     day = F.col("timestamp").cast("date")
-    first = fact.groupBy("user_key").agg(F.min(day).alias("_first"))
-    orders = fact.groupBy("user_key", "transaction_id", day.alias("_day")).agg(
-        F.sum(money(F.col("amount"))).alias("_cents"), F.count("amount").alias("_lines"))
-    age = F.datediff("_day", "_first")
+    first = per_key(fact, "user_key", F.min(day).alias("_first"))
+    age = F.datediff(day, F.col("_first"))
     return (
-        orders.join(first, "user_key")
+        fact.join(first, "user_key")
         .withColumn("customer_type", F.when(age <= NEW_CUSTOMER_DAYS, "New").otherwise("Returning"))
         .groupBy("customer_type").agg(
             F.count_distinct("user_key").alias("customer_count"),
             F.count_distinct("transaction_id").alias("order_count"),
-            F.sum("_cents").cast("double").alias("total_revenue"),
-            F.try_divide(F.sum("_cents").cast("double"), F.sum("_lines")).alias("avg_order_value"),
+            money_sum(F.col("amount")).alias("total_revenue"),
+            money_avg(F.col("amount")).alias("avg_order_value"),
         )
         .orderBy("customer_type")
     )
