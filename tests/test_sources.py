@@ -134,3 +134,31 @@ def test_empty_report_keeps_its_columns(spark):
     assert tables.empty(spark, "a int, b date").columns == ["a", "b"]
     assert tables.sample(spark.range(10), 3).count() == 3
     assert datetime.date.today()
+
+
+def test_scratch_is_dropped_after_a_step(spark):
+    from tidemart import session
+    from tidemart.sources import files
+
+    with session.scratch_scope(spark):
+        df = session.settle(spark.range(5), "probe")
+        path = df.inputFiles()[0].rsplit("/", 1)[0]
+        assert df.count() == 5 and files.exists(spark, path)
+    assert not files.exists(spark, path)
+    kept = session.settle(spark.range(5), "probe")
+    assert kept.count() == 5
+
+
+def test_the_shared_folder_is_the_one_the_session_names(spark, monkeypatch):
+    from tidemart import session
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert named is None or session.shared_dir(spark) == named.rstrip("/")
+    assert session.scratch_dir(spark, "x").startswith(session.shared_dir(spark))
+
+
+def test_finite(spark):
+    from tidemart.functions.columns import finite
+
+    df = spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, -0.5), (4, None)], "k int, x double")
+    assert rows(finite(df)) == [(1, None), (2, None), (3, -0.5), (4, None)]

@@ -176,6 +176,7 @@ def test_build_from_files_skips_what_is_missing_and_survives_what_fails(spark, l
     assert status[("gold", "fact_transactions")] == (2, "built")
     assert status[("gold", "fact_shipments")] == (None, "skipped")
     gold = lakehouse.read_gold(spark, lake)
+    assert rows(lakehouse.read_silver(spark, lake)["users"].select("user_id")) == [("U1",)]
     assert rows(gold["fact_transactions"].select("user_key", "product_key", "region")) == [(1, -1, "Region_001")] * 2
 
     bad = {"transactions": spark.range(3).selectExpr("raise_error('broken') as amount"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemart.fixed_values import TIMESTAMP_FORMATS
 
@@ -64,10 +64,11 @@ def to_type(value: Column, kind: T.DataType, source: T.DataType | None = None) -
     return value.try_cast(kind)
 
 
-def clean_number(x: Column) -> Column:
-    """Infinity and NaN become null."""
-    infinite = F.abs(x) == F.lit(float("inf"))
-    return F.when(F.isnan(x) | infinite, F.lit(None)).otherwise(x)
+def finite(df: DataFrame) -> DataFrame:
+    """Infinity and NaN become null in every floating column, as a report's reader expects."""
+    floating = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({
+        c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)) for c in floating}) if floating else df
 
 
 def stock_status(stock_level: Column, reorder_point: Column) -> Column:

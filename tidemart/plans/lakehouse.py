@@ -12,6 +12,7 @@ from tidemart.functions.columns import month_key
 from tidemart.operators import history, star
 from tidemart.operators.silver import clean
 from tidemart.schemas import SILVER
+from tidemart.session import scratch_scope
 from tidemart.sources import files, tables
 from tidemart.sources.raw import read_delimited
 
@@ -65,7 +66,8 @@ class Run:
     def _do(self, step: Step) -> tuple[str, str, int | None, str]:
         layer, table, write = step
         try:
-            path = write()
+            with scratch_scope(self.spark):
+                path = write()
         except Exception as failure:  # one bad table must not stop the others
             return layer, table, None, f"failed: {type(failure).__name__}: {str(failure)[:300]}"
         if path is None:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,13 +59,31 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemart/{app}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete what this application wrote to the shared folder."""
-    path = f"{shared_dir(spark)}/tidemart/{spark.sparkContext.applicationId}"
+def _delete(spark: SparkSession, path: str) -> None:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder."""
+    _delete(spark, f"{shared_dir(spark)}/tidemart/{spark.sparkContext.applicationId}")
+
+
+_settled = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What ``settle`` writes inside is deleted at the end: for steps that write their result."""
+    outer, _settled.paths = getattr(_settled, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _settled.paths:
+            _delete(spark, path)
+        _settled.paths = outer
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -71,5 +92,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
+    if getattr(_settled, "paths", None) is not None:
+        _settled.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemart.fixed_values import EVENT_ENTITIES
-from tidemart.operators.silver import typed, unique_rows, valid_rows
+from tidemart.operators.silver import RULES, typed, unique_rows, valid_rows
 from tidemart.plans import lakehouse
 from tidemart.sources import files, tables
 from tidemart.sources.raw import LINEAGE
@@ -54,14 +54,21 @@ def fold(spark: SparkSession, root: str, entity: str, rows: DataFrame,
     """Merge raw rows, which carry their batch number, into a silver table.
 
     The result is the same as cleaning all rows ever seen at once; of two versions of a key the one
-    of the later batch stays.
+    of the later batch stays. Only stored rows whose key is among the new ones are compared; the others
+    pass by the list of new keys, which is broadcast while it is small, and are not shuffled.
     """
     label = F.concat(F.lit(f"{entity}_stream_"), F.lpad(F.col("batch").cast("string"), 12, "0"))
     new = valid_rows(entity, typed(entity, rows.withColumn(LINEAGE, label), as_of))
     silver = lakehouse.silver_root(root)
     have = tables.read_current(spark, silver, entity)
-    both = new if have is None else new.unionByName(have, allowMissingColumns=True)
-    return tables.publish(unique_rows(entity, both), silver, entity)
+    if have is None:
+        return tables.publish(unique_rows(entity, new), silver, entity)
+    if LINEAGE not in have.columns:
+        have = have.withColumn(LINEAGE, F.lit(None).cast("string"))
+    keys = RULES[entity].keys
+    touched = new.select(*keys).distinct()
+    compared = unique_rows(entity, new.unionByName(have.join(touched, keys, "left_semi")))
+    return tables.publish(compared.unionByName(have.join(touched, keys, "left_anti")), silver, entity)
 
 
 def refresh_gold(spark: SparkSession, root: str, as_of: date | datetime | str | None = None) -> DataFrame:
