@@ -80,9 +80,8 @@ def top_k(
     `cosine` (0 when a vector has no length) or `l2`, whose score is minus the squared distance.
     ``same_category`` keeps only corpus rows of the query's category.
 
-    Up to ``block_rows`` queries (by default what fits ``BLOCK_BYTES``) travel to every task. More than
-    that are cut into blocks of about that size, corpus batches meet each block by block number, and the
-    rest is the same.
+    Up to ``block_rows`` queries (by default what fits ``BLOCK_BYTES``) travel to every task. Beyond that
+    both sides are cut into blocks of about that size, and every pair of blocks is one group.
     """
     spark = corpus.sparkSession
     more = ["category"] if same_category else []
@@ -106,35 +105,28 @@ def top_k(
 
         return _keep_best(corpus.select("id", "vector", *more).mapInPandas(score, _HIT), k)
 
-    blocks = -(-n // block_rows)
+    # hashed ids spread evenly, so a block of either side holds about block_rows rows
+    q_blocks = -(-n // block_rows)
+    c_blocks = max(1, -(-corpus.count() // block_rows))
 
-    def gather(df: DataFrame, key: str, count: int, prefix: str) -> DataFrame:
-        # hashed ids spread evenly, so a block holds about block_rows rows
-        fields = F.struct(F.col(key).alias("id"), "vector", *more)
-        return df.groupBy(F.pmod(F.xxhash64(key), F.lit(count)).alias(f"{prefix}block")).agg(
-            F.collect_list(fields).alias(f"{prefix}rows"))
+    def own(key: str, count: int):
+        return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
 
-    def numbers(count: int):
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
+    def every(count: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    # with few blocks of queries, copies of each serve several groups of corpus blocks at a time
-    groups = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
-    corpus_blocks = max(1, -(-corpus.count() // block_rows))
-    left = gather(queries, "query_id", blocks, "q").withColumn("group", numbers(groups))
-    right = gather(corpus, "id", corpus_blocks, "c").select(
-        "crows", F.pmod("cblock", F.lit(groups)).alias("group"), numbers(blocks).alias("qblock"))
-    pairs = right.join(left, ["qblock", "group"]).select("qrows", "crows")
+    left = queries.select("query_id", "vector", *more, own("query_id", q_blocks).alias("q"), every(c_blocks).alias("c"))
+    right = corpus.select("id", "vector", *more, every(q_blocks).alias("q"), own("id", c_blocks).alias("c"))
 
-    def score_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for q, c in zip(batch["qrows"], batch["crows"]):
-                qcat = np.array([r["category"] for r in q]) if same_category else None
-                ccat = np.array([r["category"] for r in c]) if same_category else None
-                yield _best(
-                    np.array([r["id"] for r in q]), _matrix([r["vector"] for r in q]), qcat,
-                    np.array([r["id"] for r in c]), _matrix([r["vector"] for r in c]), ccat, k, metric, digits)
-
-    return _keep_best(pairs.mapInPandas(score_pairs, _HIT), k)
+    def score_blocks(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        cats = [x["category"].to_numpy() if same_category else None for x in (a, b)]
+        return _best(a["query_id"].to_numpy(), _matrix(a["vector"]), cats[0],
+                     b["id"].to_numpy(), _matrix(b["vector"]), cats[1], k, metric, digits)
+
+    hits = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(score_blocks, _HIT)
+    return _keep_best(hits, k)
 
 
 def nearest_concept(
