@@ -195,7 +195,7 @@ def test_hot_products_are_split_over_tasks(spark, tmp_path):
     """One product on a third of all lines, in the step that drops rare products."""
     lines = spark.range(60000).selectExpr(
         "concat('T', cast(id div 2 as string)) as transaction_id",
-        "cast(if(id % 3 = 0, 1, id % 997) as int) as product_key")
+        "cast(case id % 3 when 0 then 1 when 1 then id % 997 else id + 1000 end as int) as product_key")
     lines.repartition(12).write.parquet(str(tmp_path / "l"))
     lines = spark.read.parquet(str(tmp_path / "l"))
     old = {k: spark.conf.get(k, None) for k in SKEW}
