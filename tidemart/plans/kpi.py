@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemart.fixed_values import NEW_CUSTOMER_DAYS, UNKNOWN_KEY
-from tidemart.functions.columns import MONEY, exact_avg, money, money_avg, money_sum
+from tidemart.functions.columns import exact_avg, money, money_avg, money_sum
 from tidemart.operators import basket
 from tidemart.operators.keys import per_key
 from tidemart.schemas import EMPTY_KPIS
@@ -258,9 +258,3 @@ def customer_segmentation(gold: Gold) -> DataFrame:
         )
         .orderBy("customer_type")
     )
-
-
-__all__ = [
-    "MONEY", "city_sales", "clv", "customer_segmentation", "delivery_metrics", "inventory_turnover",
-    "market_basket", "revenue_timeseries", "seasonal_trends", "summary_kpis", "top_products",
-]

@@ -391,7 +391,8 @@ def masked_view(spark, sf_dir):
 
 GUARDED = """
     WITH by_region AS (
-        SELECT region, count(DISTINCT transaction_id) AS orders, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+        SELECT region, count(DISTINCT transaction_id) AS orders,
+               CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS revenue
         FROM fact_transactions WHERE user_key <> -1 GROUP BY region
     )
     SELECT replace(region, 'Region_', 'R') AS region, orders, revenue FROM by_region ORDER BY revenue DESC, region
