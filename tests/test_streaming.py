@@ -81,6 +81,24 @@ def test_stream_equals_batch_for_any_split(spark, tmp_path, files, refresh_every
     assert spark.read.parquet(f"{root}/quarantine").count() >= 4
 
 
+def test_few_new_rows_meet_only_their_own_keys(spark, tmp_path, monkeypatch):
+    """Both ways of folding a batch into a larger table give the same table."""
+    def rows_of(batch, n, price):
+        return spark.range(n).selectExpr(
+            "concat('P', id) as product_id", "'x' as product_name", "'c' as category",
+            f"cast({price} as string) as price", f"{batch} as batch")
+
+    results = []
+    for factor in (0, 10**9):
+        monkeypatch.setattr(ingest, "KEYED_FOLD_FACTOR", factor)
+        root = str(tmp_path / str(factor))
+        ingest.fold(spark, root, "products", rows_of(0, 500, 5), AS_OF)
+        ingest.fold(spark, root, "products", rows_of(1, 7, 9).unionByName(rows_of(1, 3, 0)), AS_OF)
+        results.append(rows(lakehouse.read_silver(spark, root)["products"]))
+    assert results[0] == results[1]
+    assert len(results[0]) == 500 and sum(r[3] == 9.0 for r in results[0]) == 7
+
+
 def test_restart_continues_and_replayed_batches_change_nothing(spark, tmp_path):
     landing, root, cp = tmp_path / "landing", str(tmp_path / "lake"), str(tmp_path / "cp")
     landing.mkdir()

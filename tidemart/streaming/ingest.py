@@ -24,6 +24,10 @@ from tidemart.sources.raw import LINEAGE
 from tidemart.streaming import events as ev
 
 
+KEYED_FOLD_ROWS = 1_000_000  # at most this many new keys are broadcast
+KEYED_FOLD_FACTOR = 10  # and only when the table has this many times the rows
+
+
 def _batch_name(batch_id: int) -> str:
     return f"batch={batch_id:012d}"
 
@@ -54,8 +58,9 @@ def fold(spark: SparkSession, root: str, entity: str, rows: DataFrame,
     """Merge raw rows, which carry their batch number, into a silver table.
 
     The result is the same as cleaning all rows ever seen at once; of two versions of a key the one
-    of the later batch stays. Only stored rows whose key is among the new ones are compared; the others
-    pass by the list of new keys, which is broadcast while it is small, and are not shuffled.
+    of the later batch stays. New rows that are few, in number and beside the stored ones, only meet the
+    stored rows of their keys: the list of keys, counted first, is broadcast and the rest of the table is
+    copied without a shuffle. Otherwise old and new rows are compared in one shuffle.
     """
     label = F.concat(F.lit(f"{entity}_stream_"), F.lpad(F.col("batch").cast("string"), 12, "0"))
     new = valid_rows(entity, typed(entity, rows.withColumn(LINEAGE, label), as_of))
@@ -65,8 +70,11 @@ def fold(spark: SparkSession, root: str, entity: str, rows: DataFrame,
         return tables.publish(unique_rows(entity, new), silver, entity)
     if LINEAGE not in have.columns:
         have = have.withColumn(LINEAGE, F.lit(None).cast("string"))
+    n_new = new.count()
+    if n_new > KEYED_FOLD_ROWS or n_new * KEYED_FOLD_FACTOR > have.count():
+        return tables.publish(unique_rows(entity, new.unionByName(have)), silver, entity)
     keys = RULES[entity].keys
-    touched = new.select(*keys).distinct()
+    touched = F.broadcast(new.select(*keys).distinct())
     compared = unique_rows(entity, new.unionByName(have.join(touched, keys, "left_semi")))
     return tables.publish(compared.unionByName(have.join(touched, keys, "left_anti")), silver, entity)
 
