@@ -2,8 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from oracle_queries import ORACLE
 from tests.compare import connect, difference
+from tidemart.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,12 +14,12 @@ def con(sf):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(name, spark, sf, con):
-    assert difference(queries()[name](spark, sf), con, oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, sf), con, ORACLE[name]) is None
 
 
 def test_entry(spark):
