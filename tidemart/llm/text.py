@@ -26,9 +26,9 @@ def _word_bytes(separators: list[tuple[int, int]]) -> np.ndarray:
     return table
 
 
-#: Words are runs of these bytes: everything but blanks; letters, digits and all beyond ASCII.
+#: Words are runs of these bytes: everything but blanks; ASCII letters and digits, and all beyond ASCII.
 NOT_BLANK = _word_bytes([(0x20, 0x20), (0x09, 0x0D)])
-ALPHANUMERIC = _word_bytes([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
+ALPHANUMERIC = _word_bytes([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
