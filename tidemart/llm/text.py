@@ -133,3 +133,13 @@ def runs(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def count_words(column: pa.Array, word_byte: np.ndarray) -> np.ndarray:
+    """Words of each text."""
+    data, bounds = utf8(column)
+    out = np.zeros(len(column), np.int64)
+    for first, piece, cuts in pieces(data, bounds):
+        _, _, owner = words(piece, cuts, word_byte)
+        out[first:first + len(cuts) - 1] = np.bincount(owner, minlength=len(cuts) - 1)
+    return out
