@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemart.llm import mixing, quality, shards, topk, toxicity, urls, warc, winnow
+from tidemart.llm import lines, mixing, quality, shards, topk, toxicity, urls, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,3 +159,24 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)
 @query
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicate(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.to_json("removed").alias("removed"), "text")
+
+
+ORACLE["op5_lines"] = r"""
+WITH d AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents),
+o AS (SELECT *, octet_length(encode(line)) AS n,
+  coalesce(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+  regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM d),
+r AS (SELECT *, len(ws) >= 20 AND row_number() OVER (PARTITION BY len(ws) >= 20, array_to_string(ws, ' ') ORDER BY doc_id, start) > 1 AS gone FROM o)
+SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+  '[' || coalesce(string_agg('{"start":' || CAST(start AS BIGINT) || ',"end":' || CAST(start + n AS BIGINT) || '}', ',' ORDER BY i) FILTER (gone), '') || ']' AS removed,
+  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') ||
+    CASE WHEN max(i) FILTER (gone) = max(i) AND count(*) FILTER (NOT gone) > 0 THEN chr(10) ELSE '' END AS text
+FROM r GROUP BY doc_id
+"""

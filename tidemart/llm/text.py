@@ -78,7 +78,7 @@ def words(data: np.ndarray, bounds: np.ndarray, word_byte: np.ndarray) -> tuple[
     return starts, ends, np.searchsorted(bounds, starts, "right") - 1
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
@@ -91,7 +91,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each word with A-Z lower-cased; equal words have equal hashes wherever they stand."""
     if not _tables:
         size = _SEGMENT + _LONG_WORD + 1
-        _tables["up"], _tables["down"] = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
+        _tables["up"], _tables["down"] = powers(_BASE, size), powers(pow(_BASE, -1, 1 << 64), size)
         _tables["byte"] = mix(LOWER.astype(np.uint64) + np.uint64(1))
     up, down, value = _tables["up"], _tables["down"], _tables["byte"]
     out = np.zeros(len(starts), np.uint64)
