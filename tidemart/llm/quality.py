@@ -251,3 +251,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), "text")
     return rows_in.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = 0.7, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs``, unchanged, that ``score_quality`` predicts to be good. Nothing is shuffled."""
+    kept = ~held_out(F.col("doc_id"), folds, fold)
+    model = train(docs.select("doc_id", "text").filter(kept), labels.select("doc_id", "quality"), kept, rows)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(measure(batch.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ GRAM = 6  # words of a fingerprinted gram; a window of WINDOW - GRAM + 1 grams k
 FILTER_BITS = 25  # size of the filter that documents' fingerprints pass before the join, as a power of two
 
 ITEMS = "fp long, at int, item_id string, words binary"
-BASE = "doc_id long, n_words long, fps array<long>, ats array<int>, words binary, key binary"
+BASE = "doc_id long, mark long, n_words long, fps array<long>, ats array<int>, words binary, key binary"
 
 
 def winnow(hashes: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
@@ -76,7 +76,7 @@ def _mark_documents(docs: DataFrame, allowed: np.ndarray, short: list[int], wind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, cuts in pieces(*utf8(batch.column(1))):
+            for first, data, cuts in pieces(*utf8(batch.column(2))):
                 n = len(cuts) - 1
                 starts, ends, owner = words(data, cuts, ALPHANUMERIC)
                 hashes = word_hashes(data, starts, ends)
@@ -97,12 +97,13 @@ def _mark_documents(docs: DataFrame, allowed: np.ndarray, short: list[int], wind
                 lists = pa.array(cut, pa.int32())
                 text = owner[at] if len(at) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column(0).slice(first, n), "n_words": np.diff(begin),
+                    "doc_id": batch.column(0).slice(first, n), "mark": batch.column(1).slice(first, n), "n_words": np.diff(begin),
                     "fps": pa.ListArray.from_arrays(lists, pa.array(signed(fps))),
                     "ats": pa.ListArray.from_arrays(lists, pa.array((at - begin[text]).astype(np.int32))),
                     "words": pa.array(some, pa.binary()), "key": pa.array(keys, pa.binary())})
 
-    return settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BASE), "winnow-documents")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    return settle(keyed.mapInArrow(run, BASE), "winnow-documents")
 
 
 def _extend(window: int):
@@ -135,7 +136,7 @@ def _extend(window: int):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_hit and items (ids as text, sorted) of every row of ``docs``.
+    """doc_id, mark (hash of the text), n_words, n_hit and items (ids as text, sorted) of every row of ``docs``.
 
     A document word is hit if it lies in an occurrence of ``window`` consecutive words of an item, or of a whole item
     that is shorter. Winnowing keeps the least hash of every window of grams on both sides, so a shared span of
@@ -166,8 +167,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     extended = settle(
         texts.join(hits, "key").select("key", "words", "items")
         .mapInArrow(_extend(window), "key binary, n_hit long, items array<string>"), "winnow-hits")
-    clean = base.filter("key is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    rest = marked.select("doc_id", "n_words", "key").join(extended, "key", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+    clean = base.filter("key is null").select(
+        "doc_id", "mark", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    rest = marked.select("doc_id", "mark", "n_words", "key").join(extended, "key", "left").select(
+        "doc_id", "mark", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return clean.unionByName(rest)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows of ``docs``, unchanged, that share no window with the benchmark."""
+    hit = contamination(docs, benchmark, window, gram).filter("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    same = (F.xxhash64("text") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return docs.join(hit, same, "left_anti")
