@@ -8,6 +8,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemart.operators.keys import dense_key
+from tidemart.session import settle
 
 PRIME = (1 << 31) - 1  # products of two residues stay below 2^62
 ROUNDS = 6
@@ -23,8 +24,6 @@ def image(x: Column, a: int, b: int, seed: int) -> Column:
     keys = F.array(*[
         F.struct(*[F.lit(v).cast("long").alias(k) for k, v in zip("pqs", key)], F.lit(i % 2 == 1).alias("odd"))
         for i, key in enumerate(round_keys(seed))])
-    halves = F.struct(((x - x % b) / b).cast("long").alias("l"), (x % b).cast("long").alias("r"))
-
     def turn(state: Column, key: Column) -> Column:
         v = F.when(key["odd"], state["l"]).otherwise(state["r"])
         t = (v * key["p"] + key["q"]) % PRIME
@@ -33,7 +32,12 @@ def image(x: Column, a: int, b: int, seed: int) -> Column:
             F.when(key["odd"], state["l"]).otherwise((state["l"] + noise % a) % a).alias("l"),
             F.when(key["odd"], (state["r"] + noise % b) % b).otherwise(state["r"]).alias("r"))
 
-    return F.aggregate(keys, halves, turn, lambda s: s["l"] * b + s["r"])
+    def network(v: Column) -> Column:
+        halves = F.struct(((v - v % b) / b).cast("long").alias("l"), (v % b).cast("long").alias("r"))
+        return F.aggregate(keys, halves, turn, lambda s: s["l"] * b + s["r"])
+
+    # x stands in the expression once, so that images of images do not multiply
+    return F.get(F.transform(F.array(x), network), 0)
 
 
 def grid(n: int) -> tuple[int, int]:
@@ -44,12 +48,16 @@ def grid(n: int) -> tuple[int, int]:
 def walk_length(spark: SparkSession, n: int, a: int, b: int, seed: int) -> int:
     """Steps after which every walk that starts below ``n`` is below ``n`` again.
 
-    Only the points n .. a*b-1, fewer than the square root of n, prolong a walk; they are followed
-    until all have come back, so the number is exact and not a guess.
+    Only the points n .. a*b-1, fewer than the square root of n, prolong a walk. They are followed until those left are
+    no fewer than before: every path that ends below n gets shorter by one point a step, so these go round in circles
+    that no walk enters. The number is exact and not a guess.
     """
-    steps, left = 1, spark.range(n, a * b)
-    while a * b > n and not left.isEmpty():
-        left = left.select(image(F.col("id"), a, b, seed).alias("id")).filter(F.col("id") >= n)
+    steps, left, count = 1, spark.range(n, a * b), a * b - n
+    while count:
+        left = settle(left.select(image(F.col("id"), a, b, seed).alias("id")).filter(F.col("id") >= n), "shard-walks")
+        before, count = count, left.count()
+        if count == before:
+            break
         steps += 1
     return steps
 
