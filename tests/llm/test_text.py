@@ -1,0 +1,61 @@
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from tidemart.llm import text as t
+
+TEXTS = [None, "", "  ", "one", "One  two\tone", "é ü\nÀé", "x" * 200_000 + " end", "a\x0bb\x1cc", "…", "ONE one\r\nOne"]
+
+
+def lower(s):
+    return re.sub("[A-Z]", lambda m: m.group().lower(), s)
+
+
+def words_of(column, table):
+    out = []
+    for _, data, cuts in t.pieces(*t.utf8(column)):
+        starts, ends, owner = t.words(data, cuts, table)
+        got = [[] for _ in range(len(cuts) - 1)]
+        for s, e, o in zip(starts, ends, owner):
+            got[o].append(data[s:e].tobytes().decode("utf-8"))
+        out += got
+    return out
+
+
+@pytest.mark.parametrize("table, pattern", [(t.NOT_BLANK, r"[^\x20\x09-\x0D]+"), (t.ALPHANUMERIC, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")])
+def test_words_are_those_of_the_pattern(table, pattern):
+    got = words_of(pa.array(TEXTS), table)
+    assert [[lower(w) for w in ws] for ws in got] == [re.findall(pattern, lower(x or "")) for x in TEXTS]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(max_size=30), max_size=8), st.integers(0, 3))
+def test_words_of_sliced_columns(texts, skip):
+    column = pa.array(texts, pa.string()).slice(min(skip, len(texts)))
+    assert words_of(column, t.NOT_BLANK) == [re.findall(r"[^\x20\x09-\x0D]+", x) for x in column.to_pylist()]
+
+
+def test_hashes_depend_on_the_word_alone(monkeypatch):
+    monkeypatch.setattr(t, "PIECE", 64)
+    column = pa.array([f"{'pad ' * i}Same same other" for i in range(50)] + ["y" * 70_000 + " " + "Y" * 70_000])
+    seen = {}
+    for _, data, cuts in t.pieces(*t.utf8(column)):
+        starts, ends, _ = t.words(data, cuts, t.NOT_BLANK)
+        for s, e, h in zip(starts, ends, t.word_hashes(data, starts, ends)):
+            seen.setdefault(lower(data[s:e].tobytes().decode()), set()).add(int(h))
+    assert all(len(v) == 1 for v in seen.values())
+    assert len({next(iter(v)) for v in seen.values()}) == len(seen) == 4
+
+
+def test_runs_do_not_cross_texts():
+    hashes, owner = np.arange(7, dtype=np.uint64), np.array([0, 0, 0, 1, 2, 2, 2])
+    assert t.runs(hashes, owner, 3)[1].tolist() == [0, 4]
+    assert t.runs(hashes[:2], owner[:2], 3)[1].tolist() == []
+    assert t.runs(hashes[:2], owner[:2], 2)[0] != t.runs(hashes[:3], owner[:3], 3)[0]
+
+
+def test_counts():
+    assert t.count_words(pa.array(TEXTS), t.NOT_BLANK).tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", x or "")) for x in TEXTS]
