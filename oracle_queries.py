@@ -5,7 +5,7 @@ from __future__ import annotations
 from tidemart.fixed_values import CONCEPT_COLUMNS
 from tidemart.plans.registry import AS_OF, CATEGORY, CITY
 
-MONEY = "CAST(sum(CAST({0} AS DECIMAL(18,2))) AS DOUBLE)"
+MONEY = "CAST(sum(CAST({0} AS DECIMAL(34,9))) AS DOUBLE)"
 
 
 def money(column: str) -> str:
@@ -250,8 +250,8 @@ CENTROIDS = """c AS (SELECT label, list(m ORDER BY i) AS v FROM (
       SELECT label, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
     GROUP BY label, i) GROUP BY label),
   e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
-COSINE = half_up("list_cosine_similarity(c.v, e.v)", 6)
-L2 = half_up("-(list_distance(c.v, e.v) * list_distance(c.v, e.v))", 6)
+COSINE = "list_cosine_similarity(c.v, e.v)"
+L2 = "-(list_distance(c.v, e.v) * list_distance(c.v, e.v))"
 CONCEPTS = ", ".join(f"({i}, '{n}', '{cols[0]}')" for i, (n, cols) in enumerate(CONCEPT_COLUMNS.items()))
 
 # -- events ---------------------------------------------------------------------------------------
@@ -333,8 +333,6 @@ ORACLE: dict[str, str] = {
     "fact_transactions": all_of("ft"),
     "fact_inventory": all_of("fi"),
     "fact_shipments": all_of("fs"),
-    "inventory_grid": over("""SELECT dp.product_id, ds.store_id, stock_level, stock_status FROM dp JOIN ds ON TRUE
-        LEFT JOIN inv ON inv.product_id = dp.product_id AND inv.store_id = ds.store_id""", "dp", "ds", "inv"),
     "medallion_status": over(f"""SELECT layer, "table", rows, 'built' AS status FROM (
         SELECT 'silver' AS layer, 'transactions' AS "table", count(*) AS rows FROM t
         UNION ALL SELECT 'silver', 'users', count(*) FROM ({USERS})
@@ -373,7 +371,7 @@ ORACLE: dict[str, str] = {
           THEN 'amount is not positive' END AS reason FROM lineitem) WHERE reason IS NOT NULL GROUP BY reason
         UNION ALL SELECT 'inventory', 'stock is negative', count(*) FROM inv WHERE stock_level - 20 < 0""", "inv"),
     "column_profile": over(PROFILE, "ship"),
-    "clv_headline": over("""SELECT CAST(sum(CAST(estimated_clv AS DECIMAL(18,2))) AS DOUBLE) / count(estimated_clv) AS avg_clv,
+    "clv_headline": over("""SELECT CAST(sum(CAST(estimated_clv AS DECIMAL(34,9))) AS DOUBLE) / count(estimated_clv) AS avg_clv,
         max(estimated_clv) AS max_clv, count(*) AS customers FROM clv""", "clv"),
     "top_customers": over("SELECT * FROM clv ORDER BY estimated_clv DESC, user_id LIMIT 10", "clv"),
     "top_pairs": over("SELECT * FROM basket ORDER BY times_bought_together DESC, product_a, product_b LIMIT 15", "basket"),
@@ -431,16 +429,16 @@ ORACLE: dict[str, str] = {
     "guarded_sql": over(f"""SELECT replace(region, 'Region_', 'R') AS region, orders, revenue FROM (
         SELECT region, count(DISTINCT transaction_id) AS orders, {money('amount')} AS revenue FROM ft
         WHERE user_key <> -1 GROUP BY region) ORDER BY revenue DESC, region LIMIT 100""", "ft"),
-    "cosine_topk": f"""WITH {CENTROIDS} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (
+    "cosine_topk": f"""WITH {CENTROIDS} SELECT query_id, id, {half_up('score', 6)} AS score, CAST(rank AS INTEGER) AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
           SELECT CAST(c.label AS BIGINT) AS query_id, vec_id AS id, {COSINE} AS score FROM c JOIN e ON TRUE))
         WHERE rank <= 3""",
-    "l2_topk_filtered": f"""WITH {CENTROIDS} SELECT query_id, id, -score AS distance, CAST(rank AS INTEGER) AS rank FROM (
+    "l2_topk_filtered": f"""WITH {CENTROIDS} SELECT query_id, id, -({half_up('score', 6)}) AS distance, CAST(rank AS INTEGER) AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
           SELECT CAST(c.label AS BIGINT) AS query_id, vec_id AS id, {L2} AS score FROM c JOIN e ON c.label = e.label))
         WHERE rank <= 3""",
     "concept_match": f"""WITH {CENTROIDS}, k AS (SELECT * FROM (VALUES {CONCEPTS}) v(label, concept, column_name))
-        SELECT id, concept, column_name, score FROM (
+        SELECT id, concept, column_name, {half_up('score', 6)} AS score FROM (
           SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, concept) AS rank FROM (
             SELECT vec_id AS id, concept, column_name, {COSINE} AS score FROM k JOIN c USING (label) JOIN e ON TRUE))
         WHERE rank = 1 AND score > 0.3""",
@@ -458,8 +456,9 @@ ORACLE: dict[str, str] = {
     "stream_batch_counts": KINDS.replace("count(*) AS events", "CAST(count(*) AS BIGINT) AS events"),
     "stream_equals_batch": f"""SELECT transaction_id, user_id, product_id, ts AS "timestamp", amount, store_id
         FROM ({ORDER_LINES}) WHERE amount > 0""",
-    "stream_inventory": f"""SELECT store AS store_id, count(DISTINCT k) AS products FROM ({EVENTS})
-        WHERE event_type = 'click' AND k < 50 GROUP BY 1""",
+    "stream_inventory": f"""SELECT store AS store_id, 'P' || k AS product_id, arg_max(k, event_id) AS stock_level,
+        arg_max(CAST(ts AS DATE), event_id) AS last_restock_date FROM ({EVENTS})
+        WHERE event_type = 'click' AND k < 50 GROUP BY store, k""",
     "stream_summary": f"""SELECT {money('amount')} AS total_revenue,
         (SELECT count(DISTINCT x.user_id) FROM ({ORDER_LINES}) x
          JOIN (SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id FROM events WHERE event_type = 'signup') u

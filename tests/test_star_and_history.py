@@ -88,19 +88,6 @@ def test_facts_never_fan_out_and_amounts_survive(spark, sf):
         assert (lo, hi, distinct) == (1, n, n)
 
 
-def test_inventory_grid_holds_every_pair_once(spark):
-    products = spark.range(3).select(F.format_string("P%d", "id").alias("product_id"))
-    stores = spark.range(1500).select(
-        (F.col("id") + 1).cast("int").alias("store_key"), F.format_string("S%d", "id").alias("store_id"))
-    inventory = spark.createDataFrame([("P1", "S7", 4, "low_stock")],
-                                      "product_id string, store_id string, stock_level int, stock_status string")
-    grid = star.inventory_grid(products, stores, inventory)
-    assert grid.count() == 4500 and grid.distinct().count() == 4500
-    assert rows(grid.filter("stock_level is not null")) == [("P1", "S7", 4, "low_stock")]
-    assert "Cartesian" not in _plan(grid) and "NestedLoop" not in _plan(grid)
-    assert star.inventory_grid(products, stores.filter("false"), inventory).count() == 0
-
-
 # -- history ------------------------------------------------------------------------------------
 
 def _settled(spark, df, root):
@@ -190,7 +177,7 @@ def test_large_facts_are_laid_out_by_month(spark, sf, tmp_path):
     from tidemart.plans import bindings
 
     raw_tables = {"transactions": bindings.transactions(spark, sf)}
-    lakehouse.build_lakehouse(spark, raw_tables, str(tmp_path), "2002-01-01", layout_bytes=0)
+    lakehouse.build_lakehouse(spark, raw_tables, str(tmp_path), "2002-01-01")
     fact = lakehouse.read_gold(spark, str(tmp_path))["fact_transactions"]
     pruned = fact.filter("month_key = 199601")
     assert "PartitionFilters: [isnotnull(month_key" in _plan(pruned)

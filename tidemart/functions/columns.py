@@ -6,16 +6,30 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemart.fixed_values import TIMESTAMP_FORMATS
 
-MONEY = T.DecimalType(18, 2)
+MONEY = T.DecimalType(34, 9)
+HUGE = 1e18  # amounts from here on are summed as doubles, where a billionth is below their resolution by far
 
 
 def money(amount: Column) -> Column:
-    """Exact cents, so that a sum does not depend on the order in which tasks finish."""
-    return amount.cast(MONEY)
+    """Amounts below ``HUGE`` to a billionth, so that a sum does not depend on the order in which tasks finish."""
+    return F.when(F.abs(amount) < HUGE, amount).cast(MONEY)
+
+
+def money_parts(amount: Column, name: str = "_money") -> list[Column]:
+    """Aggregates that ``money_total`` can sum up further: an exact sum, and the sum of what is beyond it."""
+    return [F.sum(money(amount)).alias(name), F.sum(F.when(F.abs(amount) >= HUGE, amount)).alias(f"{name}_huge")]
+
+
+def money_total(name: str = "_money") -> Column:
+    """The sum over all ``money_parts``; null when nothing was summed."""
+    exact, huge = F.sum(name).cast("double"), F.sum(f"{name}_huge")
+    return F.coalesce(exact + huge, exact, huge)
 
 
 def money_sum(amount: Column) -> Column:
-    return F.sum(money(amount)).cast("double")
+    """The sum of all amounts, of any size; null when there are none."""
+    exact, huge = F.sum(money(amount)).cast("double"), F.sum(F.when(F.abs(amount) >= HUGE, amount))
+    return F.coalesce(exact + huge, exact, huge)
 
 
 def money_avg(amount: Column) -> Column:

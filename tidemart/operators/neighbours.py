@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemart.fixed_values import CONCEPT_THRESHOLD
-from tidemart.operators.keys import dense_key
+from tidemart.functions.columns import round_half_up
 
 BLOCK_BYTES = 32 << 20  # vectors of one block of queries, as doubles
 CELLS = 1 << 22  # scores a task holds at a time
+SLACK = 1e-9  # what matrix products may be off, relative to the size of the terms; the exact scores decide
 _HIT = "query_id bigint, id bigint, score double"
 
 
@@ -24,34 +25,46 @@ def _matrix(vectors) -> np.ndarray:
     return np.array([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
-def _scores(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
-    """queries x corpus; for both metrics a higher score is nearer."""
+def _quick(queries: np.ndarray, corpus: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """queries x corpus by matrix products, a higher score being nearer, and how far each may be off."""
     dots = queries @ corpus.T
     if metric == "cosine":
         norms = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(corpus, axis=1)[None, :]
-        return np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+        return np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0), np.full_like(dots, SLACK)
     squares = (queries**2).sum(1)[:, None] + (corpus**2).sum(1)[None, :]
-    return -np.maximum(squares - 2 * dots, 0.0)
+    return 2 * dots - squares, SLACK * squares
 
 
-def _round(scores: np.ndarray, digits: int) -> np.ndarray:
-    scale = 10.0**digits
-    return np.floor(scores * scale + 0.5) / scale
+def _exact(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of pairs, row by row: differences are taken before they are squared, and equal pairs score alike."""
+    if metric == "cosine":
+        norms = np.sqrt((queries**2).sum(1)) * np.sqrt((corpus**2).sum(1))
+        dots = (queries * corpus).sum(1)
+        return np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+    return -((queries - corpus) ** 2).sum(1)
 
 
-def _best(qids, qvec, qcat, ids, vecs, cats, k, metric, digits) -> pd.DataFrame:
-    """The k best corpus rows of this batch for each query; ties by id."""
+def _best(qids, qvec, qcat, ids, vecs, cats, k, metric) -> pd.DataFrame:
+    """The k best corpus rows of this batch for each query; ties by id. With categories, each is scored by itself."""
+    if qcat is not None:
+        found = []
+        for category in np.intersect1d(qcat, cats):
+            q, c = qcat == category, cats == category
+            found.append(_best(qids[q], qvec[q], None, ids[c], vecs[c], None, k, metric))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
     found = []
     step = max(1, CELLS // max(1, len(qids)))
     for at in range(0, len(ids), step):
         part = slice(at, at + step)
-        scores = _round(_scores(qvec, vecs[part], metric), digits)
-        if qcat is not None:
-            scores[qcat[:, None] != cats[part][None, :]] = -np.inf
+        scores, off = _quick(qvec, vecs[part], metric)
         width = scores.shape[1]
-        least = np.partition(scores, width - k, axis=1)[:, width - k] if width > k else np.full(len(qids), -np.inf)
-        q, c = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))  # k per query, and their ties
-        found.append(pd.DataFrame({"query_id": qids[q], "id": ids[part][c], "score": scores[q, c]}))
+        sure = scores - off
+        least = np.partition(sure, width - k, axis=1)[:, width - k] if width > k else np.full(len(qids), -np.inf)
+        q, c = np.nonzero(scores + off >= least[:, None])  # k per query, and all that may be as good
+        for first in range(0, len(q), CELLS // max(1, qvec.shape[1]) + 1):
+            some = slice(first, first + CELLS // max(1, qvec.shape[1]) + 1)
+            found.append(pd.DataFrame({
+                "query_id": qids[q[some]], "id": ids[part][c[some]], "score": _exact(qvec[q[some]], vecs[part][c[some]], metric)}))
     hits = pd.concat(found).sort_values(["query_id", "score", "id"], ascending=[True, False, True])
     return hits.groupby("query_id", sort=False).head(k)
 
@@ -60,11 +73,6 @@ def _rows_per_block(width: int | None) -> int:
     return max(1, BLOCK_BYTES // (8 * max(1, width or 1)))
 
 
-def _keep_best(hits: DataFrame, k: int) -> DataFrame:
-    spec = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return hits.withColumn("rank", F.row_number().over(spec)).filter(F.col("rank") <= k)
-
-
 def top_k(
     queries: DataFrame,
     corpus: DataFrame,
@@ -77,56 +85,43 @@ def top_k(
     """(query_id, id, score, rank) of the ``k`` nearest corpus vectors of each query.
 
     ``queries`` is (query_id, vector[, category]), ``corpus`` is (id, vector[, category]). ``metric`` is
-    `cosine` (0 when a vector has no length) or `l2`, whose score is minus the squared distance.
+    `cosine` (0 when a vector has no length) or `l2`, whose score is minus the squared distance. Ranks follow the
+    scores as they are; only the score that is returned is rounded to ``digits``.
     ``same_category`` keeps only corpus rows of the query's category.
 
-    Up to ``block_rows`` queries (by default what fits ``BLOCK_BYTES``) travel to every task. Beyond that
-    both sides are cut into blocks of about that size, and every pair of blocks is one group.
+    Queries travel to the corpus in blocks of ``block_rows`` (by default what fits ``BLOCK_BYTES``), so the corpus is
+    read once per block and never shuffled.
     """
     spark = corpus.sparkSession
     more = ["category"] if same_category else []
     n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    block_rows = block_rows or _rows_per_block(width)
-    if n <= block_rows:
-        rows = queries.select("query_id", "vector", *more).orderBy("query_id").collect()
+    blocks = max(1, -(-n // (block_rows or _rows_per_block(width))))
+    hits = spark.createDataFrame([], _HIT)
+    for block in range(blocks):
+        own = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block
+        rows = queries.filter(own).select("query_id", "vector", *more).orderBy("query_id").collect()
+        if not rows:
+            continue
         shared = spark.sparkContext.broadcast((
             np.array([r.query_id for r in rows], dtype=np.int64),
             _matrix([r.vector for r in rows]),
             np.array([r.category for r in rows]) if same_category else None,
         ))
+        hits = hits.unionByName(corpus.select("id", "vector", *more).mapInPandas(_scorer(shared, same_category, k, metric), _HIT))
+    spec = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = hits.withColumn("rank", F.row_number().over(spec)).filter(F.col("rank") <= k)
+    return best.withColumn("score", round_half_up(F.col("score"), digits))
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qids, qvec, qcat = shared.value
-            for batch in batches:
-                if len(qids) and len(batch):
-                    cats = batch["category"].to_numpy() if same_category else None
-                    yield _best(qids, qvec, qcat, batch["id"].to_numpy(), _matrix(batch["vector"]), cats,
-                                k, metric, digits)
-
-        return _keep_best(corpus.select("id", "vector", *more).mapInPandas(score, _HIT), k)
-
-    # hashed ids spread evenly, so a block of either side holds about block_rows rows
-    q_blocks = -(-n // block_rows)
-    c_blocks = max(1, -(-corpus.count() // block_rows))
-
-    def own(key: str, count: int):
-        return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
-
-    def every(count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    left = queries.select("query_id", "vector", *more, own("query_id", q_blocks).alias("q"), every(c_blocks).alias("c"))
-    right = corpus.select("id", "vector", *more, every(q_blocks).alias("q"), own("id", c_blocks).alias("c"))
 
-    def score_blocks(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        cats = [x["category"].to_numpy() if same_category else None for x in (a, b)]
-        return _best(a["query_id"].to_numpy(), _matrix(a["vector"]), cats[0],
-                     b["id"].to_numpy(), _matrix(b["vector"]), cats[1], k, metric, digits)
+def _scorer(shared, same_category: bool, k: int, metric: str):
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, qvec, qcat = shared.value
+        for batch in batches:
+            if len(batch):
+                cats = batch["category"].to_numpy() if same_category else None
+                yield _best(qids, qvec, qcat, batch["id"].to_numpy(), _matrix(batch["vector"]), cats, k, metric)
 
-    hits = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(score_blocks, _HIT)
-    return _keep_best(hits, k)
+    return score
 
 
 def nearest_concept(
@@ -135,43 +130,43 @@ def nearest_concept(
     """Each vector's best concept where the cosine is above ``threshold``, with the concept's column.
 
     ``vectors`` is (id, vector); ``concepts`` is (concept, vector), ``columns`` is (concept, column_name).
-    A list of concepts up to ``BLOCK_BYTES`` travels to every task and no vector is shuffled; a longer one
-    goes through ``top_k``.
+    Concepts travel to the vectors in blocks of ``BLOCK_BYTES``; each vector keeps its best one, ties by name.
     """
     n, width = concepts.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    if n > _rows_per_block(width):
-        numbered = dense_key(concepts, ["concept"], "id", kind="bigint")
-        nearest = top_k(vectors.withColumnRenamed("id", "query_id"), numbered, 1, "cosine", digits=digits)
-        hits = nearest.join(numbered.select("id", "concept"), "id").select(
-            F.col("query_id").alias("id"), "concept", "score")
-        return _above(hits, columns, threshold)
-    known = concepts.orderBy("concept").collect()
-    names = np.array([r.concept for r in known], dtype=object)
-    shared = vectors.sparkSession.sparkContext.broadcast((names, _matrix([r.vector for r in known])))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    blocks = max(1, -(-n // _rows_per_block(width)))
+    spark = vectors.sparkSession
+    hits = spark.createDataFrame([], "id bigint, concept string, score double")
+    for block in range(blocks):
+        known = concepts.filter(F.pmod(F.xxhash64("concept"), F.lit(blocks)) == block).orderBy("concept").collect()
+        if not known:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r.concept for r in known], dtype=object), _matrix([r.vector for r in known])))
+        hits = hits.unionByName(vectors.select("id", "vector").mapInPandas(_namer(shared), "id bigint, concept string, score double"))
+    best = hits.groupBy("id").agg(F.min_by(F.struct("concept", "score"), F.struct(-F.col("score"), F.col("concept"))).alias("best"))
+    return (
+        best.select("id", "best.concept", "best.score").filter(F.col("score") > threshold).join(columns, "concept")
+        .select("id", "concept", "column_name", round_half_up(F.col("score"), digits).alias("score"))
+    )
+
+
+def _namer(shared):
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labels, matrix = shared.value
+        numbers = np.arange(len(labels))
         for batch in batches:
-            if len(labels) and len(batch):
-                scores = _round(_scores(_matrix(batch["vector"]), matrix, "cosine"), digits)
-                at = scores.argmax(axis=1)
-                yield pd.DataFrame({
-                    "id": batch["id"], "concept": labels[at], "score": scores[np.arange(len(at)), at]})
-
-    hits = vectors.select("id", "vector").mapInPandas(best, "id bigint, concept string, score double")
-    return _above(hits, columns, threshold)
-
+            if len(batch):
+                rows = np.arange(len(batch))
+                hits = _best(rows, _matrix(batch["vector"]), None, numbers, matrix, None, 1, "cosine")
+                yield pd.DataFrame({"id": batch["id"].to_numpy()[hits["query_id"].to_numpy(np.int64)],
+                                    "concept": labels[hits["id"].to_numpy(np.int64)], "score": hits["score"].to_numpy()})
 
-def _above(hits: DataFrame, columns: DataFrame, threshold: float) -> DataFrame:
-    return hits.filter(F.col("score") > threshold).join(columns, "concept").select(
-        "id", "concept", "column_name", "score")
+    return name
 
 
 def centroids(vectors: DataFrame, group: str, digits: int = 6) -> DataFrame:
     """(group, vector): the mean vector of each group, averaged per dimension before anything is gathered."""
     cells = vectors.select(group, F.posexplode("vector").alias("i", "x"))
     means = cells.groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    scale = 10.0**digits
-    rounded = F.floor(F.col("m") * scale + 0.5).cast("double") / scale
+    rounded = round_half_up(F.col("m"), digits)
     ordered = F.sort_array(F.collect_list(F.struct("i", rounded.alias("x"))))
     return means.groupBy(group).agg(F.transform(ordered, lambda c: c["x"]).alias("vector"))

@@ -14,8 +14,6 @@ from tidemart.operators.keys import keep_one
 from tidemart.schemas import SILVER
 from tidemart.sources.raw import LINEAGE
 
-MAX_MONEY = 1e16  # what decimal(18,2) can hold
-
 
 @dataclass(frozen=True)
 class Rules:
@@ -37,14 +35,19 @@ def _present(name: str) -> tuple[str, Callable[[], Column]]:
     return f"{name} is null", lambda: F.col(name).isNotNull()
 
 
-def _sound_amount() -> Column:
-    return (F.col("amount") > 0) & (F.col("amount") < MAX_MONEY)
+def _positive(name: str) -> tuple[str, Callable[[], Column]]:
+    return f"{name} is not positive", lambda: F.col(name) > 0
+
+
+def _finite(name: str) -> tuple[str, Callable[[], Column]]:
+    """Neither infinite nor NaN, which would swallow every sum; null is left to the other rules."""
+    return f"{name} is not finite", lambda: F.coalesce(F.abs(F.col(name)) < float("inf"), F.lit(True))
 
 
 RULES: dict[str, Rules] = {
     "transactions": Rules(
         ["transaction_id", "product_id"],
-        [_present("transaction_id"), _present("product_id"), ("amount is not positive", _sound_amount)],
+        [_present("transaction_id"), _present("product_id"), _positive("amount"), _finite("amount")],
         lambda _: [F.col("timestamp").asc_nulls_last()],
     ),
     "users": Rules(
@@ -52,8 +55,7 @@ RULES: dict[str, Rules] = {
     ),
     "products": Rules(
         ["product_id"],
-        [_present("product_id"),
-         ("price is not positive", lambda: (F.col("price") > 0) & (F.col("price") < MAX_MONEY))],
+        [_present("product_id"), _positive("price"), _finite("price")],
         _latest(),
     ),
     "inventory": Rules(
@@ -65,7 +67,7 @@ RULES: dict[str, Rules] = {
         ["shipment_id"],
         [_present("shipment_id"),
          ("cost is negative", lambda: F.col("shipping_cost").isNull()
-          | ((F.col("shipping_cost") >= 0) & (F.col("shipping_cost") < MAX_MONEY)))],
+          | (F.col("shipping_cost") >= 0)), _finite("shipping_cost")],
         _latest(),
     ),
 }

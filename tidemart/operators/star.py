@@ -127,24 +127,3 @@ def fact_shipments(shipments: DataFrame, stores: DataFrame | None) -> DataFrame:
         "shipped_date", "delivered_date", "delivery_days", "carrier", "tracking_number", "status", "shipping_cost",
         delivery_category(F.col("status"), F.col("delivery_days")).alias("delivery_category"),
     )
-
-
-def inventory_grid(products: DataFrame, stores: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Every product in every store, with its stock where there is a record.
-
-    The grid itself is the result here (products x stores rows). Stores are gathered into short lists,
-    each product meets each list by list number, and the lists are then unfolded.
-    """
-    per_list = 1024
-    numbered = stores.select("store_id", F.floor((F.col("store_key") - 1) / per_list).cast("int").alias("_list"))
-    lists = numbered.groupBy("_list").agg(F.collect_list("store_id").alias("_stores"))
-    last = numbered.agg(F.max("_list")).first()[0]
-    if last is None:
-        lists, last = numbered.select("_list", F.array("store_id").alias("_stores")), 0
-    grid = (
-        products.select("product_id", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("_list"))
-        .join(lists, "_list")
-        .select("product_id", F.explode("_stores").alias("store_id"))
-    )
-    stock = inventory.select("product_id", "store_id", "stock_level", "stock_status")
-    return grid.join(stock, ["product_id", "store_id"], "left")

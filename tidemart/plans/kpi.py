@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemart.fixed_values import NEW_CUSTOMER_DAYS, UNKNOWN_KEY
-from tidemart.functions.columns import exact_avg, money, money_avg, money_sum
+from tidemart.functions.columns import exact_avg, money_avg, money_parts, money_sum, money_total
 from tidemart.operators import basket
 from tidemart.operators.keys import per_key
 from tidemart.schemas import EMPTY_KPIS
@@ -126,7 +126,7 @@ def product_sales(gold: Gold) -> DataFrame:
     """Lines and exact revenue by product key: what every product report starts from."""
     return gold["fact_transactions"].filter(_known("product_key")).groupBy("product_key").agg(
         F.count(F.lit(1)).alias("units_sold"),
-        F.sum(money(F.col("amount"))).alias("_cents"),
+        *money_parts(F.col("amount")),
         F.count("amount").alias("_lines"),
     )
 
@@ -137,7 +137,7 @@ def top_products(gold: Gold, limit: int = 10) -> DataFrame:
     if missing is not None:
         return missing
     product = ["product_name", "category", "price"]
-    revenue = F.sum("_cents").cast("double")
+    revenue = money_total()
     return (
         product_sales(gold).join(gold["dim_products"].select("product_key", *product), "product_key")
         .groupBy(*product).agg(
@@ -197,7 +197,7 @@ def delivery_metrics(gold: Gold) -> DataFrame:
             F.min("delivery_days").alias("_min"), F.max("delivery_days").alias("_max"),
             F.count(F.lit(1)).alias("_n"),
             F.count_if(category == "fast").alias("_fast"), F.count_if(category == "delayed").alias("_delayed"),
-            F.sum(money(F.col("shipping_cost"))).alias("_cost"), F.count("shipping_cost").alias("_priced"),
+            *money_parts(F.col("shipping_cost"), "_cost"), F.count("shipping_cost").alias("_priced"),
         )
     )
     stores = gold["dim_stores"].select("store_key", F.col("region").alias("origin_region"))
@@ -209,7 +209,7 @@ def delivery_metrics(gold: Gold) -> DataFrame:
             F.sum("_n").alias("shipment_count"),
             F.sum("_fast").alias("fast_deliveries"),
             F.sum("_delayed").alias("delayed_deliveries"),
-            F.try_divide(F.sum("_cost").cast("double"), F.sum("_priced")).alias("avg_shipping_cost"),
+            F.try_divide(money_total("_cost"), F.sum("_priced")).alias("avg_shipping_cost"),
         )
         .orderBy(F.asc_nulls_last("avg_delivery_days"), "carrier", "origin_region")
     )

@@ -13,15 +13,13 @@ from tidemart.operators import history, star
 from tidemart.operators.silver import clean
 from tidemart.schemas import SILVER
 from tidemart.session import scratch_scope
-from tidemart.sources import files, tables
+from tidemart.sources import tables
 from tidemart.sources.raw import read_delimited
 
 ENTITIES = list(SILVER)
-# Large facts lie in one folder per month, so that date ranges prune whole folders. Below this size a
-# month would be a tiny file, and `month_key` stays an ordinary column. (A folder per region and day
-# would be mostly single-row files at any size.)
+# Facts lie in one folder per month, so that date ranges prune whole folders. (A folder per region and day
+# would be mostly single-row files at any size.) ``by_month=False`` keeps `month_key` an ordinary column.
 FACT_LAYOUT = ["month_key"]
-FACT_LAYOUT_BYTES = 4 << 30
 STATUS = "layer string, table string, rows bigint, status string"
 
 
@@ -88,10 +86,9 @@ def _with_month(fact: DataFrame) -> DataFrame:
 
 
 def build_gold(
-    run: Run, root: str, as_of: date | datetime | str | None, layout_bytes: int = FACT_LAYOUT_BYTES
+    run: Run, root: str, as_of: date | datetime | str | None, by_month: bool = True
 ) -> None:
     spark, gold = run.spark, gold_root(root)
-    stored = tables.discover(spark, silver_root(root))
     silver = read_silver(spark, root)
 
     def users() -> str | None:
@@ -112,8 +109,7 @@ def build_gold(
         def write() -> str | None:
             if source not in silver:
                 return None
-            large = files.size(spark, stored[source]) >= layout_bytes
-            return tables.publish(_with_month(make(silver[source])), gold, table, FACT_LAYOUT if large else None)
+            return tables.publish(_with_month(make(silver[source])), gold, table, FACT_LAYOUT if by_month else None)
         return "gold", table, write
 
     def dim(name: str) -> DataFrame | None:
@@ -139,7 +135,7 @@ def build_lakehouse(
     raw: Mapping[str, DataFrame],
     root: str,
     as_of: date | datetime | str | None = None,
-    layout_bytes: int = FACT_LAYOUT_BYTES,
+    by_month: bool = True,
 ) -> DataFrame:
     """Clean the raw tables, fold users into their history, build the star schema under ``root``.
 
@@ -155,7 +151,7 @@ def build_lakehouse(
         return write
 
     run.together([("silver", entity, cleaned(entity)) for entity in ENTITIES])
-    build_gold(run, root, as_of, layout_bytes)
+    build_gold(run, root, as_of, by_month)
     return run.report()
 
 

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from tidemart.fixed_values import UNKNOWN_KEY
-from tidemart.functions.columns import money_sum
+from tidemart.functions.columns import money_sum, money_total
 from tidemart.plans import kpi
 from tidemart.plans.kpi import Gold
 
@@ -57,7 +57,7 @@ def category_revenue(gold: Gold) -> DataFrame:
     products = gold["dim_products"].select("product_key", "category")
     return (
         kpi.product_sales(gold).join(products, "product_key").groupBy("category")
-        .agg(F.sum("_cents").cast("double").alias(_REVENUE)).orderBy(F.desc(_REVENUE), "category")
+        .agg(money_total().alias(_REVENUE)).orderBy(F.desc(_REVENUE), "category")
     )
 
 

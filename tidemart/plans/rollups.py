@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemart.fixed_values import HIGH_TURNOVER, LOW_STOCK
-from tidemart.functions.columns import MONEY, round_half_up
+from tidemart.functions.columns import money_sum, round_half_up
 from tidemart.plans import kpi
 from tidemart.plans.kpi import Gold
 
 
 def _exact(column: str):
-    """Reports hold money as doubles; sums over them go back to cents."""
-    return F.sum(F.col(column).cast(MONEY)).cast("double")
+    """Reports hold money as doubles; sums over them are exact again."""
+    return money_sum(F.col(column))
 
 
 _RATIO = T.DecimalType(18, 6)  # means and ratios are summed at six digits, in any order

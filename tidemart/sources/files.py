@@ -31,6 +31,12 @@ def touch(spark: SparkSession, path: str) -> None:
     fs.create(p, True).close()
 
 
+def modified(spark: SparkSession, path: str) -> float:
+    """Seconds since the epoch."""
+    fs, p = _fs(spark, path)
+    return fs.getFileStatus(p).getModificationTime() / 1000
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.delete(p, True)
@@ -50,16 +56,16 @@ def children(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
 
 
 def data_files(spark: SparkSession, root: str, pattern: str = "*") -> list[str]:
-    """Files under the entries of ``root`` that match ``pattern``; an entry may be a folder of parts."""
+    """Files under the entries of ``root`` that match ``pattern``; an entry may be a folder, of any depth."""
     found: list[str] = []
-    for name, path, is_dir in children(spark, root):
-        if not fnmatch.fnmatch(name, pattern):
-            continue
+    left = [(path, is_dir) for name, path, is_dir in children(spark, root) if fnmatch.fnmatch(name, pattern)]
+    while left:
+        path, is_dir = left.pop()
         if is_dir:
-            found += [p for n, p, d in children(spark, path) if not d and not n.startswith((".", "_"))]
+            left += [(p, d) for _, p, d in children(spark, path)]
         else:
             found.append(path)
-    return found
+    return sorted(found)
 
 
 def header(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> tuple[str, ...]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Mapping
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemart.sources import files
 
+RETAIN_HOURS = 24.0
 
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -50,16 +52,23 @@ def _next_version(spark: SparkSession, root: str, table: str) -> int:
     return max(started, default=0) + 1
 
 
-def publish(df: DataFrame, root: str, table: str, partition_by: list[str] | None = None, keep: int = 2) -> str:
-    """Write the next version of a table and drop versions older than the last ``keep``."""
+def publish(
+    df: DataFrame, root: str, table: str, partition_by: list[str] | None = None, retain_hours: float = RETAIN_HOURS
+) -> str:
+    """Write the next version of a table, and drop versions that were replaced more than ``retain_hours`` ago.
+
+    A reader keeps the version it opened, so a report may run for so long beside any number of refreshes.
+    """
     spark = df.sparkSession
     path = f"{root}/{table}/v={_next_version(spark, root, table):06d}"
     if partition_by:
         write_partitioned(df, path, partition_by)
     else:
         write_parquet(df, path)
-    for old in _versions(spark, root, table)[:-keep]:
-        files.delete(spark, f"{root}/{table}/v={old:06d}")
+    done = _versions(spark, root, table)
+    for old, newer in zip(done, done[1:]):
+        if time.time() - files.modified(spark, f"{root}/{table}/v={newer:06d}/_SUCCESS") > retain_hours * 3600:
+            files.delete(spark, f"{root}/{table}/v={old:06d}")
     return path
 
 

@@ -19,13 +19,13 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemart.fixed_values import EVENT_ENTITIES
 from tidemart.operators.silver import RULES, typed, unique_rows, valid_rows
 from tidemart.plans import lakehouse
+from tidemart.session import scratch_scope, settle
 from tidemart.sources import files, tables
 from tidemart.sources.raw import LINEAGE
 from tidemart.streaming import events as ev
 
-
-KEYED_FOLD_ROWS = 1_000_000  # at most this many new keys are broadcast
-KEYED_FOLD_FACTOR = 10  # and only when the table has this many times the rows
+GOLD = "gold"  # the mark of the batch that the gold tables are built from
+_WITHIN = (1 << 33) - 1  # monotonically_increasing_id: the place in its partition
 
 
 def _batch_name(batch_id: int) -> str:
@@ -35,6 +35,9 @@ def _batch_name(batch_id: int) -> str:
 def land(batch: DataFrame, batch_id: int, root: str) -> dict[str, str]:
     """Write one batch: raw rows per entity, malformed lines, and counts per event type."""
     name = _batch_name(batch_id)
+    if "file" in batch.columns:
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit(_WITHIN))
+        batch = batch.select("value", F.concat_ws("_", "file", F.lpad(place.cast("string"), 12, "0")).alias(ev.ARRIVAL))
     parsed = ev.parse(batch).persist(StorageLevel.MEMORY_AND_DISK)
     written: dict[str, str] = {}
     try:
@@ -57,24 +60,22 @@ def fold(spark: SparkSession, root: str, entity: str, rows: DataFrame,
          as_of: date | datetime | str | None = None) -> str:
     """Merge raw rows, which carry their batch number, into a silver table.
 
-    The result is the same as cleaning all rows ever seen at once; of two versions of a key the one
-    of the later batch stays. New rows that are few, in number and beside the stored ones, only meet the
-    stored rows of their keys: the list of keys, counted first, is broadcast and the rest of the table is
-    copied without a shuffle. Otherwise old and new rows are compared in one shuffle.
+    The result is the same as cleaning all rows ever seen at once, however they were split into batches: of two
+    versions of a key the one that arrived later stays, by batch, file and place in the file. New rows are written once;
+    they are compared with the stored rows of their keys only, and the rest of the table is copied. Spark broadcasts the
+    list of keys when it is small, so that a small batch does not shuffle the table.
     """
-    label = F.concat(F.lit(f"{entity}_stream_"), F.lpad(F.col("batch").cast("string"), 12, "0"))
-    new = valid_rows(entity, typed(entity, rows.withColumn(LINEAGE, label), as_of))
+    arrived = [F.col(ev.ARRIVAL)] if ev.ARRIVAL in rows.columns else []
+    label = F.concat_ws("_", F.lit(f"{entity}_stream"), F.lpad(F.col("batch").cast("string"), 12, "0"), *arrived)
+    new = settle(valid_rows(entity, typed(entity, rows.withColumn(LINEAGE, label), as_of)), f"fold-{entity}")
     silver = lakehouse.silver_root(root)
     have = tables.read_current(spark, silver, entity)
     if have is None:
         return tables.publish(unique_rows(entity, new), silver, entity)
     if LINEAGE not in have.columns:
         have = have.withColumn(LINEAGE, F.lit(None).cast("string"))
-    n_new = new.count()
-    if n_new > KEYED_FOLD_ROWS or n_new * KEYED_FOLD_FACTOR > have.count():
-        return tables.publish(unique_rows(entity, new.unionByName(have)), silver, entity)
     keys = RULES[entity].keys
-    touched = F.broadcast(new.select(*keys).distinct())
+    touched = new.select(*keys).distinct()
     compared = unique_rows(entity, new.unionByName(have.join(touched, keys, "left_semi")))
     return tables.publish(compared.unionByName(have.join(touched, keys, "left_anti")), silver, entity)
 
@@ -85,9 +86,13 @@ def refresh_gold(spark: SparkSession, root: str, as_of: date | datetime | str |
     return run.report()
 
 
+def _marked(spark: SparkSession, root: str, what: str) -> int:
+    return max((int(n) for n, _, _ in files.children(spark, f"{root}/folded/{what}")), default=-1)
+
+
 def _pending(spark: SparkSession, root: str, entity: str, last: int) -> list[str]:
     """Landed batches of an entity that its silver table does not hold yet, up to batch ``last``."""
-    seen = max((int(n) for n, _, _ in files.children(spark, f"{root}/folded/{entity}")), default=-1)
+    seen = _marked(spark, root, entity)
     paths = (f"{root}/bronze/{entity}/{_batch_name(n)}" for n in range(seen + 1, last + 1))
     return [p for p in paths if files.exists(spark, p)]
 
@@ -114,20 +119,29 @@ def process(batch: DataFrame, batch_id: int, root: str, as_of=None, refresh_ever
 
 
 def catch_up(spark: SparkSession, root: str, last: int, as_of=None) -> None:
-    """Fold every landed batch up to ``last`` that is not in silver yet, then rebuild gold."""
+    """Fold every landed batch up to ``last`` that is not in silver yet, then rebuild gold if it is behind silver.
+
+    Gold has a mark of its own: when a run dies between silver and gold, the next one builds gold even though no row is
+    waiting. A gold table that fails raises, so the batch runs again.
+    """
     waiting = {e: _pending(spark, root, e, last) for e in EVENT_ENTITIES.values()}
     waiting = {e: paths for e, paths in waiting.items() if paths}
-    if not waiting:
-        return
 
     def bring(entity: str) -> None:
         rows = spark.read.option("basePath", f"{root}/bronze/{entity}").parquet(*waiting[entity])
-        fold(spark, root, entity, rows, as_of)
+        with scratch_scope(spark):
+            fold(spark, root, entity, rows, as_of)
         _mark(spark, root, entity, last)
 
-    with ThreadPoolExecutor(max_workers=len(waiting)) as pool:
-        list(pool.map(bring, waiting))  # a failure here fails the batch, which then runs again
-    refresh_gold(spark, root, as_of)
+    if waiting:
+        with ThreadPoolExecutor(max_workers=len(waiting)) as pool:
+            list(pool.map(bring, waiting))  # a failure here fails the batch, which then runs again
+    newest = max(_marked(spark, root, e) for e in EVENT_ENTITIES.values())
+    if newest > _marked(spark, root, GOLD):
+        failed = refresh_gold(spark, root, as_of).filter("status like 'failed%'").collect()
+        if failed:
+            raise RuntimeError("; ".join(f"{r['table']}: {r['status']}" for r in failed))
+        _mark(spark, root, GOLD, newest)
 
 
 def start(
@@ -144,8 +158,12 @@ def start(
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    lines = reader.load(landing)
+    file = F.concat_ws(
+        "_", F.lpad(F.unix_millis("_metadata.file_modification_time").cast("string"), 15, "0"), "_metadata.file_path",
+        F.lpad(F.col("_metadata.file_block_start").cast("string"), 15, "0"))
     writer = (
-        reader.load(landing).writeStream.option("checkpointLocation", checkpoint)
+        lines.select("value", file.alias("file")).writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(lambda batch, batch_id: process(batch, batch_id, root, as_of, refresh_every))
     )
     return (writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)).start()
