@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 
@@ -81,22 +82,52 @@ def test_stream_equals_batch_for_any_split(spark, tmp_path, files, refresh_every
     assert spark.read.parquet(f"{root}/quarantine").count() >= 4
 
 
-def test_few_new_rows_meet_only_their_own_keys(spark, tmp_path, monkeypatch):
-    """Both ways of folding a batch into a larger table give the same table."""
+def test_new_rows_meet_only_their_own_keys(spark, tmp_path):
+    """Folding a batch into a larger table gives what cleaning all rows at once gives."""
     def rows_of(batch, n, price):
         return spark.range(n).selectExpr(
             "concat('P', id) as product_id", "'x' as product_name", "'c' as category",
             f"cast({price} as string) as price", f"{batch} as batch")
 
-    results = []
-    for factor in (0, 10**9):
-        monkeypatch.setattr(ingest, "KEYED_FOLD_FACTOR", factor)
-        root = str(tmp_path / str(factor))
-        ingest.fold(spark, root, "products", rows_of(0, 500, 5), AS_OF)
-        ingest.fold(spark, root, "products", rows_of(1, 7, 9).unionByName(rows_of(1, 3, 0)), AS_OF)
-        results.append(rows(lakehouse.read_silver(spark, root)["products"]))
-    assert results[0] == results[1]
-    assert len(results[0]) == 500 and sum(r[3] == 9.0 for r in results[0]) == 7
+    root = str(tmp_path)
+    ingest.fold(spark, root, "products", rows_of(0, 500, 5), AS_OF)
+    ingest.fold(spark, root, "products", rows_of(1, 7, 9).unionByName(rows_of(1, 3, 0)), AS_OF)
+    got = rows(lakehouse.read_silver(spark, root)["products"])
+    assert len(got) == 500 and sum(r[3] == 9.0 for r in got) == 7
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_what_arrives_last_stays_for_any_split(spark, tmp_path, files):
+    landing, root = tmp_path / "landing", str(tmp_path / "lake")
+    landing.mkdir()
+    stock = [json.dumps({"event_type": "inventory_update", "product_id": "P1", "store_id": "S1", "stock_level": n, "reorder_point": 1})
+             for n in (7, 5, 9, 3, 4, 6)]
+    for i in range(files):
+        step = len(stock) // files
+        path = landing / f"part_{files - i}.jsonl"  # names are not in the order of arrival
+        path.write_text("\n".join(stock[i * step:(i + 1) * step]) + "\n")
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    ingest.run_available(spark, str(landing), root, str(tmp_path / "cp"), AS_OF, max_files=1 if files > 1 else None)
+    assert [r.stock_level for r in lakehouse.read_silver(spark, root)["inventory"].collect()] == [6]
+
+
+def test_gold_that_lags_is_built_and_failures_are_raised(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    ingest.land(_frame(spark), 0, root)
+    build = lakehouse.build_gold
+    monkeypatch.setattr(ingest.lakehouse, "build_gold", lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        ingest.catch_up(spark, root, 0, AS_OF)  # dies between silver and gold
+    assert "fact_transactions" not in lakehouse.read_gold(spark, root)
+
+    def failing(run, *args, **more):
+        run.status.append(("gold", "fact_transactions", None, "failed: ValueError: x"))
+    monkeypatch.setattr(ingest.lakehouse, "build_gold", failing)
+    with pytest.raises(RuntimeError, match="fact_transactions"):
+        ingest.catch_up(spark, root, 0, AS_OF)
+    monkeypatch.setattr(ingest.lakehouse, "build_gold", build)
+    ingest.catch_up(spark, root, 0, AS_OF)
+    assert lakehouse.read_gold(spark, root)["fact_transactions"].count() == 4
 
 
 def test_restart_continues_and_replayed_batches_change_nothing(spark, tmp_path):

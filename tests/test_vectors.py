@@ -23,7 +23,7 @@ def brute(queries, corpus, k, metric, qc=None, cc=None):
                 s = float(q @ c / n) if n else 0.0
             else:
                 s = -float(((q - c) ** 2).sum())
-            hits.append((-round(s, 6), ci))
+            hits.append((-s, ci))
         out += [(qi, ci, r + 1) for r, (_, ci) in enumerate(sorted(hits)[:k])]
     return sorted(out, key=repr)
 
@@ -76,3 +76,15 @@ def test_many_concepts_go_another_way_with_the_same_result(spark, monkeypatch):
 def test_centroids(spark):
     df = spark.createDataFrame([(0, [1.0, 3.0]), (0, [3.0, 5.0]), (1, [2.0, 2.0])], "g int, vector array<double>")
     assert rows(neighbours.centroids(df, "g")) == [(0, [2.0, 4.0]), (1, [2.0, 2.0])]
+
+
+def test_ranks_follow_unrounded_scores(spark):
+    corpus = _frame(spark, [[0, 1], [1, 0.0005], [1, 0]])
+    got = neighbours.top_k(_frame(spark, [[1, 0]], "query_id"), corpus, 1)
+    assert [(r.id, r.score) for r in got.collect()] == [(2, 1.0)]
+
+
+def test_distances_of_long_vectors(spark):
+    corpus = _frame(spark, [[1e8 + 2, 3], [1e8, 0.1], [1e8, 0.2]])
+    got = neighbours.top_k(_frame(spark, [[1e8, 0]], "query_id"), corpus, 3, "l2")
+    assert [(r.id, r.score) for r in got.orderBy("rank").collect()] == [(1, -0.01), (2, -0.04), (0, -13.0)]
