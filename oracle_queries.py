@@ -453,6 +453,8 @@ ORACLE: dict[str, str] = {
         WHERE event_type IN ('user_update', 'product_update', 'inventory_update', 'shipment_update')""",
     "explode_orders": f"""SELECT transaction_id, user_id, product_id,
         strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "timestamp", amount, store_id FROM ({ORDER_LINES})""",
+    "guarded_best_store": over(f"""SELECT store_id, {money('amount')} AS total_revenue FROM ft JOIN ds USING (store_key)
+        GROUP BY store_id ORDER BY total_revenue DESC, store_id LIMIT 1""", "ft", "ds"),
     "stream_batch_counts": KINDS.replace("count(*) AS events", "CAST(count(*) AS BIGINT) AS events"),
     "stream_equals_batch": f"""SELECT transaction_id, user_id, product_id, ts AS "timestamp", amount, store_id
         FROM ({ORDER_LINES}) WHERE amount > 0""",

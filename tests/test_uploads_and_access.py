@@ -128,19 +128,33 @@ def test_roles(spark, sf):
 @pytest.mark.parametrize("sql", [
     "DROP TABLE x", "SELECT 1; DELETE FROM x", "insert into t values (1)", "SHOW TABLES", "", "WITHOUT x",
     "SELECT reflect('java.lang.System', 'exit', 1)", "WITH a AS (SELECT 1) MERGE INTO b USING a ON 1=1",
-    "REPLACE TABLE x AS SELECT 1",
+    "REPLACE TABLE x AS SELECT 1", "SELECT TRANSFORM(a) USING 'cat' AS (b) FROM t", "SELECT * FROM global_temp.t", "SELECT * FROM default.t",
+    "SELECT * FROM parquet.`/tmp/t`", "SELECT * FROM range(3)", "SELECT * FROM other", "SELECT a FROM t WHERE a IN (SELECT b FROM other)",
+    "SELECT (SELECT max(java_method('java.lang.Math', 'random')) FROM t) FROM t", "WITH c AS (SELECT * FROM other) SELECT * FROM c",
+    "SELECT system.builtin.reflect('java.lang.System', 'exit')", "CACHE TABLE t", "SET x = 1", "EXPLAIN SELECT 1",
 ])
-def test_unsafe_sql_is_refused(sql):
+def test_unsafe_sql_is_refused(spark, sql):
     with pytest.raises(ValueError):
-        access.validate(sql)
+        access.validate(spark, sql, ["t"])
 
 
 @pytest.mark.parametrize("sql", [
     "SELECT 1", "with a as (select 1) select * from a", "SELECT replace(a, 'x', 'y') FROM t;",
-    "SELECT 'please drop; me' AS note", "SELECT updated, created_at FROM t",
+    "SELECT 'please drop; me' AS note", "SELECT updated, created_at FROM t", "SELECT `create`, t.update FROM T AS t",
+    "SELECT a, count(*) FROM t LEFT JOIN (SELECT b FROM t) u ON a = b GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC LIMIT 3",
+    "SELECT a, row_number() OVER (PARTITION BY b ORDER BY c) FROM t WHERE EXISTS (SELECT 1 FROM t x WHERE x.a = t.a)",
+    "WITH c AS (SELECT * FROM t), d AS (SELECT * FROM c) SELECT * FROM d UNION SELECT * FROM c",
 ])
-def test_reading_sql_is_accepted(sql):
-    access.validate(sql)
+def test_reading_sql_is_accepted(spark, sql):
+    access.validate(spark, sql, ["t"])
+
+
+def test_owner_asks_about_all_tables(spark, sf):
+    root = lakehouse.gold_root(registry.lake_root(spark, sf))
+    sql = "SELECT store_id, sum(amount) AS revenue FROM fact_transactions JOIN dim_stores USING (store_key) GROUP BY 1 ORDER BY 2 DESC LIMIT 1"
+    assert access.guarded_sql(spark, root, sql, access.OWNER).count() == 1
+    with pytest.raises(ValueError):
+        access.guarded_sql(spark, root, sql, "manager")
 
 
 def test_guarded_sql_sees_only_its_role_and_its_cap(spark, sf):

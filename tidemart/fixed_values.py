@@ -157,11 +157,7 @@ ACCESS_POLICIES = {
 }
 MASK = "***MASKED***"
 
-# --- fixed values: statement words an ad-hoc query must not contain -------------------------
-BANNED_SQL_WORDS = [
-    "DROP", "DELETE", "UPDATE", "INSERT", "CREATE", "ALTER",
-    "TRUNCATE", "REPLACE", "MERGE", "GRANT", "REVOKE",
-]
+# --- fixed values: most rows of an ad-hoc result ---------------------------------------------
 ADHOC_ROW_CAP = 100
 
 # --- fixed values: retail concepts and the column names they commonly carry -----------------

@@ -394,6 +394,16 @@ GUARDED = """
 """
 
 
+BEST_STORE = """
+    SELECT store_id, CAST(sum(CAST(amount AS DECIMAL(34,9))) AS DOUBLE) AS total_revenue
+    FROM fact_transactions JOIN dim_stores USING (store_key) GROUP BY store_id ORDER BY total_revenue DESC, store_id LIMIT 1
+"""
+
+
+def guarded_best_store(spark, sf_dir):
+    return access.guarded_sql(spark, lakehouse.gold_root(lake_root(spark, sf_dir)), BEST_STORE, access.OWNER)
+
+
 def guarded_sql(spark, sf_dir):
     return access.guarded_sql(spark, lakehouse.gold_root(lake_root(spark, sf_dir)), GUARDED, "manager")
 
@@ -596,6 +606,7 @@ _QUERIES: dict[str, Query] = {
     # access
     "masked_view": masked_view,
     "guarded_sql": guarded_sql,
+    "guarded_best_store": guarded_best_store,
     # vectors
     "cosine_topk": cosine_topk,
     "l2_topk_filtered": l2_topk_filtered,
