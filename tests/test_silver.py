@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from tests.conftest import rows
 from tidemart.operators import silver
 from tidemart.sources import raw
@@ -49,7 +51,8 @@ def test_bad_values_are_rejected_with_a_reason_not_fatal(spark):
     good = silver.clean("transactions", df, AS_OF).select("transaction_id", "timestamp")
     assert rows(good) == [("T2", None)]
     assert rows(silver.reject_counts({"transactions": df}, AS_OF)) == [
-        ("transactions", "amount is not positive", 4), ("transactions", "product_id is null", 1),
+        ("transactions", "amount is not finite", 2), ("transactions", "amount is not positive", 2),
+        ("transactions", "product_id is null", 1),
         ("transactions", "transaction_id is null", 1)]
 
 
@@ -97,3 +100,23 @@ def test_folding_batches_equals_cleaning_all_at_once(spark, sf):
     for part in parts[1:]:
         folded = silver.unique_rows("transactions", folded.unionByName(part))
     assert rows(folded) == rows(silver.clean("transactions", raw_rows))
+
+
+def test_amounts_of_any_size_count(spark):
+    from tidemart.functions.columns import money_parts, money_sum, money_total
+
+    df = spark.createDataFrame([(0.004, 1), (1e16, 1), (3e30, 2), (2.0, 2), (None, 3)], "a double, k int")
+    raw = df.selectExpr("concat('T', k, a) as transaction_id", "'P' as product_id", "a as amount")
+    assert silver.clean("transactions", raw, AS_OF).count() == 4
+    want = [(1, 1e16 + 0.004), (2, 3e30), (3, None)]
+    assert rows(df.groupBy("k").agg(money_sum(F.col("a")))) == want
+    assert rows(df.groupBy("k", "a").agg(*money_parts(F.col("a"))).groupBy("k").agg(money_total())) == want
+    assert rows(df.filter("a < 1").agg(money_sum(F.col("a")))) == [(0.004,)]
+
+
+def test_generated_ids(spark):
+    from tidemart.operators.keys import with_row_id
+
+    df = spark.createDataFrame([("f1", "x")] * 3 + [("f1", None), ("f2", "x")], "source_file string, v string")
+    ids = rows(with_row_id(df.repartition(4), "id").select("id"))
+    assert len(set(ids)) == 5 and ids == rows(with_row_id(df.coalesce(1), "id").select("id"))

@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemart.operators.keys import dense_key
+from tidemart.operators.keys import dense_key, keep_one
 from tidemart.session import settle
 
 COLUMNS = ["surrogate_key", "user_id", "name", "email", "city", "effective_date", "end_date", "is_current"]
@@ -90,8 +90,9 @@ def merge(
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """``changes`` replace the rows with the same key and add the rest."""
-    return table.join(changes.select(*keys), keys, "left_anti").unionByName(changes)
+    """``changes`` replace the rows with the same key and add the rest. Of several changes of a key the smallest row counts."""
+    once = keep_one(changes, keys, [])
+    return table.join(once.select(*keys), keys, "left_anti").unionByName(once)
 
 
 def remove(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

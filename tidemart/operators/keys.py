@@ -17,10 +17,19 @@ def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     of the table sends one row per task, not all of them.
     """
     rest = [F.col(c).asc_nulls_last() for c in df.columns if c not in keys]
-    spec = Window.partitionBy(*keys).orderBy(*order, *rest)
+    spec = Window.partitionBy(*keys).orderBy(*(order + rest or [F.lit(0)]))  # without other columns all rows of a key agree
     return df.withColumn("_rank", F.row_number().over(spec)).filter("_rank = 1").drop("_rank")
 
 
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with an id per row that depends on the row alone, not on partitioning, so reading a file again gives the
+    same ids and another file (its name is a column) gives other ones. Equal rows are told apart by a count."""
+    row = F.md5(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+    marked = df.withColumn(name, row)
+    copy = F.row_number().over(Window.partitionBy(name).orderBy(F.lit(0)))
+    return marked.withColumn("_copy", copy).withColumn(name, F.md5(F.concat_ws("#", name, "_copy"))).drop("_copy")
+
+
 def per_key(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
     """One row per key, meant to be joined back to rows of ``df``.
 

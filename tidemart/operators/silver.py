@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemart.fixed_values import TRANSACTION_DEFAULTS, TRANSACTION_SYNONYMS
 from tidemart.functions.columns import to_type
-from tidemart.operators.keys import keep_one
+from tidemart.operators.keys import keep_one, with_row_id
 from tidemart.schemas import SILVER
 from tidemart.sources.raw import LINEAGE
 
@@ -97,7 +97,8 @@ def type_transactions(raw: DataFrame, as_of: datetime | str | None = None) -> Da
         columns[target] = value if value is not None else F.lit(TRANSACTION_DEFAULTS.get(target))
     if first_of("transaction_id") is None:
         # no id anywhere: every line is an order of its own, equal lines too
-        columns["transaction_id"] = F.monotonically_increasing_id().cast("string")
+        raw = with_row_id(raw, "_row_id")
+        columns["transaction_id"] = F.col("_row_id")
     stamp = first_of("timestamp")
     now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
     columns["timestamp"] = stamp if stamp is not None else now

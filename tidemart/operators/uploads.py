@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemart import fixed_values as fixed
 from tidemart.functions.columns import to_type
-from tidemart.operators.keys import keep_one
+from tidemart.operators.keys import keep_one, with_row_id
 from tidemart.operators.silver import derive_amount
 from tidemart.sources.raw import LINEAGE
 
@@ -157,25 +157,23 @@ def derive(df: DataFrame, as_text: bool = True) -> DataFrame:
     return df
 
 
-def _row_number(df: DataFrame) -> Column:
-    """A number per row, unique though not gap-free: numbering without gaps would need an order."""
-    return F.monotonically_increasing_id()
-
-
 def fill_required(df: DataFrame, entity: str, as_of: datetime | str | None = None) -> DataFrame:
-    """Constants for the required columns a file lacks. Run it after ``derive``."""
+    """Constants, and ids of their own for every row, for the required columns a file lacks. Run it after ``derive``."""
     columns = {}
+    named = list(df.columns)
+    if any("{n}" in default and name not in named for name, default in fixed.UPLOAD_DEFAULTS.get(entity, {}).items()):
+        df = with_row_id(df, "_row_id")
     for name, default in fixed.UPLOAD_DEFAULTS.get(entity, {}).items():
         if name in df.columns:
             continue
         if "{n}" in default:
-            columns[name] = F.concat(F.lit(default.replace("{n}", "")), _row_number(df).cast("string"))
+            columns[name] = F.concat(F.lit(default.replace("{n}", "")), F.col("_row_id"))
         elif default == "{as_of}":
             now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
             columns[name] = F.date_format(now, "yyyy-MM-dd" if name == "signup_date" else "yyyy-MM-dd HH:mm:ss")
         else:
             columns[name] = F.lit(default)
-    return df.withColumns(columns) if columns else df
+    return df.withColumns(columns).drop("_row_id") if columns else df
 
 
 def missing_required(df: DataFrame, entity: str) -> list[str]:
@@ -213,8 +211,9 @@ def best_effort(df: DataFrame, as_of: datetime | str | None = None) -> DataFrame
     names = [c for c in df.columns if c != LINEAGE]
     id_column = next((c for w in fixed.UNKNOWN_FILE_ID_WORDS for c in names if w in c.lower()), None)
     numeric = next((f.name for f in df.schema if f.name in names and isinstance(f.dataType, T.NumericType)), None)
-    ids = F.col(f"`{id_column}`").cast("string") if id_column else F.concat(
-        F.lit("TXN_"), _row_number(df).cast("string"))
+    if id_column is None:
+        df = with_row_id(df, "_row_id")
+    ids = F.col(f"`{id_column}`").cast("string") if id_column else F.concat(F.lit("TXN_"), F.col("_row_id"))
     amount = F.col(f"`{numeric}`").cast("double") if numeric else F.lit(1.0)
     return fill_required(
         df.select(ids.alias("transaction_id"), amount.alias("amount")), "transactions", as_of

@@ -1,7 +1,7 @@
 """The ten business reports over the star schema.
 
 Each takes the gold tables by name and returns a lazy DataFrame; a report whose tables are not all
-there comes back empty with its columns. Money is summed in exact cents. Counts of distinct orders
+there comes back empty with its columns. Money is summed exactly. Counts of distinct orders
 shuffle on the order first, so a city, month or customer that holds much of the table is spread out.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemart.fixed_values import NEW_CUSTOMER_DAYS, UNKNOWN_KEY
-from tidemart.functions.columns import exact_avg, money_avg, money_parts, money_sum, money_total
+from tidemart.functions.columns import exact_avg, money_parts, money_sum, money_total
 from tidemart.operators import basket
 from tidemart.operators.keys import per_key
 from tidemart.schemas import EMPTY_KPIS
@@ -36,6 +36,28 @@ def _users(gold: Gold, *columns: str) -> DataFrame:
     return gold["dim_users"].filter("is_current").select(F.col("surrogate_key").alias("user_key"), *columns)
 
 
+def _pairs(lines: DataFrame, *by: str) -> DataFrame:
+    """Lines folded by order and customer (and ``by``): sums and a count, much fewer rows than the fact has."""
+    return lines.groupBy("transaction_id", "user_key", *by).agg(*money_parts(F.col("amount")), F.count("amount").alias("_lines"))
+
+
+def _counts(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """revenue, lines, distinct orders and distinct known customers of ``pairs`` by ``by``.
+
+    Orders and customers are counted from folded rows of their own; counting both distinct in one aggregate would
+    multiply every row before the shuffle.
+    """
+    parts = ["_money", "_money_huge", "_lines"]
+    orders = pairs.groupBy(*by, "transaction_id").agg(*[F.sum(p).alias(p) for p in parts]).select(
+        *by, *parts, F.col("transaction_id").isNotNull().cast("long").alias("_orders"), F.lit(0).cast("long").alias("_customers"))
+    users = pairs.filter(_known("user_key")).select(*by, "user_key").distinct()
+    nothing = [F.lit(None).cast(orders.schema[p].dataType).alias(p) for p in parts]
+    customers = users.select(*by, *nothing, F.lit(0).cast("long").alias("_orders"), F.lit(1).cast("long").alias("_customers"))
+    return orders.unionByName(customers).groupBy(*by).agg(
+        money_total().alias("revenue"), F.sum("_lines").alias("lines"),
+        F.coalesce(F.sum("_orders"), F.lit(0)).alias("orders"), F.coalesce(F.sum("_customers"), F.lit(0)).alias("customers"))
+
+
 def clv(gold: Gold) -> DataFrame:
     """Spend, orders and active span of each current customer, highest spend first."""
     missing = _needs(gold, "clv", "fact_transactions", "dim_users")
@@ -77,11 +99,10 @@ def summary_kpis(gold: Gold) -> DataFrame:
     """One row: revenue, known customers who bought, orders."""
     if "fact_transactions" not in gold:
         return SparkSession.active().createDataFrame([(0.0, 0, 0)], EMPTY_KPIS["summary_kpis"])
-    return gold["fact_transactions"].agg(
-        F.coalesce(money_sum(F.col("amount")), F.lit(0.0)).alias("total_revenue"),
-        F.count_distinct(F.when(_known("user_key"), F.col("user_key"))).alias("active_users"),
-        F.count_distinct("transaction_id").alias("total_orders"),
-    )
+    counted = _counts(_pairs(gold["fact_transactions"]), [])
+    return counted.select(
+        F.coalesce("revenue", F.lit(0.0)).alias("total_revenue"), F.col("customers").alias("active_users"),
+        F.col("orders").alias("total_orders"))
 
 
 _GRAINS = {"daily": ["full_date", "day_of_week"], "monthly": ["year", "month"], "yearly": ["year"]}
@@ -110,16 +131,11 @@ def city_sales(gold: Gold) -> DataFrame:
     missing = _needs(gold, "city_sales", "fact_transactions", "dim_users")
     if missing is not None:
         return missing
-    return (
-        gold["fact_transactions"].filter(_known("user_key")).join(_users(gold, "city"), "user_key")
-        .groupBy("city").agg(
-            F.count_distinct("transaction_id").alias("order_count"),
-            money_sum(F.col("amount")).alias("total_revenue"),
-            money_avg(F.col("amount")).alias("avg_order_value"),
-            F.count_distinct("user_key").alias("unique_customers"),
-        )
-        .orderBy(F.desc("total_revenue"), "city")
-    )
+    pairs = _pairs(gold["fact_transactions"].filter(_known("user_key"))).join(_users(gold, "city"), "user_key")
+    return _counts(pairs, ["city"]).select(
+        "city", F.col("orders").alias("order_count"), F.col("revenue").alias("total_revenue"),
+        F.try_divide("revenue", "lines").alias("avg_order_value"), F.col("customers").alias("unique_customers"),
+    ).orderBy(F.desc("total_revenue"), "city")
 
 
 def product_sales(gold: Gold) -> DataFrame:
@@ -222,13 +238,15 @@ def seasonal_trends(gold: Gold) -> DataFrame:
         return missing
     dates = gold["dim_dates"].select("date_key", "year", "quarter", "month")
     products = gold["dim_products"].select("product_key", "category")
+    # folded by day and product first, so that the dimensions are looked up for few rows
+    sold = gold["fact_transactions"].filter(_known("product_key")).groupBy("date_key", "product_key").agg(
+        F.count(F.lit(1)).alias("_n"), *money_parts(F.col("amount")), F.count("amount").alias("_lines"))
     return (
-        gold["fact_transactions"].filter(_known("product_key"))
-        .join(dates, "date_key").join(products, "product_key")
+        sold.join(dates, "date_key").join(products, "product_key")
         .groupBy("year", "quarter", "month", "category").agg(
-            F.count(F.lit(1)).alias("units_sold"),
-            money_sum(F.col("amount")).alias("revenue"),
-            money_avg(F.col("amount")).alias("avg_transaction_value"),
+            F.sum("_n").alias("units_sold"),
+            money_total().alias("revenue"),
+            F.try_divide(money_total(), F.sum("_lines")).alias("avg_transaction_value"),
         )
         .orderBy("year", "quarter", "month", F.desc("revenue"), "category")
     )
@@ -247,14 +265,9 @@ def customer_segmentation(gold: Gold) -> DataFrame:
     day = F.col("timestamp").cast("date")
     first = per_key(fact, "user_key", F.min(day).alias("_first"))
     age = F.datediff(day, F.col("_first"))
-    return (
-        fact.join(first, "user_key")
-        .withColumn("customer_type", F.when(age <= NEW_CUSTOMER_DAYS, "New").otherwise("Returning"))
-        .groupBy("customer_type").agg(
-            F.count_distinct("user_key").alias("customer_count"),
-            F.count_distinct("transaction_id").alias("order_count"),
-            money_sum(F.col("amount")).alias("total_revenue"),
-            money_avg(F.col("amount")).alias("avg_order_value"),
-        )
-        .orderBy("customer_type")
-    )
+    kind = F.when(age <= NEW_CUSTOMER_DAYS, "New").otherwise("Returning")
+    pairs = _pairs(fact.join(first, "user_key").withColumn("customer_type", kind), "customer_type")
+    return _counts(pairs, ["customer_type"]).select(
+        "customer_type", F.col("customers").alias("customer_count"), F.col("orders").alias("order_count"),
+        F.col("revenue").alias("total_revenue"), F.try_divide("revenue", "lines").alias("avg_order_value"),
+    ).orderBy("customer_type")

@@ -67,7 +67,7 @@ def read_delimited(
     pattern: str = "*",
     sep: str = ",",
     encoding: str = "UTF-8",
-    multiline: bool = False,
+    multiline: bool = True,
     keep_case: bool = False,
 ) -> DataFrame | None:
     """All matching files of ``root`` as text columns, merged by column name.
@@ -75,6 +75,9 @@ def read_delimited(
     Files are grouped by header and each group is read on its own: one read over different
     headers would put values under the wrong names without an error. ``encoding="auto"`` reads
     files that are not UTF-8 as Latin-1. None when nothing matches.
+
+    A quoted value may hold line breaks, so a file is read by one task. ``multiline=False`` lets Spark cut large files
+    that are known to have none.
     """
     paths = files.data_files(spark, root, pattern)
     if not paths:
