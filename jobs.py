@@ -2,7 +2,9 @@
 
     spark-submit jobs.py build  <raw folder> <lake folder> [as_of]
     spark-submit jobs.py stream <landing folder> <lake folder> <checkpoint folder> [refresh_every]
-    spark-submit jobs.py report <lake folder> <report name> <output folder>
+    spark-submit jobs.py report <lake folder> <report name> <output folder> [parameter=value ...]
+
+Parameters are those of the report, such as granularity=monthly, limit=20, min_support=5 or city=Rome.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 import sys
 
 from tidemart.functions.columns import finite
-from tidemart.plans import kpi, lakehouse, rollups
+from tidemart.plans import kpi, lakehouse, quality, questions, rollups
 from tidemart.session import clear_scratch, get_session
 from tidemart.streaming import ingest
 
@@ -21,8 +23,14 @@ REPORTS = {
                "inventory_turnover", "delivery_metrics", "seasonal_trends", "customer_segmentation"]),
         (rollups, ["clv_headline", "segment_share", "delivery_headline", "region_bottlenecks", "carrier_performance",
                    "inventory_headline", "stock_by_category", "seasonal_pivot", "reorder_alerts"]),
+        (questions, ["total_revenue", "order_count", "average_order_value", "city_revenue", "category_product_count",
+                     "category_revenue", "best_store", "previous_month_revenue", "city_top_customers"]),
     )
     for name in names
+} | {
+    "quality_scores": lambda gold, **given: quality.scores(gold["fact_transactions"], **given),
+    "quality_trend": lambda gold: quality.trend(gold["fact_transactions"]),
+    "table_checks": quality.checks,
 }
 
 
@@ -38,8 +46,9 @@ def main(args: list[str]) -> None:
         landing, lake, checkpoint, *every = rest
         ingest.start(spark, landing, lake, checkpoint, refresh_every=int(every[0]) if every else 1).awaitTermination()
     else:
-        lake, name, out = rest
-        finite(REPORTS[name](lakehouse.read_gold(spark, lake))).write.mode("overwrite").parquet(out)
+        lake, name, out, *options = rest
+        given = {k: int(v) if v.isdigit() else v for k, _, v in (o.partition("=") for o in options)}
+        finite(REPORTS[name](lakehouse.read_gold(spark, lake), **given)).write.mode("overwrite").parquet(out)
     clear_scratch(spark)
 
 

@@ -221,3 +221,36 @@ def test_reports_run_without_broadcast(spark, sf):
             assert rows(registry.QUERIES[n](spark, sf)) == before[n], n
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_reports_without_their_tables_are_empty(spark):
+    from tidemart.plans import questions, rollups
+
+    calls = [
+        (questions.total_revenue, ()), (questions.order_count, ()), (questions.average_order_value, ()), (questions.city_revenue, ("x",)),
+        (questions.category_product_count, ("x",)), (questions.category_revenue, ()), (questions.best_store, ()),
+        (questions.previous_month_revenue, ()), (questions.city_top_customers, ("x",)), (questions.top_customers, ()),
+        (questions.top_products, ()), (rollups.delivery_headline, ()), (rollups.region_bottlenecks, ()),
+        (rollups.stock_by_category, ()), (rollups.reorder_alerts, ()), (rollups.carrier_performance, ()),
+    ]
+    for report, args in calls:
+        assert report({}, *args).count() == 0, report.__name__
+
+
+def test_checks_report_what_cannot_be_read(spark, tmp_path):
+    from tidemart.plans import quality
+
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    broken = spark.read.parquet(path).filter("id >= 0")
+    for part in (tmp_path / "t").glob("*.parquet"):
+        part.write_bytes(b"no parquet")
+    tables = {"good": spark.range(2), "none": spark.range(0), "bad": broken}
+    assert rows(quality.checks(tables)) == sorted([("good", "pass", 2, 0), ("none", "warning", 0, 0), ("bad", "fail", 0, 1)], key=repr)
+    assert rows(quality.checks({})) == [("No data", "warning", 0, 0)]
+
+
+def test_counting_does_not_multiply_rows(spark, sf):
+    gold = registry.gold(spark, sf)
+    for report in (kpi.summary_kpis, kpi.city_sales, kpi.customer_segmentation):
+        assert "Expand" not in report(gold)._jdf.queryExecution().toString(), report.__name__

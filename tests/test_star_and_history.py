@@ -183,3 +183,30 @@ def test_large_facts_are_laid_out_by_month(spark, sf, tmp_path):
     assert "PartitionFilters: [isnotnull(month_key" in _plan(pruned)
     assert pruned.count() > 0
     assert fact.count() == 5942
+
+
+def test_a_failed_build_leaves_the_whole_previous_gold(spark, tmp_path, monkeypatch):
+    from tidemart.operators import star
+    from tidemart.plans import kpi, lakehouse
+
+    def raw(*products):
+        sold = spark.createDataFrame([("T1", "U1", "P5", "2024-01-05", "10", "S1")],
+                                     "transaction_id string, user_id string, product_id string, timestamp string, amount string, store_id string")
+        listed = spark.createDataFrame([(p, f"name {p}", "c", "1") for p in products], "product_id string, product_name string, category string, price string")
+        return {"transactions": sold, "products": listed}
+
+    def top():
+        return [r.product_name for r in kpi.top_products(lakehouse.read_gold(spark, str(tmp_path))).collect()]
+
+    lakehouse.build_lakehouse(spark, raw("P5"), str(tmp_path), "2024-06-01")
+    assert top() == ["name P5"]
+    before = lakehouse.read_gold(spark, str(tmp_path))
+    fact = star.fact_transactions
+    monkeypatch.setattr(star, "fact_transactions", lambda *a: (_ for _ in ()).throw(ValueError("no")))
+    report = lakehouse.build_lakehouse(spark, raw("P1", "P5"), str(tmp_path), "2024-06-01")
+    assert report.filter("status like 'failed%'").count() == 1
+    assert top() == ["name P5"] and lakehouse.read_gold(spark, str(tmp_path))["dim_products"].count() == 1
+    monkeypatch.setattr(star, "fact_transactions", fact)
+    lakehouse.build_lakehouse(spark, raw("P1", "P5"), str(tmp_path), "2024-06-01")
+    assert top() == ["name P5"] and lakehouse.read_gold(spark, str(tmp_path))["dim_products"].count() == 2
+    assert kpi.top_products(before).count() == 1  # a reader keeps what it opened

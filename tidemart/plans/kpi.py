@@ -16,7 +16,7 @@ from tidemart.functions.columns import exact_avg, money_parts, money_sum, money_
 from tidemart.operators import basket
 from tidemart.operators.keys import per_key
 from tidemart.schemas import EMPTY_KPIS
-from tidemart.sources.tables import empty
+from tidemart.sources.tables import empty, needs
 
 Gold = Mapping[str, DataFrame]
 
@@ -41,8 +41,8 @@ def _pairs(lines: DataFrame, *by: str) -> DataFrame:
     return lines.groupBy("transaction_id", "user_key", *by).agg(*money_parts(F.col("amount")), F.count("amount").alias("_lines"))
 
 
-def _counts(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """revenue, lines, distinct orders and distinct known customers of ``pairs`` by ``by``.
+def _counts(pairs: DataFrame, buyers: DataFrame, by: list[str]) -> DataFrame:
+    """revenue, lines and distinct orders of ``pairs``, and rows of ``buyers`` (distinct customers), by ``by``.
 
     Orders and customers are counted from folded rows of their own; counting both distinct in one aggregate would
     multiply every row before the shuffle.
@@ -50,9 +50,8 @@ def _counts(pairs: DataFrame, by: list[str]) -> DataFrame:
     parts = ["_money", "_money_huge", "_lines"]
     orders = pairs.groupBy(*by, "transaction_id").agg(*[F.sum(p).alias(p) for p in parts]).select(
         *by, *parts, F.col("transaction_id").isNotNull().cast("long").alias("_orders"), F.lit(0).cast("long").alias("_customers"))
-    users = pairs.filter(_known("user_key")).select(*by, "user_key").distinct()
     nothing = [F.lit(None).cast(orders.schema[p].dataType).alias(p) for p in parts]
-    customers = users.select(*by, *nothing, F.lit(0).cast("long").alias("_orders"), F.lit(1).cast("long").alias("_customers"))
+    customers = buyers.select(*by, *nothing, F.lit(0).cast("long").alias("_orders"), F.lit(1).cast("long").alias("_customers"))
     return orders.unionByName(customers).groupBy(*by).agg(
         money_total().alias("revenue"), F.sum("_lines").alias("lines"),
         F.coalesce(F.sum("_orders"), F.lit(0)).alias("orders"), F.coalesce(F.sum("_customers"), F.lit(0)).alias("customers"))
@@ -99,7 +98,8 @@ def summary_kpis(gold: Gold) -> DataFrame:
     """One row: revenue, known customers who bought, orders."""
     if "fact_transactions" not in gold:
         return SparkSession.active().createDataFrame([(0.0, 0, 0)], EMPTY_KPIS["summary_kpis"])
-    counted = _counts(_pairs(gold["fact_transactions"]), [])
+    fact = gold["fact_transactions"]
+    counted = _counts(_pairs(fact), fact.filter(_known("user_key")).select("user_key").distinct(), [])
     return counted.select(
         F.coalesce("revenue", F.lit(0.0)).alias("total_revenue"), F.col("customers").alias("active_users"),
         F.col("orders").alias("total_orders"))
@@ -131,8 +131,9 @@ def city_sales(gold: Gold) -> DataFrame:
     missing = _needs(gold, "city_sales", "fact_transactions", "dim_users")
     if missing is not None:
         return missing
-    pairs = _pairs(gold["fact_transactions"].filter(_known("user_key"))).join(_users(gold, "city"), "user_key")
-    return _counts(pairs, ["city"]).select(
+    fact, users = gold["fact_transactions"].filter(_known("user_key")), _users(gold, "city")
+    buyers = fact.select("user_key").distinct().join(users, "user_key")
+    return _counts(_pairs(fact).join(users, "user_key"), buyers, ["city"]).select(
         "city", F.col("orders").alias("order_count"), F.col("revenue").alias("total_revenue"),
         F.try_divide("revenue", "lines").alias("avg_order_value"), F.col("customers").alias("unique_customers"),
     ).orderBy(F.desc("total_revenue"), "city")
@@ -165,6 +166,8 @@ def top_products(gold: Gold, limit: int = 10) -> DataFrame:
     )
 
 
+@needs("product_key int, product_name string, category string, units_sold bigint, avg_stock double, turnover_ratio double, "
+       "reorder_instances bigint", "fact_transactions", "fact_inventory", "dim_products")
 def inventory_turnover_by_key(gold: Gold) -> DataFrame:
     """Turnover with the product key, for the reports that build on it."""
     sold = gold["fact_transactions"].filter(_known("product_key")).groupBy("product_key").agg(
@@ -261,13 +264,13 @@ def customer_segmentation(gold: Gold) -> DataFrame:
     missing = _needs(gold, "customer_segmentation", "fact_transactions")
     if missing is not None:
         return missing
-    fact = gold["fact_transactions"].filter(_known("user_key"))
-    day = F.col("timestamp").cast("date")
-    first = per_key(fact, "user_key", F.min(day).alias("_first"))
-    age = F.datediff(day, F.col("_first"))
-    kind = F.when(age <= NEW_CUSTOMER_DAYS, "New").otherwise("Returning")
-    pairs = _pairs(fact.join(first, "user_key").withColumn("customer_type", kind), "customer_type")
-    return _counts(pairs, ["customer_type"]).select(
+    fact = gold["fact_transactions"].filter(_known("user_key")).withColumn("_day", F.col("timestamp").cast("date"))
+    first = per_key(fact, "user_key", F.min("_day").alias("_first"))
+    kind = F.when(F.datediff("_day", "_first") <= NEW_CUSTOMER_DAYS, "New").otherwise("Returning").alias("customer_type")
+    pairs = _pairs(fact, "_day").join(first, "user_key").select("*", kind)
+    # a customer has few days beside lines
+    buyers = fact.select("user_key", "_day").distinct().join(first, "user_key").select("user_key", kind).distinct()
+    return _counts(pairs, buyers, ["customer_type"]).select(
         "customer_type", F.col("customers").alias("customer_count"), F.col("orders").alias("order_count"),
         F.col("revenue").alias("total_revenue"), F.try_divide("revenue", "lines").alias("avg_order_value"),
     ).orderBy("customer_type")

@@ -88,7 +88,15 @@ def _with_month(fact: DataFrame) -> DataFrame:
 def build_gold(
     run: Run, root: str, as_of: date | datetime | str | None, by_month: bool = True
 ) -> None:
+    """Publish all gold tables, then seal them as one set. Keys are numbered anew by every build, so tables of different
+    builds do not fit together: when a step fails nothing is sealed, and readers keep the whole previous gold."""
     spark, gold = run.spark, gold_root(root)
+    built: dict[str, str] = {}
+
+    def publish(df: DataFrame, table: str, partition_by: list[str] | None = None) -> str:
+        built[table] = tables.publish(df, gold, table, partition_by, retain_hours=None)
+        return built[table]
+
     silver = read_silver(spark, root)
 
     def users() -> str | None:
@@ -98,18 +106,18 @@ def build_gold(
         day = as_of.date() if isinstance(as_of, datetime) else as_of
         rows = history.first_load(silver["users"]) if existing is None else history.merge(
             existing, silver["users"], day)
-        return tables.publish(rows, gold, "dim_users")
+        return publish(rows, "dim_users")
 
     def from_silver(source: str, make: Callable[[DataFrame], DataFrame], table: str):
         def write() -> str | None:
-            return tables.publish(make(silver[source]), gold, table) if source in silver else None
+            return publish(make(silver[source]), table) if source in silver else None
         return "gold", table, write
 
     def fact(source: str, make: Callable[[DataFrame], DataFrame], table: str):
         def write() -> str | None:
             if source not in silver:
                 return None
-            return tables.publish(_with_month(make(silver[source])), gold, table, FACT_LAYOUT if by_month else None)
+            return publish(_with_month(make(silver[source])), table, FACT_LAYOUT if by_month else None)
         return "gold", table, write
 
     def dim(name: str) -> DataFrame | None:
@@ -128,6 +136,8 @@ def build_gold(
              "fact_inventory"),
         fact("shipments", lambda t: star.fact_shipments(t, dim("dim_stores")), "fact_shipments"),
     ])
+    if built and not any(layer == "gold" and status.startswith("failed") for layer, _, _, status in run.status):
+        tables.seal(spark, gold, built)
 
 
 def build_lakehouse(

@@ -10,6 +10,7 @@ from tidemart.fixed_values import UNKNOWN_KEY
 from tidemart.functions.columns import money_sum, money_total
 from tidemart.plans import kpi
 from tidemart.plans.kpi import Gold
+from tidemart.sources.tables import needs
 
 _REVENUE = "total_revenue"
 
@@ -18,14 +19,17 @@ def _revenue():
     return money_sum(F.col("amount")).alias(_REVENUE)
 
 
+@needs("total_revenue double", "fact_transactions")
 def total_revenue(gold: Gold) -> DataFrame:
     return gold["fact_transactions"].agg(_revenue())
 
 
+@needs("orders bigint", "fact_transactions")
 def order_count(gold: Gold) -> DataFrame:
     return gold["fact_transactions"].agg(F.count_distinct("transaction_id").alias("orders"))
 
 
+@needs("avg_order_value double", "fact_transactions")
 def average_order_value(gold: Gold) -> DataFrame:
     return gold["fact_transactions"].agg(
         F.try_divide(money_sum(F.col("amount")), F.count_distinct("transaction_id")).alias("avg_order_value"))
@@ -37,10 +41,12 @@ def _city_lines(gold: Gold, city: str) -> DataFrame:
         users.select(F.col("surrogate_key").alias("user_key"), "user_id", "name"), "user_key")
 
 
+@needs("total_revenue double", "fact_transactions", "dim_users")
 def city_revenue(gold: Gold, city: str) -> DataFrame:
     return _city_lines(gold, city).agg(_revenue())
 
 
+@needs("products bigint", "dim_products")
 def category_product_count(gold: Gold, category: str) -> DataFrame:
     return gold["dim_products"].filter(F.col("category") == category).agg(F.count(F.lit(1)).alias("products"))
 
@@ -53,6 +59,7 @@ def top_products(gold: Gold, n: int = 5) -> DataFrame:
     return kpi.top_products(gold, n).select("product_name", "category", "price", _REVENUE)
 
 
+@needs("category string, total_revenue double", "fact_transactions", "dim_products")
 def category_revenue(gold: Gold) -> DataFrame:
     products = gold["dim_products"].select("product_key", "category")
     return (
@@ -61,6 +68,7 @@ def category_revenue(gold: Gold) -> DataFrame:
     )
 
 
+@needs("store_id string, total_revenue double", "fact_transactions", "dim_stores")
 def best_store(gold: Gold) -> DataFrame:
     by_store = gold["fact_transactions"].filter(F.col("store_key") != UNKNOWN_KEY).groupBy("store_key").agg(_revenue())
     return (
@@ -69,6 +77,7 @@ def best_store(gold: Gold) -> DataFrame:
     )
 
 
+@needs("total_revenue double", "fact_transactions")
 def previous_month_revenue(gold: Gold, as_of: date | str | None = None) -> DataFrame:
     """Revenue of the calendar month before ``as_of``, as a range on the timestamp."""
     today = F.current_date() if as_of is None else F.lit(as_of).cast("date")
@@ -81,6 +90,7 @@ def previous_month_revenue(gold: Gold, as_of: date | str | None = None) -> DataF
     return fact.filter((stamp >= lo.cast("timestamp")) & (stamp < hi.cast("timestamp"))).agg(_revenue())
 
 
+@needs("name string, total_spend double, orders bigint", "fact_transactions", "dim_users")
 def city_top_customers(gold: Gold, city: str, n: int = 10) -> DataFrame:
     """Customers of one city by spend; orders counts their order lines."""
     return (

@@ -8,6 +8,7 @@ from tidemart.fixed_values import HIGH_TURNOVER, LOW_STOCK
 from tidemart.functions.columns import money_sum, round_half_up
 from tidemart.plans import kpi
 from tidemart.plans.kpi import Gold
+from tidemart.sources.tables import needs
 
 
 def _exact(column: str):
@@ -51,6 +52,8 @@ def _pct(part: str, whole: str):
     return round_half_up(F.try_divide(F.col(part) * 100.0, F.col(whole)), 1)
 
 
+@needs("total_shipments bigint, avg_delivery_days double, fast_deliveries bigint, delayed_deliveries bigint, on_time_pct double",
+       "fact_shipments")
 def delivery_headline(gold: Gold) -> DataFrame:
     """All shipments: how many, mean days of the delivered ones, fast ones, and the share not delayed."""
     category = F.col("delivery_category")
@@ -70,6 +73,7 @@ def delivery_headline(gold: Gold) -> DataFrame:
     )
 
 
+@needs("region string, delayed_pct double", "fact_shipments")
 def region_bottlenecks(gold: Gold) -> DataFrame:
     """Share of delayed shipments by origin region, over all shipments."""
     return (

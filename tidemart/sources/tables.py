@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator, Mapping
-from functools import reduce
+from collections.abc import Callable, Iterator, Mapping
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -56,9 +56,9 @@ def _next_version(spark: SparkSession, root: str, table: str) -> int:
 
 
 def publish(
-    df: DataFrame, root: str, table: str, partition_by: list[str] | None = None, retain_hours: float = RETAIN_HOURS
+    df: DataFrame, root: str, table: str, partition_by: list[str] | None = None, retain_hours: float | None = RETAIN_HOURS
 ) -> str:
-    """Write the next version of a table, and drop versions that were replaced more than ``retain_hours`` ago.
+    """Write the next version of a table, and drop versions that were replaced more than ``retain_hours`` ago (None: never).
 
     A reader keeps the version it opened, so a report may run for so long beside any number of refreshes.
     """
@@ -69,7 +69,7 @@ def publish(
     else:
         write_parquet(df, path)
     done = _versions(spark, root, table)
-    for old, newer in zip(done, done[1:]):
+    for old, newer in zip(done, done[1:] if retain_hours is not None else []):
         if time.time() - files.modified(spark, f"{root}/{table}/v={newer:06d}/_SUCCESS") > retain_hours * 3600:
             files.delete(spark, f"{root}/{table}/v={old:06d}")
     return path
@@ -87,10 +87,51 @@ def read_current(spark: SparkSession, root: str, table: str) -> DataFrame | None
     return spark.read.parquet(path) if path else None
 
 
+# -- consistent sets of tables ----------------------------------------------------------------
+# <root>/_sealed/n=<n> lists the versions that belong together. Readers of a sealed layer see one set as a whole, the
+# newest; versions that a failed build published, but no set lists, are seen by nobody.
+
+def _sets(spark: SparkSession, root: str) -> list[str]:
+    found = files.children(spark, f"{root}/_sealed")
+    return [path for _, path, is_dir in found if is_dir and files.exists(spark, f"{path}/_SUCCESS")]
+
+
+def seal(spark: SparkSession, root: str, paths: Mapping[str, str], retain_hours: float = RETAIN_HOURS) -> None:
+    """Make ``paths`` (table -> version) what readers of the layer see from now on.
+
+    Versions before those of the oldest set that was still current ``retain_hours`` ago are dropped.
+    """
+    started = [int(n[2:]) for n, _, d in files.children(spark, f"{root}/_sealed") if d]
+    names = [(t, p.rsplit("/", 1)[-1]) for t, p in paths.items()]
+    listed = spark.createDataFrame(names, "table string, version string").coalesce(1)
+    listed.write.parquet(f"{root}/_sealed/n={max(started, default=0) + 1:06d}")
+    sets = _sets(spark, root)
+    replaced = [files.modified(spark, f"{newer}/_SUCCESS") for newer in sets[1:]]
+    oldest = next((s for s, at in zip(sets, replaced) if time.time() - at <= retain_hours * 3600), sets[-1])
+    for row in spark.read.parquet(oldest).collect():
+        for n in _versions(spark, root, row.table):
+            if n < int(row.version[2:]):
+                files.delete(spark, f"{root}/{row.table}/v={n:06d}")
+    for path in sets[:sets.index(oldest)]:
+        files.delete(spark, path)
+
+
+def sealed(spark: SparkSession, root: str) -> dict[str, str] | None:
+    """Table name -> path of the newest set; None for a layer that was never sealed."""
+    sets = _sets(spark, root)
+    if not sets:
+        return None
+    return {r.table: f"{root}/{r.table}/{r.version}" for r in spark.read.parquet(sets[-1]).collect()}
+
+
 # -- layers -----------------------------------------------------------------------------------
 
 def discover(spark: SparkSession, root: str) -> dict[str, str]:
-    """Table name -> path to read, for Parquet files, partitioned folders and versioned tables."""
+    """Table name -> path to read, for Parquet files, partitioned folders and versioned tables; of a sealed layer the
+    tables of its newest set."""
+    whole = sealed(spark, root)
+    if whole is not None:
+        return whole
     found: dict[str, str] = {}
     for name, path, is_dir in files.children(spark, root):
         table = name.removesuffix(".parquet")
@@ -162,3 +203,15 @@ def sample(df: DataFrame, rows: int = 5) -> DataFrame:
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     """What a report returns when a table it needs has not been built."""
     return spark.createDataFrame([], schema)
+
+
+def needs(schema: str, *names: str) -> Callable:
+    """A report over ``names`` that comes back empty, with the columns of ``schema``, when one is not there."""
+    def wrap(report: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(report)
+        def run(gold: Mapping[str, DataFrame], *args, **options) -> DataFrame:
+            if all(n in gold for n in names):
+                return report(gold, *args, **options)
+            return empty(SparkSession.active(), schema)
+        return run
+    return wrap
