@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemart.llm.components import connected_components
 from tidemart.llm.text import NOT_BLANK, mix, pieces, runs, signed, utf8, word_hashes, words
-from tidemart.session import settle
+from tidemart.session import scratch_dir, settle
+from tidemart.sources import files
 
 SHINGLE = 5
 PERCENT = 80
@@ -22,7 +23,9 @@ LEAF_SHINGLES = 2_000_000
 PIVOTS = 8
 LEVELS = 8
 SLICE_ROWS = 2048  # documents of a large region that one task measures against its pivots
-FLUSH = 3_000_000  # projections or shingles that a task holds before it hands them on
+FLUSH = 1_500_000  # projections or shingles that a task holds before it hands them on
+MEET = 500_000  # projections that are joined at once
+KEY_BITS = 56  # of projections; where two are taken for one, neighbourhoods are larger than they need be, nothing else
 FLUSH_SETS = 60_000
 COMMON_SHARE = 500  # a shingle in more than one of so many documents is common; there are COMMON_SHARE * mean set size at most
 COMMON_LEAST = 20  # and it is in so many documents
@@ -113,6 +116,7 @@ def _project(shingles: np.ndarray, ring: int, shape: tuple[int, int, int], salt:
     total, filled = np.zeros(count, np.uint64), np.bincount(of, minlength=count)
     np.add.at(total, of, salted)
     keys = mix(total + mix(np.uint64((salt << 48) + (ring << 32)) + np.arange(count, dtype=np.uint64)))
+    keys >>= np.uint64(64 - KEY_BITS)
     strong = filled >= full
     enough = count - int(strong.sum()) <= spare
     return (keys[strong] if enough or salt == 0 else keys), enough
@@ -132,24 +136,31 @@ def projections(shingles: np.ndarray, rare: np.ndarray, ring: int, starts: np.nd
     return keys if enough else np.concatenate([keys, _project(shingles, ring, shape, 1)[0]])
 
 
+def _steps(values: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte by byte of equal weight, which packs well."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _sums(data: bytes, n: int, at: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def pack(keys: np.ndarray, nodes: np.ndarray) -> bytes:
     """Sorted keys and their nodes, small."""
     table, index = np.unique(nodes, return_inverse=True)
-    steps = np.diff(keys, prepend=np.uint64(0))
-    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
     index = index.astype(np.uint32 if len(table) > 65535 else np.uint16)
     head = np.array([len(keys), len(table)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + table.tobytes() + planes.tobytes() + index.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(head + _steps(table.view(np.uint64)) + _steps(keys) + index.tobytes())
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, the places of their nodes in a table, and the table."""
     raw = zstandard.ZstdDecompressor().decompress(data)
-    n, t = np.frombuffer(raw, np.int64, 2)
-    table = np.frombuffer(raw, np.int64, t, 16)
-    at = 16 + 8 * t
-    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).ravel()
-    index = np.frombuffer(raw, np.uint32 if t > 65535 else np.uint16, n, at + 8 * n)
-    return np.cumsum(steps, dtype=np.uint64), table[index]
+    n, t = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+    index = np.frombuffer(raw, np.uint32 if t > 65535 else np.uint16, n, 16 + 8 * (t + n))
+    return _sums(raw, n, 16 + 8 * t), index, _sums(raw, t, 16).view(np.int64)
 
 
 def stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,7 +237,7 @@ class _Projector:
             keys, nodes, edges = stars(np.concatenate(self.keys), nodes)
             if len(edges):
                 yield -1, edges.tobytes()
-            shard = ((keys >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
+            shard = ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
             cut = np.searchsorted(shard, np.arange(self.shards + 1))
             for i in np.flatnonzero(np.diff(cut)):
                 yield int(i), pack(keys[cut[i]:cut[i + 1]], nodes[cut[i]:cut[i + 1]])
@@ -247,7 +258,7 @@ def _mark(shards: int, shingle: int, percent: int, common: np.ndarray):
             sizes, names, nodes = [], [], []
             for own in shingle_sets(batch.column(2), shingle):
                 name = set_name(own) if len(own) else None
-                node = int.from_bytes(name[:8], "little", signed=True) if name else None
+                node = int.from_bytes(name[:6], "little") if name else None
                 sizes.append(len(own))
                 names.append(name)
                 nodes.append(node)
@@ -269,8 +280,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, held = None, []
 
     def edges() -> Iterator[pa.RecordBatch]:
-        if len(held) > 1:
-            found = stars(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))[2]
+        total = sum(len(k) for k, _, _ in held)
+        if len(held) < 2:
+            return
+        parts = -(-total // MEET)  # ranges of keys, joined one by one
+        low, high = min(k[0] for k, _, _ in held), max(k[-1] for k, _, _ in held)
+        width = (int(high) - int(low)) // parts + 1
+        cuts = [np.searchsorted(k, np.array([int(low) + width * i for i in range(parts + 1)], np.uint64)) for k, _, _ in held]
+        for i in range(parts):
+            some = [(k[c[i]:c[i + 1]], table[index[c[i]:c[i + 1]]]) for (k, index, table), c in zip(held, cuts)]
+            found = stars(np.concatenate([k for k, _ in some]), np.concatenate([n for _, n in some]))[2]
             yield pa.RecordBatch.from_pydict({"u": found[:, 0], "v": found[:, 1]})
 
     for batch in batches:
@@ -324,16 +343,31 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a symmetric matrix, as few as connect what all of them connect."""
+    seen, out = np.zeros(len(near), bool), []
+    for root in range(len(near)):
+        left = [] if seen[root] else [root]
+        seen[root] = True
+        while left:
+            at = left.pop()
+            new = np.flatnonzero(near[at] & ~seen)
+            seen[new] = True
+            out += [(at, int(i)) for i in new]
+            left += new.tolist()
+    return out
+
+
 def _leaves(shingle: int, percent: int):
-    """All links of each region; the rows of a region come one after the other."""
+    """Links that connect each region; the rows of a region come one after the other."""
     def links(held: dict[bytes, str]) -> Iterator[pa.RecordBatch]:
         if len(held) > 1:
             names = list(held)
             sets = list(shingle_sets(pa.array(held.values(), pa.large_string()), shingle))
             n = np.array([len(s) for s in sets])
-            i, j = np.nonzero(np.triu(linked(common_counts(sets), n[:, None], n[None, :], percent), 1))
-            if len(i):
-                yield pa.RecordBatch.from_pydict({"a": [names[x] for x in i], "b": [names[x] for x in j]})
+            found = spanning(linked(common_counts(sets), n[:, None], n[None, :], percent))
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": [names[i] for i, _ in found], "b": [names[j] for _, j in found]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
@@ -462,7 +496,7 @@ def join_regions(spark: SparkSession, members: DataFrame, shingle: int = SHINGLE
 
 
 def _by_blocks(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """All links of each region: its sets are dealt into blocks, and every two blocks meet in a region of their own."""
+    """Links that connect each region: its sets are dealt into blocks, and every two blocks meet in a region of their own."""
     blocks = F.ceil(F.col("rows") / (LEAF_ROWS // 2)).cast("int")
     dealt = rows.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("set_id"), F.col("_blocks")).cast("int"))
     met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -486,10 +520,12 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     common = common_shingles(keyed, shingle)
-    marked = settle(keyed.mapInArrow(_mark(max(64, 2 * width), shingle, percent, common), MARKED), "jaccard-marked")
-    base = marked.filter("shard is null").select("doc_id", "mark", "n", "set_id", "node")
-
+    packed = scratch_dir(spark, "jaccard-marked")
+    keyed.mapInArrow(_mark(max(16, width), shingle, percent, common), MARKED).write.parquet(packed)
+    marked = spark.read.schema(MARKED).parquet(packed)
+    base = settle(marked.filter("shard is null").select("doc_id", "mark", "n", "set_id", "node"), "jaccard-sets")
     regions = settle(neighbourhoods(marked), "jaccard-regions")
+    files.delete(spark, packed)  # the largest of the written tables, and not read again
     near = base.filter("set_id is not null").join(regions, "node")
     chosen = settle(
         near.groupBy("set_id").agg(
