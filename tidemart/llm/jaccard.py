@@ -19,11 +19,13 @@ from tidemart.sources import files
 SHINGLE = 5
 PERCENT = 80
 LEAF_ROWS = 96  # documents of a region that is joined in one go
+BLOCK_ROWS = 128  # documents of a block, two of which are compared at once
 LEAF_SHINGLES = 2_000_000
 PIVOTS = 8
 LEVELS = 8
 SLICE_ROWS = 2048  # documents of a large region that one task measures against its pivots
 FLUSH = 1_500_000  # projections or shingles that a task holds before it hands them on
+FINER = 6  # times the least number of slices that sets with few rare shingles are projected on
 MEET = 500_000  # projections that are joined at once
 KEY_BITS = 56  # of projections; where two are taken for one, neighbourhoods are larger than they need be, nothing else
 FLUSH_SETS = 60_000
@@ -119,7 +121,7 @@ def _project(shingles: np.ndarray, ring: int, shape: tuple[int, int, int], salt:
     keys >>= np.uint64(64 - KEY_BITS)
     strong = filled >= full
     enough = count - int(strong.sum()) <= spare
-    return (keys[strong] if enough or salt == 0 else keys), enough
+    return (keys[strong] if enough or salt < 2 else keys), enough
 
 
 def projections(shingles: np.ndarray, rare: np.ndarray, ring: int, starts: np.ndarray, percent: int) -> np.ndarray:
@@ -127,13 +129,20 @@ def projections(shingles: np.ndarray, rare: np.ndarray, ring: int, starts: np.nd
 
     ``rare`` is the set without common shingles; it differs from another no more than the sets themselves do. Equal
     slices are thin in both sets or in neither, so if one of two linked sets has few thin slices, they meet in another.
-    Sets that consist of common shingles so far that too many slices are thin are projected with them as well.
+    Sets with many thin slices, as few of their shingles are rare, are projected on more and finer slices too; those
+    that consist of common shingles nearly throughout, on the slices of all their shingles.
     """
     shape = slices(ring, starts, percent)
-    if shape[0] - 1 - shape[1] == 0:
+    least = shape[0] - shape[1]  # slices of which one must be equal
+    if least == 1:
         return np.zeros(0, np.uint64)  # only equal sets are linked, and these have one name
-    keys, enough = _project(rare, ring, shape, 0)
-    return keys if enough else np.concatenate([keys, _project(shingles, ring, shape, 1)[0]])
+    out = []
+    for salt, (own, form) in enumerate([(rare, shape), (rare, (FINER * least, (FINER - 1) * least, 1)), (shingles, shape)]):
+        keys, enough = _project(own, ring, form, salt)
+        out.append(keys)
+        if enough:
+            break
+    return np.concatenate(out)
 
 
 def _steps(values: np.ndarray) -> bytes:
@@ -497,7 +506,7 @@ def join_regions(spark: SparkSession, members: DataFrame, shingle: int = SHINGLE
 
 def _by_blocks(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links that connect each region: its sets are dealt into blocks, and every two blocks meet in a region of their own."""
-    blocks = F.ceil(F.col("rows") / (LEAF_ROWS // 2)).cast("int")
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
     dealt = rows.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("set_id"), F.col("_blocks")).cast("int"))
     met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     pair = F.xxhash64("region", F.least("_own", "_other"), F.greatest("_own", "_other"))
