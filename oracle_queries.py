@@ -290,6 +290,10 @@ ORACLE: dict[str, str] = {
                           *GOLD.values()),
     "synonym_coalesce": f"""SELECT transaction_id, user_id, product_id, "timestamp", store_id FROM ({TXN_RAW})
         UNION ALL SELECT invoice, customer_id, stockcode, o_orderdate, country FROM ({FOREIGN})""",
+    "generated_ids": "SELECT 2 * count(*) AS rows, 2 * count(*) AS ids FROM lineitem",
+    "odd_amounts": f"""SELECT l_returnflag AS store_id, count(*) AS lines, {money('a')} AS revenue FROM (
+        SELECT l_returnflag, CASE l_linenumber % 3 WHEN 0 THEN l_extendedprice * 1e11 WHEN 1 THEN l_extendedprice / 1e5
+          ELSE l_extendedprice END AS a FROM lineitem) GROUP BY 1""",
     "amount_derivation": f"""SELECT transaction_id, product_id, amount FROM ({TXN_RAW})
         UNION ALL SELECT invoice, stockcode, value FROM ({FOREIGN})""",
     "column_defaults": f"""SELECT CAST(l_orderkey AS VARCHAR) AS transaction_id, 'U001' AS user_id,

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemart import fixed_values as fixed
+from tidemart.functions.columns import money_sum
 from tidemart.operators import access, history, neighbours, silver, star, uploads
 from tidemart.operators.keys import dense_key
 from tidemart.plans import bindings, kpi, lakehouse, quality, questions, rollups
@@ -198,6 +199,26 @@ def synonym_coalesce(spark, sf_dir):
     return rows.select("transaction_id", "user_id", "product_id", "timestamp", "store_id")
 
 
+def generated_ids(spark, sf_dir):
+    """Two uploads of the same lines without ids: every line is an order of its own, in either file."""
+    lines = bindings.table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("product_id"), F.col("l_extendedprice").alias("amount"))
+    both = lines.withColumn(raw.LINEAGE, F.lit("a.csv")).unionByName(lines.withColumn(raw.LINEAGE, F.lit("b.csv")))
+    typed = silver.type_transactions(both, AS_OF)
+    return typed.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("transaction_id").alias("ids"))
+
+
+def odd_amounts(spark, sf_dir):
+    """Fractions of a cent beside very large amounts."""
+    price, kind = F.col("l_extendedprice"), F.col("l_linenumber") % 3
+    lines = bindings.table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("transaction_id"), F.col("l_partkey").cast("string").alias("product_id"),
+        F.col("l_returnflag").alias("store_id"),
+        F.when(kind == 0, price * 1e11).when(kind == 1, price / 1e5).otherwise(price).alias("amount"))
+    valid = silver.valid_rows("transactions", silver.type_transactions(lines, AS_OF))
+    return valid.groupBy("store_id").agg(F.count(F.lit(1)).alias("lines"), money_sum(F.col("amount")).alias("revenue"))
+
+
 def amount_derivation(spark, sf_dir):
     rows = silver.type_transactions(_raw_transactions(spark, sf_dir), AS_OF)
     return rows.select("transaction_id", "product_id", "amount")
@@ -534,6 +555,8 @@ _QUERIES: dict[str, Query] = {
     # uploads
     "synonym_coalesce": synonym_coalesce,
     "amount_derivation": amount_derivation,
+    "generated_ids": generated_ids,
+    "odd_amounts": odd_amounts,
     "column_defaults": column_defaults,
     "normalized_upload": normalized_upload,
     "rule_mapped_upload": rule_mapped_upload,
