@@ -203,21 +203,24 @@ def _select(sized: DataFrame, shares: dict[str, Share]) -> None:
             s.cut = (r.bucket << shift) - (1 << 63) - 1 if r.bucket else None
     spark = sized.sparkSession
 
-    def each(open_: dict[str, Share], wanted: Column, fits: Column, best: Callable[[Column], Column]) -> list:
-        """The best fitting place of each pattern: its size is the sum of all rows there."""
+    def places(open_: dict[str, Share], free: Column, largest: bool) -> list:
+        """Per pattern the largest free place that its gap holds, or the smallest that it does not hold.
+
+        A place is as large as all rows there, documents with equal doc_id and text."""
         if not open_:
             return []
-        left = sized.join(_gaps(spark, open_), "pattern").filter(wanted & (F.col("size") <= F.col("gap") if fits is None else F.lit(True)))
-        places = left.groupBy("pattern", "order", "gap").agg(F.sum("size").alias("size"))
-        return places.filter(F.col("size") <= F.col("gap") if fits is None else fits).groupBy("pattern").agg(
-            best(F.struct("size", "order")).alias("best")).collect()
+        held = F.col("size") <= F.col("gap")
+        rows = sized.join(_gaps(spark, open_), "pattern").filter(free & held if largest else free)
+        found = rows.groupBy("pattern", "order", "gap").agg(F.sum("size").alias("size")).filter(held if largest else ~held)
+        pick = F.max if largest else F.min
+        return found.groupBy("pattern").agg(pick(F.struct("size", "order")).alias("best")).collect()
 
     def far() -> dict[str, Share]:
         return {p: s for p, s in shares.items() if s.gap > s.close}
 
     free = ~_before_cut() & ~_holds("fills")
     for _ in range(FILLS):
-        found = each(far(), free, None, F.max)
+        found = places(far(), free, True)
         for r in found:
             shares[r.pattern].fills.append(r.best.order)
             shares[r.pattern].gap -= r.best.size
@@ -225,12 +228,12 @@ def _select(sized: DataFrame, shares: dict[str, Share]) -> None:
             break
     # where all that is left is too large: take the smallest, and leave out as much of what was taken
     trial = far()
-    for r in each(trial, free, F.col("size") > F.col("gap"), F.min):
+    for r in places(trial, free, False):
         s = trial[r.pattern]
         trial[r.pattern] = Share(s.base, r.best.size - s.gap, s.close, s.cut, [*s.fills, r.best.order])
     trial = {p: s for p, s in trial.items() if s is not shares[p]}
     for _ in range(FILLS):
-        found = each({p: s for p, s in trial.items() if s.gap}, _before_cut() & ~_holds("drops"), None, F.max)
+        found = places({p: s for p, s in trial.items() if s.gap}, _before_cut() & ~_holds("drops"), True)
         for r in found:
             trial[r.pattern].drops.append(r.best.order)
             trial[r.pattern].gap -= r.best.size

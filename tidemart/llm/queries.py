@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemart.llm import jaccard, lines, mixing, quality, shards, topk, toxicity, urls, warc, winnow
+from tidemart.session import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,7 +85,7 @@ FROM walk WHERE x < n
 
 @query
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = topk.settle(topk.quantise(_table(spark, sf_dir, "embeddings")), "topk-vectors")
+    vectors = settle(topk.quantise(_table(spark, sf_dir, "embeddings")), "topk-vectors")
     return topk.top_k(spark, vectors, vectors.filter(F.col("vec_id") % 100 == 0), 10)
 
 
