@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemart.llm.components import connected_components
-from tidemart.llm.text import NOT_BLANK, mix, pieces, runs, signed, utf8, word_hashes, words
+from tidemart.llm.text import NOT_BLANK, give_back, mix, pieces, runs, signed, small_batches, utf8, word_hashes, words
 from tidemart.session import scratch_dir, settle
 from tidemart.sources import files
 
@@ -24,7 +24,7 @@ LEAF_SHINGLES = 2_000_000
 PIVOTS = 8
 LEVELS = 8
 SLICE_ROWS = 2048  # documents of a large region that one task measures against its pivots
-FLUSH = 1_500_000  # projections or shingles that a task holds before it hands them on
+FLUSH = 1_000_000  # projections or shingles that a task holds before it hands them on
 FINER = 6  # times the least number of slices that sets with few rare shingles are projected on
 MEET = 500_000  # projections that are joined at once
 KEY_BITS = 56  # of projections; where two are taken for one, neighbourhoods are larger than they need be, nothing else
@@ -208,6 +208,8 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
                     held, size = [], 0
         if size:
             yield counted()
+        held = []
+        give_back()
 
     n = docs.count()
     often = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -280,6 +282,7 @@ def _mark(shards: int, shingle: int, percent: int, common: np.ndarray):
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
                  pa.array(nodes, pa.int64()), pa.array(empty, pa.int32()), pa.array(empty, pa.binary())], schema=types)
         yield from flushed()
+        give_back()
 
     return run
 
@@ -308,6 +311,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, held = shard, []
             held.append(unpack(packed))
     yield from edges()
+    held = []
+    give_back()
 
 
 def _own_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,6 +392,8 @@ def _leaves(shingle: int, percent: int):
                     at, held = region, {}
                 held[name] = text
         yield from links(held)
+        held = {}
+        give_back()
 
     return run
 
@@ -515,19 +522,9 @@ def _by_blocks(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 # -- the join ---------------------------------------------------------------------------------
 
-def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, mark (hash of the text), n_shingles, set_id and component_id of every row of ``docs``.
-
-    Words are blank-separated with A-Z lower-cased; a document's set holds its distinct shingles, or its whole sequence
-    if it has fewer words. Documents are linked where 100 * intersection >= percent * union; component_id is the smallest
-    doc_id that links reach. Null, empty and blank texts have an empty set (set_id null), are linked with nothing and
-    have their own id. Equal sets are one point of the join, so copies cost nothing beyond the first step. A null doc_id
-    never names a component: one without any id has a null component_id. Repeated rows count as copies. Extra columns
-    are not read; an empty table gives no rows.
-    """
-    spark = docs.sparkSession
+def _sets_and_links(spark: SparkSession, keyed: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows of ``keyed`` (doc_id, mark, text), and links that connect the groups; both written."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     common = common_shingles(keyed, shingle)
     packed = scratch_dir(spark, "jaccard-marked")
     keyed.mapInArrow(_mark(max(16, width), shingle, percent, common), MARKED).write.parquet(packed)
@@ -545,7 +542,23 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
         keyed.join(chosen, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
         .select("region", "set_id", "n", "text"), "jaccard-members")
 
-    links = join_regions(spark, members, shingle, percent)
+    return base, join_regions(spark, members, shingle, percent)
+
+
+def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, mark (hash of the text), n_shingles, set_id and component_id of every row of ``docs``.
+
+    Words are blank-separated with A-Z lower-cased; a document's set holds its distinct shingles, or its whole sequence
+    if it has fewer words. Documents are linked where 100 * intersection >= percent * union; component_id is the smallest
+    doc_id that links reach. Null, empty and blank texts have an empty set (set_id null), are linked with nothing and
+    have their own id. Equal sets are one point of the join, so copies cost nothing beyond the first step. A null doc_id
+    never names a component: one without any id has a null component_id. Repeated rows count as copies. Extra columns
+    are not read; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    with small_batches(spark):
+        base, links = _sets_and_links(spark, keyed, shingle, percent)
     roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     sets = base.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     rooted = sets.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))

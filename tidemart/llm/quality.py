@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemart.llm.text import NOT_BLANK, pieces, runs, utf8, word_hashes, words
+from tidemart.llm.text import NOT_BLANK, give_back, pieces, runs, small_batches, utf8, word_hashes, words
 from tidemart.llm.toxicity import held_out
+from tidemart.session import settle
 
 TRAIN_ROWS = 12_000  # labelled rows the model is fitted on, the first by a hash of the id
 BINS = 32
@@ -254,7 +255,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = 0.7, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs``, unchanged, that ``score_quality`` predicts to be good. Nothing is shuffled."""
+    """The rows of ``docs``, unchanged, that ``score_quality`` predicts to be good. Nothing is shuffled; the rows are written
+    here, so that the texts travel to Python and back in small batches."""
     kept = ~held_out(F.col("doc_id"), folds, fold)
     model = train(docs.select("doc_id", "text").filter(kept), labels.select("doc_id", "quality"), kept, rows)
     at = docs.columns.index("text")
@@ -262,5 +264,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(model.score(measure(batch.column(at))) >= threshold))
+        give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    with small_batches(docs.sparkSession):
+        return settle(docs.mapInArrow(run, docs.schema), "quality-kept")

@@ -6,19 +6,42 @@ one text larger than that is one piece.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
-PIECE = 1 << 21
+PIECE = 1 << 20
 _SEGMENT = 1 << 19  # bytes hashed at once
 _LONG_WORD = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Rows that travel to Python at a time in what runs inside: long texts make batches of the usual size large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def give_back() -> None:
+    """Return unused memory to the system: Python workers live on after a task and would keep what it needed at most."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library is glibc
+    if trim is not None:
+        trim(0)
+
+
 def _word_bytes(separators: list[tuple[int, int]]) -> np.ndarray:
     table = np.ones(256, bool)
     for first, last in separators:
