@@ -88,6 +88,30 @@ def test_regions_join_recursively(spark, monkeypatch):
     assert groups(jaccard.jaccard_groups(frame, 2, 70)) == brute(docs, 2, 70)
 
 
+def link_counts(docs, shingle, percent):
+    """Per row the number of other rows it is linked with."""
+    rows = sets_of(docs, shingle)
+    out = []
+    for i, (d, a) in enumerate(rows):
+        n = sum(1 for j, (_, b) in enumerate(rows) if j != i and a and b and 100 * len(a & b) >= percent * len(a | b))
+        out.append((d is None, d or 0, len(a), n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("small", [{}, {"LEAF_ROWS": 6, "BLOCK_ROWS": 4, "PIVOTS": 3, "SLICE_ROWS": 16, "LEVELS": 3},
+                                   {"LEAF_ROWS": 6, "BLOCK_ROWS": 4, "PIVOTS": 3, "SLICE_ROWS": 16, "GROWN": 99}])
+def test_every_link_is_counted_once(spark, monkeypatch, small):
+    """In one leaf, by pivots and blocks, and by pivots and copies into several cells."""
+    for name, value in small.items():
+        monkeypatch.setattr(jaccard, name, value)
+    docs = corpus(3, n=10, near=45, passage=30)
+    frame = spark.createDataFrame([(*d, "r", 0) for d in docs], DOCS).repartition(5)
+    got = jaccard.jaccard_groups(frame, 2, 70).collect()
+    want = link_counts(docs, 2, 70)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.n_links) for r in got) == want
+    assert max(n for *_, n in want) > 40
+
+
 def test_one_of_each_group_stays(spark):
     docs = corpus(2, n=15, near=15, passage=8)
     frame = spark.createDataFrame([(*d, "r", 0) for d in docs], DOCS).repartition(3)

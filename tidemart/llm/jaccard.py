@@ -23,6 +23,7 @@ BLOCK_ROWS = 128  # documents of a block, two of which are compared at once
 LEAF_SHINGLES = 2_000_000
 PIVOTS = 8
 LEVELS = 8
+GROWN = 3  # times the sets of a region that its cells may hold; of more, blocks are compared
 SLICE_ROWS = 2048  # documents of a large region that one task measures against its pivots
 FLUSH = 1_000_000  # projections or shingles that a task holds before it hands them on
 FINER = 6  # times the least number of slices that sets with few rare shingles are projected on
@@ -34,8 +35,9 @@ COMMON_LEAST = 20  # and it is in so many documents
 COMMON_IN_TASK = 4  # occurrences among the documents a task holds from which a shingle is counted
 
 MARKED = "doc_id long, mark long, n long, set_id binary, node long, shard int, packed binary"
-MEMBER = "parent long, region long, away double, set_id binary, n long, text string, a binary, b binary"
-LINK = "a binary, b binary"
+MEMBER = "parent long, region long, set_id binary, n long, copies long, home boolean, text string, a binary, b binary, links long"
+LINK = "a binary, b binary, links long"  # a link, or (b null) a part of the number of rows that a is linked with
+BLOCK = "region long, own int, blocks int, names binary, facts binary, tokens binary"
 
 
 # -- sets -------------------------------------------------------------------------------------
@@ -372,25 +374,45 @@ def spanning(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _once(names: list[bytes], home: np.ndarray, others: list[bytes], other_home: np.ndarray) -> np.ndarray:
+    """Which pairs are counted here: those whose smaller set is at home, so that no pair is counted in two regions."""
+    smaller = np.array([[a < b for b in others] for a in names], bool).reshape(len(names), len(others))
+    return np.where(smaller, home[:, None], other_home[None, :])
+
+
+def _rows(edges: list[tuple[bytes, bytes]], names: list[bytes], links: np.ndarray) -> pa.RecordBatch:
+    """Links, and for each name the part of its number that is known here."""
+    found = np.flatnonzero(links)
+    a = [a for a, _ in edges] + [names[i] for i in found]
+    b = [b for _, b in edges] + [None] * len(found)
+    parts = [None] * len(edges) + links[found].tolist()
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(parts, pa.int64())], names=["a", "b", "links"])
+
+
 def _leaves(shingle: int, percent: int):
-    """Links that connect each region; the rows of a region come one after the other."""
-    def links(held: dict[bytes, str]) -> Iterator[pa.RecordBatch]:
+    """All pairs of each region compared: links that connect it, and how many rows each set is linked with; the rows of
+    a region come one after the other."""
+    def links(held: dict[bytes, tuple]) -> Iterator[pa.RecordBatch]:
         if len(held) > 1:
             names = list(held)
-            sets = list(shingle_sets(pa.array(held.values(), pa.large_string()), shingle))
+            copies, home, texts = zip(*held.values())
+            copies, home = np.array(copies, np.int64), np.array(home, bool)
+            sets = list(shingle_sets(pa.array(texts, pa.large_string()), shingle))
             n = np.array([len(s) for s in sets])
-            found = spanning(linked(common_counts(sets), n[:, None], n[None, :], percent))
-            if found:
-                yield pa.RecordBatch.from_pydict({"a": [names[i] for i, _ in found], "b": [names[j] for _, j in found]})
+            near = linked(common_counts(sets), n[:, None], n[None, :], percent)
+            np.fill_diagonal(near, False)
+            edges = [(names[i], names[j]) for i, j in spanning(near)]
+            yield _rows(edges, names, (near & _once(names, home, names, home)) @ copies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
         for batch in batches:
-            for region, name, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for region, name, copies, home, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if region != at:
                     yield from links(held)
                     at, held = region, {}
-                held[name] = text
+                held[name] = (copies, home, text)
         yield from links(held)
         held = {}
         give_back()
@@ -399,42 +421,64 @@ def _leaves(shingle: int, percent: int):
 
 
 def join_leaves(members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    rows = members.select("region", "set_id", "text")
+    rows = members.select("region", "set_id", "copies", "home", "text")
     return rows.repartition("region").sortWithinPartitions("region").mapInArrow(_leaves(shingle, percent), LINK)
 
 
 def _measure(shingle: int, percent: int, level: int):
-    """Distances of a region's documents to its pivots, which come first: links, home region and windows."""
+    """Distances of a region's documents to its pivots, which come first: links, their number, home region and windows."""
     radius = (100 - percent) / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, pivots = None, []
-        types = pa.schema([("parent", pa.int64()), ("region", pa.int64()), ("away", pa.float64()), ("set_id", pa.binary()),
-                           ("n", pa.int64()), ("text", pa.string()), ("a", pa.binary()), ("b", pa.binary())])
+        at, pivots, theirs, last = None, {}, None, None
+        types = pa.schema([("parent", pa.int64()), ("region", pa.int64()), ("set_id", pa.binary()), ("n", pa.int64()),
+                           ("copies", pa.int64()), ("home", pa.bool_()), ("text", pa.string()), ("a", pa.binary()),
+                           ("b", pa.binary()), ("links", pa.int64())])
+
+        def link(region, a, b, links=None) -> tuple:
+            return region, None, None, None, None, None, None, a, b, links
+
+        def ended() -> list[tuple]:
+            return [link(at[0], p, None, int(x)) for p, x in zip(pivots, theirs) if x] if theirs is not None else []
+
+        def batches_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for first in range(0, len(rows), 2000):
+                part = rows[first:first + 2000]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types.types)], schema=types)
+
         for batch in batches:
             rows = []
-            regions, salts, is_pivot, names, sizes, texts = (c.to_pylist() for c in batch.columns)
-            for region, salt, pivot, name, n, text, own in zip(
-                    regions, salts, is_pivot, names, sizes, texts, shingle_sets(batch.column(5), shingle)):
+            for region, salt, pivot, name, n, copies, home, text, own in zip(
+                    *(c.to_pylist() for c in batch.columns), shingle_sets(batch.column(7), shingle)):
                 if (region, salt) != at:
-                    at, pivots = (region, salt), []
+                    rows += ended()
+                    at, pivots, theirs, last = (region, salt), {}, None, None
                 if pivot:
-                    pivots.append((name, own))
+                    pivots[name] = (own, copies, home)
                     continue
-                common = np.array([_common(own, p) for _, p in pivots])
-                others = np.array([len(p) for _, p in pivots])
+                if name == last:
+                    continue  # a repeated row
+                last = name
+                if theirs is None:
+                    theirs = np.zeros(len(pivots), np.int64)
+                common = np.array([_common(own, p) for p, _, _ in pivots.values()])
+                others = np.array([len(p) for p, _, _ in pivots.values()])
                 away = 1 - common / (len(own) + others - common)
-                for i in np.flatnonzero(linked(common, len(own), others, percent)):
-                    if pivots[i][0] != name:
-                        rows.append((None, None, None, None, None, None, name, pivots[i][0]))
-                if any(p == name for p, _ in pivots):
-                    continue  # its links are all known now
-                for i in np.flatnonzero(away <= away.min() + 2 * radius + 1e-9):
+                near = linked(common, len(own), others, percent) & np.array([p != name for p in pivots])
+                rows += [link(region, name, p) for p, is_near in zip(pivots, near) if is_near]
+                counted = near & _once([name], np.array([home]), list(pivots), np.array([h for _, _, h in pivots.values()]))[0]
+                mine = int(counted @ np.array([c for _, c, _ in pivots.values()]))
+                if mine:
+                    rows.append(link(region, name, None, mine))
+                if name in pivots:
+                    continue  # its links are all known now, and the other pivots count theirs
+                theirs += counted * copies
+                nearest = int(away.argmin())
+                for i in np.flatnonzero(away <= away[nearest] + 2 * radius + 1e-9):
                     cell = _cell(region, level, int(i))
-                    rows.append((region, cell, float(away[i]), name, n, text, None, None))
-            for first in range(0, len(rows), 2000):
-                part = rows[first:first + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types.types)], schema=types)
+                    rows.append((region, cell, name, n, copies, home and int(i) == nearest, text, None, None, None))
+            yield from batches_of(rows)
+        yield from batches_of(ended())
 
     return run
 
@@ -452,26 +496,26 @@ def _sizes(members: DataFrame) -> DataFrame:
 
 
 def join_regions(spark: SparkSession, members: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that connect what is linked, between the sets (set_id, n, text) of each region.
+    """All pairs of sets (set_id, n, copies, home, text) of each region that are linked: links (a, b) that connect them, and
+    parts (a, null, links) of the number of rows each set is linked with.
 
     A region of up to ``LEAF_ROWS`` sets is compared at once. A larger one takes pivots; each set is measured against
-    them, lies in the Voronoi region of the nearest, and is copied into those whose pivot is at most twice the radius
-    farther, which by the triangle inequality is where a linked set can lie. So the regions are joined on their own,
-    recursively. Sets within the radius of a pivot are linked to it and thereby to each other, and stay in its region
-    only if some set beyond the radius may be linked to them. Where sets are so evenly apart that a region does not
-    shrink, its sets are compared block by block, each pair of blocks in a task of its own: exact, bounded in memory,
+    them, lies in the Voronoi region of the nearest, its home, and is copied into those whose pivot is at most twice the
+    radius farther, which by the triangle inequality is where a linked set can lie. So the regions are joined on their
+    own, recursively, and a pair is counted where the set of the smaller name is at home. Where sets are so evenly apart,
+    or so close together, that a region does not shrink, its sets are compared block by block: exact, bounded in memory,
     quadratic in work.
     """
-    radius = (100 - percent) / 100
     links = []
     small = (F.col("rows") <= LEAF_ROWS) & (F.col("shingles") <= LEAF_SHINGLES)
+    columns = ["region", "set_id", "n", "copies", "home", "text"]
 
     def by_size(rows: DataFrame, label: str) -> DataFrame:
         """Joins the small regions; the rows of the others."""
         sized = rows.join(_sizes(rows).filter("rows > 1").withColumn("leaf", small), "region")
-        leaf = sized.filter("leaf").select("region", "set_id", "text")
+        leaf = sized.filter("leaf").select(*columns)
         links.append(settle(join_leaves(leaf, shingle, percent), f"jaccard-links-{label}"))
-        return settle(sized.filter("not leaf").select("region", "set_id", "n", "text", "rows"), f"jaccard-large-{label}")
+        return settle(sized.filter("not leaf").select(*columns, "rows"), f"jaccard-large-{label}")
 
     current = by_size(members, "0")
     level = 0
@@ -487,24 +531,25 @@ def join_regions(spark: SparkSession, members: DataFrame, shingle: int = SHINGLE
             .withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("pivot", F.lit(True))
         )
         rows = current.withColumns({"salt": F.pmod(F.xxhash64("set_id"), parts).cast("int"), "pivot": F.lit(False)})
-        columns = ["region", "salt", "pivot", "set_id", "n", "text"]
+        dealt_columns = ["region", "salt", "pivot", *columns[1:]]
         dealt = (
-            pivots.select(*columns).unionByName(rows.select(*columns))
-            .repartition("region", "salt").sortWithinPartitions("region", "salt", F.desc("pivot"))
+            pivots.select(*dealt_columns).unionByName(rows.select(*dealt_columns))
+            .repartition("region", "salt").sortWithinPartitions("region", "salt", F.desc("pivot"), "set_id")
         )
         measured = settle(dealt.mapInArrow(_measure(shingle, percent, level), MEMBER), "jaccard-measured")
-        links.append(measured.filter("a is not null").select("a", "b"))
-        cells = measured.filter("a is null").drop("a", "b")
-        # within the radius of a pivot only sets that some set beyond it may be linked to go on
-        edge = cells.groupBy("region").agg(F.min(F.when(F.col("away") > radius, F.col("away"))).alias("edge"))
-        kept = cells.join(edge, "region").filter((F.col("away") > radius) | (F.col("away") + radius + 1e-9 >= F.col("edge")))
-        kept = settle(kept.select("parent", "region", "set_id", "n", "text"), "jaccard-cells")
+        cells = measured.filter("a is null").select("parent", *columns)
         parents = current.groupBy("region").agg(F.first("rows").alias("rows"))
-        filled = kept.groupBy("parent", "region").agg(F.count(F.lit(1)).alias("cell")).groupBy("parent").agg(F.max("cell").alias("cell"))
-        stuck = filled.join(parents, filled["parent"] == parents["region"]).filter(F.col("cell") > 0.7 * F.col("rows")).select("parent")
+        filled = cells.groupBy("parent", "region").agg(F.count(F.lit(1)).alias("cell"))
+        filled = filled.groupBy("parent").agg(F.max("cell").alias("cell"), F.sum("cell").alias("cells"))
+        # a cell nearly as large as the region, or many copies: blocks cost less
+        full = (F.col("cell") > 0.7 * F.col("rows")) | (F.col("cells") > GROWN * F.col("rows"))
+        stuck = filled.join(parents, filled["parent"] == parents["region"]).filter(full).select("parent")
+        stuck = settle(stuck, "jaccard-stuck")
+        # blocks count all pairs of a region, also those with its pivots
+        links.append(measured.filter("a is not null").join(stuck, "parent", "left_anti").select("a", "b", "links"))
         blocked = current.join(stuck, current["region"] == stuck["parent"], "left_semi")
         links.append(settle(_by_blocks(blocked, shingle, percent), "jaccard-links-blocks"))
-        current = by_size(kept.join(stuck, "parent", "left_anti").select("region", "set_id", "n", "text"), str(level))
+        current = by_size(cells.join(stuck, "parent", "left_anti").select(*columns), str(level))
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
@@ -512,18 +557,134 @@ def join_regions(spark: SparkSession, members: DataFrame, shingle: int = SHINGLE
 
 
 def _by_blocks(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links that connect each region: its sets are dealt into blocks, and every two blocks meet in a region of their own."""
+    """The pairs of each region: its sets are dealt into blocks of a row each, and every block meets every block."""
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
-    dealt = rows.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("set_id"), F.col("_blocks")).cast("int"))
-    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    pair = F.xxhash64("region", F.least("_own", "_other"), F.greatest("_own", "_other"))
-    return join_leaves(met.select(pair.alias("region"), "set_id", "text"), shingle, percent)
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    packed = (
+        dealt.select("region", "own", "blocks", "set_id", "copies", "home", "text")
+        .repartition("region", "own").sortWithinPartitions("region", "own").mapInArrow(_pack_blocks(shingle, percent), BLOCK)
+    )
+    met = settle(packed, "jaccard-blocks").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("region", "at", "own", "names", "facts", "tokens").repartition("region", "at")
+    return met.sortWithinPartitions("region", "at", F.desc(F.col("own") == F.col("at"))).mapInArrow(_meet_blocks(percent), LINK)
+
+
+def _labels(near: np.ndarray) -> np.ndarray:
+    """The component of each row of a symmetric matrix, from 0."""
+    out, count = np.full(len(near), -1, np.int64), 0
+    for root in range(len(near)):
+        if out[root] < 0:
+            out[root], left = count, [root]
+            while left:
+                new = np.flatnonzero(near[left.pop()] & (out < 0))
+                out[new] = count
+                left += new.tolist()
+            count += 1
+    return out
+
+
+def _pack_blocks(shingle: int, percent: int):
+    """One row per block; the rows of a block come one after the other."""
+    def packed(at: tuple, held: dict[bytes, tuple]) -> Iterator[pa.RecordBatch]:
+        if held:
+            copies, home, texts = zip(*held.values())
+            sets = list(shingle_sets(pa.array(texts, pa.large_string()), shingle))
+            n = np.array([len(s) for s in sets])
+            group = _labels(linked(common_counts(sets), n[:, None], n[None, :], percent))
+            owner, tokens = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+            order = np.argsort(tokens, kind="stable")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int32()), pa.array([at[2]], pa.int32()),
+                 pa.array([b"".join(held)], pa.binary()), pa.array([np.array([n, copies, home, group], np.int64).tobytes()], pa.binary()),
+                 pa.array([pack(tokens[order], owner[order])], pa.binary())], names=["region", "own", "blocks", "names", "facts", "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+        for batch in batches:
+            for region, own, blocks, name, copies, home, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (region, own, blocks) != at:
+                    yield from packed(at, held)
+                    at, held = (region, own, blocks), {}
+                held[name] = (copies, home, text)
+        yield from packed(at, held)
+        held = {}
+        give_back()
+
+    return run
+
+
+class _Block:
+    def __init__(self, names: bytes, facts: bytes, tokens: bytes):
+        self.names = [names[i:i + 16] for i in range(0, len(names), 16)]
+        self.n, self.copies, home, self.group = np.frombuffer(facts, np.int64).reshape(4, -1)
+        self.home = home > 0
+        self.tokens, index, table = unpack(tokens)
+        self.owner = table[index]
+
+    def common(self, other: _Block) -> np.ndarray:
+        """Sizes of the intersections of the sets of two blocks."""
+        both = np.intersect1d(self.tokens, other.tokens)
+        sides = []
+        for block in (self, other):
+            inside = _among(block.tokens, both)
+            sides.append((np.searchsorted(both, block.tokens[inside]), block.owner[inside], len(block.names)))
+        out = np.zeros((sides[0][2], sides[1][2]), np.int64)
+        for first in range(0, len(both), 16384):
+            dense = []
+            for column, owner, rows in sides:
+                low, high = np.searchsorted(column, [first, first + 16384])
+                block = np.zeros((rows, 16384), np.float32)
+                block[owner[low:high], column[low:high] - first] = 1
+                dense.append(block)
+            out += (dense[0] @ dense[1].T).astype(np.int64)
+        return out
+
+    def edges(self, other: _Block, near: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """Links that connect the groups of two blocks, each connected in itself, as few as do it."""
+        i, j = np.nonzero(near)
+        own, all_ = int(self.group.max()) + 1, int(self.group.max()) + int(other.group.max()) + 2
+        at = np.full((all_, all_), -1, np.int64)
+        at[self.group[i], own + other.group[j]] = np.arange(len(i))
+        at = np.maximum(at, at.T)
+        return [(self.names[i[at[p, q]]], other.names[j[at[p, q]]]) for p, q in spanning(at >= 0)]
+
+
+def _meet_blocks(percent: int):
+    """Links of a block's sets with all of the region, and their number; the block itself comes first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, found = None, None, None
+        for batch in batches:
+            for region, place, no, names, facts, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                block = _Block(names, facts, tokens)
+                if (region, place) != at:
+                    if own is not None:
+                        yield _rows([], own.names, found)
+                    at, own, found = (region, place), None, None
+                    if no != place:
+                        continue  # no set is in the block itself
+                    own, found = block, np.zeros(len(block.names), np.int64)
+                if own is None:
+                    continue
+                near = linked(own.common(block), own.n[:, None], block.n[None, :], percent)
+                if no == place:
+                    np.fill_diagonal(near, False)
+                    edges = [(own.names[i], own.names[j]) for i, j in spanning(near)]
+                else:
+                    edges = own.edges(block, near) if place < no else []
+                found += (near & _once(own.names, own.home, block.names, block.home)) @ block.copies
+                if edges:
+                    yield _rows(edges, [], np.zeros(0, np.int64))
+        if own is not None:
+            yield _rows([], own.names, found)
+        give_back()
+
+    return run
 
 
 # -- the join ---------------------------------------------------------------------------------
 
 def _sets_and_links(spark: SparkSession, keyed: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The sets of all rows of ``keyed`` (doc_id, mark, text), and links that connect the groups; both written."""
+    """The sets of all rows of ``keyed`` (doc_id, mark, text), and what ``join_regions`` found; both written."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     common = common_shingles(keyed, shingle)
     packed = scratch_dir(spark, "jaccard-marked")
@@ -535,22 +696,22 @@ def _sets_and_links(spark: SparkSession, keyed: DataFrame, shingle: int, percent
     near = base.filter("set_id is not null").join(regions, "node")
     chosen = settle(
         near.groupBy("set_id").agg(
-            F.first("region").alias("region"), F.first("n").alias("n"),
+            F.first("region").alias("region"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"),
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("row"))
-        .select("set_id", "region", "n", F.col("row.doc_id").alias("_id"), F.col("row.mark").alias("_mark")), "jaccard-chosen")
+        .select("set_id", "region", "n", "copies", F.col("row.doc_id").alias("_id"), F.col("row.mark").alias("_mark")), "jaccard-chosen")
     members = settle(
         keyed.join(chosen, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-        .select("region", "set_id", "n", "text"), "jaccard-members")
+        .select("region", "set_id", "n", "copies", F.lit(True).alias("home"), "text"), "jaccard-members")
 
     return base, join_regions(spark, members, shingle, percent)
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, mark (hash of the text), n_shingles, set_id and component_id of every row of ``docs``.
+    """doc_id, mark (hash of the text), n_shingles, set_id, group_id, component_id and n_links of every row of ``docs``.
 
     Words are blank-separated with A-Z lower-cased; a document's set holds its distinct shingles, or its whole sequence
     if it has fewer words. Documents are linked where 100 * intersection >= percent * union; component_id is the smallest
-    doc_id that links reach. Null, empty and blank texts have an empty set (set_id null), are linked with nothing and
+    doc_id that links reach; n_links is the number of other rows linked with this one, each pair compared. Null, empty and blank texts have an empty set (set_id null), are linked with nothing and
     have their own id. Equal sets are one point of the join, so copies cost nothing beyond the first step. A null doc_id
     never names a component: one without any id has a null component_id. Repeated rows count as copies. Extra columns
     are not read; an empty table gives no rows.
@@ -559,14 +720,16 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     with small_batches(spark):
         base, links = _sets_and_links(spark, keyed, shingle, percent)
-    roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    sets = base.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(links.filter("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    numbers = links.filter("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("others"))
+    sets = base.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    sets = sets.join(numbers, "set_id", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("copies") - 1)
     rooted = sets.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = settle(rooted.join(least, "root").select("set_id", "root", "component_id"), "jaccard-groups")
+    named = settle(rooted.join(least, "root").select("set_id", "root", "component_id", "n_links"), "jaccard-groups")
     filled = base.filter("set_id is not null").join(named, "set_id")
-    empty = base.filter("set_id is null").select("doc_id", "mark", F.lit(0).cast("long").alias("n_shingles"), "set_id", F.col("set_id").alias("group_id"), F.col("doc_id").alias("component_id"))
-    return filled.select("doc_id", "mark", F.col("n").alias("n_shingles"), "set_id", F.col("root").alias("group_id"), "component_id").unionByName(empty)
+    empty = base.filter("set_id is null").select("doc_id", "mark", F.lit(0).cast("long").alias("n_shingles"), "set_id", F.col("set_id").alias("group_id"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return filled.select("doc_id", "mark", F.col("n").alias("n_shingles"), "set_id", F.col("root").alias("group_id"), "component_id", "n_links").unionByName(empty)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
