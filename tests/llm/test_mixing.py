@@ -61,6 +61,19 @@ def test_mix(spark):
         assert rows.copies.max() - rows.copies[rows["size"] > 0].min() <= 1  # repetition is spread evenly
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3, 4, 5, 6])
+def test_a_few_very_long_documents(spark, seed):
+    """Long documents that do not fit leave no gap while enough fitting ones are left."""
+    sizes = [20_000 if i < 4 else 50 + i * 31 % 23 for i in range(800)]
+    docs = spark.createDataFrame([(i, "w " * n, "ab"[i % 2], "t", 5) for i, n in enumerate(sizes)], DOCS)
+    got = mixing.mix_documents(docs, seed).toPandas()
+    for _, rows in got.groupby("source"):
+        assert abs(rows.taken.sum() - rows.target.iloc[0]) <= 75
+    counts = dict(zip(got.doc_id, got.copies))
+    taken = {r.doc_id: r["count"] for r in mixing.take(docs, seed).groupBy("doc_id").count().collect()}
+    assert {d: n for d, n in counts.items() if n} == taken
+
+
 def test_rows_of_the_mix(spark):
     docs = _docs(spark)
     counts = {(r.doc_id, r["size"]): r.copies for r in mixing.mix_documents(docs).collect()}

@@ -16,10 +16,12 @@ from tidemart.session import settle
 MAX_COPIES = 3
 SEED = 71
 BUCKETS = 4096  # ranges of the seeded hash whose sizes are summed to find where a pattern's selection ends
-FILLS = 4  # documents that may fill the gap which the first document that does not fit leaves
+TRADES = 4  # documents that may be left out for one that is larger than the gap which is left when nothing fits
 CLOSE = 1000  # a gap of less than this part of what a pattern gives is left as it is
 BROADCAST_ROWS = 100_000  # rows of a plan (some 100 bytes each) that are broadcast; longer plans are joined by shuffle
 
+ROUNDS = "array<struct<after: bigint, stop: bigint, most: bigint>>"
+
 Source = str | None
 
 
@@ -107,12 +109,13 @@ def route(patterns: dict[str, int], members: dict[str, Sequence[Source]], quotas
 
 @dataclass
 class Share:
-    """What is taken of one pattern: every document ``base`` times, and once more those up to ``cut`` that are not in
-    ``drops``, and those in ``fills``. ``gap``: words still missing."""
+    """What is taken of one pattern: every document ``base`` times, and once more those of the ``rounds`` that are not in
+    ``drops``, and those in ``fills``. A round (after, stop, most) has the documents of up to ``most`` words between two
+    places of the seeded order; null is no limit. ``gap``: words still missing."""
     base: int
     gap: int
     close: int = 0
-    cut: int | None = None
+    rounds: list[tuple[int | None, int | None, int | None]] = field(default_factory=list)
     fills: list[int] = field(default_factory=list)
     drops: list[int] = field(default_factory=list)
 
@@ -126,8 +129,13 @@ def _holds(column: str) -> Column:
     return F.coalesce(F.array_contains(column, F.col("order")), F.lit(False))
 
 
-def _before_cut() -> Column:
-    return F.coalesce(F.col("order") <= F.col("cut"), F.lit(False))
+def _in_rounds(rounds: Column | str, size: Column) -> Column:
+    def takes(r: Column) -> Column:
+        behind = r["after"].isNull() | (F.col("order") > r["after"])
+        before = r["stop"].isNull() | (F.col("order") < r["stop"])
+        return behind & before & (r["most"].isNull() | (size <= r["most"]))
+
+    return F.coalesce(F.exists(rounds, takes), F.lit(False))
 
 
 @dataclass
@@ -136,14 +144,15 @@ class Plan:
     targets: dict[Source, float]
     shares: dict[str, Share]
 
-    def copies(self, docs: DataFrame, name: str = "copies") -> DataFrame:
-        """``docs`` (with pattern and order, see ``with_order``) and how often each is taken. Nothing is shuffled:
-        the decision is a lookup in the plan, one row per pattern."""
-        rows = [(p, s.base, s.cut, s.fills, s.drops) for p, s in self.shares.items()]
-        plan = _small(docs.sparkSession, rows, "pattern string, base int, cut long, fills array<long>, drops array<long>")
-        plan = plan.select("pattern", F.struct("base", "cut", "fills", "drops").alias("_plan"))
+    def copies(self, docs: DataFrame, name: str = "copies", size: str | Column = "size") -> DataFrame:
+        """``docs`` (with pattern and order, see ``with_order``, and size) and how often each is taken. Nothing is
+        shuffled: the decision is a lookup in the plan, one row per pattern."""
+        rows = [(p, s.base, s.rounds, s.fills, s.drops) for p, s in self.shares.items()]
+        plan = _small(docs.sparkSession, rows, f"pattern string, base int, rounds {ROUNDS}, fills array<long>, drops array<long>")
+        plan = plan.select("pattern", F.struct("base", "rounds", "fills", "drops").alias("_plan"))
         order, own = F.col("order"), F.col("_plan")
-        more = (F.coalesce(order <= own["cut"], F.lit(False)) & ~F.array_contains(own["drops"], order)) | F.array_contains(own["fills"], order)
+        size = F.col(size) if isinstance(size, str) else size
+        more = (_in_rounds(own["rounds"], size) & ~F.array_contains(own["drops"], order)) | F.array_contains(own["fills"], order)
         return docs.join(plan, "pattern", "left").withColumn(name, (own["base"] + more.cast("int")).cast("int")).drop("_plan")
 
 
@@ -158,8 +167,8 @@ def plan_mix(sized: DataFrame, weigh: Callable[[Sequence[Source]], dict[Source,
     """Plan over ``sized`` (pattern, order, size; written, as it is read a few times).
 
     One row per membership pattern goes to the driver. Where a pattern's selection ends is found by sums over ranges
-    of the seeded order, then inside one range, so no pattern is ever sorted as a whole; the gap that the first document
-    too large leaves is filled by the largest that fit. Documents with equal doc_id and text share a place in the order
+    of the seeded order, then inside one range, so no pattern is ever sorted as a whole; behind a document that is too
+    large it goes on with those that are not, until none fits. Documents with equal doc_id and text share a place in the order
     and are taken together.
     """
     totals = {r.pattern: int(r.size) for r in sized.groupBy("pattern").agg(F.sum("size").alias("size")).collect()}
@@ -176,31 +185,51 @@ def plan_mix(sized: DataFrame, weigh: Callable[[Sequence[Source]], dict[Source,
 
 
 def _gaps(spark: SparkSession, shares: dict[str, Share]) -> DataFrame:
-    rows = [(p, s.gap, s.cut, s.fills, s.drops) for p, s in shares.items() if s.gap]
-    return _small(spark, rows, "pattern string, gap long, cut long, fills array<long>, drops array<long>")
+    rows = [(p, s.gap, s.rounds, s.fills, s.drops) for p, s in shares.items() if s.gap]
+    return _small(spark, rows, f"pattern string, gap long, rounds {ROUNDS}, fills array<long>, drops array<long>")
 
 
-def _select(sized: DataFrame, shares: dict[str, Share]) -> None:
+def _walk(sized: DataFrame, shares: dict[str, Share]) -> None:
+    """Rounds along the seeded order: each ends before the first place that does not fit, and the next goes on behind it
+    with the documents that are no larger than the gap, until nothing is left that fits."""
+    spark = sized.sparkSession
     shift = 64 - (BUCKETS.bit_length() - 1)
     bucket = F.shiftrightunsigned(F.col("order").bitwiseXOR(F.lit(-1 << 63)), shift)
-    rows = sized.withColumn("bucket", bucket).join(_gaps(sized.sparkSession, shares).select("pattern", "gap"), "pattern")
-    sums = rows.groupBy("pattern", "gap", "bucket").agg(F.sum("size").alias("part"))
-    up_to = Window.partitionBy("pattern").orderBy("bucket")
-    ends = (
-        sums.withColumn("before", F.sum("part").over(up_to) - F.col("part"))
-        .filter("before <= gap and before + part > gap").select("pattern", "bucket", "before")
-    )
-    inside = rows.join(ends, ["pattern", "bucket"])
-    within = Window.partitionBy("pattern").orderBy("order")  # equal places are summed together
-    fitting = inside.withColumn("sum", F.col("before") + F.sum("size").over(within)).filter("sum <= gap")
-    found = fitting.groupBy("pattern").agg(F.max("order").alias("cut"), F.max("sum").alias("sum"))
-    for r in ends.join(found, "pattern", "left").collect():
-        s = shares[r.pattern]
-        if r.cut is not None:
-            s.cut, s.gap = r.cut, s.gap - r["sum"]
-        else:  # nothing of that range fits: all before it is taken
-            s.gap -= r.before
-            s.cut = (r.bucket << shift) - (1 << 63) - 1 if r.bucket else None
+    limits: dict[str, tuple[int | None, int | None]] = {p: (None, None) for p, s in shares.items() if s.gap}
+    while limits:
+        open_ = _small(spark, [(p, shares[p].gap, *limits[p]) for p in limits], "pattern string, gap long, after long, most long")
+        fits = (F.col("after").isNull() | (F.col("order") > F.col("after"))) & (F.col("most").isNull() | (F.col("size") <= F.col("most")))
+        rows = sized.withColumn("bucket", bucket).join(open_, "pattern").filter(fits)
+        sums = settle(rows.groupBy("pattern", "gap", "bucket").agg(F.sum("size").alias("part")), "mix-sums")
+        up_to = Window.partitionBy("pattern").orderBy("bucket")
+        ends = (
+            sums.withColumn("before", F.sum("part").over(up_to) - F.col("part"))
+            .filter("before <= gap and before + part > gap").select("pattern", "bucket", "before")
+        )
+        inside = rows.join(ends, ["pattern", "bucket"])
+        within = Window.partitionBy("pattern").orderBy("order")  # equal places are summed together
+        summed = inside.withColumn("sum", F.col("before") + F.sum("size").over(within))
+        stops = summed.groupBy("pattern").agg(
+            F.max(F.when(F.col("sum") <= F.col("gap"), F.col("sum"))).alias("sum"), F.first("before").alias("before"),
+            F.min(F.when(F.col("sum") > F.col("gap"), F.col("order"))).alias("stop")).collect()
+        whole = sums.groupBy("pattern").agg(F.first("gap").alias("gap"), F.sum("part").alias("sum")).filter("sum <= gap").collect()
+        further = {}
+        for r in stops:
+            s, (after, most) = shares[r.pattern], limits[r.pattern]
+            given = r.before if r["sum"] is None else r["sum"]
+            if given:
+                s.rounds.append((after, r.stop, most))
+                s.gap -= given
+            if s.gap:
+                further[r.pattern] = (r.stop, s.gap)
+        for r in whole:
+            shares[r.pattern].rounds.append((limits[r.pattern][0], None, limits[r.pattern][1]))
+            shares[r.pattern].gap -= r["sum"]
+        limits = further
+
+
+def _select(sized: DataFrame, shares: dict[str, Share]) -> None:
+    _walk(sized, shares)
     spark = sized.sparkSession
 
     def places(open_: dict[str, Share], free: Column, largest: bool) -> list:
@@ -218,22 +247,15 @@ def _select(sized: DataFrame, shares: dict[str, Share]) -> None:
     def far() -> dict[str, Share]:
         return {p: s for p, s in shares.items() if s.gap > s.close}
 
-    free = ~_before_cut() & ~_holds("fills")
-    for _ in range(FILLS):
-        found = places(far(), free, True)
-        for r in found:
-            shares[r.pattern].fills.append(r.best.order)
-            shares[r.pattern].gap -= r.best.size
-        if not found:
-            break
+    taken = _in_rounds("rounds", F.col("size"))
     # where all that is left is too large: take the smallest, and leave out as much of what was taken
     trial = far()
-    for r in places(trial, free, False):
+    for r in places(trial, ~taken & ~_holds("fills"), False):
         s = trial[r.pattern]
-        trial[r.pattern] = Share(s.base, r.best.size - s.gap, s.close, s.cut, [*s.fills, r.best.order])
+        trial[r.pattern] = Share(s.base, r.best.size - s.gap, s.close, s.rounds, [*s.fills, r.best.order])
     trial = {p: s for p, s in trial.items() if s is not shares[p]}
-    for _ in range(FILLS):
-        found = places({p: s for p, s in trial.items() if s.gap}, _before_cut() & ~_holds("drops"), True)
+    for _ in range(TRADES):
+        found = places({p: s for p, s in trial.items() if s.gap}, taken & ~_holds("drops"), True)
         for r in found:
             trial[r.pattern].drops.append(r.best.order)
             trial[r.pattern].gap -= r.best.size
@@ -275,5 +297,9 @@ def take(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes them; columns stay as they are."""
     ordered = with_order(docs, F.array(F.col("source")), seed)
     sized = settle(word_sizes(ordered, ["pattern", "order"]), "mix-sizes")
-    chosen = plan_mix(sized).copies(ordered, "_copies")
+    size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0))
+    chosen = plan_mix(sized).copies(ordered, "_copies", size)
     return chosen.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
