@@ -78,6 +78,12 @@ def test_additions_are_those_of_the_trees():
     assert ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.97
 
 
+def test_lines_are_told_apart_by_all_their_words():
+    rows = "\n".join(f"row {i} {i * 7 % 100:02} end" for i in range(10, 50))
+    got = quality.measure(pa.array([rows, rows + "\n" + rows, "a b c\nA  b c\n", "a\nb\n \n\t"]))[:, quality.MEASURES.index("distinct_lines")]
+    assert got.tolist() == [1, 0.5, 0.5, 0.75]
+
+
 def test_measures_of_whole_texts():
     text = "One two two\nONE!! two 3\n\nlast"
     one, empty, null, long = quality.measure(pa.array([text, "", None, (text + "\n") * 50_000]))

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemart.llm.lines import digests
 from tidemart.llm.text import NOT_BLANK, give_back, pieces, runs, small_batches, utf8, word_hashes, words
 from tidemart.llm.toxicity import held_out
 from tidemart.session import settle
@@ -75,11 +76,8 @@ def measure(column: pa.Array) -> np.ndarray:
         triple_count = np.bincount(owner[at], minlength=n)
         triple_kinds, _ = _distinct(triples, owner[at], n)
         line_starts, line_ends, line_owner = words(piece, cuts, _LINE)
-        # a line is told apart by its length and the words it begins and ends with
-        some = np.searchsorted(starts, line_starts)
-        some = np.minimum(some, max(len(hashes) - 1, 0))
-        tail = np.maximum(np.searchsorted(starts, line_ends) - 1, 0)
-        line_key = hashes[some] * np.uint64(3) + hashes[tail] + (line_ends - line_starts).astype(np.uint64) if len(hashes) else (line_ends - line_starts).astype(np.uint64)
+        low, high = np.searchsorted(starts, line_starts), np.searchsorted(starts, line_ends)
+        line_key = digests(hashes, low, high)[0].view(np.uint64)  # of all words of the line
         lines = np.bincount(line_owner, minlength=n)
         line_kinds, _ = _distinct(line_key, line_owner, n)
         part = lambda a, b: a / np.maximum(b, 1)
