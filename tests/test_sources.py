@@ -162,3 +162,11 @@ def test_finite(spark):
 
     df = spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, -0.5), (4, None)], "k int, x double")
     assert rows(finite(df)) == [(1, None), (2, None), (3, -0.5), (4, None)]
+
+
+def test_profile_with_samples(spark):
+    layer = {"a": spark.createDataFrame([(1, "x")] * 4 + [(1, "x")], "n int, s string"), "b": spark.createDataFrame([(None, [1, 2])], "`a.b` double, l array<int>"),
+             "none": spark.createDataFrame([], "k int")}
+    got = {(r.table, r.column): (r.row_count, r.samples) for r in tables.profile(spark, layer, 3).collect()}
+    assert got == {("a", "n"): (5, ["1"] * 3), ("a", "s"): (5, ["x"] * 3), ("b", "a.b"): (1, [None]), ("b", "l"): (1, ["[1, 2]"]), ("none", "k"): (0, [])}
+    assert "samples" not in tables.profile(spark, layer).columns

@@ -186,14 +186,31 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def profile(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(table, ordinal, column, type, row_count) for every column of a layer."""
+def profile(spark: SparkSession, tables: Mapping[str, DataFrame], samples: int = 0) -> DataFrame:
+    """(table, ordinal, column, type, row_count) for every column of a layer; with ``samples``, also the column samples:
+    the values, as text, of so many rows of its table, the same rows for all its columns."""
     layout = [
         (name, i, field.name, field.dataType.simpleString())
         for name, df in tables.items() for i, field in enumerate(df.schema.fields)
     ]
     columns = spark.createDataFrame(layout, "table string, ordinal int, column string, type string")
-    return columns.join(row_counts(tables), "table")
+    found = columns.join(row_counts(tables), "table")
+    if not samples:
+        return found
+    values = reduce(DataFrame.unionByName, [_values(name, sample(df, samples)) for name, df in tables.items()])
+    return found.join(values, ["table", "ordinal"], "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+
+
+def _values(name: str, df: DataFrame) -> DataFrame:
+    """(table, ordinal, samples) of a few rows; nulls stay in their place."""
+    text = [df[f"`{c}`"].cast("string") for c in df.columns]
+    row = df.select(F.collect_list(F.struct(F.array(*text).alias("v"))).alias("rows"))
+
+    def values(i: int):
+        return F.struct(F.lit(i).alias("ordinal"), F.transform("rows", lambda r: r["v"][i]).alias("samples"))
+
+    per_column = F.array(*[values(i) for i in range(len(text))])
+    return row.select(F.lit(name).alias("table"), F.explode(per_column).alias("c")).select("table", "c.ordinal", "c.samples")
 
 
 def sample(df: DataFrame, rows: int = 5) -> DataFrame:
