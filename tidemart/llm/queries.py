@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemart.llm import jaccard, lines, mixing, quality, shards, topk, toxicity, urls, warc, winnow
+from tidemart.llm import centroids, jaccard, languages, lines, mixing, negatives, quality, shards, topk, toxicity, urls, warc, winnow
 from tidemart.session import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,3 +199,63 @@ l AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(
 r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT l.b, r.c FROM r JOIN l ON r.doc_id = l.a)
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 sound components in 16 clusters after three rounds, with inertias and centroids' digests."""
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def _centroids_sql() -> str:
+    floor_mean = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+    steps = []
+    for i in range(centroids.ROUNDS + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT rid, vec_id, v, c, d FROM (
+  SELECT v.rid, v.vec_id, v.v, c{i}.c, list_sum(list_transform(range(1, 65), lambda j: (v.v[j] - c{i}.v[j]) * (v.v[j] - c{i}.v[j]))) AS d,
+    row_number() OVER (PARTITION BY v.rid ORDER BY d, c{i}.c) AS r FROM v, c{i}) WHERE r = 1)""")
+        if i < centroids.ROUNDS:
+            steps.append(f"""m{i} AS (SELECT c, list({floor_mean} ORDER BY j) AS v FROM (
+  SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY c, j) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} ON m{i}.c = c{i}.c)""")
+    n = centroids.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM v ORDER BY sha256('1:' || vec_id), v LIMIT {centroids.CLUSTERS}),
+{", ".join(steps)}
+SELECT vec_id, CAST(a{n}.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a{n}.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{n}.v, ',')) AS centroid_sha256
+FROM a{n} JOIN c{n} ON c{n}.c = a{n}.c
+"""
+
+
+ORACLE["op11_centroids"] = _centroids_sql()
+
+
+@query
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows outside the held-out fifth."""
+    return languages.identify(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of five positives of every hundredth vec_id, searched among all rows."""
+    vectors = negatives.labelled_vectors(_table(spark, sf_dir, "embeddings"))
+    return negatives.mine(spark, vectors, F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op13_negatives"] = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.rid AS arid, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score, c.rid
+  FROM v a JOIN v c ON a.rid <> c.rid WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id, rid) AS no FROM s WHERE same),
+n AS (SELECT p.arid, p.no, p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.arid, p.no ORDER BY s.score DESC, s.vec_id, s.rid) AS INTEGER) AS rank
+  FROM p JOIN s ON s.arid = p.arid AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score WHERE p.no <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
