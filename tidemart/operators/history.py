@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
@@ -23,25 +24,36 @@ def first_load(users: DataFrame) -> DataFrame:
     )
 
 
-def merge(
+@dataclass(frozen=True)
+class Changes:
+    """What a snapshot does to the history. Closed versions that are already there stay as they are."""
+
+    changed: DataFrame  # written: one row per version that was closed or opened, or a user that left
+    kept: DataFrame  # current versions that stay current
+    closed: DataFrame  # versions that end now
+    opened: DataFrame  # versions that begin now, numbered
+
+
+def changes(
     existing: DataFrame,
     incoming: DataFrame,
     as_of: date | str | None = None,
     tracked: tuple[str, ...] = ("city",),
     drop_missing: bool = False,
-) -> DataFrame:
-    """Fold a user snapshot into the history.
+) -> Changes:
+    """Compare a user snapshot with the history.
 
     A change in a ``tracked`` column closes the current version at ``as_of`` and opens a new one; a
     change elsewhere alone does not. Users missing from the snapshot stay current, unless
     ``drop_missing``. New versions take the keys after the highest one, in user order, and users seen
     for the first time those after them. Applying the same snapshot twice changes nothing.
 
-    One join of current rows with the snapshot classifies every user; a changed user unfolds into
-    its closed and its new version. Only new rows are numbered.
+    One join of current rows with the snapshot classifies every user. Only what changes is written and
+    numbered; the rest of the current rows is what the anti join with it leaves.
     """
     today = F.current_date() if as_of is None else F.lit(as_of).cast("date")
-    have = existing.filter("is_current").select(*[F.col(c).alias(f"old_{c}") for c in COLUMNS])
+    current = existing.filter("is_current").select(*COLUMNS)
+    have = current.select(*[F.col(c).alias(f"old_{c}") for c in COLUMNS])
     come = incoming.select(*[F.col(c).alias(f"new_{c}") for c in ("user_id", "name", "email", "city", "signup_date")])
     both = have.join(come, F.col("old_user_id") == F.col("new_user_id"), "full_outer")
 
@@ -50,7 +62,7 @@ def merge(
     for c in tracked:
         same = same & F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
 
-    old = [F.col(f"old_{c}").alias(c) for c in COLUMNS]
+    old = [F.col(f"old_{c}").alias(c) for c in ("user_id", "name", "email", "city")]
     fresh = [F.col(f"new_{c}").alias(c) for c in ("user_id", "name", "email", "city")]
 
     def version(key, columns, effective, end, current, group):
@@ -60,20 +72,18 @@ def merge(
         )
 
     none = F.lit(None)
-    kept = F.struct(*old, F.lit(0).alias("_group"))
-    closed = version(F.col("old_surrogate_key"), old[1:5], F.col("old_effective_date"), today, False, 0)
+    closed = version(F.col("old_surrogate_key"), old, F.col("old_effective_date"), today, False, 0)
     reopened = version(none, fresh, today, none, True, 1)
     first = version(none, fresh, F.col("new_signup_date"), none, True, 2)
+    left = version(F.col("old_surrogate_key"), old, F.col("old_effective_date"), none, True, 3)
     rows = (
         F.when(known & arrived & ~same, F.array(closed, reopened))
-        .when(known & arrived, F.array(kept))
-        .when(arrived, F.array(first))
-        .otherwise(F.array() if drop_missing else F.array(kept))
+        .when(arrived & ~known, F.array(first))
+        .when(known & ~arrived & F.lit(drop_missing), F.array(left))
     )
-    # used twice below; the join of the whole history with the snapshot is not done twice
-    merged = settle(both.select(F.explode(rows).alias("r")).select("r.*"), "history")
+    changed = settle(both.select(F.explode(rows).alias("r")).select("r.*"), "history")
 
-    new = merged.filter("_group > 0")
+    new = changed.filter("_group in (1, 2)")
     if drop_missing:
         # only then can a user have history but no current row; such a user is not a new one
         seen = existing.select("user_id").distinct()
@@ -81,10 +91,23 @@ def merge(
         new = new.filter("_group = 1").unionByName(back)
     highest = existing.agg(F.max("surrogate_key")).first()[0] or 0
     numbered = dense_key(new.drop("surrogate_key"), ["_group", "user_id"], "surrogate_key", base=highest)
+    ended = changed.filter("_group in (0, 3)").select("surrogate_key")
+    return Changes(
+        changed, current.join(ended, "surrogate_key", "left_anti").select(*COLUMNS),
+        changed.filter("_group = 0").select(*COLUMNS), numbered.select(*COLUMNS))
+
 
+def merge(
+    existing: DataFrame,
+    incoming: DataFrame,
+    as_of: date | str | None = None,
+    tracked: tuple[str, ...] = ("city",),
+    drop_missing: bool = False,
+) -> DataFrame:
+    """The whole history after a user snapshot; see ``changes``."""
+    found = changes(existing, incoming, as_of, tracked, drop_missing)
     return (
-        merged.filter("_group = 0").select(*COLUMNS)
-        .unionByName(numbered.select(*COLUMNS))
+        found.kept.unionByName(found.closed).unionByName(found.opened)
         .unionByName(existing.filter(~F.col("is_current")).select(*COLUMNS))
     )
 

@@ -11,15 +11,24 @@ from tidemart.functions.columns import date_key
 from tidemart.operators.keys import dense_key
 
 
-def dim_products(products: DataFrame) -> DataFrame:
-    return dense_key(products.select("product_id", "product_name", "category", "price"),
-                     ["product_id"], "product_key")
+def dim_products(products: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Products with their keys: those of ``keys`` (product_id, product_key), or dense ones in the order of the ids."""
+    rows = products.select("product_id", "product_name", "category", "price")
+    if keys is None:
+        return dense_key(rows, ["product_id"], "product_key")
+    return rows.join(keys, "product_id").select("product_key", *rows.columns)
 
 
-def dim_stores(transactions: DataFrame) -> DataFrame:
-    stores = transactions.select("store_id").filter(F.col("store_id").isNotNull()).distinct()
+def store_ids(transactions: DataFrame) -> DataFrame:
+    return transactions.select("store_id").filter(F.col("store_id").isNotNull()).distinct()
+
+
+def dim_stores(transactions: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Stores of the transactions with their keys: those of ``keys`` (store_id, store_key), or dense ones."""
+    stores = store_ids(transactions)
     region = F.concat(F.lit("Region_"), F.right("store_id", F.lit(3)))
-    return dense_key(stores, ["store_id"], "store_key").withColumn("region", region)
+    keyed = dense_key(stores, ["store_id"], "store_key") if keys is None else stores.join(keys, "store_id").select("store_key", "store_id")
+    return keyed.withColumn("region", region)
 
 
 def dim_dates(transactions: DataFrame) -> DataFrame:

@@ -37,6 +37,32 @@ def modified(spark: SparkSession, path: str) -> float:
     return fs.getFileStatus(p).getModificationTime() / 1000
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, replaced as a whole."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file written by ``write_text``."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def matching(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
+    """(full path, bytes) of the files a pattern names."""
+    fs, p = _fs(spark, pattern)
+    return [(s.getPath().toString(), s.getLen()) for s in fs.globStatus(p) or [] if s.isFile()]
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.delete(p, True)

@@ -9,6 +9,8 @@ The file source follows whole files, so writers land finished files and do not a
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
@@ -19,8 +21,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemart.fixed_values import EVENT_ENTITIES
 from tidemart.operators.silver import RULES, typed, unique_rows, valid_rows
 from tidemart.plans import lakehouse
-from tidemart.session import scratch_scope, settle
-from tidemart.sources import files, tables
+from tidemart.session import scratch_dir, scratch_scope
+from tidemart.sources import files, keyed
 from tidemart.sources.raw import LINEAGE
 from tidemart.streaming import events as ev
 
@@ -57,32 +59,47 @@ def land(batch: DataFrame, batch_id: int, root: str) -> dict[str, str]:
 
 
 def fold(spark: SparkSession, root: str, entity: str, rows: DataFrame,
-         as_of: date | datetime | str | None = None) -> str:
+         as_of: date | datetime | str | None = None, log: str | None = None) -> str:
     """Merge raw rows, which carry their batch number, into a silver table.
 
     The result is the same as cleaning all rows ever seen at once, however they were split into batches: of two
-    versions of a key the one that arrived later stays, by batch, file and place in the file. New rows are written once;
-    they are compared with the stored rows of their keys only, and the rest of the table is copied. Spark broadcasts the
-    list of keys when it is small, so that a small batch does not shuffle the table.
+    versions of a key the one that arrived later stays, by batch, file and place in the file. New rows are written once
+    and meet the stored rows of the folders their keys fall into; all other folders stay as they are. ``log`` gets the
+    months of the rows that came and went.
     """
     arrived = [F.col(ev.ARRIVAL)] if ev.ARRIVAL in rows.columns else []
     label = F.concat_ws("_", F.lit(f"{entity}_stream"), F.lpad(F.col("batch").cast("string"), 12, "0"), *arrived)
-    new = settle(valid_rows(entity, typed(entity, rows.withColumn(LINEAGE, label), as_of)), f"fold-{entity}")
-    silver = lakehouse.silver_root(root)
-    have = tables.read_current(spark, silver, entity)
-    if have is None:
-        return tables.publish(unique_rows(entity, new), silver, entity)
-    if LINEAGE not in have.columns:
-        have = have.withColumn(LINEAGE, F.lit(None).cast("string"))
-    keys = RULES[entity].keys
-    touched = new.select(*keys).distinct()
-    compared = unique_rows(entity, new.unionByName(have.join(touched, keys, "left_semi")))
-    return tables.publish(compared.unionByName(have.join(touched, keys, "left_anti")), silver, entity)
-
-
-def refresh_gold(spark: SparkSession, root: str, as_of: date | datetime | str | None = None) -> DataFrame:
+    path = scratch_dir(spark, f"fold-{entity}")
+    valid_rows(entity, typed(entity, rows.withColumn(LINEAGE, label), as_of)).write.parquet(path)
+    new = spark.read.parquet(path)
+    keys, silver = RULES[entity].keys, lakehouse.silver_root(root)
+    if log:
+        _note(spark, log, entity, new, keyed.stored(new, silver, entity, keys))
+    written = keyed.fold(new, silver, entity, keys, lambda both: unique_rows(entity, both), files.size(spark, path))
+    files.delete(spark, path)
+    return written
+
+
+def _note(spark: SparkSession, log: str, entity: str, new: DataFrame, stored: DataFrame | None) -> None:
+    """Write down the months of new rows and of the rows they meet, before these go. A batch that runs again adds to what
+    its first attempt wrote."""
+    months = lakehouse.months_of(entity, new)
+    if stored is not None:
+        months |= lakehouse.months_of(entity, stored)
+    if files.exists(spark, log):
+        months |= set(json.loads(files.read_text(spark, log)))
+    files.write_text(spark, log, json.dumps(sorted(months)))
+
+
+def _logs(spark: SparkSession, root: str, entity: str) -> list[str]:
+    return [path for _, path, _ in files.children(spark, f"{root}/changes/{entity}")]
+
+
+def refresh_gold(
+    spark: SparkSession, root: str, as_of: date | datetime | str | None = None, changed: Mapping[str, set[str]] | None = None
+) -> DataFrame:
     run = lakehouse.Run(spark)
-    lakehouse.build_gold(run, root, as_of)
+    lakehouse.build_gold(run, root, as_of, changed=changed)
     return run.report()
 
 
@@ -109,8 +126,8 @@ def _mark(spark: SparkSession, root: str, entity: str, last: int) -> None:
 def process(batch: DataFrame, batch_id: int, root: str, as_of=None, refresh_every: int = 1) -> None:
     """One micro-batch. Silver and gold are brought up to date every ``refresh_every`` batches.
 
-    A refresh rewrites the silver tables that got rows and the gold tables, so on a large table it
-    belongs on every n-th batch; landing the rows costs only what the batch holds.
+    A refresh rewrites the folders of silver that got rows, the months of the facts these belong to, and dimensions that
+    changed; what it reads of silver to find the months of new keys are id columns. Landing costs only what the batch holds.
     """
     spark = batch.sparkSession
     land(batch, batch_id, root)
@@ -119,7 +136,7 @@ def process(batch: DataFrame, batch_id: int, root: str, as_of=None, refresh_ever
 
 
 def catch_up(spark: SparkSession, root: str, last: int, as_of=None) -> None:
-    """Fold every landed batch up to ``last`` that is not in silver yet, then rebuild gold if it is behind silver.
+    """Fold every landed batch up to ``last`` that is not in silver yet, then bring gold up to date if it is behind silver.
 
     Gold has a mark of its own: when a run dies between silver and gold, the next one builds gold even though no row is
     waiting. A gold table that fails raises, so the batch runs again.
@@ -130,7 +147,7 @@ def catch_up(spark: SparkSession, root: str, last: int, as_of=None) -> None:
     def bring(entity: str) -> None:
         rows = spark.read.option("basePath", f"{root}/bronze/{entity}").parquet(*waiting[entity])
         with scratch_scope(spark):
-            fold(spark, root, entity, rows, as_of)
+            fold(spark, root, entity, rows, as_of, f"{root}/changes/{entity}/{last:012d}")
         _mark(spark, root, entity, last)
 
     if waiting:
@@ -138,10 +155,14 @@ def catch_up(spark: SparkSession, root: str, last: int, as_of=None) -> None:
             list(pool.map(bring, waiting))  # a failure here fails the batch, which then runs again
     newest = max(_marked(spark, root, e) for e in EVENT_ENTITIES.values())
     if newest > _marked(spark, root, GOLD):
-        failed = refresh_gold(spark, root, as_of).filter("status like 'failed%'").collect()
+        logs = {e: _logs(spark, root, e) for e in EVENT_ENTITIES.values()}
+        changed = {e: {m for p in paths for m in json.loads(files.read_text(spark, p))} for e, paths in logs.items() if paths}
+        failed = refresh_gold(spark, root, as_of, changed).filter("status like 'failed%'").collect()
         if failed:
             raise RuntimeError("; ".join(f"{r['table']}: {r['status']}" for r in failed))
         _mark(spark, root, GOLD, newest)
+        for path in (p for paths in logs.values() for p in paths):
+            files.delete(spark, path)
 
 
 def start(
