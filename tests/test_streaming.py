@@ -156,3 +156,70 @@ def test_restart_continues_and_replayed_batches_change_nothing(spark, tmp_path):
     assert lakehouse.read_gold(spark, root)["dim_users"].count() == 2
     ingest.run_available(spark, str(landing), root, cp, AS_OF)  # nothing new
     assert state() == after
+
+
+# -- state in the state store -------------------------------------------------------------------
+
+def test_running_totals_survive_a_restart(spark, tmp_path):
+    from tidemart.streaming import state
+
+    landing, root, cp = tmp_path / "landing", str(tmp_path / "lake"), str(tmp_path / "cp")
+    landing.mkdir()
+    assert state.running_totals(spark, root).collect() == []
+    want = {}
+    for part in range(3):
+        (landing / f"{part}.jsonl").write_text("\n".join(LINES[part::3]) + "\n")
+        for _ in range(2):  # the second start finds nothing new
+            state.start_totals(spark, str(landing), root, cp, None).awaitTermination()
+        seen = [x for x in (LINES[i::3] for i in range(part + 1)) for x in x]
+        frame = spark.createDataFrame([(x,) for x in seen], "value string")
+        want = dict(rows(ev.type_counts(ev.parse(frame))))
+        assert {r.event_type: r.events for r in state.running_totals(spark, root).collect()} == want
+    assert sum(want.values()) == len(LINES)
+
+
+def _line(n, product, day, amount=1.0):
+    return json.dumps(_order(n, [(product, amount)], day=day))
+
+
+def test_repeats_within_the_bound_go_and_state_is_forgotten(spark, tmp_path):
+    from tidemart.streaming import state
+
+    landing, out, cp = tmp_path / "landing", str(tmp_path / "out"), str(tmp_path / "cp")
+    landing.mkdir()
+    late, progress, batches = [], [], [
+        [_line(1, "P1", "2024-01-01"), _line(1, "P2", "2024-01-01"), _line(1, "P1", "2024-01-01")],
+        [_line(2, "P1", "2024-01-03"), _line(1, "P1", "2024-01-01")],      # a repeat two days later
+        [_line(3, "P1", "2024-01-20"), json.dumps(_order(7, [("P1", 1.0)]) | {"timestamp": "?"})],
+        [_line(4, "P1", "2024-01-20"), _line(3, "P1", "2024-01-20")],
+        [_line(1, "P1", "2024-01-01"), _line(5, "P1", "2024-01-21")],      # far behind the bound: late
+    ]
+    assert state.read_order_lines(spark, out).collect() == []
+    for i, lines in enumerate(batches):
+        (landing / f"{i}.jsonl").write_text("\n".join(lines) + "\n")
+        query = state.start_order_lines(spark, str(landing), out, cp, "5 days", None)  # a restart each time
+        query.awaitTermination()
+        last = [p for p in query.recentProgress if p["stateOperators"]]
+        progress.append(min(p["stateOperators"][0]["numRowsTotal"] for p in last))
+        late.append(sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in last))
+    got = sorted((r.transaction_id, r.product_id) for r in state.read_order_lines(spark, out).collect())
+    assert got == [("T1", "P1"), ("T1", "P2"), ("T2", "P1"), ("T3", "P1"), ("T4", "P1"), ("T5", "P1"), ("T7", "P1")]
+    assert late[-1] == 1 and progress[1] == 3 and progress[-1] <= 3  # T1 and T2 are forgotten
+
+
+def test_the_bounded_stream_equals_the_exact_fold_inside_the_bound(spark, tmp_path):
+    from tidemart.streaming import state
+
+    landing, out, root = tmp_path / "landing", str(tmp_path / "out"), str(tmp_path / "lake")
+    landing.mkdir()
+    days = [f"2024-01-{d:02d}" for d in range(1, 29)]
+    for i in range(0, 28, 4):
+        own = [_line(n, f"P{n % 5}", days[n], 1.0 + n) for n in range(i, i + 4)]
+        again = [_line(n, f"P{n % 5}", days[n], 1.0 + n) for n in range(max(0, i - 4), i)]
+        path = landing / f"{i:02d}.jsonl"
+        path.write_text("\n".join(own + again + own[:2]) + "\n")
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    state.start_order_lines(spark, str(landing), out, str(tmp_path / "cp1"), "9 days", None, max_files=1).awaitTermination()
+    ingest.run_available(spark, str(landing), root, str(tmp_path / "cp2"), AS_OF, max_files=3)
+    want = lakehouse.read_silver(spark, root)["transactions"]
+    assert rows(state.read_order_lines(spark, out).select(*want.columns)) == rows(want) and want.count() == 28
