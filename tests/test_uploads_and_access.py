@@ -167,3 +167,42 @@ def test_guarded_sql_sees_only_its_role_and_its_cap(spark, sf):
             run(sql, "viewer").collect()
     with pytest.raises(Exception):
         run("SELECT sum(amount) FROM fact_transactions", "viewer").collect()
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT identifier('reflect')('java.lang.Math', 'abs', -7) FROM t", "SELECT identifier('a') FROM t", "SELECT * FROM identifier('t')",
+    "SELECT input_file_name() FROM t", "SELECT input_file_block_start() FROM t", "SELECT current_user()", "SELECT version()",
+    "SELECT unheard_of(a) FROM t", "SELECT transform(array(a), x -> reflect('java.lang.Math', 'abs', x)) FROM t",
+    "SELECT a FROM t WHERE a = (SELECT max(input_file_name()) FROM t)", "SELECT try_reflect('java.lang.Math', 'abs', a) FROM t",
+    "SELECT count(*) FROM t GROUP BY identifier('input_file_name')()", "SELECT a FROM t ORDER BY java_method('java.lang.Math', 'random')",
+])
+def test_functions_that_do_not_compute_on_values_are_refused(spark, sql):
+    with pytest.raises(ValueError):
+        access.validate(spark, sql, ["t"])
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT region, sum(amount), avg(amount), count(DISTINCT user_key), median(amount), mode(region) FROM fact_transactions GROUP BY region",
+    "SELECT date_trunc('month', timestamp), timestamp + interval 1 day, datediff(timestamp, timestamp - interval 2 days) FROM fact_transactions",
+    "SELECT ceil(amount), round(amount, 1), lpad(region, 12), upper(region) LIKE 'R%', nvl(region, '-') FROM fact_transactions",
+    "SELECT rank() OVER (PARTITION BY region ORDER BY amount DESC), lag(amount) OVER (ORDER BY timestamp) FROM fact_transactions",
+    "SELECT * FROM fact_transactions WHERE product_key IN (SELECT product_key FROM dim_products WHERE contains(category, 'A'))",
+    "SELECT x, size(g) FROM (SELECT array(product_key, 1) AS g FROM fact_transactions) LATERAL VIEW explode(g) e AS x",
+    "SELECT store_key, category, grouping_id() FROM fact_transactions JOIN dim_products USING (product_key) GROUP BY ROLLUP (store_key, category)",
+    "SELECT * FROM (SELECT region, amount, store_key % 2 AS s FROM fact_transactions) PIVOT (sum(amount) FOR s IN (0, 1))",
+])
+def test_ordinary_questions_are_answered(spark, sf, sql):
+    root = lakehouse.gold_root(registry.lake_root(spark, sf))
+    assert 0 < access.guarded_sql(spark, root, sql, access.OWNER, 5).count() <= 5
+
+
+def test_the_resolved_plan_is_judged(spark, sf, monkeypatch):
+    """What slips through the parsed plan is refused before it runs."""
+    root = lakehouse.gold_root(registry.lake_root(spark, sf))
+    monkeypatch.setattr(access, "validate", lambda own, sql, names: sql)
+    for sql in ("SELECT identifier('reflect')('java.lang.Math', 'abs', -7)", "SELECT input_file_name() FROM fact_transactions",
+                "SELECT 1 WHERE EXISTS (SELECT uuid() FROM dim_products)"):
+        with pytest.raises(ValueError):
+            access.guarded_sql(spark, root, sql, access.OWNER)
+    with pytest.raises(ValueError, match="not a query"):
+        access.guarded_sql(spark, root, "SELECT nothing FROM dim_products", access.OWNER)
