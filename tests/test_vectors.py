@@ -88,3 +88,35 @@ def test_distances_of_long_vectors(spark):
     corpus = _frame(spark, [[1e8 + 2, 3], [1e8, 0.1], [1e8, 0.2]])
     got = neighbours.top_k(_frame(spark, [[1e8, 0]], "query_id"), corpus, 3, "l2")
     assert [(r.id, r.score) for r in got.orderBy("rank").collect()] == [(1, -0.01), (2, -0.04), (0, -13.0)]
+
+
+@pytest.mark.parametrize("group_rows", [20_000, 7])
+def test_one_category_may_hold_most_rows(spark, monkeypatch, group_rows):
+    """Parts of a hot category meet in groups of their own; categories of one side alone, and null, find nothing."""
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", group_rows)
+    rng = np.random.default_rng(5)
+    q, c = rng.normal(size=(25, 4)), rng.normal(size=(300, 4))
+    qc, cc = np.where(rng.random(25) < 0.7, 1, 9), np.where(rng.random(300) < 0.8, 1, rng.integers(2, 5, 300))
+    queries = _frame(spark, q, "query_id", qc).unionByName(spark.sql("SELECT 99L AS query_id, array(1d, 0d, 0d, 0d) AS vector, CAST(NULL AS int) AS category"))
+    corpus = _frame(spark, c, "id", cc).unionByName(spark.sql("SELECT 999L AS id, array(1d, 0d, 0d, 0d) AS vector, CAST(NULL AS int) AS category"))
+    got = neighbours.top_k(queries, corpus, 4, same_category=True)
+    assert rows(got.select("query_id", "id", "rank")) == brute(q, c, 4, "cosine", qc, cc)
+
+
+def test_one_broadcast_lives_at_a_time(spark, monkeypatch):
+    live, most = set(), []
+    make = type(spark.sparkContext).broadcast
+
+    def broadcast(self, value):
+        shared = make(self, value)
+        live.add(id(shared))
+        most.append(len(live))
+        destroy = shared.destroy
+        shared.destroy = lambda *a: (live.discard(id(shared)), destroy(*a))
+        return shared
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    rng = np.random.default_rng(6)
+    q, c = rng.normal(size=(10, 8)), rng.normal(size=(40, 8))
+    got = neighbours.top_k(_frame(spark, q, "query_id"), _frame(spark, c), 4, block_rows=3)
+    assert rows(got.select("query_id", "id", "rank")) == brute(q, c, 4, "cosine") and len(most) >= 3 and max(most) == 1 and not live

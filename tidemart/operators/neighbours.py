@@ -10,12 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemart.fixed_values import CONCEPT_THRESHOLD
 from tidemart.functions.columns import round_half_up
+from tidemart.operators.keys import per_key
+from tidemart.session import scratch_dir, settle
 
 BLOCK_BYTES = 32 << 20  # vectors of one block of queries, as doubles
+GROUP_ROWS = 20_000  # rows of one category, of either side, that meet in one group
 CELLS = 1 << 22  # scores a task holds at a time
 SLACK = 1e-9  # what matrix products may be off, relative to the size of the terms; the exact scores decide
 _HIT = "query_id bigint, id bigint, score double"
@@ -44,14 +48,8 @@ def _exact(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
     return -((queries - corpus) ** 2).sum(1)
 
 
-def _best(qids, qvec, qcat, ids, vecs, cats, k, metric) -> pd.DataFrame:
-    """The k best corpus rows of this batch for each query; ties by id. With categories, each is scored by itself."""
-    if qcat is not None:
-        found = []
-        for category in np.intersect1d(qcat, cats):
-            q, c = qcat == category, cats == category
-            found.append(_best(qids[q], qvec[q], None, ids[c], vecs[c], None, k, metric))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
+def _best(qids, qvec, ids, vecs, k, metric) -> pd.DataFrame:
+    """The k best corpus rows of this batch for each query; ties by id."""
     found = []
     step = max(1, CELLS // max(1, len(qids)))
     for at in range(0, len(ids), step):
@@ -73,6 +71,28 @@ def _rows_per_block(width: int | None) -> int:
     return max(1, BLOCK_BYTES // (8 * max(1, width or 1)))
 
 
+def _rounds(queries: DataFrame, key: str, block_rows: int | None) -> Iterator[pa.Table]:
+    """The queries in blocks of bounded size, one after the other."""
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    blocks = max(1, -(-n // (block_rows or _rows_per_block(width))))
+    listed = settle(queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), "vector-queries")
+    for block in range(blocks):
+        rows = listed.filter(F.col("_block") == block).drop("_block").orderBy(key).toArrow()
+        if rows.num_rows:
+            yield rows
+
+
+def _in_rounds(spark: SparkSession, rounds: Iterator, score, schema: str) -> DataFrame:
+    """Hits of all rounds, each written before the next begins, so that one broadcast lives at a time."""
+    folder = scratch_dir(spark, "vector-hits")
+    spark.createDataFrame([], schema).write.parquet(folder)
+    for content in rounds:
+        shared = spark.sparkContext.broadcast(content)
+        score(shared).write.mode("append").parquet(folder)
+        shared.destroy()
+    return spark.read.schema(schema).parquet(folder)
+
+
 def top_k(
     queries: DataFrame,
     corpus: DataFrame,
@@ -89,59 +109,77 @@ def top_k(
     scores as they are; only the score that is returned is rounded to ``digits``.
     ``same_category`` keeps only corpus rows of the query's category.
 
-    Queries travel to the corpus in blocks of ``block_rows`` (by default what fits ``BLOCK_BYTES``), so the corpus is
-    read once per block and never shuffled.
+    Queries travel to the corpus in rounds of ``block_rows`` (by default what fits ``BLOCK_BYTES``), so the corpus is
+    read once per round and never shuffled. With categories both sides are shuffled by category instead, and a query
+    meets its own category only.
     """
     spark = corpus.sparkSession
-    more = ["category"] if same_category else []
-    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    blocks = max(1, -(-n // (block_rows or _rows_per_block(width))))
-    hits = spark.createDataFrame([], _HIT)
-    for block in range(blocks):
-        own = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block
-        rows = queries.filter(own).select("query_id", "vector", *more).orderBy("query_id").collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast((
-            np.array([r.query_id for r in rows], dtype=np.int64),
-            _matrix([r.vector for r in rows]),
-            np.array([r.category for r in rows]) if same_category else None,
-        ))
-        hits = hits.unionByName(corpus.select("id", "vector", *more).mapInPandas(_scorer(shared, same_category, k, metric), _HIT))
+    if same_category:
+        hits = _by_category(queries, corpus, k, metric, block_rows)
+    else:
+        rounds = (
+            (np.asarray(r.column("query_id").combine_chunks(), np.int64), _matrix(r.column("vector").to_pylist()))
+            for r in _rounds(queries.select("query_id", "vector"), "query_id", block_rows))
+        hits = _in_rounds(
+            spark, rounds, lambda shared: corpus.select("id", "vector").mapInPandas(_scorer(shared, k, metric), _HIT), _HIT)
     spec = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = hits.withColumn("rank", F.row_number().over(spec)).filter(F.col("rank") <= k)
     return best.withColumn("score", round_half_up(F.col("score"), digits))
 
 
-def _scorer(shared, same_category: bool, k: int, metric: str):
+def _scorer(shared, k: int, metric: str):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qvec, qcat = shared.value
+        qids, qvec = shared.value
         for batch in batches:
             if len(batch):
-                cats = batch["category"].to_numpy() if same_category else None
-                yield _best(qids, qvec, qcat, batch["id"].to_numpy(), _matrix(batch["vector"]), cats, k, metric)
+                yield _best(qids, qvec, batch["id"].to_numpy(), _matrix(batch["vector"]), k, metric)
 
     return score
 
 
+def _by_category(queries: DataFrame, corpus: DataFrame, k: int, metric: str, block_rows: int | None) -> DataFrame:
+    """The k best of each query within parts of its category.
+
+    A category is dealt into parts of ``GROUP_ROWS`` corpus rows and of so many queries; every part of the corpus meets
+    every part of the queries of its category in a group of its own, so no group grows with the data, whatever the
+    largest category holds. Categories that only one side has are not moved on.
+    """
+    def parts(rows: DataFrame, name: str, size: int) -> DataFrame:
+        return per_key(rows.filter(F.col("category").isNotNull()), "category", F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+    asked, held = parts(queries, "_asked", block_rows or GROUP_ROWS), parts(corpus, "_held", block_rows or GROUP_ROWS)
+    sizes = settle(asked.join(held, "category"), "vector-categories")
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        met = rows.select(key, "vector", "category").join(sizes, "category")
+        return met.withColumn(own, F.pmod(F.xxhash64(key), F.col(own)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]).empty_table()
+        qids, ids = (np.asarray(t.column(c).combine_chunks(), np.int64) for t, c in ((left, "query_id"), (right, "id")))
+        found = _best(qids, _matrix(left.column("vector").to_pylist()), ids, _matrix(right.column("vector").to_pylist()), k, metric)
+        return pa.Table.from_pandas(found[["query_id", "id", "score"]], preserve_index=False)
+
+    keys = ["category", "_asked", "_held"]
+    asking, holding = dealt(queries, "query_id", "_asked", "_held"), dealt(corpus, "id", "_held", "_asked")
+    return asking.groupBy(*keys).cogroup(holding.groupBy(*keys)).applyInArrow(score, _HIT)
+
+
 def nearest_concept(
     vectors: DataFrame, concepts: DataFrame, columns: DataFrame, threshold: float = CONCEPT_THRESHOLD, digits: int = 6
 ) -> DataFrame:
     """Each vector's best concept where the cosine is above ``threshold``, with the concept's column.
 
     ``vectors`` is (id, vector); ``concepts`` is (concept, vector), ``columns`` is (concept, column_name).
-    Concepts travel to the vectors in blocks of ``BLOCK_BYTES``; each vector keeps its best one, ties by name.
+    Concepts travel to the vectors in rounds of ``BLOCK_BYTES``; each vector keeps its best one, ties by name.
     """
-    n, width = concepts.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    blocks = max(1, -(-n // _rows_per_block(width)))
-    spark = vectors.sparkSession
-    hits = spark.createDataFrame([], "id bigint, concept string, score double")
-    for block in range(blocks):
-        known = concepts.filter(F.pmod(F.xxhash64("concept"), F.lit(blocks)) == block).orderBy("concept").collect()
-        if not known:
-            continue
-        shared = spark.sparkContext.broadcast((np.array([r.concept for r in known], dtype=object), _matrix([r.vector for r in known])))
-        hits = hits.unionByName(vectors.select("id", "vector").mapInPandas(_namer(shared), "id bigint, concept string, score double"))
+    spark, schema = vectors.sparkSession, "id bigint, concept string, score double"
+    rounds = (
+        (np.array(r.column("concept").to_pylist(), dtype=object), _matrix(r.column("vector").to_pylist()))
+        for r in _rounds(concepts.select("concept", "vector"), "concept", None))
+    hits = _in_rounds(spark, rounds, lambda shared: vectors.select("id", "vector").mapInPandas(_namer(shared), schema), schema)
     best = hits.groupBy("id").agg(F.min_by(F.struct("concept", "score"), F.struct(-F.col("score"), F.col("concept"))).alias("best"))
     return (
         best.select("id", "best.concept", "best.score").filter(F.col("score") > threshold).join(columns, "concept")
@@ -156,7 +194,7 @@ def _namer(shared):
         for batch in batches:
             if len(batch):
                 rows = np.arange(len(batch))
-                hits = _best(rows, _matrix(batch["vector"]), None, numbers, matrix, None, 1, "cosine")
+                hits = _best(rows, _matrix(batch["vector"]), numbers, matrix, 1, "cosine")
                 yield pd.DataFrame({"id": batch["id"].to_numpy()[hits["query_id"].to_numpy(np.int64)],
                                     "concept": labels[hits["id"].to_numpy(np.int64)], "score": hits["score"].to_numpy()})
 
