@@ -252,7 +252,7 @@ CENTROIDS = """c AS (SELECT label, list(m ORDER BY i) AS v FROM (
   e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
 COSINE = "list_cosine_similarity(c.v, e.v)"
 L2 = "-(list_distance(c.v, e.v) * list_distance(c.v, e.v))"
-CONCEPTS = ", ".join(f"({i}, '{n}', '{cols[0]}')" for i, (n, cols) in enumerate(CONCEPT_COLUMNS.items()))
+CONCEPTS = ", ".join(f"({i}, '{n}', '{column}')" for i, (n, column) in enumerate(CONCEPT_COLUMNS.items()))
 
 # -- events ---------------------------------------------------------------------------------------
 EVENTS = """SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
@@ -265,6 +265,44 @@ ORDER_LINES = f"""SELECT 'T' || event_id AS transaction_id, CAST(user_id AS VARC
   'P' || (k + i) AS product_id, date_trunc('second', ts) AS ts, value + i AS amount, store AS store_id
   FROM (SELECT *, unnest(range(1, CAST(k % 6 AS BIGINT) + 1)) AS i FROM ({EVENTS}) WHERE event_type = 'purchase')"""
 
+RAW_COLUMNS = {  # the given tables' columns, and the kind that follows from a name
+    "region": {"r_regionkey": "id", "r_name": "name"},
+    "nation": {"n_nationkey": "id", "n_name": "name", "n_regionkey": "id"},
+    "customer": {"c_custkey": "id", "c_name": "name", "c_nationkey": "id", "c_acctbal": None, "c_mktsegment": None},
+    "supplier": {"s_suppkey": "id", "s_name": "name", "s_nationkey": "id", "s_acctbal": None},
+    "part": {"p_partkey": "id", "p_name": "name", "p_brand": None, "p_type": "category", "p_size": None,
+        "p_retailprice": "price"},
+    "orders": {"o_orderkey": "id", "o_custkey": "id", "o_orderstatus": None, "o_totalprice": "price", "o_orderdate":
+        "date", "o_orderpriority": None},
+    "lineitem": {"l_orderkey": "id", "l_partkey": "id", "l_suppkey": "id", "l_linenumber": "id", "l_quantity":
+        "quantity", "l_extendedprice": "price", "l_discount": None, "l_tax": None, "l_returnflag": None,
+        "l_linestatus": None, "l_shipdate": "date"},
+    "events": {"event_id": "id", "ts": None, "user_id": "id", "event_type": "category", "value": None, "props": None},
+}
+VALUE_KIND = """CASE WHEN count(v) = 0 THEN 'string' WHEN count(*) FILTER (v IS NOT NULL AND NOT regexp_full_match(v, '[+-]?[0-9]+')) = 0 THEN 'int'
+  WHEN count(*) FILTER (v IS NOT NULL AND NOT regexp_full_match(v, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')) = 0 THEN 'float'
+  WHEN count(*) FILTER (v IS NOT NULL AND TRY_CAST(v AS TIMESTAMP) IS NULL) = 0 THEN 'datetime' ELSE 'string' END"""
+RAW_KINDS = " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", '{c}' AS "column", {f"'{kind}'" if kind else VALUE_KIND} AS kind,
+      count(*) - count(v) AS null_count, count(DISTINCT v) AS unique_count FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {t})"""
+    for t, columns in RAW_COLUMNS.items() for c, kind in columns.items())
+
+
+def _first_rows(table: str, cte: str, key: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{table}' AS "table", {i} AS ordinal, '{c}' AS "column", (SELECT count(*) FROM {cte}) AS row_count,
+          (SELECT string_agg(coalesce(CAST({c} AS VARCHAR), '-'), '|' ORDER BY {key}) FROM {cte} WHERE {key} <= 3) AS samples"""
+        for i, c in enumerate(columns))
+
+
+#: Table, what a scan and an upload take it for by the words in its headers, and the required columns it lacks.
+UPLOADED = [
+    ("region", "users", "users", "user_id"), ("nation", "users", "users", "user_id"), ("customer", "users", "users", "user_id"),
+    ("supplier", "users", "users", "user_id"), ("part", "transactions", "combined", ""),
+    ("orders", "transactions", "transactions", "transaction_id,amount"), ("lineitem", "transactions", "transactions", "transaction_id,amount"),
+    ("events", "users", "users", ""),
+]
+
 ORACLE: dict[str, str] = {
     "bronze_union_by_name": BRONZE,
     "bronze_file_profile": f"""SELECT f AS source_file, n AS row_count, CAST(c AS INTEGER) AS column_count, cols AS columns
@@ -290,6 +328,20 @@ ORACLE: dict[str, str] = {
                           *GOLD.values()),
     "synonym_coalesce": f"""SELECT transaction_id, user_id, product_id, "timestamp", store_id FROM ({TXN_RAW})
         UNION ALL SELECT invoice, customer_id, stockcode, o_orderdate, country FROM ({FOREIGN})""",
+    "layer_samples": over(" UNION ALL ".join([
+        _first_rows("dim_users", "du", "surrogate_key", ["surrogate_key", "user_id", "name", "email", "city", "effective_date", "end_date", "is_current"]),
+        _first_rows("dim_products", "dp", "product_key", ["product_key", "product_id", "product_name", "category", "price"]),
+        _first_rows("dim_stores", "ds", "store_key", ["store_key", "store_id", "region"])]), "du", "dp", "ds"),
+    "table_refresh": f"""SELECT product_id, product_name, category, CASE WHEN CAST(product_id AS BIGINT) % 3 = 0 THEN price * 2 ELSE price END AS price,
+          CAST(CAST(product_id AS BIGINT) % 3 = 0 AS INTEGER) AS version FROM ({PRODUCTS})
+        UNION ALL SELECT 'N' || product_id, product_name, category, price, 0 FROM ({PRODUCTS})""",
+    "generated_id_lines": """SELECT md5(d || '#' || row_number() OVER (PARTITION BY d)) AS transaction_id, product_id, source_file FROM (
+        SELECT *, md5('{"product_id":"' || product_id || '","quantity":"' || quantity || '","source_file":"' || source_file || '"}') AS d
+        FROM (SELECT CAST(l_partkey AS VARCHAR) AS product_id, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity FROM lineitem),
+          (VALUES ('a.csv'), ('b.csv')) f(source_file))""",
+    "upload_entities": " UNION ALL ".join(
+        f"""SELECT '{t}' AS "table", '{scanned}' AS scanned, '{uploaded}' AS uploaded, '{missing}' AS missing, count(*) AS rows FROM {t}"""
+        for t, scanned, uploaded, missing in UPLOADED),
     "generated_ids": "SELECT 2 * count(*) AS rows, 2 * count(*) AS ids FROM lineitem",
     "odd_amounts": f"""SELECT l_returnflag AS store_id, count(*) AS lines, {money('a')} AS revenue FROM (
         SELECT l_returnflag, CASE l_linenumber % 3 WHEN 0 THEN l_extendedprice * 1e11 WHEN 1 THEN l_extendedprice / 1e5
@@ -374,7 +426,18 @@ ORACLE: dict[str, str] = {
           WHEN l_returnflag = 'A' THEN 'transaction_id is null' WHEN l_discount = 0 OR l_extendedprice * (l_tax - 0.01) <= 0
           THEN 'amount is not positive' END AS reason FROM lineitem) WHERE reason IS NOT NULL GROUP BY reason
         UNION ALL SELECT 'inventory', 'stock is negative', count(*) FROM inv WHERE stock_level - 20 < 0""", "inv"),
+    "dq_rejects_more": """SELECT 'users' AS entity, 'user_id is null' AS reason, count(*) AS rows FROM customer WHERE c_mktsegment = 'BUILDING'
+        UNION ALL SELECT 'products', reason, count(*) FROM (SELECT CASE WHEN p_size = 7 THEN 'product_id is null'
+          WHEN p_size % 5 = 0 THEN 'price is not positive' WHEN p_size % 5 = 1 THEN 'price is not finite' END AS reason FROM part)
+          WHERE reason IS NOT NULL GROUP BY reason
+        UNION ALL SELECT 'shipments', reason, count(*) FROM (SELECT CASE WHEN l_linenumber = 2 THEN 'shipment_id is null'
+          WHEN l_extendedprice * (l_tax - 0.02) < 0 THEN 'cost is negative' END AS reason FROM lineitem) WHERE reason IS NOT NULL GROUP BY reason""",
     "column_profile": over(PROFILE, "ship"),
+    "raw_column_kinds": RAW_KINDS,
+    "finite_values": """SELECT l_orderkey, l_linenumber, CASE WHEN l_discount <> 0 AND l_tax <> 0 THEN l_extendedprice END AS amount FROM lineitem""",
+    "missing_sources": over("""SELECT 'top_products' AS report, 0 AS row_count UNION ALL SELECT 'seasonal_trends', 0
+        UNION ALL SELECT 'inventory_turnover', 0 UNION ALL SELECT 'clv', count(*) FROM clv
+        UNION ALL SELECT 'city_sales', count(*) FROM city UNION ALL SELECT 'delivery_metrics', count(*) FROM deliv""", "clv", "city", "deliv"),
     "clv_headline": over("""SELECT CAST(sum(CAST(estimated_clv AS DECIMAL(34,9))) AS DOUBLE) / count(estimated_clv) AS avg_clv,
         max(estimated_clv) AS max_clv, count(*) AS customers FROM clv""", "clv"),
     "top_customers": over("SELECT * FROM clv ORDER BY estimated_clv DESC, user_id LIMIT 10", "clv"),
@@ -406,6 +469,8 @@ ORACLE: dict[str, str] = {
     "seasonal_pivot": over("SELECT month, " + ", ".join(
         f"CAST(sum(units_sold) FILTER (WHERE category = '{c}') AS BIGINT) AS \"{c}\""
         for c in ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]) + " FROM season GROUP BY month", "season"),
+    "seasonal_units": over("""SELECT month, '{' || string_agg('"' || category || '":' || CAST(units AS BIGINT), ',' ORDER BY category) || '}' AS units
+        FROM (SELECT month, category, sum(units_sold) AS units FROM season WHERE category IS NOT NULL GROUP BY ALL) GROUP BY month""", "season"),
     "reorder_alerts": over("""SELECT * EXCLUDE (product_key) FROM (SELECT * FROM turn WHERE avg_stock < 30
         ORDER BY avg_stock, product_key LIMIT 6)""", "turn"),
     "ask_total_revenue": over(f"SELECT {money('amount')} AS total_revenue FROM ft", "ft"),
@@ -429,6 +494,13 @@ ORACLE: dict[str, str] = {
         {money('amount')} AS total_spend, count(*) AS orders FROM ft JOIN du ON user_key = surrogate_key
         WHERE is_current AND city = '{CITY}' GROUP BY user_id, name ORDER BY total_spend DESC, user_id LIMIT 10)""",
                                "ft", "du"),
+    "role_access": over("""SELECT 'analyst' AS role, 'fact_transactions' AS "table", '' AS masked, count(*) AS rows, 0 AS masked_rows FROM ft
+        UNION ALL SELECT 'analyst', 'dim_users', 'email', count(*), count(*) FROM du
+        UNION ALL SELECT 'analyst', 'dim_products', '', count(*), 0 FROM dp
+        UNION ALL SELECT 'manager', 'fact_transactions', '', count(*), 0 FROM ft
+        UNION ALL SELECT 'manager', 'dim_users', '', count(*), 0 FROM du
+        UNION ALL SELECT 'manager', 'dim_products', '', count(*), 0 FROM dp
+        UNION ALL SELECT 'viewer', 'fact_transactions', 'amount', count(*), count(*) FROM ft""", "ft", "du", "dp"),
     "masked_view": over("SELECT * REPLACE ('***MASKED***' AS email) FROM du", "du"),
     "guarded_sql": over(f"""SELECT replace(region, 'Region_', 'R') AS region, orders, revenue FROM (
         SELECT region, count(DISTINCT transaction_id) AS orders, {money('amount')} AS revenue FROM ft
@@ -470,4 +542,6 @@ ORACLE: dict[str, str] = {
          JOIN (SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id FROM events WHERE event_type = 'signup') u
          ON x.user_id = u.user_id WHERE amount > 0) AS active_users,
         count(DISTINCT transaction_id) AS total_orders FROM ({ORDER_LINES}) WHERE amount > 0""",
+    "stream_running_totals": KINDS.replace("count(*) AS events", "CAST(count(*) AS BIGINT) AS events"),
+    "stream_orders_once": f"""SELECT transaction_id, product_id, ts AS "timestamp", amount FROM ({ORDER_LINES})""",
 }

@@ -55,18 +55,17 @@ RECOMMENDED_HEADER_PATTERNS = {
     "price": [r"(unit[_\s]*)?price$"],
 }
 
-# --- fixed values: column kinds by name. `quantity` words must be whole words, so that
-# --- `Country` and `Discount` are not taken for counts -------------------------------------
-COLUMN_KIND_PATTERNS = [
-    ("id", r"(id|key|no|number)$"),
-    ("price", r"price|amount|cost|total"),
-    ("quantity", r"(?:^|[^a-z])(quantity|qty|count|units)(?:[^a-z]|$)"),
-    ("date", r"date|time|timestamp"),
-    ("category", r"category|type|class"),
-    ("name", r"name|description|title"),
-    ("email", r"email|mail"),
-    ("phone", r"phone|mobile|tel"),
-]
+# --- fixed values: column kinds by name; a header is held against them from its start ---------
+COLUMN_KIND_PATTERNS = {
+    "id": [r".*_?id$", r"^id$", r".*_?key$", r".*_?no$", r".*_?number$"],
+    "price": [r".*price.*", r".*amount.*", r".*cost.*", r".*total.*"],
+    "quantity": [r".*quantity.*", r".*qty.*", r".*count.*", r".*units.*"],
+    "date": [r".*date.*", r".*time.*", r".*timestamp.*"],
+    "category": [r".*category.*", r".*type.*", r".*class.*"],
+    "name": [r".*name.*", r".*description.*", r".*title.*"],
+    "email": [r".*email.*", r".*mail.*"],
+    "phone": [r".*phone.*", r".*mobile.*", r".*tel.*"],
+}
 # --- fixed values: id-kind columns and the key they stand for, by word in the header -------
 ID_WORDS = [
     ("transaction_id", ["transaction", "order", "invoice"]),
@@ -160,16 +159,16 @@ MASK = "***MASKED***"
 # --- fixed values: most rows of an ad-hoc result ---------------------------------------------
 ADHOC_ROW_CAP = 100
 
-# --- fixed values: retail concepts and the column names they commonly carry -----------------
+# --- fixed values: retail concepts and the column each stands for -----------------------------
 CONCEPT_COLUMNS = {
-    "product_identifier": ["product_name", "item_name", "pastry_name", "sku_name", "article_name"],
-    "price": ["price", "cost", "unit_price", "retail_price", "sale_price"],
-    "category": ["category", "type", "classification", "department", "section"],
-    "revenue": ["amount", "total", "revenue", "sales", "earnings"],
-    "quantity": ["quantity", "qty", "units", "count", "stock_level"],
-    "customer": ["user_id", "customer_id", "client_id", "buyer_id"],
-    "location": ["city", "region", "location", "store_location", "area"],
-    "date": ["date", "timestamp", "transaction_date", "order_date"],
+    "product_identifier": "product_name",
+    "price": "price",
+    "category": "category",
+    "revenue": "amount",
+    "quantity": "quantity",
+    "customer": "user_id",
+    "location": "city",
+    "date": "date",
 }
 CONCEPT_THRESHOLD = 0.6
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemart.session import settle
 
+COPIES = 10_000  # of one row that a task unfolds at a time
 _POSITION_BITS = 33  # monotonically_increasing_id: partition above, position in it below
 
 
@@ -23,11 +24,22 @@ def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """``df`` with an id per row that depends on the row alone, not on partitioning, so reading a file again gives the
-    same ids and another file (its name is a column) gives other ones. Equal rows are told apart by a count."""
+    same ids and another file (its name is a column) gives other ones. Equal rows are told apart by a count.
+
+    Equal rows are folded to one with their number before the shuffle and unfolded behind it; a row that fills much of
+    a file is unfolded in pieces of ``COPIES`` that are spread over the tasks.
+    """
     row = F.md5(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
-    marked = df.withColumn(name, row)
-    copy = F.row_number().over(Window.partitionBy(name).orderBy(F.lit(0)))
-    return marked.withColumn("_copy", copy).withColumn(name, F.md5(F.concat_ws("#", name, "_copy"))).drop("_copy")
+    folded = df.select(row.alias(name), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")).groupBy(name).agg(
+        F.any_value("_row").alias("_row"), F.count(F.lit(1)).alias("_n"))
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = F.lit(1).cast("long")
+    few = folded.filter(F.col("_n") <= COPIES).withColumn("_from", one)
+    many = folded.filter(F.col("_n") > COPIES).withColumn("_from", F.explode(F.sequence(one, F.col("_n"), F.lit(COPIES).cast("long"))))
+    pieces = few.unionByName(many.repartition(width, name, "_from"))
+    last = F.least(F.col("_from") + (COPIES - 1), F.col("_n"))
+    copies = pieces.withColumn("_copy", F.explode(F.sequence("_from", last)))
+    return copies.select("_row.*", F.md5(F.concat_ws("#", name, "_copy")).alias(name))
 
 
 def per_key(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:

@@ -39,12 +39,21 @@ def recommended_names(headers: list[str]) -> dict[str, str]:
     return out
 
 
-def column_kind(name: str, kind: T.DataType | None = None) -> str:
-    """id, price, quantity, date, category, name, email or phone by name, else by data type."""
+def kind_by_name(name: str) -> str | None:
+    """A quantity must be a word of its own, so that `Country` and `Discount` are not taken for counts."""
     lowered = name.lower()
-    for label, pattern in fixed.COLUMN_KIND_PATTERNS:
-        if re.search(pattern, lowered):
+    words = re.split(r"[^a-z]+", lowered)
+    for label, patterns in fixed.COLUMN_KIND_PATTERNS.items():
+        if any(re.match(p, lowered) and (label != "quantity" or p.strip(".*") in words) for p in patterns):
             return label
+    return None
+
+
+def column_kind(name: str, kind: T.DataType | None = None) -> str:
+    """id, price, quantity, date, category, name, email or phone by name, else by data type."""
+    label = kind_by_name(name)
+    if label:
+        return label
     if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
         return "float"
     if isinstance(kind, T.IntegralType):

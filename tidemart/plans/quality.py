@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidemart.fixed_values import UNKNOWN_KEY
-from tidemart.functions.columns import round_half_up
-from tidemart.operators.uploads import column_kind
+from tidemart.functions.columns import round_half_up, to_timestamp
+from tidemart.operators.uploads import column_kind, kind_by_name
 
 
 def _share(condition, rows):
@@ -62,11 +62,32 @@ def checks(tables: Mapping[str, DataFrame]) -> DataFrame:
         found or [("No data", "warning", 0, 0)], "check string, status string, records bigint, issues int")
 
 
+INT = r"^\s*[+-]?[0-9]+\s*$"
+FLOAT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def _kind_of_values() -> Column:
+    """The least kind that holds all filled values of a text column: int, float or datetime, else string."""
+    filled = F.count("value")
+
+    def all_are(holds: Column) -> Column:
+        return (filled > 0) & (F.count(F.when(holds, F.lit(1))) == filled)
+
+    value = F.col("value")
+    return (
+        F.when(all_are(value.rlike(INT)), "int").when(all_are(value.rlike(FLOAT)), "float")
+        .when(all_are(to_timestamp(value).isNotNull()), "datetime").otherwise("string")
+    )
+
+
 def column_profile(df: DataFrame, samples: int = 3) -> DataFrame:
     """Kind, nulls, distinct values and the first sample values of every column, over all rows.
 
+    The kind follows the name; where that tells nothing, the type, and for text, as raw files have it, the values: int
+    before float before datetime before string, the first that every filled value fits.
+
     Each row is unfolded into (column, value) and folded again before the shuffle, so the cost is one
-    pass with partial sums, however many columns there are and however common a value is.
+    pass with partial sums, however many columns there are and however common a value is; values are judged once each.
     """
     cells = df.select(F.posexplode(F.array(*[
         F.col(f"`{c}`").cast("string") for c in df.columns
@@ -81,11 +102,12 @@ def column_profile(df: DataFrame, samples: int = 3) -> DataFrame:
     folded = values.groupBy("ordinal").agg(
         F.sum("n").alias("_rows"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-        F.count("value").alias("unique_count"),
+        F.count("value").alias("unique_count"), _kind_of_values().alias("_judged"),
     )
     names = F.array(*[F.lit(f.name) for f in df.schema])
-    kinds = F.array(*[F.lit(column_kind(f.name, f.dataType)) for f in df.schema])
+    text = [isinstance(f.dataType, T.StringType) and kind_by_name(f.name) is None for f in df.schema]
+    kinds = F.array(*[F.lit(None if t else column_kind(f.name, f.dataType)).cast("string") for f, t in zip(df.schema, text)])
     return folded.join(first, "ordinal", "left").select(
-        "ordinal", names[F.col("ordinal")].alias("column"), kinds[F.col("ordinal")].alias("kind"), "null_count",
+        "ordinal", names[F.col("ordinal")].alias("column"), F.coalesce(kinds[F.col("ordinal")], "_judged").alias("kind"), "null_count",
         F.try_divide(F.col("null_count").cast("double"), F.col("_rows")).alias("null_rate"),
         "unique_count", "samples")

@@ -7,21 +7,23 @@ would in use; the build itself is the query ``medallion_status``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemart import fixed_values as fixed
-from tidemart.functions.columns import money_sum
+from tidemart.functions.columns import finite, money_sum
 from tidemart.operators import access, history, neighbours, silver, star, uploads
-from tidemart.operators.keys import dense_key
+from tidemart.operators.keys import dense_key, keep_one
 from tidemart.plans import bindings, kpi, lakehouse, quality, questions, rollups
-from tidemart.session import pin_utc, scratch_dir
-from tidemart.sources import raw, tables
-from tidemart.streaming import events as ev, ingest
+from tidemart.session import pin_utc, scratch_dir, settle
+from tidemart.sources import files, keyed, raw, tables
+from tidemart.streaming import events as ev, ingest, state
 
 AS_OF = "2002-01-01"
 CITY = "NATION_7"
 CATEGORY = "ECONOMY"
+RELATIONAL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 _built: dict[tuple[str, str, str], str] = {}
@@ -29,9 +31,9 @@ _opened: dict[str, tuple[tables.Layer, dict[str, DataFrame]]] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[str], None]) -> str:
-    """Folder of something derived from the given tables, made on first use in this session."""
+    """Folder of something derived from the given tables, made on first use in this session, and again when it was deleted."""
     slot = (spark.sparkContext.applicationId, sf_dir, what)
-    if slot not in _built:
+    if slot not in _built or not files.exists(spark, _built[slot]):
         path = scratch_dir(spark, what)
         make(path)
         _built[slot] = path
@@ -182,6 +184,25 @@ def layer_profile(spark, sf_dir):
     return tables.profile(spark, gold(spark, sf_dir))
 
 
+def layer_samples(spark, sf_dir):
+    """The profile of the dimensions with their first rows by key."""
+    layer = gold(spark, sf_dir)
+    keys = {"dim_users": ["surrogate_key"], "dim_products": ["product_key"], "dim_stores": ["store_key"]}
+    return tables.profile(spark, {name: layer[name] for name in keys}, 3, keys).select(
+        "table", "ordinal", "column", "row_count", F.array_join("samples", "|", "-").alias("samples"))
+
+
+def table_refresh(spark, sf_dir):
+    """A table in folders by key, refreshed twice: a third of the products at double price, then new ones."""
+    root, goods = scratch_dir(spark, "refresh"), bindings.products(spark, sf_dir).withColumn("version", F.lit(0))
+    third = goods.filter(F.pmod(F.col("product_id").cast("long"), F.lit(3)) == 0)
+    new = goods.withColumn("product_id", F.concat(F.lit("N"), "product_id"))
+    for changes in (goods, third.withColumns({"price": F.col("price") * 2, "version": F.lit(1)}), new):
+        keyed.fold(settle(changes, "refresh"), root, "products", ["product_id"],
+                   lambda both: keep_one(both, ["product_id"], [F.desc("version")]), files.size(spark, sf_dir + "/part.parquet"), 1 << 16)
+    return tables.read_current(spark, root, "products")
+
+
 def table_publish(spark, sf_dir):
     """A table that is read and replaced by the same job, twice."""
     root = scratch_dir(spark, "publish")
@@ -208,6 +229,28 @@ def generated_ids(spark, sf_dir):
     return typed.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("transaction_id").alias("ids"))
 
 
+def generated_id_lines(spark, sf_dir):
+    """Every line of two uploads without order ids, with the id it got: from its file, its content, and a count of equal lines."""
+    lines = bindings.table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("product_id"), F.col("l_quantity").cast("int").cast("string").alias("quantity"))
+    both = lines.withColumn(raw.LINEAGE, F.lit("a.csv")).unionByName(lines.withColumn(raw.LINEAGE, F.lit("b.csv")))
+    return silver.type_transactions(both, AS_OF).select("transaction_id", "product_id", raw.LINEAGE)
+
+
+def upload_entities(spark, sf_dir):
+    """What each given table would be taken for as an upload, the required columns it lacks, and its rows."""
+    out = None
+    for name in RELATIONAL:
+        df = bindings.table(spark, sf_dir, name)
+        entity = uploads.upload_entity(df.columns)
+        named = uploads.rename(df, uploads.standard_names(df.columns))
+        row = df.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("table"), F.lit(uploads.scanned_entity(df.columns)).alias("scanned"), F.lit(entity).alias("uploaded"),
+            F.lit(",".join(uploads.missing_required(named, entity))).alias("missing"), "rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def odd_amounts(spark, sf_dir):
     """Fractions of a cent beside very large amounts."""
     price, kind = F.col("l_extendedprice"), F.col("l_linenumber") % 3
@@ -397,6 +440,70 @@ def dq_rejects(spark, sf_dir):
     return silver.reject_counts(_dirty(spark, sf_dir), AS_OF)
 
 
+def dq_rejects_more(spark, sf_dir):
+    """Raw users, products and shipments with faults that follow from their own values."""
+    people = bindings.table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_custkey").cast("string")).alias("user_id"), F.col("c_name").alias("name"))
+    goods = bindings.table(spark, sf_dir, "part").select(
+        F.when(F.col("p_size") != 7, F.col("p_partkey").cast("string")).alias("product_id"), F.col("p_name").alias("product_name"),
+        F.when(F.col("p_size") % 5 == 0, -F.col("p_retailprice")).when(F.col("p_size") % 5 == 1, F.lit("Infinity").cast("double"))
+        .otherwise(F.col("p_retailprice")).alias("price"))
+    sent = bindings.table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_linenumber") != 2, F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("shipment_id"),
+        (F.col("l_extendedprice") * (F.col("l_tax") - 0.02)).alias("shipping_cost"))
+    return silver.reject_counts({"users": people, "products": goods, "shipments": sent}, AS_OF)
+
+
+def raw_column_kinds(spark, sf_dir):
+    """The given tables written as raw text files and profiled as they come back: kinds from names and from values."""
+    def make(path: str) -> None:
+        for name in RELATIONAL:
+            tables.append_raw(_as_text(bindings.table(spark, sf_dir, name)), path, name, "1")
+
+    root, out = _once(spark, sf_dir, "raw-tables", make), None
+    for name in RELATIONAL:
+        rows = lakehouse.read_raw(spark, root, name).drop(raw.LINEAGE)
+        found = quality.column_profile(rows).select(
+            F.lit(name).alias("table"), "column", "kind", "null_count", "unique_count")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def finite_values(spark, sf_dir):
+    """Amounts with infinity and not-a-number put in, as reports hand them out: null."""
+    price = F.col("l_extendedprice")
+    odd = F.when(F.col("l_discount") == 0, F.lit(float("inf"))).when(F.col("l_tax") == 0, F.lit(float("nan"))).otherwise(price)
+    return finite(bindings.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", odd.alias("amount")))
+
+
+def missing_sources(spark, sf_dir):
+    """Rows of reports over a gold layer without its products: those that need them are empty, the others whole."""
+    layer = gold(spark, sf_dir)
+    left = {name: layer[name] for name in layer if name != "dim_products"}
+    reports = {"top_products": kpi.top_products, "seasonal_trends": kpi.seasonal_trends, "inventory_turnover": kpi.inventory_turnover,
+               "clv": kpi.clv, "city_sales": kpi.city_sales, "delivery_metrics": kpi.delivery_metrics}
+    return tables.row_counts({name: report(left) for name, report in reports.items()}).withColumnRenamed("table", "report")
+
+
+def role_access(spark, sf_dir):
+    """What each role reads: its tables, their rows, and the columns that are masked for it."""
+    layer, out = gold(spark, sf_dir), None
+    for role in fixed.ACCESS_POLICIES:
+        for table in access.allowed_tables(role):
+            seen = access.secure_table(layer, table, role)
+            masked = [c for c in fixed.ACCESS_POLICIES[role]["masked_columns"] if c in seen.columns]
+            hidden = [F.col(c) == fixed.MASK for c in masked] or [F.lit(False)]
+            row = seen.agg(F.count(F.lit(1)).alias("rows"), F.count_if(reduce(lambda a, b: a & b, hidden)).alias("masked_rows")).select(
+                F.lit(role).alias("role"), F.lit(table).alias("table"), F.lit(",".join(masked)).alias("masked"), "rows", "masked_rows")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def seasonal_units(spark, sf_dir):
+    """The map of each month as JSON text, by category."""
+    return rollups.seasonal_units(gold(spark, sf_dir)).select("month", F.to_json("units").alias("units"))
+
+
 def column_profile(spark, sf_dir):
     return quality.column_profile(clean_tables(spark, sf_dir)["shipments"])
 
@@ -462,7 +569,7 @@ def concept_match(spark, sf_dir):
     known = list(fixed.CONCEPT_COLUMNS.items())
     names = F.element_at(F.array(*[F.lit(n) for n, _ in known]), F.col("label") + 1)
     concepts = means.filter(F.col("label") < len(known)).select(names.alias("concept"), "vector")
-    columns = spark.createDataFrame([(n, c[0]) for n, c in known], "concept string, column_name string")
+    columns = spark.createDataFrame(known, "concept string, column_name string")
     return neighbours.nearest_concept(
         rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), concepts, columns, 0.3)
 
@@ -523,6 +630,34 @@ def stream_batch_counts(spark, sf_dir):
     return seen.groupBy("event_type").agg(F.sum("events").alias("events"))
 
 
+def stream_running_totals(spark, sf_dir):
+    """Totals per event type kept by a stream that is stopped and started again in between."""
+    def make(path: str) -> None:
+        landing, lines = f"{path}/landing", bindings.event_lines(spark, sf_dir)
+        for part in range(3):  # a start for each half, and one that finds nothing new
+            if part < 2:
+                own = lines.filter(F.col("event_id") % 2 == part).select("value")
+                own.write.mode("append").text(landing)
+            state.start_totals(spark, landing, path, f"{path}/checkpoint", None).awaitTermination()
+
+    found = state.running_totals(spark, _once(spark, sf_dir, "totals", make))
+    return found.select("event_type", "events")
+
+
+def stream_orders_once(spark, sf_dir):
+    """Order lines of a stream in which every part is followed by the one before it once more; within 14 days each counts once."""
+    def make(path: str) -> None:
+        landing, lines = f"{path}/landing", bindings.event_lines(spark, sf_dir)
+        last = _events_upto(lines)
+        part = F.floor(F.col("event_id") * 6 / (last + 1))
+        for number in range(6):  # one after the other: a start for each
+            lines.filter((part == number) | (part == number - 1)).select("value").write.mode("append").text(landing)
+            state.start_order_lines(spark, landing, f"{path}/orders", f"{path}/checkpoint", "14 days", None).awaitTermination()
+
+    found = state.read_order_lines(spark, f"{_once(spark, sf_dir, 'orders-once', make)}/orders")
+    return found.select("transaction_id", "product_id", "timestamp", "amount")
+
+
 def stream_equals_batch(spark, sf_dir):
     return lakehouse.read_silver(spark, _streamed(spark, sf_dir))["transactions"]
 
@@ -550,12 +685,16 @@ _QUERIES: dict[str, Query] = {
     "scan_partition_pruned": scan_partition_pruned,
     "fact_inventory_roundtrip": fact_inventory_roundtrip,
     "table_publish": table_publish,
+    "table_refresh": table_refresh,
     "layer_tables": layer_tables,
     "layer_profile": layer_profile,
+    "layer_samples": layer_samples,
     # uploads
     "synonym_coalesce": synonym_coalesce,
     "amount_derivation": amount_derivation,
     "generated_ids": generated_ids,
+    "generated_id_lines": generated_id_lines,
+    "upload_entities": upload_entities,
     "odd_amounts": odd_amounts,
     "column_defaults": column_defaults,
     "normalized_upload": normalized_upload,
@@ -601,7 +740,11 @@ _QUERIES: dict[str, Query] = {
     "dq_trend": dq_trend,
     "dq_checks": dq_checks,
     "dq_rejects": dq_rejects,
+    "dq_rejects_more": dq_rejects_more,
     "column_profile": column_profile,
+    "raw_column_kinds": raw_column_kinds,
+    "finite_values": finite_values,
+    "missing_sources": missing_sources,
     # roll-ups
     "clv_headline": _on_gold(rollups.clv_headline),
     "top_customers": _on_gold(rollups.top_customers),
@@ -613,6 +756,7 @@ _QUERIES: dict[str, Query] = {
     "inventory_headline": _on_gold(rollups.inventory_headline),
     "stock_by_category": _on_gold(rollups.stock_by_category),
     "seasonal_pivot": _on_gold(rollups.seasonal_pivot),
+    "seasonal_units": seasonal_units,
     "reorder_alerts": _on_gold(rollups.reorder_alerts),
     # questions
     "ask_total_revenue": _on_gold(questions.total_revenue),
@@ -628,6 +772,7 @@ _QUERIES: dict[str, Query] = {
     "city_top_customers": _on_gold(questions.city_top_customers, CITY),
     # access
     "masked_view": masked_view,
+    "role_access": role_access,
     "guarded_sql": guarded_sql,
     "guarded_best_store": guarded_best_store,
     # vectors
@@ -644,6 +789,8 @@ _QUERIES: dict[str, Query] = {
     "stream_equals_batch": stream_equals_batch,
     "stream_inventory": stream_inventory,
     "stream_summary": stream_summary,
+    "stream_running_totals": stream_running_totals,
+    "stream_orders_once": stream_orders_once,
 }
 
 QUERIES: dict[str, Query] = {name: _utc(query) for name, query in _QUERIES.items()}

@@ -19,6 +19,9 @@ def _exact(column: str):
 _RATIO = T.DecimalType(18, 6)  # means and ratios are summed at six digits, in any order
 
 
+PIVOT_COLUMNS = 1000
+
+
 def clv_headline(gold: Gold) -> DataFrame:
     return kpi.clv(gold).agg(
         F.try_divide(_exact("estimated_clv"), F.count("estimated_clv")).alias("avg_clv"),
@@ -110,14 +113,24 @@ def stock_by_category(gold: Gold) -> DataFrame:
     )
 
 
+def seasonal_units(gold: Gold) -> DataFrame:
+    """Month of the year and a map of its categories to units, summed over the years: any number of categories."""
+    units = kpi.seasonal_trends(gold).groupBy("month", "category").agg(F.sum("units_sold").alias("units"))
+    pairs = F.array_sort(F.collect_list(F.struct("category", "units")))
+    return units.filter(F.col("category").isNotNull()).groupBy("month").agg(F.map_from_entries(pairs).alias("units")).orderBy("month")
+
+
 def seasonal_pivot(gold: Gold, categories: list[str] | None = None) -> DataFrame:
     """Month of the year by category, units summed over the years.
 
-    Without ``categories`` their names are looked up first: a pivot needs its columns.
+    Without ``categories`` their names are looked up first, as a pivot needs its columns: up to ``PIVOT_COLUMNS`` of them.
+    ``seasonal_units`` has no such limit.
     """
     if categories is None:
-        names = gold["dim_products"].select("category").distinct().orderBy("category")
-        categories = [r.category for r in names.collect() if r.category is not None]
+        names = gold["dim_products"].select("category").filter(F.col("category").isNotNull()).distinct().orderBy("category")
+        categories = [r.category for r in names.limit(PIVOT_COLUMNS + 1).collect()]
+        if len(categories) > PIVOT_COLUMNS:
+            raise ValueError(f"more than {PIVOT_COLUMNS} categories: name those wanted, or use seasonal_units")
     return (
         kpi.seasonal_trends(gold).groupBy("month").pivot("category", categories).agg(F.sum("units_sold"))
         .orderBy("month")
