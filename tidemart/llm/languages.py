@@ -16,6 +16,7 @@ UNDETERMINED = "und"
 SIZES = (1, 2, 3, 4)  # characters of an n-gram
 BITS = 17  # n-grams are hashed to 2**BITS features
 TRAIN_ROWS = 1600  # rows the model is fitted on, shared evenly by the languages
+PARTS = 64  # of a language, that are ranked by themselves first
 LEAST_ROWS = 20  # of a language, however many there are
 TRAIN_CHARS = 50_000  # longer texts are not taken into that sample; every text is predicted whole
 COST = 10.0  # of a training row on the wrong side
@@ -160,8 +161,11 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     narrow = keyed.select("lang", "mark")
     langs = narrow.select("lang").distinct().count()
     share = max(LEAST_ROWS, rows // max(langs, 1))
+    # the first of every part of a language, then the first of these: the last task of a language sees PARTS * share rows
+    parts = Window.partitionBy("lang", "part").orderBy("mark")
+    first = narrow.withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(PARTS))).withColumn("no", F.row_number().over(parts)).filter(F.col("no") <= share)
     spec = Window.partitionBy("lang").orderBy("mark")
-    chosen = narrow.withColumn("no", F.row_number().over(spec)).filter(F.col("no") <= share).select("lang", "mark").distinct()
+    chosen = first.withColumn("no", F.row_number().over(spec)).filter(F.col("no") <= share).select("lang", "mark").distinct()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
