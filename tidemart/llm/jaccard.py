@@ -11,9 +11,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tidemart.llm.among import boxed, parted
 from tidemart.llm.components import connected_components
-from tidemart.llm.text import NOT_BLANK, give_back, mix, pieces, runs, signed, small_batches, utf8, word_hashes, words
-from tidemart.session import scratch_dir, settle
+from tidemart.llm.text import NOT_BLANK, give_back, mix, pieces, runs, shuffles_dropped, signed, small_batches, utf8, word_hashes, words
+from tidemart.operators.keys import per_key
+from tidemart.session import scratch_dir, scratch_scope, settle
 from tidemart.sources import files
 
 SHINGLE = 5
@@ -30,6 +32,7 @@ FINER = 6  # times the least number of slices that sets with few rare shingles a
 MEET = 500_000  # projections that are joined at once
 KEY_BITS = 56  # of projections; where two are taken for one, neighbourhoods are larger than they need be, nothing else
 FLUSH_SETS = 60_000
+SHARD_BYTES = 32 << 20  # of text; its projections, about as many bytes when packed, meet at once
 COMMON_SHARE = 500  # a shingle in more than one of so many documents is common; there are COMMON_SHARE * mean set size at most
 COMMON_LEAST = 20  # and it is in so many documents
 COMMON_IN_TASK = 4  # occurrences among the documents a task holds from which a shingle is counted
@@ -185,8 +188,8 @@ def stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[first], nodes[first], edges
 
 
-def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Sorted shingles that more than one in ``COMMON_SHARE`` documents hold, counted over all of them.
+def common_shingles(docs: DataFrame, shingle: int, n: int) -> np.ndarray:
+    """Sorted shingles that more than one in ``COMMON_SHARE`` of the ``n`` documents hold, counted over all of them.
 
     Tasks count the documents they hold at a time and pass on what they met ``COMMON_IN_TASK`` times, so a count may
     fall short: any list is right, a fuller one only saves work. It has a bounded size and travels to all tasks.
@@ -213,7 +216,6 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
         held = []
         give_back()
 
-    n = docs.count()
     often = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = often.filter(F.col("n") >= max(COMMON_LEAST, n // COMMON_SHARE)).select("token").toArrow()
     return np.sort(np.asarray(found.column(0).combine_chunks(), np.int64).view(np.uint64))
@@ -324,11 +326,11 @@ def _own_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"u": found[:, 0], "v": found[:, 1]})
 
 
-def neighbourhoods(marked: DataFrame) -> DataFrame:
+def neighbourhoods(marked: DataFrame, shards: int) -> DataFrame:
     """node and region of the sets that share a projection with another one."""
     packed = marked.filter("shard is not null").select("shard", "packed")
     width = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = packed.filter("shard >= 0").repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(_meet, "u long, v long")
+    met = packed.filter("shard >= 0").repartition(max(width, shards), "shard").sortWithinPartitions("shard").mapInArrow(_meet, "u long, v long")
     edges = met.unionByName(packed.filter("shard < 0").mapInArrow(_own_edges, "u long, v long"))
     found = connected_components(edges)
     return found.select("node", F.col("root").alias("region")).unionByName(
@@ -686,12 +688,14 @@ def _meet_blocks(percent: int):
 def _sets_and_links(spark: SparkSession, keyed: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows of ``keyed`` (doc_id, mark, text), and what ``join_regions`` found; both written."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    common = common_shingles(keyed, shingle)
+    n, size = keyed.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    shards = max(16, width, (size or 0) // SHARD_BYTES)
+    common = common_shingles(keyed, shingle, n)
     packed = scratch_dir(spark, "jaccard-marked")
-    keyed.mapInArrow(_mark(max(16, width), shingle, percent, common), MARKED).write.parquet(packed)
+    keyed.mapInArrow(_mark(shards, shingle, percent, common), MARKED).write.parquet(packed)
     marked = spark.read.schema(MARKED).parquet(packed)
     base = settle(marked.filter("shard is null").select("doc_id", "mark", "n", "set_id", "node"), "jaccard-sets")
-    regions = settle(neighbourhoods(marked), "jaccard-regions")
+    regions = settle(neighbourhoods(marked, shards), "jaccard-regions")
     files.delete(spark, packed)  # the largest of the written tables, and not read again
     near = base.filter("set_id is not null").join(regions, "node")
     chosen = settle(
@@ -699,8 +703,10 @@ def _sets_and_links(spark: SparkSession, keyed: DataFrame, shingle: int, percent
             F.first("region").alias("region"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"),
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("row"))
         .select("set_id", "region", "n", "copies", F.col("row.doc_id").alias("_id"), F.col("row.mark").alias("_mark")), "jaccard-chosen")
+    # few documents are members: only texts that may be are moved
+    maybe, _ = parted(keyed, chosen.select(F.col("_id").alias("doc_id"), F.col("_mark").alias("mark")))
     members = settle(
-        keyed.join(chosen, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        maybe.join(chosen, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
         .select("region", "set_id", "n", "copies", F.lit(True).alias("home"), "text"), "jaccard-members")
 
     return base, join_regions(spark, members, shingle, percent)
@@ -734,15 +740,25 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row of ``docs`` per group of ``jaccard_groups``, unchanged: the smallest doc_id, null last; of several rows with
-    that id the one with the smaller hash of the text. Rows without words are linked with nothing and all stay."""
-    groups = jaccard_groups(docs, shingle, percent).filter("group_id is not null")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("row")
-    winners = groups.groupBy("group_id").agg(best).select(F.col("row.doc_id").alias("_id"), F.col("row.mark").alias("_mark"))
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    same = (F.col("_hash") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    chosen = marked.join(winners, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).filter(F.col("text").rlike(_WORD))
-    wordless = docs.filter(~F.coalesce(F.col("text").rlike(_WORD), F.lit(False)))
-    return chosen.select(*docs.columns).unionByName(wordless)
-
-
-_WORD = r"[^\x20\x09-\x0D]"
+    that id the one with the smaller hash of the text. Rows without words are linked with nothing and all stay. Columns
+    may have any names.
+
+    Groups are settled on ids and hashes. Of the rows themselves only those that may lose, or repeat a winner, are moved;
+    what led to the decision is deleted when it is written.
+    """
+    spark = docs.sparkSession
+    decided = scratch_dir(spark, "jaccard-decided")
+    with scratch_scope(spark), shuffles_dropped(spark):
+        groups = jaccard_groups(docs, shingle, percent).filter("group_id is not null")
+        rows = settle(groups.groupBy("group_id", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n")), "jaccard-rows")
+        place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+        best = per_key(rows, "group_id", F.min(place).alias("best"))
+        wins = place == F.col("best")
+        judged = rows.join(best, "group_id").filter(~wins | (F.col("n") > 1)).select("doc_id", "mark", wins.alias("wins"))
+        judged.write.parquet(decided)
+    judged = spark.read.schema("doc_id long, mark long, wins boolean").parquet(decided)
+    maybe, others = parted(boxed(docs), judged)
+    theirs = judged.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "wins")
+    met = maybe.join(theirs, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    once = met.filter("wins").dropDuplicates(["doc_id", "mark"])
+    return others.select("row.*").unionByName(met.filter("wins is null").select("row.*")).unionByName(once.select("row.*"))

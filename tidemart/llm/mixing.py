@@ -294,12 +294,13 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def take(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it takes them; columns stay as they are."""
-    ordered = with_order(docs, F.array(F.col("source")), seed)
+    """The rows of ``docs`` that the mix takes, each as often as it takes them; columns stay as they are, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    ordered = with_order(docs.select(row.alias("row"), "doc_id", "text", "source"), F.array(F.col("source")), seed)
     sized = settle(word_sizes(ordered, ["pattern", "order"]), "mix-sizes")
     size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0))
     chosen = plan_mix(sized).copies(ordered, "_copies", size)
-    return chosen.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return chosen.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 _WORD = r"[^\x20\x09-\x0D]+"

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidemart.llm.among import boxed, parted
 from tidemart.llm.text import ALPHANUMERIC, pieces, runs, signed, utf8, word_hashes, words
 from tidemart.session import settle
 
@@ -176,7 +177,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The rows of ``docs``, unchanged, that share no window with the benchmark."""
-    hit = contamination(docs, benchmark, window, gram).filter("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    same = (F.xxhash64("text") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return docs.join(hit, same, "left_anti")
+    """The rows of ``docs``, unchanged, that share no window with the benchmark. Columns may have any names; only rows that
+    may be hit are moved."""
+    hit = settle(contamination(docs, benchmark, window, gram).filter("n_hit > 0").select("doc_id", "mark").distinct(), "winnow-hit")
+    maybe, others = parted(boxed(docs), hit)
+    theirs = hit.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    same = (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return others.select("row.*").unionByName(maybe.join(theirs, same, "left_anti").select("row.*"))
