@@ -2,10 +2,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tidemart.llm import lines, winnow
+from tidemart.llm.text import mix
 
 
 def lower(text):
@@ -63,6 +66,40 @@ def test_contamination_against_brute_force(spark):
     assert sorted((r.doc_id or -9, len(words.findall(lower(r.text)))) for r in kept.collect()) == clean
 
 
+def test_a_very_long_item(spark):
+    """An item of 200,000 words costs rows of bounded size, and every one of its windows is found."""
+    rng = np.random.default_rng(7)
+    words = [f"w{x}" for x in rng.integers(0, 3000, 200_000)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "w1 w2")], "item_id long, text string")
+    marked = winnow.item_fingerprints(items)
+    assert marked.count() > 50_000 and marked.agg(F.max(F.length("around"))).first()[0] == 8 * 14
+    docs = [(0, "a " * 20 + " ".join(words[150_000:150_011]) + " b"), (1, " ".join(words[7:16])), (2, " ".join(words[199_990:])), (3, " ".join(words[50:9050]))]
+    got = winnow.contamination(spark.createDataFrame(docs, "doc_id long, text string"), items.filter("item_id = 1"))
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in got.collect()} == {0: (11, ["1"]), 1: (0, []), 2: (10, ["1"]), 3: (9000, ["1"])}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=40), st.lists(st.integers(0, 2), min_size=1, max_size=40))
+def test_hits_cover_all_shared_windows(doc, item):
+    """Fingerprints, surroundings and the extension of hits against a search for every window."""
+    hashes = [mix(np.array(x, np.uint64) + np.uint64(9)) for x in (doc, item)]
+    zero = [np.zeros(len(h), np.int64) for h in hashes]
+    least = min(10, len(item))
+    fps, at = winnow.fingerprints(hashes[0], zero[0], 10, 6, [least] if least < 10 else [])
+    other, place = winnow.fingerprints(hashes[1], zero[1], 10, 6, []) if least == 10 else winnow.runs(hashes[1], zero[1], least)
+    around = [winnow.surroundings(h, p, np.zeros(len(p), np.int64), np.full(len(p), len(h)), 10, 6, beyond)
+              for h, p, beyond in ((hashes[0], at, winnow.NOTHING), (hashes[1], place, winnow.NOWHERE))]
+    i, j = np.nonzero(fps[:, None] == other[None, :])
+    batch = pa.RecordBatch.from_pydict({
+        "key": pa.array([b"k"] * len(i), pa.binary()), "doc_at": pa.array(at[i], pa.int32()), "own": winnow._rows(around[0][i]),
+        "item_id": pa.array(["x"] * len(i), pa.string()), "least": pa.array([least] * len(i), pa.int32()), "around": winnow._rows(around[1][j])})
+    found = [r for b in winnow._extend(10, 6)(iter([batch])) for r in b.to_pylist()] if len(i) else []
+    got = {k for r in found for k in range(r["start"], r["stop"])}
+    spans = {tuple(item[k:k + least]) for k in range(len(item) - least + 1)}
+    want = {k + n for k in range(len(doc) - least + 1) if tuple(doc[k:k + least]) in spans for n in range(least)}
+    assert got == want
+
+
 def test_empty_sides(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

@@ -15,10 +15,13 @@ from tidemart.session import settle
 
 WINDOW = 10  # words of a window: every shared span of so many words is found
 GRAM = 6  # words of a fingerprinted gram; a window of WINDOW - GRAM + 1 grams keeps its least hash
+ROWS = 10_000  # fingerprints of an item that leave a task at a time
 FILTER_BITS = 25  # size of the filter that documents' fingerprints pass before the join, as a power of two
 
-ITEMS = "fp long, at int, item_id string, words binary"
-BASE = "doc_id long, mark long, n_words long, fps array<long>, ats array<int>, words binary, key binary"
+ITEMS = "fp long, at int, item_id string, least int, around binary"
+BASE = "doc_id long, mark long, n_words long, fps array<long>, ats array<int>, arounds array<binary>, key binary"
+SPAN = "key binary, item_id string, start int, stop int"
+NOTHING, NOWHERE = np.uint64(0), np.uint64(1)  # stand for the words beyond the ends of documents, and of items
 
 
 def winnow(hashes: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
@@ -46,10 +49,30 @@ def fingerprints(hashes: np.ndarray, owner: np.ndarray, window: int, gram: int,
     return np.concatenate([f for f, _ in found]), np.concatenate([a for _, a in found])
 
 
+def surroundings(hashes: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, window: int, gram: int, beyond: np.uint64) -> np.ndarray:
+    """Hashes of the words from ``window - gram`` before each place to as many behind its gram; ``beyond`` outside of
+    first .. last-1, the text's own words. Every window that holds the gram lies inside."""
+    reach = window - gram
+    place = at[:, None] + np.arange(-reach, gram + reach)
+    inside = (place >= first[:, None]) & (place < last[:, None])
+    out = np.full(place.shape, beyond, np.uint64)
+    out[inside] = hashes[place[inside]]
+    return out
+
+
+def _rows(matrix: np.ndarray) -> pa.Array:
+    """A binary value per row of a matrix."""
+    matrix = np.ascontiguousarray(matrix)
+    size = matrix.shape[1] * matrix.itemsize
+    offsets = pa.py_buffer(np.arange(len(matrix) + 1, dtype=np.int32) * size)
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, offsets, pa.py_buffer(matrix.tobytes())])
+
+
 def item_fingerprints(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """fp, at (number of its first word), item_id as text and words (their hashes) of every item.
+    """fp, at (number of its first word), item_id as text, the least run of equal words that counts, and the words around.
 
-    An item of fewer words than a window is one run of all its words. Items without id or words take no part.
+    An item of fewer words than a window is one run of all its words. Items without id or words take no part. A row holds
+    the words of one window to either side, however long the item is.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,22 +80,25 @@ def item_fingerprints(benchmark: DataFrame, window: int = WINDOW, gram: int = GR
             for first, data, cuts in pieces(*utf8(batch.column(1))):
                 starts, ends, owner = words(data, cuts, ALPHANUMERIC)
                 hashes = word_hashes(data, starts, ends)
-                for i in range(len(cuts) - 1):
-                    own = hashes[owner == i]
-                    if not len(own):
-                        continue
+                begin = np.searchsorted(owner, np.arange(len(cuts)))
+                for i in np.flatnonzero(np.diff(begin)):
+                    own = hashes[begin[i]:begin[i + 1]]
                     zero = np.zeros(len(own), np.int64)
                     fps, at = fingerprints(own, zero, window, gram, []) if len(own) >= window else runs(own, zero, len(own))
-                    yield pa.RecordBatch.from_pydict({
-                        "fp": signed(fps), "at": at.astype(np.int32), "item_id": pa.array([names[first + i]] * len(fps), pa.string()),
-                        "words": pa.array([own.tobytes()] * len(fps), pa.binary())})
+                    around = surroundings(own, at, np.zeros(len(at), np.int64), np.full(len(at), len(own)), window, gram, NOWHERE)
+                    for low in range(0, len(fps), ROWS):
+                        part = slice(low, low + ROWS)
+                        n = len(fps[part])
+                        yield pa.RecordBatch.from_pydict({
+                            "fp": signed(fps[part]), "at": at[part].astype(np.int32), "item_id": pa.array([names[first + i]] * n, pa.string()),
+                            "least": pa.array([min(window, len(own))] * n, pa.int32()), "around": _rows(around[part])})
 
     items = benchmark.select(F.col("item_id").cast("string"), "text").filter("item_id is not null and text is not null").distinct()
     return settle(items.mapInArrow(run, ITEMS), "winnow-items")
 
 
 def _mark_documents(docs: DataFrame, allowed: np.ndarray, short: list[int], window: int, gram: int) -> DataFrame:
-    """Word counts of all documents; fingerprints that pass the filter, and the word hashes of documents with any."""
+    """Word counts of all documents; fingerprints that pass the filter with the words around them."""
     shift = np.uint64(64 - FILTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,49 +115,42 @@ def _mark_documents(docs: DataFrame, allowed: np.ndarray, short: list[int], wind
                 fps, at = fps[order], at[order]
                 begin = np.searchsorted(owner, np.arange(n + 1))
                 cut = np.searchsorted(at, begin)
-                hit = np.flatnonzero(cut[1:] > cut[:-1])
-                some: list = [None] * n
                 keys: list = [None] * n
-                for i in hit:
-                    some[i] = hashes[begin[i]:begin[i + 1]].tobytes()
-                    keys[i] = hashlib.blake2b(some[i], digest_size=16).digest()
+                for i in np.flatnonzero(cut[1:] > cut[:-1]):
+                    keys[i] = hashlib.blake2b(hashes[begin[i]:begin[i + 1]].tobytes(), digest_size=16).digest()
                 lists = pa.array(cut, pa.int32())
                 text = owner[at] if len(at) else np.zeros(0, np.int64)
+                around = surroundings(hashes, at, begin[text], begin[text + 1], window, gram, NOTHING)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(first, n), "mark": batch.column(1).slice(first, n), "n_words": np.diff(begin),
                     "fps": pa.ListArray.from_arrays(lists, pa.array(signed(fps))),
                     "ats": pa.ListArray.from_arrays(lists, pa.array((at - begin[text]).astype(np.int32))),
-                    "words": pa.array(some, pa.binary()), "key": pa.array(keys, pa.binary())})
+                    "arounds": pa.ListArray.from_arrays(lists, _rows(around)), "key": pa.array(keys, pa.binary())})
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     return settle(keyed.mapInArrow(run, BASE), "winnow-documents")
 
 
-def _extend(window: int):
-    """Grow each diagonal of hits to its runs of equal words; those of a window's length count."""
+def _extend(window: int, gram: int):
+    """Grow each hit to both sides while the words are equal; what reaches a window's length counts.
+
+    A window that a document shares holds a fingerprint that both sides keep, at one place in it, so the hits together
+    cover every shared window, though none looks farther than that.
+    """
+    reach = window - gram
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, n_hit, ids = [], [], []
-            for key, own, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                doc = np.frombuffer(own, np.uint64)
-                hit, found = np.zeros(len(doc), bool), set()
-                for item in items:
-                    other = np.frombuffer(item["words"], np.uint64)
-                    least = min(window, len(other))
-                    for diagonal in item["diagonals"]:
-                        low, high = max(0, diagonal), min(len(doc), diagonal + len(other))
-                        equal = np.zeros(high - low + 2, np.int8)
-                        equal[1:-1] = doc[low:high] == other[low - diagonal:high - diagonal]
-                        edges = np.diff(equal)
-                        for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)):
-                            if b - a >= least:
-                                hit[low + a:low + b] = True
-                                found.add(item["item_id"])
-                keys.append(key)
-                n_hit.append(int(hit.sum()))
-                ids.append(sorted(found))
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "n_hit": pa.array(n_hit, pa.int64()),
-                                              "items": pa.array(ids, pa.list_(pa.string()))})
+            own, other = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) for c in (batch.column(2), batch.column(5)))
+            equal = own == other
+            before = np.cumprod(equal[:, :reach][:, ::-1], axis=1, dtype=np.int8).sum(1, dtype=np.int32)
+            behind = np.cumprod(equal[:, reach:], axis=1, dtype=np.int8).sum(1, dtype=np.int32)
+            hit = (behind > 0) & (before + behind >= np.asarray(batch.column(4)))
+            at = np.asarray(batch.column(1))
+            kept = pa.array(hit)
+            yield pa.RecordBatch.from_pydict({
+                "key": batch.column(0).filter(kept), "item_id": batch.column(3).filter(kept),
+                "start": (at - before)[hit].astype(np.int32), "stop": (at + behind)[hit].astype(np.int32)})
 
     return run
 
@@ -141,15 +160,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
     A document word is hit if it lies in an occurrence of ``window`` consecutive words of an item, or of a whole item
     that is shorter. Winnowing keeps the least hash of every window of grams on both sides, so a shared span of
-    ``window`` words shares a fingerprint; fingerprints are joined and each hit is extended along its diagonal.
+    ``window`` words shares a fingerprint; fingerprints are joined, each with the words around it, and each hit is extended.
 
     A filter of fixed size drops most fingerprints that no item has before the join; a larger benchmark fills it up and
     makes the join larger, not the result other. Null and empty texts have no words; items without id or words take no
     part; items that repeat an id count as one. Repeated rows get a result each; extra columns are not read.
     """
     items = item_fingerprints(benchmark.select("item_id", "text"), window, gram)
-    lengths = items.select((F.length("words") / 8).cast("int").alias("n")).filter(F.col("n") < window).distinct()
-    short = sorted(r.n for r in lengths.collect())
+    lengths = items.select("least").filter(F.col("least") < window).distinct()
+    short = sorted(r.least for r in lengths.collect())
     slots = items.select(F.shiftrightunsigned("fp", 64 - FILTER_BITS).alias("slot")).distinct().toArrow()
     allowed = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     slot = np.asarray(slots.column(0).combine_chunks(), np.int64)
@@ -157,17 +176,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
     base = _mark_documents(docs, allowed, short, window, gram)
     marked = base.filter("key is not null")
-    hits = (
-        marked.select("key", F.explode(F.arrays_zip("fps", "ats")).alias("f"))
-        .select("key", F.col("f.fps").alias("fp"), F.col("f.ats").alias("doc_at"))
-        .join(items, "fp")
-        .groupBy("key", "item_id", "words").agg(F.collect_set(F.col("doc_at") - F.col("at")).alias("diagonals"))
-        .groupBy("key").agg(F.collect_list(F.struct("item_id", "words", "diagonals")).alias("items"))
-    )
-    texts = marked.select("key", "words").dropDuplicates(["key"])
+    texts = marked.select("key", "fps", "ats", "arounds").dropDuplicates(["key"])
+    met = texts.select("key", F.explode(F.arrays_zip("fps", "ats", "arounds")).alias("f")).select(
+        "key", F.col("f.fps").alias("fp"), F.col("f.ats").alias("doc_at"), F.col("f.arounds").alias("own")).join(items, "fp")
+    spans = met.select("key", "doc_at", "own", "item_id", "least", "around").mapInArrow(_extend(window, gram), SPAN)
     extended = settle(
-        texts.join(hits, "key").select("key", "words", "items")
-        .mapInArrow(_extend(window), "key binary, n_hit long, items array<string>"), "winnow-hits")
+        spans.withColumn("at", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)))
+        .groupBy("key").agg(F.count_distinct("at").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items")), "winnow-hits")
     clean = base.filter("key is null").select(
         "doc_id", "mark", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     rest = marked.select("doc_id", "mark", "n_words", "key").join(extended, "key", "left").select(
