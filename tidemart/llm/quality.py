@@ -264,5 +264,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
             yield batch.filter(pa.array(model.score(measure(batch.column(at))) >= threshold))
         give_back()
 
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # columns may have any names
     with small_batches(docs.sparkSession):
-        return settle(docs.mapInArrow(run, docs.schema), "quality-kept")
+        return settle(numbered.mapInArrow(run, numbered.schema), "quality-kept").toDF(*docs.columns)
