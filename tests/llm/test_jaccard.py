@@ -174,3 +174,72 @@ def test_components(spark):
     want = {i: 100 for i in range(101, 161)} | {i: 7 for i in range(200, 261)} | {301: 300, 302: 300}
     assert got == want
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1, max_size=10), min_size=2, max_size=14), st.sampled_from([50, 80, 85]))
+def test_pivots_decide_like_all_pairs(found, percent):
+    sets = [np.array(sorted(s), np.uint64) for s in found]
+    near, compared = jaccard.by_pivots(sets, percent)
+    want = np.array([[i != j and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(found)] for i, a in enumerate(found)])
+    assert (near == want).all() and compared <= len(sets) * (len(sets) - 1) // 2
+
+
+def test_pivots_spare_comparisons():
+    """Two tight groups: inside a group the way by a pivot is short enough, between them every window is missed."""
+    rng = np.random.default_rng(3)
+    bases = [rng.choice(100_000, 300, replace=False) + 1_000_000 * g for g in range(2)]
+    sets = [np.sort(np.append(np.delete(bases[i % 2], rng.integers(0, 300, 3)), [5_000_000 + i])).astype(np.uint64) for i in range(16)]
+    near, compared = jaccard.by_pivots(sets, 80)
+    assert compared == 0 and near.sum() == 2 * 8 * 7
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.integers(0, 40), min_size=1, max_size=40), st.sets(st.integers(0, 40), min_size=1, max_size=40), st.sampled_from([50, 80, 85, 95]),
+       st.integers(0, 900))
+def test_sketches_never_part_linked_sets(a, b, percent, more):
+    """Also when the sketches are of different sizes."""
+    shared = set(range(1000, 1000 + more))
+    one, two = (np.array(sorted(x | shared), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for x in (a, b))
+    one.sort(), two.sort()
+    common = len(np.intersect1d(one, two))
+    if jaccard.linked(common, len(one), len(two), percent):
+        assert jaccard.may_link(jaccard.sketch(one), jaccard.sketch(two), len(one), len(two), percent)
+
+
+def test_sketches_part_unrelated_sets():
+    rng = np.random.default_rng(1)
+    for n in (20, 400, 5000):
+        sets = [np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(30)]
+        sketches = [jaccard.sketch(s) for s in sets]
+        passed = sum(jaccard.may_link(sketches[i], sketches[j], n, n, 80) for i in range(30) for j in range(i))
+        assert passed == 0 and len(sketches[0]) <= max(64, n)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 30), st.integers(0, 3)), min_size=1, max_size=120))
+def test_meetings_in_two_steps_lose_no_pair(rows):
+    """Nodes that share a key are tested against each other, or hang together on edges that stay, however tasks divide them."""
+    sure, met = set(), [[], []]
+    for task in {t for _, _, t in rows}:
+        own = [(k, n) for k, n, t in rows if t == task]
+        keys, nodes, _, edges = jaccard.meetings(np.array([k for k, _ in own], np.uint64), np.array([n for _, n in own], np.int64))
+        sure |= set(map(tuple, edges.tolist()))
+        met[0].append(keys)
+        met[1].append(nodes)
+    _, _, pairs, edges = jaccard.meetings(np.concatenate(met[0]), np.concatenate(met[1]))
+    sure |= set(map(tuple, edges.tolist()))
+    tested = set(map(tuple, pairs.tolist()))
+    root = {n: n for _, n, _ in rows}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for u, v in sure:
+        root[find(u)] = find(v)
+    for key in {k for k, _, _ in rows}:
+        group = sorted({n for k, n, _ in rows if k == key})
+        assert all((a, b) in tested or find(a) == find(b) for i, b in enumerate(group) for a in group[:i])
+    assert all(u < v for u, v in tested)

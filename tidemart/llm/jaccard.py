@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +20,14 @@ from tidemart.sources import files
 
 SHINGLE = 5
 PERCENT = 80
-LEAF_ROWS = 96  # documents of a region that is joined in one go
+LEAF_ROWS = 16  # documents of a region that is joined in one go
+LEAF_PIVOTS = 4  # of such a region
 BLOCK_ROWS = 128  # documents of a block, two of which are compared at once
 LEAF_SHINGLES = 2_000_000
 PIVOTS = 8
 LEVELS = 8
 GROWN = 3  # times the sets of a region that its cells may hold; of more, blocks are compared
-SLICE_ROWS = 2048  # documents of a large region that one task measures against its pivots
+SLICE_ROWS = 256  # documents of a large region that one task measures against its pivots
 FLUSH = 1_000_000  # projections or shingles that a task holds before it hands them on
 FINER = 6  # times the least number of slices that sets with few rare shingles are projected on
 MEET = 500_000  # projections that are joined at once
@@ -37,7 +38,11 @@ COMMON_SHARE = 500  # a shingle in more than one of so many documents is common;
 COMMON_LEAST = 20  # and it is in so many documents
 COMMON_IN_TASK = 4  # occurrences among the documents a task holds from which a shingle is counted
 
-MARKED = "doc_id long, mark long, n long, set_id binary, node long, shard int, packed binary"
+SMALL_GROUP = 16  # sets that share a projection, up to which every pair of them is tested
+BIG = 1 << 50  # marks the node that stands for a larger group; nodes have 48 bits
+
+MARKED = "doc_id long, mark long, n long, set_id binary, node long, sketch binary, shard int, packed binary"
+EDGE = "u long, v long, sure boolean"
 MEMBER = "parent long, region long, set_id binary, n long, copies long, home boolean, text string, a binary, b binary, links long"
 LINK = "a binary, b binary, links long"  # a link, or (b null) a part of the number of rows that a is linked with
 BLOCK = "region long, own int, blocks int, names binary, facts binary, tokens binary"
@@ -177,15 +182,54 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _sums(raw, n, 16 + 8 * t), index, _sums(raw, t, 16).view(np.int64)
 
 
-def stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, the least node of each, and edges (least, other) between nodes that share a key."""
-    order = np.lexsort((nodes, keys))
+def meetings(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What to pass on of the nodes that share keys: keys and nodes, pairs to be tested, and edges that stay as they are.
+
+    All pairs of up to ``SMALL_GROUP`` nodes with one key are to be tested. More nodes hang on their least one, which alone
+    is passed on, marked with ``BIG``; then a pair of them may be linked though both edges to the least one are not, so
+    none of these edges may go. Keys and nodes come back sorted, each pair of them once.
+    """
+    order = np.lexsort((nodes & ~BIG, keys))
     keys, nodes = keys[order], nodes[order]
+    own, big = nodes & ~BIG, nodes >= BIG
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
+    marks = np.zeros(int(fresh.sum()), bool)
+    np.logical_or.at(marks, np.cumsum(fresh) - 1, big)
+    keys, own, big = keys[fresh], own[fresh], marks
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
-    least = nodes[first][np.cumsum(first) - 1]
-    edges = np.unique(np.column_stack([least, nodes])[least != nodes], axis=0)
-    return keys[first], nodes[first], edges
+    group = np.cumsum(first) - 1
+    large = (np.bincount(group) > SMALL_GROUP) | (np.bincount(group, big) > 0) if len(group) else np.zeros(0, bool)
+    inside = large[group] if len(group) else np.zeros(0, bool)
+    least = own[first][group]
+    edges = np.unique(np.column_stack([least, own])[inside & (least != own)], axis=0)
+    pairs = [np.zeros((0, 2), np.int64)]
+    for step in range(1, min(SMALL_GROUP, len(keys))):
+        both = (group[step:] == group[:-step]) & ~inside[step:]
+        if not both.any():
+            break
+        pairs.append(np.column_stack([own[:-step][both], own[step:][both]]))
+    kept = ~inside | first
+    return keys[kept], np.where(inside, own | BIG, own)[kept], np.unique(np.concatenate(pairs), axis=0), edges
+
+
+def sketch(shingles: np.ndarray) -> bytes | None:
+    """How many shingles fall into each range of their hashes, about four to one. The differences of two sketches add up
+    to no more than the sets differ in, so sets whose sketches differ too much are not linked. None if a count is too large."""
+    bits = max(6, (len(shingles) // 4).bit_length())
+    counts = np.bincount((mix(shingles ^ np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+
+
+def may_link(a: bytes | None, b: bytes | None, n_a: int, n_b: int, percent: int) -> bool:
+    """False if the sketches show that sets of these sizes are not linked."""
+    if a is None or b is None:
+        return True
+    one, two = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (a, b))
+    size = min(len(one), len(two))
+    least = np.abs(one.reshape(size, -1).sum(1) - two.reshape(size, -1).sum(1)).sum()
+    return bool((100 + percent) * least <= (100 - percent) * (n_a + n_b))
 
 
 def common_shingles(docs: DataFrame, shingle: int, n: int) -> np.ndarray:
@@ -249,7 +293,8 @@ class _Projector:
     def flush(self) -> Iterator[tuple[int, bytes]]:
         if self.held:
             nodes = np.repeat(np.fromiter(self.nodes.keys(), np.int64), np.fromiter(self.nodes.values(), np.int64))
-            keys, nodes, edges = stars(np.concatenate(self.keys), nodes)
+            # pairs are tested where all nodes of a key meet
+            keys, nodes, _, edges = meetings(np.concatenate(self.keys), nodes)
             if len(edges):
                 yield -1, edges.tobytes()
             shard = ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
@@ -263,20 +308,21 @@ def _mark(shards: int, shingle: int, percent: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projector = _Projector(shards, percent, common)
         types = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("set_id", pa.binary()),
-                           ("node", pa.int64()), ("shard", pa.int32()), ("packed", pa.binary())])
+                           ("node", pa.int64()), ("sketch", pa.binary()), ("shard", pa.int32()), ("packed", pa.binary())])
 
         def flushed() -> Iterator[pa.RecordBatch]:
             for shard, data in projector.flush():
                 yield pa.RecordBatch.from_pylist([{"shard": shard, "packed": data}], schema=types)
 
         for batch in batches:
-            sizes, names, nodes = [], [], []
+            sizes, names, nodes, sketches = [], [], [], []
             for own in shingle_sets(batch.column(2), shingle):
                 name = set_name(own) if len(own) else None
                 node = int.from_bytes(name[:6], "little") if name else None
                 sizes.append(len(own))
                 names.append(name)
                 nodes.append(node)
+                sketches.append(sketch(own) if name else None)
                 if name:
                     projector.add(own, node)
                     if projector.full():
@@ -284,7 +330,8 @@ def _mark(shards: int, shingle: int, percent: int, common: np.ndarray):
             empty = [None] * len(sizes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
-                 pa.array(nodes, pa.int64()), pa.array(empty, pa.int32()), pa.array(empty, pa.binary())], schema=types)
+                 pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(empty, pa.int32()), pa.array(empty, pa.binary())],
+                schema=types)
         yield from flushed()
         give_back()
 
@@ -297,24 +344,25 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def edges() -> Iterator[pa.RecordBatch]:
         total = sum(len(k) for k, _, _ in held)
-        if len(held) < 2:
-            return
         parts = -(-total // MEET)  # ranges of keys, joined one by one
         low, high = min(k[0] for k, _, _ in held), max(k[-1] for k, _, _ in held)
         width = (int(high) - int(low)) // parts + 1
         cuts = [np.searchsorted(k, np.array([int(low) + width * i for i in range(parts + 1)], np.uint64)) for k, _, _ in held]
         for i in range(parts):
             some = [(k[c[i]:c[i + 1]], table[index[c[i]:c[i + 1]]]) for (k, index, table), c in zip(held, cuts)]
-            found = stars(np.concatenate([k for k, _ in some]), np.concatenate([n for _, n in some]))[2]
-            yield pa.RecordBatch.from_pydict({"u": found[:, 0], "v": found[:, 1]})
+            _, _, pairs, sure = meetings(np.concatenate([k for k, _ in some]), np.concatenate([n for _, n in some]))
+            for found, is_sure in ((pairs, False), (sure, True)):
+                yield pa.RecordBatch.from_pydict({"u": found[:, 0], "v": found[:, 1], "sure": pa.array([is_sure] * len(found), pa.bool_())})
 
     for batch in batches:
         for shard, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if shard != at:
-                yield from edges()
+                if held:
+                    yield from edges()
                 at, held = shard, []
             held.append(unpack(packed))
-    yield from edges()
+    if held:
+        yield from edges()
     held = []
     give_back()
 
@@ -323,16 +371,39 @@ def _own_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for packed in batch.column(1).to_pylist():
             found = np.frombuffer(packed, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_pydict({"u": found[:, 0], "v": found[:, 1]})
+            yield pa.RecordBatch.from_pydict({"u": found[:, 0], "v": found[:, 1], "sure": pa.array([True] * len(found), pa.bool_())})
 
 
-def neighbourhoods(marked: DataFrame, shards: int) -> DataFrame:
-    """node and region of the sets that share a projection with another one."""
+def _tested(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, *facts = (c.to_pylist() for c in batch.columns)
+            kept = pa.array([may_link(a, b, m, n, percent) for a, b, m, n in zip(*facts)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["u", "v"])
+
+    return run
+
+
+def neighbourhoods(marked: DataFrame, shards: int, percent: int) -> DataFrame:
+    """node and region of the sets that links may hold together.
+
+    Few sets that share a projection do so by chance; of small groups the pairs whose sketches tell them apart go, so that
+    chance does not tie the corpus together as it grows. Only sketches of sets in such pairs are moved.
+    """
     packed = marked.filter("shard is not null").select("shard", "packed")
     width = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = packed.filter("shard >= 0").repartition(max(width, shards), "shard").sortWithinPartitions("shard").mapInArrow(_meet, "u long, v long")
-    edges = met.unionByName(packed.filter("shard < 0").mapInArrow(_own_edges, "u long, v long"))
-    found = connected_components(edges)
+    met = packed.filter("shard >= 0").repartition(max(width, shards), "shard").sortWithinPartitions("shard").mapInArrow(_meet, EDGE)
+    met = settle(met.unionByName(packed.filter("shard < 0").mapInArrow(_own_edges, EDGE)), "jaccard-met")
+    pairs = settle(met.filter("not sure").select("u", "v").distinct(), "jaccard-pairs")
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    some, _ = parted(marked.filter("shard is null and node is not null").select("node", "n", "sketch"), wanted, ("node",))
+    # two sets with one node, which happens in very large corpora, cannot be told apart: their pairs stay
+    same = (F.min("sketch").eqNullSafe(F.max("sketch"))) & (F.min("n") == F.max("n")) & (F.count("sketch") == F.count(F.lit(1)))
+    known = settle(some.groupBy("node").agg(F.min("n").alias("n"), F.when(same, F.min("sketch")).alias("sketch")), "jaccard-sketches")
+    a = known.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("sketch").alias("s_u"))
+    b = known.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("sketch").alias("s_v"))
+    kept = pairs.join(a, "u").join(b, "v").select("u", "v", "s_u", "s_v", "n_u", "n_v").mapInArrow(_tested(percent), "u long, v long")
+    found = connected_components(met.filter("sure").select("u", "v").unionByName(kept))
     return found.select("node", F.col("root").alias("region")).unionByName(
         found.select(F.col("root").alias("node"), F.col("root").alias("region")).distinct())
 
@@ -361,6 +432,37 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def by_pivots(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, int]:
+    """Which of a few sets are linked, and how many pairs had to be compared with each other.
+
+    Each pivot, the set farthest from those before, is measured against all. The distances of two sets to a pivot bound
+    their own from below by the difference and from above by the sum: a pair out of reach of any pivot's window is not
+    linked, one within the radius by way of a pivot is, and only what is left is compared.
+    """
+    k, radius = len(sets), (100 - percent) / 100
+    n = np.array([len(s) for s in sets])
+    low, high = np.zeros((k, k)), np.full((k, k), 2.0)
+    near, known = np.zeros((k, k), bool), np.eye(k, dtype=bool)
+    pivot, reach = 0, np.full(k, 2.0)
+    for _ in range(min(LEAF_PIVOTS, k)):
+        common = np.array([_common(sets[pivot], s) for s in sets])
+        away = 1 - common / (n + n[pivot] - common)
+        near[pivot] = near[:, pivot] = linked(common, n, n[pivot], percent)
+        known[pivot] = known[:, pivot] = True
+        low, high = np.maximum(low, np.abs(away[:, None] - away)), np.minimum(high, away[:, None] + away)
+        reach = np.minimum(reach, away)
+        pivot = int(reach.argmax())
+        if known[pivot].all():
+            break
+    sure = high <= radius - 1e-9
+    near |= sure & ~known
+    left = np.argwhere(np.triu(~known & ~sure & (low <= radius + 1e-9), 1))
+    for i, j in left:
+        near[i, j] = near[j, i] = linked(_common(sets[i], sets[j]), n[i], n[j], percent)
+    np.fill_diagonal(near, False)
+    return near, len(left)
+
+
 def spanning(near: np.ndarray) -> list[tuple[int, int]]:
     """Links of a symmetric matrix, as few as connect what all of them connect."""
     seen, out = np.zeros(len(near), bool), []
@@ -400,10 +502,7 @@ def _leaves(shingle: int, percent: int):
             names = list(held)
             copies, home, texts = zip(*held.values())
             copies, home = np.array(copies, np.int64), np.array(home, bool)
-            sets = list(shingle_sets(pa.array(texts, pa.large_string()), shingle))
-            n = np.array([len(s) for s in sets])
-            near = linked(common_counts(sets), n[:, None], n[None, :], percent)
-            np.fill_diagonal(near, False)
+            near, _ = by_pivots(list(shingle_sets(pa.array(texts, pa.large_string()), shingle)), percent)
             edges = [(names[i], names[j]) for i, j in spanning(near)]
             yield _rows(edges, names, (near & _once(names, home, names, home)) @ copies)
 
@@ -501,31 +600,43 @@ def join_regions(spark: SparkSession, members: DataFrame, shingle: int = SHINGLE
     """All pairs of sets (set_id, n, copies, home, text) of each region that are linked: links (a, b) that connect them, and
     parts (a, null, links) of the number of rows each set is linked with.
 
-    A region of up to ``LEAF_ROWS`` sets is compared at once. A larger one takes pivots; each set is measured against
+    A region of up to ``LEAF_ROWS`` sets is joined at once, by the windows of ``LEAF_PIVOTS`` pivots. A larger one takes pivots; each set is measured against
     them, lies in the Voronoi region of the nearest, its home, and is copied into those whose pivot is at most twice the
     radius farther, which by the triangle inequality is where a linked set can lie. So the regions are joined on their
     own, recursively, and a pair is counted where the set of the smaller name is at home. Where sets are so evenly apart,
     or so close together, that a region does not shrink, its sets are compared block by block: exact, bounded in memory,
     quadratic in work.
     """
-    links = []
+    links, behind = [], []
     small = (F.col("rows") <= LEAF_ROWS) & (F.col("shingles") <= LEAF_SHINGLES)
     columns = ["region", "set_id", "n", "copies", "home", "text"]
 
+    def written(rows: DataFrame, label: str) -> DataFrame:
+        """``settle`` for rows with texts: they go when the next level has been written."""
+        path = scratch_dir(spark, label)
+        rows.write.parquet(path)
+        behind.append(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    def drop(paths: list[str]) -> None:
+        for path in paths:
+            files.delete(spark, path)
+
     def by_size(rows: DataFrame, label: str) -> DataFrame:
         """Joins the small regions; the rows of the others."""
         sized = rows.join(_sizes(rows).filter("rows > 1").withColumn("leaf", small), "region")
         leaf = sized.filter("leaf").select(*columns)
         links.append(settle(join_leaves(leaf, shingle, percent), f"jaccard-links-{label}"))
-        return settle(sized.filter("not leaf").select(*columns, "rows"), f"jaccard-large-{label}")
+        return written(sized.filter("not leaf").select(*columns, "rows"), f"jaccard-large-{label}")
 
     current = by_size(members, "0")
     level = 0
     while not current.isEmpty():
         level += 1
         if level > LEVELS:
-            links.append(settle(_by_blocks(current, shingle, percent), "jaccard-links-blocks"))
+            links.append(settle(_by_blocks(current, written, shingle, percent), "jaccard-links-blocks"))
             break
+        done = list(behind)
         order = Window.partitionBy("region").orderBy(F.xxhash64("set_id", F.lit(level)), "set_id")
         parts = F.ceil(F.col("rows") / SLICE_ROWS).cast("int")
         pivots = (
@@ -538,7 +649,8 @@ def join_regions(spark: SparkSession, members: DataFrame, shingle: int = SHINGLE
             pivots.select(*dealt_columns).unionByName(rows.select(*dealt_columns))
             .repartition("region", "salt").sortWithinPartitions("region", "salt", F.desc("pivot"), "set_id")
         )
-        measured = settle(dealt.mapInArrow(_measure(shingle, percent, level), MEMBER), "jaccard-measured")
+        measured = written(dealt.mapInArrow(_measure(shingle, percent, level), MEMBER), "jaccard-measured")
+        done.append(behind[-1])
         cells = measured.filter("a is null").select("parent", *columns)
         parents = current.groupBy("region").agg(F.first("rows").alias("rows"))
         filled = cells.groupBy("parent", "region").agg(F.count(F.lit(1)).alias("cell"))
@@ -548,17 +660,21 @@ def join_regions(spark: SparkSession, members: DataFrame, shingle: int = SHINGLE
         stuck = filled.join(parents, filled["parent"] == parents["region"]).filter(full).select("parent")
         stuck = settle(stuck, "jaccard-stuck")
         # blocks count all pairs of a region, also those with its pivots
-        links.append(measured.filter("a is not null").join(stuck, "parent", "left_anti").select("a", "b", "links"))
+        links.append(settle(measured.filter("a is not null").join(stuck, "parent", "left_anti").select("a", "b", "links"), "jaccard-links-pivots"))
         blocked = current.join(stuck, current["region"] == stuck["parent"], "left_semi")
-        links.append(settle(_by_blocks(blocked, shingle, percent), "jaccard-links-blocks"))
+        links.append(settle(_by_blocks(blocked, written, shingle, percent), "jaccard-links-blocks"))
+        done.append(behind[-1])
         current = by_size(cells.join(stuck, "parent", "left_anti").select(*columns), str(level))
+        drop(done)
+        behind = [path for path in behind if path not in done]
+    drop(behind)
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _by_blocks(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _by_blocks(rows: DataFrame, written: Callable[[DataFrame, str], DataFrame], shingle: int, percent: int) -> DataFrame:
     """The pairs of each region: its sets are dealt into blocks of a row each, and every block meets every block."""
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
     dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
@@ -566,7 +682,7 @@ def _by_blocks(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
         dealt.select("region", "own", "blocks", "set_id", "copies", "home", "text")
         .repartition("region", "own").sortWithinPartitions("region", "own").mapInArrow(_pack_blocks(shingle, percent), BLOCK)
     )
-    met = settle(packed, "jaccard-blocks").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = written(packed, "jaccard-blocks").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("region", "at", "own", "names", "facts", "tokens").repartition("region", "at")
     return met.sortWithinPartitions("region", "at", F.desc(F.col("own") == F.col("at"))).mapInArrow(_meet_blocks(percent), LINK)
 
@@ -695,7 +811,7 @@ def _sets_and_links(spark: SparkSession, keyed: DataFrame, shingle: int, percent
     keyed.mapInArrow(_mark(shards, shingle, percent, common), MARKED).write.parquet(packed)
     marked = spark.read.schema(MARKED).parquet(packed)
     base = settle(marked.filter("shard is null").select("doc_id", "mark", "n", "set_id", "node"), "jaccard-sets")
-    regions = settle(neighbourhoods(marked, shards), "jaccard-regions")
+    regions = settle(neighbourhoods(marked, shards, percent), "jaccard-regions")
     files.delete(spark, packed)  # the largest of the written tables, and not read again
     near = base.filter("set_id is not null").join(regions, "node")
     chosen = settle(
@@ -705,11 +821,13 @@ def _sets_and_links(spark: SparkSession, keyed: DataFrame, shingle: int, percent
         .select("set_id", "region", "n", "copies", F.col("row.doc_id").alias("_id"), F.col("row.mark").alias("_mark")), "jaccard-chosen")
     # few documents are members: only texts that may be are moved
     maybe, _ = parted(keyed, chosen.select(F.col("_id").alias("doc_id"), F.col("_mark").alias("mark")))
-    members = settle(
-        maybe.join(chosen, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-        .select("region", "set_id", "n", "copies", F.lit(True).alias("home"), "text"), "jaccard-members")
-
-    return base, join_regions(spark, members, shingle, percent)
+    kept = scratch_dir(spark, "jaccard-members")
+    near = maybe.join(chosen, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    near = near.select("region", "set_id", "n", "copies", F.lit(True).alias("home"), "text")
+    near.write.parquet(kept)
+    links = join_regions(spark, spark.read.schema(near.schema).parquet(kept), shingle, percent)
+    files.delete(spark, kept)
+    return base, links
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -724,7 +842,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    with small_batches(spark):
+    with small_batches(spark), shuffles_dropped(spark):
         base, links = _sets_and_links(spark, keyed, shingle, percent)
     roots = connected_components(links.filter("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     numbers = links.filter("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("others"))
