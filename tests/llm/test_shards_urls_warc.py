@@ -123,6 +123,30 @@ def test_archives_come_back(spark, tmp_path):
     assert len(list((tmp_path / "w").iterdir())) == got.select("archive").distinct().count()
 
 
+def test_only_repeated_payloads_are_moved(spark):
+    """Without broadcasts, rows whose digest is not repeated pass beside the shuffle."""
+    pages = spark.createDataFrame([(i, "u", f"{i % 40 if i < 60 else i} " * 800) for i in range(200)], "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        still = warc.plan_records(pages).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.page_id: r.refers_to for r in still} == {i: i + 40 if i < 20 else None for i in range(200)}
+    rows = pages.withColumn("payload_digest", warc.F.sha1(warc.F.col("html").cast("binary")))
+    keys = rows.groupBy("payload_digest").count().filter("count > 1")
+    maybe, others = warc.parted(rows, keys, ("payload_digest",))
+    assert maybe.count() <= 42 and maybe.count() + others.count() == 200
+    assert "hashpartitioning" not in others._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stores_by_their_addresses():
+    assert warc._store("/tmp/x")[1] == "/tmp/x" and warc._store("file:///tmp/x")[1] == "/tmp/x"
+    for path in ("s3a://bucket/a/b", "s3://bucket/a/b"):
+        store, root = warc._store(path + "?region=us-east-1")
+        assert store.type_name == "s3" and root == "bucket/a/b"
+
+
 def test_empty_table_makes_no_archive(spark, tmp_path):
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/w").collect() == []
 

@@ -13,6 +13,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemart.llm.among import parted
 from tidemart.session import scratch_dir, settle
 
 DICTIONARY_FRAME = 0x184D2A5D  # magic number of the skippable frame that holds the dictionary
@@ -154,6 +155,9 @@ def _exactly(stream: io.IOBase, n: int) -> bytes:
 # -- Spark ------------------------------------------------------------------------------------
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as executors reach it: local and mounted folders, s3 (also written s3a) and gs as they
+    are; hdfs needs libhdfs on the executors."""
+    path = path.replace("s3a://", "s3://", 1)
     return fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
 
 
@@ -162,8 +166,9 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
 
     Payloads of at least ``min_bytes`` bytes with equal digests: the largest page_id is the response, others refer to it.
     Rows that repeat that page_id are responses too. A null page_id counts as smaller than all; a group without any
-    page_id is all responses. A digest seen once never enters the join, which moves the payload of the others' rows too:
-    the small side has one row per repeated digest, so Spark can cut a digest that holds a third of the rows.
+    page_id is all responses. Rows whose digest is surely not repeated pass beside the join, which moves the payload of
+    the others' rows: its small side has one row per repeated digest, so Spark can cut a digest that holds a third of
+    the rows.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", F.sha1("payload"))
@@ -172,7 +177,9 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
         rows.filter(long).groupBy("payload_digest")
         .agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1 and response is not null").drop("n"), "warc-groups")
-    joined = rows.join(narrow, "payload_digest", "left")
+    maybe, others = parted(rows, narrow, ("payload_digest",))
+    joined = maybe.join(narrow, "payload_digest", "left").select(*rows.columns, "response").unionByName(
+        others.withColumn("response", F.lit(None).cast("long")))
     refers = F.when(long & (F.col("page_id").isNull() | (F.col("page_id") != F.col("response"))), F.col("response"))
     return joined.select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"))
 
