@@ -15,7 +15,8 @@ from tidemart.session import settle
 
 MAX_COPIES = 3
 SEED = 71
-BUCKETS = 4096  # ranges of the seeded hash whose sizes are summed to find where a pattern's selection ends
+DIGIT = 8  # bits of the seeded hash by which the range is narrowed in which a pattern's selection ends
+FINE_ROWS = 4096  # documents of such a range that are ordered at once
 TRADES = 4  # documents that may be left out for one that is larger than the gap which is left when nothing fits
 CLOSE = 1000  # a gap of less than this part of what a pattern gives is left as it is
 BROADCAST_ROWS = 100_000  # rows of a plan (some 100 bytes each) that are broadcast; longer plans are joined by shuffle
@@ -191,28 +192,49 @@ def _gaps(spark: SparkSession, shares: dict[str, Share]) -> DataFrame:
 
 def _walk(sized: DataFrame, shares: dict[str, Share]) -> None:
     """Rounds along the seeded order: each ends before the first place that does not fit, and the next goes on behind it
-    with the documents that are no larger than the gap, until nothing is left that fits."""
+    with the documents that are no larger than the gap, until nothing is left that fits.
+
+    Where a round ends is found digit by digit: sums over the 256 ranges that the next bits of the hash make of the range
+    found so far, until that holds ``FINE_ROWS`` documents; these are then ordered. So no task sees more of a pattern.
+    """
     spark = sized.sparkSession
-    shift = 64 - (BUCKETS.bit_length() - 1)
-    bucket = F.shiftrightunsigned(F.col("order").bitwiseXOR(F.lit(-1 << 63)), shift)
+    u = sized.withColumn("_u", F.col("order").bitwiseXOR(F.lit(-1 << 63)))
     limits: dict[str, tuple[int | None, int | None]] = {p: (None, None) for p, s in shares.items() if s.gap}
     while limits:
-        open_ = _small(spark, [(p, shares[p].gap, *limits[p]) for p in limits], "pattern string, gap long, after long, most long")
         fits = (F.col("after").isNull() | (F.col("order") > F.col("after"))) & (F.col("most").isNull() | (F.col("size") <= F.col("most")))
-        rows = sized.withColumn("bucket", bucket).join(open_, "pattern").filter(fits)
-        sums = settle(rows.groupBy("pattern", "gap", "bucket").agg(F.sum("size").alias("part")), "mix-sums")
-        up_to = Window.partitionBy("pattern").orderBy("bucket")
-        ends = (
-            sums.withColumn("before", F.sum("part").over(up_to) - F.col("part"))
-            .filter("before <= gap and before + part > gap").select("pattern", "bucket", "before")
-        )
-        inside = rows.join(ends, ["pattern", "bucket"])
-        within = Window.partitionBy("pattern").orderBy("order")  # equal places are summed together
-        summed = inside.withColumn("sum", F.col("before") + F.sum("size").over(within))
+        inside = F.col("bits") == 0
+        inside = inside | (F.expr("shiftrightunsigned(_u, cast(64 - bits as int))") == F.col("prefix"))
+
+        def among(cuts: dict[str, tuple[int, int, int]]) -> DataFrame:
+            """The documents that fit, of the range found so far: its leading bits, how many these are, and the sum before."""
+            open_ = [(p, shares[p].gap, *limits[p], bits, _as_long(prefix, bits), before) for p, (bits, prefix, before) in cuts.items()]
+            kind = "pattern string, gap long, after long, most long, bits int, prefix long, before long"
+            return u.join(_small(spark, open_, kind), "pattern").filter(fits & inside)
+
+        cuts, fine, whole = {p: (0, 0, 0) for p in limits}, {}, {}
+        while cuts:
+            bits = next(iter(cuts.values()))[0]
+            digit = F.shiftrightunsigned("_u", 64 - DIGIT - bits).bitwiseAND(F.lit((1 << DIGIT) - 1))
+            sums = among(cuts).groupBy("pattern", "gap", "before", digit.alias("digit")).agg(
+                F.sum("size").alias("part"), F.count(F.lit(1)).alias("n"))
+            upto = F.col("before") + F.sum("part").over(Window.partitionBy("pattern").orderBy("digit"))
+            ends = sums.withColumn("upto", upto)
+            over = F.when(F.col("upto") > F.col("gap"), F.struct("digit", (F.col("upto") - F.col("part")).alias("before"), "n"))
+            found = ends.groupBy("pattern").agg(F.max("upto").alias("total"), F.min(over).alias("cut")).collect()
+            further = {}
+            for r in found:
+                if r.cut is None:
+                    whole[r.pattern] = r.total
+                    continue
+                cut = (bits + DIGIT, (cuts[r.pattern][1] << DIGIT) | r.cut.digit, r.cut.before)
+                (fine if r.cut.n <= FINE_ROWS or bits + DIGIT == 64 else further)[r.pattern] = cut
+            cuts = further
+        within = Window.partitionBy("pattern").orderBy("order")
+        places = among(fine).groupBy("pattern", "gap", "before", "order").agg(F.sum("size").alias("size"))  # equal places count together
+        summed = places.withColumn("sum", F.col("before") + F.sum("size").over(within))
         stops = summed.groupBy("pattern").agg(
             F.max(F.when(F.col("sum") <= F.col("gap"), F.col("sum"))).alias("sum"), F.first("before").alias("before"),
-            F.min(F.when(F.col("sum") > F.col("gap"), F.col("order"))).alias("stop")).collect()
-        whole = sums.groupBy("pattern").agg(F.first("gap").alias("gap"), F.sum("part").alias("sum")).filter("sum <= gap").collect()
+            F.min(F.when(F.col("sum") > F.col("gap"), F.col("order"))).alias("stop")).collect() if fine else []
         further = {}
         for r in stops:
             s, (after, most) = shares[r.pattern], limits[r.pattern]
@@ -222,12 +244,16 @@ def _walk(sized: DataFrame, shares: dict[str, Share]) -> None:
                 s.gap -= given
             if s.gap:
                 further[r.pattern] = (r.stop, s.gap)
-        for r in whole:
-            shares[r.pattern].rounds.append((limits[r.pattern][0], None, limits[r.pattern][1]))
-            shares[r.pattern].gap -= r["sum"]
+        for p, total in whole.items():
+            shares[p].rounds.append((limits[p][0], None, limits[p][1]))
+            shares[p].gap -= total
         limits = further
 
 
+def _as_long(prefix: int, bits: int) -> int:
+    return prefix - (1 << 64) if bits == 64 and prefix >> 63 else prefix
+
+
 def _select(sized: DataFrame, shares: dict[str, Share]) -> None:
     _walk(sized, shares)
     spark = sized.sparkSession
