@@ -25,6 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record per page, written and read back: what was stored as response or revisit."""
     records = warc.round_trip(spark, _table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -41,6 +42,7 @@ FROM g
 
 @query
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards by a permutation of their row numbers; law ``rows``."""
     return shards.shard_documents(_table(spark, sf_dir, "documents"), 24, SHARD_SEED)
 
 
@@ -85,6 +87,7 @@ FROM walk WHERE x < n
 
 @query
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vec_id among all other rows' vectors."""
     vectors = settle(topk.quantise(_table(spark, sf_dir, "embeddings")), "topk-vectors")
     return topk.top_k(spark, vectors, vectors.filter(F.col("vec_id") % 100 == 0), 10)
 
@@ -102,6 +105,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 @query
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest rule that fits each page's host and path, and the verdict."""
     return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), urls.RULES).select(
         "page_id", "host", "path", "rule", "verdict")
 
@@ -122,16 +126,19 @@ FROM p LEFT JOIN f ON p.page_id IS NOT DISTINCT FROM f.page_id AND p.host = f.ho
 
 @query
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored for toxicity, learned from labels outside the held-out fifth."""
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored for quality, learned from labels outside the held-out quarter."""
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside windows that a benchmark item has, and the items."""
     found = winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -159,11 +166,13 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)
 
 @query
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of all sources takes."""
     return mixing.mix_documents(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without lines of at least 20 words that stand earlier, with their offsets."""
     found = lines.deduplicate(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.to_json("removed").alias("removed"), "text")
 
@@ -185,6 +194,7 @@ FROM r GROUP BY doc_id
 
 @query
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their component of near copies: four-word shingles, a similarity of 0.85 or more."""
     return jaccard.jaccard_groups(_table(spark, sf_dir, "documents"), shingle=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
