@@ -580,6 +580,7 @@ def _measure(shingle: int, percent: int, level: int):
                     rows.append((region, cell, name, n, copies, home and int(i) == nearest, text, None, None, None))
             yield from batches_of(rows)
         yield from batches_of(ended())
+        give_back()
 
     return run
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidemart.llm.text import NOT_BLANK, count_words
+from tidemart.llm.text import NOT_BLANK, count_words, give_back, small_batches
 from tidemart.session import settle
 
 MAX_COPIES = 3
@@ -298,6 +298,7 @@ def word_sizes(docs: DataFrame, keep: list[str]) -> DataFrame:
         for batch in batches:
             columns = {c: batch.column(i) for i, c in enumerate(keep)}
             yield pa.RecordBatch.from_pydict(columns | {"size": count_words(batch.column(len(keep)), NOT_BLANK)})
+        give_back()
 
     return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", size long")
 
@@ -310,7 +311,8 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     no words have target 0. Extra columns are not read. An empty table gives no rows. Reruns agree.
     """
     ordered = with_order(docs.select("doc_id", "source", "text"), F.array(F.col("source")), seed)
-    sized = settle(word_sizes(ordered, ["doc_id", "source", "pattern", "order"]), "mix-sizes")
+    with small_batches(docs.sparkSession):
+        sized = settle(word_sizes(ordered, ["doc_id", "source", "pattern", "order"]), "mix-sizes")
     plan = plan_mix(sized)
     facts = [(s, plan.source_sizes[s], float(t)) for s, t in plan.targets.items()]
     about = _small(docs.sparkSession, facts, "_source string, source_size long, target double")
@@ -323,7 +325,8 @@ def take(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes them; columns stay as they are, whatever their names."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     ordered = with_order(docs.select(row.alias("row"), "doc_id", "text", "source"), F.array(F.col("source")), seed)
-    sized = settle(word_sizes(ordered, ["pattern", "order"]), "mix-sizes")
+    with small_batches(docs.sparkSession):
+        sized = settle(word_sizes(ordered, ["pattern", "order"]), "mix-sizes")
     size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0))
     chosen = plan_mix(sized).copies(ordered, "_copies", size)
     return chosen.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")

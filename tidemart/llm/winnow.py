@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemart.llm.among import boxed, parted
-from tidemart.llm.text import ALPHANUMERIC, give_back, pieces, runs, signed, utf8, word_hashes, words
+from tidemart.llm.text import ALPHANUMERIC, give_back, pieces, runs, signed, small_batches, utf8, word_hashes, words
 from tidemart.session import settle
 
 WINDOW = 10  # words of a window: every shared span of so many words is found
@@ -129,7 +129,8 @@ def _mark_documents(docs: DataFrame, allowed: np.ndarray, short: list[int], wind
         give_back()
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    return settle(keyed.mapInArrow(run, BASE), "winnow-documents")
+    with small_batches(docs.sparkSession):
+        return settle(keyed.mapInArrow(run, BASE), "winnow-documents")
 
 
 def _extend(window: int, gram: int):
