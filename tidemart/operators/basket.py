@@ -10,9 +10,6 @@ from tidemart.operators.keys import per_key
 LARGE_BASKET = 1000
 
 
-RARE_SHARE = 0.1
-
-
 def _frequent(lines: DataFrame, min_support: int) -> DataFrame:
     """Lines whose product is in at least ``min_support`` baskets."""
     counted = per_key(lines, "product_key", F.count(F.lit(1)).alias("n"))
@@ -20,18 +17,6 @@ def _frequent(lines: DataFrame, min_support: int) -> DataFrame:
     return lines.join(often, "product_key", "left_semi")
 
 
-def _measure(lines: DataFrame, min_support: int, large_basket: int) -> tuple[int, float]:
-    """How many baskets are large, and the share of lines with a rare product; one job for both."""
-    zero = F.lit(0).cast("bigint")
-    n = F.col("n")
-    baskets = lines.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.count_if(n > large_basket).alias("large"), zero.alias("rare"), zero.alias("total"))
-    products = lines.groupBy("product_key").agg(F.count(F.lit(1)).alias("n")).agg(
-        zero.alias("large"), F.sum(F.when(n < min_support, n)).alias("rare"), F.sum("n").alias("total"))
-    large, rare, total = baskets.unionByName(products).agg(F.sum("large"), F.sum("rare"), F.sum("total")).first()
-    return large, (rare or 0) / total if total else 0.0
-
-
 def _ordinary_pairs(lines: DataFrame) -> DataFrame:
     """Pair counts of baskets known to be short: each becomes one sorted list, paired in place.
 
@@ -56,11 +41,10 @@ def _joined_pairs(lines: DataFrame) -> DataFrame:
 
 
 def pair_counts(lines: DataFrame, min_support: int, large_basket: int = LARGE_BASKET) -> DataFrame:
-    """(product_a, product_b, times_bought_together) with at least ``min_support`` baskets; exact.
+    """(product_a, product_b, times_bought_together) with at least ``min_support`` baskets; exact, and one plan.
 
     ``lines`` holds a product at most once per transaction. A product in fewer than ``min_support``
-    baskets cannot be in a result pair. Where such products make up much of the table their lines go
-    first; where they are few, their pairs are left to the final filter, which saves shuffling all lines.
+    baskets cannot be in a result pair, so its lines go first.
 
     A basket of more than ``large_basket`` lines is never gathered into one row nor unfolded into all
     its pairs. Its pairs are counted in two ways that together miss none:
@@ -68,33 +52,26 @@ def pair_counts(lines: DataFrame, min_support: int, large_basket: int = LARGE_BA
         looked up in the large baskets;
       * pairs seen in large baskets only: both products then sit in ``min_support`` large baskets,
         and only such products are paired. While there are fewer large baskets than that, none do.
+    Both hang on the lines of large baskets: where there are none, the adaptive planner drops these branches.
     """
-    n_large, rare_share = _measure(lines, min_support, large_basket)
-    likely = _frequent(lines, min_support) if rare_share > RARE_SHARE else lines
-
-    if n_large == 0:
-        found = _ordinary_pairs(likely)
-    else:
-        sizes = per_key(lines, "transaction_id", F.count(F.lit(1)).alias("size"))
-        large_ids = sizes.filter(F.col("size") > large_basket).select("transaction_id")
-        ordinary = likely.join(large_ids, "transaction_id", "left_anti")
-        large = likely.join(large_ids, "transaction_id", "left_semi")
-        small = _ordinary_pairs(ordinary)
-        seen = small.select("product_a", "product_b")
-
-        in_a = large.select(F.col("product_key").alias("product_a"), "transaction_id")
-        in_b = large.select(F.col("product_key").alias("product_b"), "transaction_id")
-        looked_up = (
-            small.filter(F.col("n") >= min_support - n_large).select("product_a", "product_b")
-            .join(in_a, "product_a").join(in_b, ["product_b", "transaction_id"])
-            .groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("n"))
-        )
-        parts = small.unionByName(looked_up)
-        if n_large >= min_support:
-            parts = parts.unionByName(
-                _joined_pairs(_frequent(large, min_support)).join(seen, ["product_a", "product_b"], "left_anti")
-            )
-        found = parts.groupBy("product_a", "product_b").agg(F.sum("n").alias("n"))
+    likely = _frequent(lines, min_support)
+    sizes = per_key(likely, "transaction_id", F.count(F.lit(1)).alias("size"))
+    large_ids = sizes.filter(F.col("size") > large_basket).select("transaction_id")
+    n_large = large_ids.agg(F.count(F.lit(1))).scalar()
+    large = likely.join(large_ids, "transaction_id", "left_semi")
+    small = _ordinary_pairs(likely.join(large_ids, "transaction_id", "left_anti"))
+
+    in_a = large.select(F.col("product_key").alias("product_a"), "transaction_id")
+    in_b = large.select(F.col("product_key").alias("product_b"), "transaction_id")
+    near = small.filter(F.col("n") >= min_support - n_large).select("product_a", "product_b")
+    looked_up = (
+        near.join(in_a, "product_a").join(in_b, ["product_b", "transaction_id"])
+        .groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("n"))
+    )
+    enough = large.filter(n_large >= min_support)
+    only_large = _joined_pairs(_frequent(enough, min_support)).join(
+        small.select("product_a", "product_b"), ["product_a", "product_b"], "left_anti")
+    found = small.unionByName(looked_up).unionByName(only_large).groupBy("product_a", "product_b").agg(F.sum("n").alias("n"))
     return found.filter(F.col("n") >= min_support).withColumnRenamed("n", "times_bought_together")
 
 
