@@ -170,3 +170,17 @@ def test_profile_with_samples(spark):
     got = {(r.table, r.column): (r.row_count, r.samples) for r in tables.profile(spark, layer, 3).collect()}
     assert got == {("a", "n"): (5, ["1"] * 3), ("a", "s"): (5, ["x"] * 3), ("b", "a.b"): (1, [None]), ("b", "l"): (1, ["[1, 2]"]), ("none", "k"): (0, [])}
     assert "samples" not in tables.profile(spark, layer).columns
+
+
+def test_encodings_are_told_apart_in_one_scan(spark, lines_in):
+    """UTF-8, Latin-1 and a file of both; names too; one scan, and nothing read before it but headers."""
+    root = lines_in({
+        "t_1.csv": "\ufeffname,straße\ncafé,日本\nplain,\U0001d11e\n", "t_2.csv": "name,straße\ncafé,ü\nplain,\n".encode("latin-1"),
+        "t_3.csv": b"name,other\n\xc3\xa9t\xc3\xa9,1\n\xe9t\xe9,2\n\xff\xfe,3\n"})
+    df = raw.read_delimited(spark, root, encoding="auto")
+    assert sorted(df.columns) == ["name", "other", raw.LINEAGE, "straße"]
+    assert rows(df.select("name", "straße", "other")) == sorted([
+        ("café", "日本", None), ("plain", "\U0001d11e", None), ("café", "ü", None), ("plain", None, None),
+        ("été", None, "1"), ("été", None, "2"), ("ÿþ", None, "3")], key=repr)
+    one = raw.read_delimited(spark, root, "t_3*", encoding="auto")
+    assert one._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1

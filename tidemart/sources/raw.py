@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tidemart.sources import files
 
 LINEAGE = "source_file"
+AUTO = "auto"  # an encoding that is found out
 
 
 def lineage(root: str | None = None) -> Column:
@@ -28,39 +29,37 @@ def _positions(names: tuple[str, ...]) -> list[tuple[str, list[str]]]:
     return list(slots.items())
 
 
+def _either(value: Column) -> Column:
+    """Text read byte by byte as Latin-1: what it is as UTF-8, where its bytes are that. Plain ASCII, which has as many
+    bytes as characters, is left as it is."""
+    as_utf8 = F.encode(value, "ISO-8859-1").cast("string")
+    return F.when(F.octet_length(value) == F.length(value), value).when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(value)
+
+
+def _either_name(name: str) -> str:
+    try:
+        return name.encode("latin-1").decode("utf-8")
+    except UnicodeError:
+        return name
+
+
 def _read_group(spark, paths, names, sep, encoding, root, multiline, keep_case) -> DataFrame:
+    auto = encoding == AUTO
     schema = T.StructType([T.StructField(f"c{i}", T.StringType(), True) for i in range(len(names))])
     df = (
         spark.read.schema(schema)
-        .option("header", True).option("sep", sep).option("encoding", encoding)
+        .option("header", True).option("sep", sep).option("encoding", "ISO-8859-1" if auto else encoding)
         .option("quote", '"').option("escape", '"').option("multiLine", multiline)
         .csv(paths)
     )
     labels = {n.strip().lower() or f"_c{i}": n.strip() or f"_c{i}" for i, n in reversed(list(enumerate(names)))}
     columns = []
     for name, slots in _positions(names):
-        values = [F.when(F.col(s) != "", F.col(s)) for s in slots]
+        values = [F.when(F.col(s) != "", _either(F.col(s)) if auto else F.col(s)) for s in slots]
         columns.append(F.coalesce(*values).alias(labels[name] if keep_case else name))
     return df.select(*columns, lineage(root).alias(LINEAGE))
 
 
-def undecodable(spark: SparkSession, paths: list[str]) -> set[str]:
-    """Files with bytes that are not UTF-8. One line scan; only file names reach the driver."""
-    bad = (
-        spark.read.text(paths)
-        .select("value", F.col("_metadata.file_path").alias("path"))
-        .filter(~F.is_valid_utf8("value"))
-        .select("path").distinct()
-    )
-    return {row.path for row in bad.collect()}
-
-
-def _bare(path: str) -> str:
-    """Listing and scan spell the same file as file:/x and file:///x."""
-    scheme, _, rest = path.partition(":/")
-    return f"{scheme}:/{rest.lstrip('/')}" if rest else path
-
-
 def read_delimited(
     spark: SparkSession,
     root: str,
@@ -73,8 +72,9 @@ def read_delimited(
     """All matching files of ``root`` as text columns, merged by column name.
 
     Files are grouped by header and each group is read on its own: one read over different
-    headers would put values under the wrong names without an error. ``encoding="auto"`` reads
-    files that are not UTF-8 as Latin-1. None when nothing matches.
+    headers would put values under the wrong names without an error. ``encoding="auto"`` reads UTF-8, and as
+    Latin-1, which any bytes are, what is not: each value by its own bytes, in the one scan that reads it. None when
+    nothing matches.
 
     A quoted value may hold line breaks, so a file is read by one task. ``multiline=False`` lets Spark cut large files
     that are known to have none.
@@ -82,22 +82,16 @@ def read_delimited(
     paths = files.data_files(spark, root, pattern)
     if not paths:
         return None
-    latin: set[str] = set()
-    if encoding == "auto":
-        latin = {_bare(p) for p in undecodable(spark, paths)}
-        encoding = "UTF-8"
-    groups: dict[tuple[tuple[str, ...], str], list[str]] = {}
-    charset_of = {p: "ISO-8859-1" if _bare(p) in latin else encoding for p in paths}
-    for charset in set(charset_of.values()):
-        batch = [p for p in paths if charset_of[p] == charset]
-        for path, names in zip(batch, files.headers(spark, batch, sep, charset)):
-            if names:
-                groups.setdefault((names, charset), []).append(path)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, names in zip(paths, files.headers(spark, paths, sep, "ISO-8859-1" if encoding == AUTO else encoding)):
+        if names:
+            found = tuple(_either_name(n).lstrip("\ufeff") for n in names) if encoding == AUTO else names
+            groups.setdefault(found, []).append(path)
     if not groups:
         return None
     parts = [
-        _read_group(spark, group, names, sep, charset, root, multiline, keep_case)
-        for (names, charset), group in groups.items()
+        _read_group(spark, group, names, sep, encoding, root, multiline, keep_case)
+        for names, group in groups.items()
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
