@@ -165,11 +165,17 @@ def test_bytes_of_a_refresh_follow_the_batch_not_the_table(spark, tmp_path):
     assert cost[64_000] < 1.6 * cost[4_000]
 
 
-def test_stored_rows_of_some_keys(spark, tmp_path):
-    root = str(tmp_path)
-    assert keyed.stored(_keyed_rows(spark, [1], 0), root, "t", ["k"]) is None
+def test_the_rows_that_are_replaced_are_told_before(spark, tmp_path):
+    root, told = str(tmp_path), []
+
+    def fold(ids):
+        keyed.fold(_keyed_rows(spark, ids, 8), root, "t", ["k"], _latest, 40, 300, before=lambda have: told.append(None if have is None else rows(have)))
+
+    fold([1])
+    _fold(spark, root, list(range(100)), 7, 300)
     _fold(spark, root, list(range(100)), 7, 300)
-    assert rows(keyed.stored(_keyed_rows(spark, [5, 5, 99, 400], 0), root, "t", ["k"])) == [(5, 7), (99, 7)]
+    fold([5, 5, 99, 400])
+    assert told == [None, [(5, 7), (99, 7)]]
 
 
 # -- gold follows the batch ---------------------------------------------------------------------

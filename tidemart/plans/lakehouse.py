@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -103,11 +104,12 @@ def _month(source: str) -> Column:
     return F.coalesce(month_key(date_key(F.col(FACTS[source][1]))).cast("string"), F.lit(_NO_MONTH))
 
 
-def months_of(source: str, rows: DataFrame) -> set[str]:
+def months_of(source: str, *parts: DataFrame) -> set[str]:
     """The months of silver rows; none for tables that are not facts."""
-    if source not in FACTS:
+    if source not in FACTS or not parts:
         return set()
-    return {r[0] for r in rows.select(_month(source)).distinct().collect()}
+    months = reduce(DataFrame.unionByName, [rows.select(_month(source).alias("month")) for rows in parts])
+    return {r.month for r in months.distinct().collect()}
 
 
 def assign_keys(ids: DataFrame, root: str, table: str, id_column: str, key: str) -> DataFrame:
@@ -215,12 +217,9 @@ def build_gold(
             rows = silver[source]
             if whole:
                 return write(_with_month(make(rows)), table, FACT_LAYOUT if by_month else None, as_of=today)
-            months = set(changed.get(source, ()))
-            for column, name in ids.items():
-                fresh = rekeyed(name)
-                if fresh is not None:
-                    renamed = fresh.toDF("_id")
-                    months |= months_of(source, rows.join(renamed, F.col(column) == F.col("_id"), "left_semi"))
+            fresh = {column: rekeyed(name) for column, name in ids.items()}
+            months = set(changed.get(source, ())) | months_of(source, *[
+                rows.join(found.toDF("_id"), F.col(column) == F.col("_id"), "left_semi") for column, found in fresh.items() if found is not None])
             if not months:
                 return tables.current_path(spark, gold, table)
             some = rows.filter(_month(source).isin(*months))

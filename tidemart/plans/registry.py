@@ -23,6 +23,7 @@ from tidemart.streaming import events as ev, ingest, state
 AS_OF = "2002-01-01"
 CITY = "NATION_7"
 CATEGORY = "ECONOMY"
+EVENT_FILE_BYTES = 32 << 20  # of the events table that land as one file
 RELATIONAL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -613,15 +614,14 @@ def _events_upto(lines: DataFrame) -> int:
 
 
 def _streamed(spark, sf_dir) -> str:
-    """The event lines as files, worked off by the streaming query in several micro-batches."""
+    """The event lines as files, worked off by the streaming query in three micro-batches."""
     def make(path: str) -> None:
-        landing = f"{path}/landing"
-        lines = bindings.event_lines(spark, sf_dir)
-        last = _events_upto(lines)
-        for part in range(6):  # one file after the other, each in the order of the events
-            own = lines.filter(F.floor(F.col("event_id") * 6 / (last + 1)) == part)
-            own.coalesce(1).sortWithinPartitions("event_id").select("value").write.mode("append").text(landing)
-        ingest.run_available(spark, landing, path, f"{path}/checkpoint", AS_OF, refresh_every=2, max_files=2)
+        landing, lines = f"{path}/landing", bindings.event_lines(spark, sf_dir)
+        count = max(6, files.size(spark, f"{sf_dir}/events.parquet") // EVENT_FILE_BYTES)
+        lines.repartitionByRange(count, "event_id").sortWithinPartitions("event_id").select("value").write.text(landing)
+        for i, (_, file, _) in enumerate(files.children(spark, landing)):  # they arrive in the order of the events
+            files.set_modified(spark, file, 1_700_000_000 + i)
+        ingest.run_available(spark, landing, path, f"{path}/checkpoint", AS_OF, refresh_every=2, max_files=-(-count // 3))
     return _once(spark, sf_dir, "stream", make)
 
 

@@ -63,6 +63,11 @@ def matching(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
     return [(s.getPath().toString(), s.getLen()) for s in fs.globStatus(p) or [] if s.isFile()]
 
 
+def set_modified(spark: SparkSession, path: str, seconds: int) -> None:
+    fs, p = _fs(spark, path)
+    fs.setTimes(p, seconds * 1000, -1)
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.delete(p, True)

@@ -42,17 +42,25 @@ def _divided(leaf: Leaf, size: int, limit: int) -> list[Leaf]:
 def fold(
     changes: DataFrame, root: str, table: str, keys: list[str], resolve: Callable[[DataFrame], DataFrame], size: int,
     folder_bytes: int = FOLDER_BYTES, retain_hours: float | None = tables.RETAIN_HOURS,
+    before: Callable[[DataFrame | None], None] | None = None,
 ) -> str:
     """Merge ``changes`` (of about ``size`` bytes, read twice) into a table; ``resolve`` picks the row of each key.
 
     Only the folders that keys of ``changes`` fall into are read and written; a refresh costs what the batch touches,
     not what the table holds. Folders stay below ``folder_bytes`` or so: one that has grown beyond is divided by the next
     bits of the hash when it is written again. A table that was written in another layout is dealt into folders once.
+    ``before`` is given the rows that the table has of these keys (None: no table yet) before anything is written.
     """
     spark = changes.sparkSession
     found = tables.snapshot(spark, root, table)
+
+    def tell(have: DataFrame | None) -> None:
+        if before is not None:
+            before(None if have is None else have.join(changes.select(*keys).distinct(), keys, "left_semi"))
+
     if found is None or "leaves" not in found.facts:
         have = tables.read_current(spark, root, table)
+        tell(have)
         both = changes if have is None else changes.unionByName(have, allowMissingColumns=True)
         leaves = _divided((0, 0), size + (sum(found.folders.values()) if found else 0), folder_bytes)
         rows = _deal(resolve(both), keys, leaves)
@@ -62,6 +70,7 @@ def fold(
         return tables.current_path(spark, root, table)
     places = found.places()
     have = _rows(spark, root, table, found, touched)
+    tell(have)
     fresh = [part for leaf in touched for part in _divided(leaf, sum(found.folders[f] for f in places.get(_place(leaf), [])), folder_bytes)]
     rows = _deal(resolve(changes.unionByName(have, allowMissingColumns=True)), keys, fresh)
     gone = set(touched)
@@ -77,6 +86,8 @@ def _facts(leaves: list[Leaf]) -> dict:
 def _touched(changes: DataFrame, found: tables.Snapshot, keys: list[str]) -> tuple[list[Leaf], list[Leaf]]:
     """All folders of a table, and those that keys of ``changes`` fall into (the driver holds a line per folder)."""
     leaves = [(d, h) for d, h in found.facts["leaves"]]
+    if len(leaves) == 1:
+        return leaves, leaves
     dealt = _deal(changes.select(*keys), keys, leaves).select(DEPTH, PLACE).distinct()
     return leaves, sorted((r[0], r[1]) for r in dealt.collect())
 
@@ -85,14 +96,3 @@ def _rows(spark: SparkSession, root: str, table: str, found: tables.Snapshot, le
     places = found.places()
     folders = [folder for leaf in leaves for folder in places.get(_place(leaf), [])]
     return tables.read_folders(spark, root, table, found, folders).drop(DEPTH, PLACE)
-
-
-def stored(changes: DataFrame, root: str, table: str, keys: list[str]) -> DataFrame | None:
-    """The rows a table has of the keys of ``changes``; None when there is no table."""
-    spark = changes.sparkSession
-    found = tables.snapshot(spark, root, table)
-    if found is None or "leaves" not in found.facts:
-        have = tables.read_current(spark, root, table)
-    else:
-        have = _rows(spark, root, table, found, _touched(changes, found, keys)[1])
-    return None if have is None else have.join(changes.select(*keys).distinct(), keys, "left_semi")

@@ -73,9 +73,9 @@ def fold(spark: SparkSession, root: str, entity: str, rows: DataFrame,
     valid_rows(entity, typed(entity, rows.withColumn(LINEAGE, label), as_of)).write.parquet(path)
     new = spark.read.parquet(path)
     keys, silver = RULES[entity].keys, lakehouse.silver_root(root)
-    if log:
-        _note(spark, log, entity, new, keyed.stored(new, silver, entity, keys))
-    written = keyed.fold(new, silver, entity, keys, lambda both: unique_rows(entity, both), files.size(spark, path))
+    written = keyed.fold(
+        new, silver, entity, keys, lambda both: unique_rows(entity, both), files.size(spark, path),
+        before=(lambda stored: _note(spark, log, entity, new, stored)) if log else None)
     files.delete(spark, path)
     return written
 
@@ -83,9 +83,7 @@ def fold(spark: SparkSession, root: str, entity: str, rows: DataFrame,
 def _note(spark: SparkSession, log: str, entity: str, new: DataFrame, stored: DataFrame | None) -> None:
     """Write down the months of new rows and of the rows they meet, before these go. A batch that runs again adds to what
     its first attempt wrote."""
-    months = lakehouse.months_of(entity, new)
-    if stored is not None:
-        months |= lakehouse.months_of(entity, stored)
+    months = lakehouse.months_of(entity, new, *([] if stored is None else [stored]))
     if files.exists(spark, log):
         months |= set(json.loads(files.read_text(spark, log)))
     files.write_text(spark, log, json.dumps(sorted(months)))
