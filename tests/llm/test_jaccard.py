@@ -1,10 +1,12 @@
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
 from tidemart.llm import components, jaccard
+from tidemart.llm.queries import ORACLE, QUERIES
 
 DOCS = "doc_id long, text string, region string, n int"
 
@@ -76,6 +78,18 @@ def test_groups_against_brute_force(spark, shingle, percent):
     assert groups(jaccard.jaccard_groups(frame, shingle, percent)) == brute(docs, shingle, percent)
 
 
+def test_repeated_rows_are_one_document(spark, tmp_path):
+    """The query returns a row per document, as its SQL does; the operator keeps its row per row."""
+    docs = [d for d in corpus(5, n=15, near=15, passage=5) if d[0] is not None]
+    docs = list(dict.fromkeys(docs)) + docs[::3] + docs[::6]
+    spark.createDataFrame([(*d, "r", 0) for d in docs], DOCS).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["op9_jaccard"](spark, str(tmp_path)).collect())
+    found = duckdb.connect()
+    found.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(found.execute(ORACLE["op9_jaccard"]).fetchall())
+    assert len(got) == len({d for d, _ in docs}) < len(docs)
+
+
 def test_regions_join_recursively(spark, monkeypatch):
     """Small leaves, so that pivots, windows, recursion and blocks all come to work."""
     monkeypatch.setattr(jaccard, "LEAF_ROWS", 6)
