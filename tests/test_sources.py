@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tidemart.sources import raw, tables
+from tidemart.plans import registry
+from tidemart.sources import files, raw, tables
 
 
 def test_files_with_different_headers_merge_by_name(spark, lines_in):
@@ -184,3 +185,22 @@ def test_encodings_are_told_apart_in_one_scan(spark, lines_in):
         ("été", None, "1"), ("été", None, "2"), ("ÿþ", None, "3")], key=repr)
     one = raw.read_delimited(spark, root, "t_3*", encoding="auto")
     assert one._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def _given(spark, path, **tables):
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_raw_users_need_no_transactions(spark, tmp_path):
+    """Only the customers' tables are there: the raw files of users are made of nothing else."""
+    people = [(1, "Ann", 0, "BUILDING"), (2, "Bob", 0, "FURNITURE"), (3, "Cid", 0, "MACHINERY")]
+    sf = _given(
+        spark, tmp_path, customer=spark.createDataFrame(people, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"),
+        nation=spark.createDataFrame([(0, "N", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        region=spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string"))
+    got = registry.QUERIES["users_latest_by_file"](spark, sf).select("user_id", "city").collect()
+    assert sorted(map(tuple, got)) == [("1", "N"), ("2", "N"), ("3", "R")]
+    written = files.data_files(spark, registry.raw_files(spark, sf, "users"))
+    assert written and all(path.endswith(".gz") for path in written)

@@ -65,20 +65,30 @@ def clean_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return _layers(spark, sf_dir)[1]
 
 
-def raw_files(spark: SparkSession, sf_dir: str) -> str:
-    """The given tables as raw files: transactions in two layouts, users as two snapshots."""
-    def make(path: str) -> None:
+def raw_files(spark: SparkSession, sf_dir: str, entity: str) -> str:
+    """Raw files of one entity, made of the given tables: transactions in two layouts, users as two snapshots.
+
+    They are packed: a file is read by one task in any case, as quoted values may hold line breaks.
+    """
+    def transactions(path: str) -> None:
         own = bindings.transactions(spark, sf_dir).withColumn(
             "timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
-        tables.append_raw(own, path, "transactions", "a")
-        tables.append_raw(bindings.foreign_transactions(spark, sf_dir).drop("l_returnflag"), path, "transactions", "b")
-        tables.append_raw(bindings.users_day1(spark, sf_dir), path, "users", "20240101")
-        tables.append_raw(bindings.users_day2(spark, sf_dir), path, "users", "20240102")
-    return _once(spark, sf_dir, "raw", make)
+        tables.append_raw(own, path, "transactions", "a", "gzip")
+        tables.append_raw(bindings.foreign_transactions(spark, sf_dir).drop("l_returnflag"), path, "transactions", "b", "gzip")
+
+    def users(path: str) -> None:
+        tables.append_raw(bindings.users_day1(spark, sf_dir), path, "users", "20240101", "gzip")
+        tables.append_raw(bindings.users_day2(spark, sf_dir), path, "users", "20240102", "gzip")
+
+    return _once(spark, sf_dir, f"raw-{entity}", {"transactions": transactions, "users": users}[entity])
+
+
+def _raw(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
+    return lakehouse.read_raw(spark, raw_files(spark, sf_dir, entity), entity)
 
 
 def _raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lakehouse.read_raw(spark, raw_files(spark, sf_dir), "transactions")
+    return _raw(spark, sf_dir, "transactions")
 
 
 def _utc(query: Query) -> Query:
@@ -155,7 +165,7 @@ def bronze_file_profile(spark, sf_dir):
 
 
 def users_latest_by_file(spark, sf_dir):
-    return silver.clean("users", lakehouse.read_raw(spark, raw_files(spark, sf_dir), "users"), AS_OF)
+    return silver.clean("users", _raw(spark, sf_dir, "users"), AS_OF)
 
 
 def scan_partition_pruned(spark, sf_dir):
@@ -296,14 +306,14 @@ def recommended_upload(spark, sf_dir):
 
 def rename_with_provenance(spark, sf_dir):
     """The raw files of users as a foreign data set: one normalizer, provenance on every row."""
-    df = lakehouse.read_raw(spark, raw_files(spark, sf_dir), "users")
+    df = _raw(spark, sf_dir, "users")
     named = uploads.rename(df, {"name": "user_name", "city": "store_id"}, source="dataset")
     return named.withColumn(raw.LINEAGE, F.substring_index(raw.LINEAGE, "/", 1))
 
 
 def dataset_ingest(spark, sf_dir):
     """A folder of files in two layouts through the rule mapping."""
-    df = raw.read_delimited(spark, raw_files(spark, sf_dir), "transactions_*")
+    df = raw.read_delimited(spark, raw_files(spark, sf_dir, "transactions"), "transactions_*")
     named = uploads.ingest_dataset(df, "dataset")
     return named.groupBy("data_source", "store_id").agg(
         F.count(F.lit(1)).alias("rows"), F.count("transaction_id").alias("with_order"),

@@ -31,11 +31,11 @@ def write_partitioned(df: DataFrame, path: str, columns: list[str], compression:
     )
 
 
-def append_raw(df: DataFrame, root: str, entity: str, batch: str) -> str:
+def append_raw(df: DataFrame, root: str, entity: str, batch: str, compression: str = "none") -> str:
     """Add a batch of text rows to the raw layer. Writing the same batch again replaces it."""
     path = f"{root}/{entity}_{batch}.csv"
     (
-        df.write.mode("overwrite").option("header", True).option("escape", '"')
+        df.write.mode("overwrite").option("header", True).option("escape", '"').option("compression", compression)
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     )
     return path
