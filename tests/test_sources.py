@@ -193,6 +193,18 @@ def _given(spark, path, **tables):
     return str(path)
 
 
+def test_json_files_follow_bytes_not_ids(spark, tmp_path, monkeypatch):
+    """Ids far apart used to make a folder each; a column without any value used to be missing from what was read."""
+    seen = []
+    read = raw.read_json_records
+    monkeypatch.setattr(registry.raw, "read_json_records", lambda s, path, *a: seen.append(path) or read(s, path, *a))
+    goods = [(i * 10**6 if i else None, f'say "{i}"\n', None, float(i)) for i in range(40)]
+    sf = _given(spark, tmp_path, part=spark.createDataFrame(goods, "p_partkey long, p_name string, p_type string, p_retailprice double"))
+    got = registry.QUERIES["json_scan"](spark, sf).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((str(k) if k is not None else None, n, t, p) for k, n, t, p in goods), key=repr)
+    assert len(files.data_files(spark, seen[0])) <= 4
+
+
 def test_raw_users_need_no_transactions(spark, tmp_path):
     """Only the customers' tables are there: the raw files of users are made of nothing else."""
     people = [(1, "Ann", 0, "BUILDING"), (2, "Bob", 0, "FURNITURE"), (3, "Cid", 0, "MACHINERY")]

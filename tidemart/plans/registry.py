@@ -23,6 +23,7 @@ from tidemart.streaming import events as ev, ingest, state
 AS_OF = "2002-01-01"
 CITY = "NATION_7"
 CATEGORY = "ECONOMY"
+JSON_FILE_BYTES = 1 << 20  # of the products table that are written as one JSON file
 EVENT_FILE_BYTES = 32 << 20  # of the events table that land as one file
 RELATIONAL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,16 +138,17 @@ def latin1_scan(spark, sf_dir):
 
 
 def json_scan(spark, sf_dir):
-    """Products as JSON files that each hold one array of records."""
+    """Products as JSON files that each hold one array of records; their number grows with the table's bytes, not its ids."""
     path = f"{scratch_dir(spark, 'upload')}/upload.json"
     rows = bindings.products(spark, sf_dir)
     record = F.to_json(F.struct(*rows.columns))
+    count = max(4, files.size(spark, f"{sf_dir}/part.parquet") // JSON_FILE_BYTES)
     (
-        rows.select(F.floor(F.col("product_id").cast("bigint") / 500).alias("chunk"), record.alias("record"))
+        rows.select(F.pmod(F.xxhash64("product_id"), F.lit(count)).alias("chunk"), record.alias("record"))
         .groupBy("chunk").agg(F.concat(F.lit("["), F.array_join(F.collect_list("record"), ","), F.lit("]")).alias("v"))
         .write.partitionBy("chunk").text(path)
     )
-    return raw.read_json_records(spark, path).select(*rows.columns)
+    return raw.read_json_records(spark, path, rows.schema).select(*rows.columns)
 
 
 def parquet_scan(spark, sf_dir):
