@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidemart.operators.basket import pair_counts
-from tidemart.plans import kpi, quality, questions, registry, rollups
+from tidemart.plans import kpi, lakehouse, quality, questions, registry, rollups
 from tidemart.schemas import EMPTY_KPIS
+from tidemart.sources import tables
 
 
 def _fact(spark, data):
@@ -126,6 +127,30 @@ def test_previous_month_does_not_mix_years(spark):
     assert rows(got) == [(1.0,)]
 
 
+def test_a_report_builds_the_tables_it_reads(spark, sf, tmp_path):
+    own = tmp_path / "given"
+    own.symlink_to(sf)
+    here, root = str(own), registry._lake(spark, str(own))
+
+    def built():
+        silver, gold = tables.discover(spark, lakehouse.silver_root(root)), tables.discover(spark, lakehouse.gold_root(root))
+        return set(silver), gold
+
+    same = {n: rows(registry.QUERIES[n](spark, sf)) for n in ("dim_stores", "ask_average_order_value", "top_pairs", "delivery_metrics")}
+    assert rows(registry.QUERIES["dim_stores"](spark, here)) == same["dim_stores"]
+    assert built() == ({"transactions"}, {})
+    for name in ("ask_average_order_value", "top_pairs"):
+        assert rows(registry.QUERIES[name](spark, here)) == same[name]
+    silver, sales = built()
+    assert silver == {"transactions", "users", "products"}
+    assert set(sales) == {"dim_users", "dim_products", "dim_stores", "dim_dates", "fact_transactions"}
+    assert rows(registry.QUERIES["delivery_metrics"](spark, here)) == same["delivery_metrics"]
+    silver, gold = built()
+    assert silver == {"transactions", "users", "products", "shipments"}
+    assert gold.pop("fact_shipments") and gold == sales  # what was there stays
+    assert rows(registry.QUERIES["layer_tables"](spark, here)) == rows(registry.QUERIES["layer_tables"](spark, sf))
+
+
 def test_seasonal_pivot_adds_years_up(spark, sf):
     gold = registry.gold(spark, sf)
     total = sum(sum(v for v in r[1:] if v) for r in rows(rollups.seasonal_pivot(gold)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 from functools import reduce
@@ -137,11 +137,13 @@ def build_gold(
     ``changed`` names the silver tables that got rows since gold was last sealed, and the months of these rows (before and
     after); None stands for everything. Keys stay as they were given, so a fact is rewritten only in months with changed
     rows or with rows of an id whose key is new; other folders, and tables that nothing changed, are shared with the
-    previous set. Days since a restock depend on the day: on another day that fact is rewritten as a whole.
+    previous set. A fact that does not lie by month is then rewritten as a whole. Days since a restock depend on the day: on
+    another day that fact is rewritten as a whole.
     """
     spark, gold = run.spark, gold_root(root)
     before = tables.sealed(spark, gold) or {}
-    if not by_month or not before:
+    layout = FACT_LAYOUT if by_month else []
+    if not before:
         changed = None
     built: dict[str, str] = {}
     silver = read_silver(spark, root)
@@ -212,12 +214,16 @@ def build_gold(
 
         def run_step() -> str | None:
             have = tables.snapshot(spark, gold, table)
-            whole = changed is None or have is None or have.by != FACT_LAYOUT or (
+            whole = changed is None or have is None or have.by != layout or (
                 source == "inventory" and have.facts.get("as_of") != today)
             rows = silver[source]
             if whole:
-                return write(_with_month(make(rows)), table, FACT_LAYOUT if by_month else None, as_of=today)
+                return write(_with_month(make(rows)), table, layout, as_of=today)
             fresh = {column: rekeyed(name) for column, name in ids.items()}
+            if not by_month:
+                if source in changed or any(found is not None for found in fresh.values()):
+                    return write(_with_month(make(rows)), table, layout, as_of=today)
+                return tables.current_path(spark, gold, table)
             months = set(changed.get(source, ())) | months_of(source, *[
                 rows.join(found.toDF("_id"), F.col(column) == F.col("_id"), "left_semi") for column, found in fresh.items() if found is not None])
             if not months:
@@ -241,6 +247,20 @@ def build_gold(
         tables.seal(spark, gold, built)
 
 
+def build_silver(
+    run: Run, raw: Mapping[str, DataFrame], root: str, as_of: date | datetime | str | None, entities: Collection[str] = ENTITIES
+) -> None:
+    """Clean the raw tables of ``entities``; the silver tables of others stay as they are."""
+    def cleaned(entity: str) -> Callable[[], str | None]:
+        def write() -> str | None:
+            if entity not in raw:
+                return None
+            return tables.publish(clean(entity, raw[entity], as_of, keep_lineage=True), silver_root(root), entity)
+        return write
+
+    run.together([("silver", entity, cleaned(entity)) for entity in entities])
+
+
 def build_lakehouse(
     spark: SparkSession,
     raw: Mapping[str, DataFrame],
@@ -253,15 +273,7 @@ def build_lakehouse(
     Entities that are missing or fail are reported and skipped. Returns (layer, table, rows, status).
     """
     run = Run(spark)
-
-    def cleaned(entity: str) -> Callable[[], str | None]:
-        def write() -> str | None:
-            if entity not in raw:
-                return None
-            return tables.publish(clean(entity, raw[entity], as_of, keep_lineage=True), silver_root(root), entity)
-        return write
-
-    run.together([("silver", entity, cleaned(entity)) for entity in ENTITIES])
+    build_silver(run, raw, root, as_of)
     build_gold(run, root, as_of, by_month)
     return run.report()
 

@@ -1,12 +1,12 @@
 """Every operator as a named query over the given tables: name -> (session, folder) -> DataFrame.
 
-Reports read a lakehouse that is built from the given tables once per session and folder, as they
-would in use; the build itself is the query ``medallion_status``.
+Reports read a lakehouse that is built from the given tables once per session and folder, each table
+when a report first needs it; the build of all of them at once is the query ``medallion_status``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection, Iterator, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,10 +26,12 @@ CATEGORY = "ECONOMY"
 JSON_FILE_BYTES = 1 << 20  # of the products table that are written as one JSON file
 EVENT_FILE_BYTES = 32 << 20  # of the events table that land as one file
 RELATIONAL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+SALES = ["transactions", "users", "products"]  # what the dimensions and the sales are made of
+GOLD = ["dim_users", "dim_products", "dim_stores", "dim_dates", *(fact for fact, _, _ in lakehouse.FACTS.values())]
 Query = Callable[[SparkSession, str], DataFrame]
 
 _built: dict[tuple[str, str, str], str] = {}
-_opened: dict[str, tuple[tables.Layer, dict[str, DataFrame]]] = {}
+_opened: dict[str, tuple[_Tables, _Tables]] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[str], None]) -> str:
@@ -42,27 +44,84 @@ def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[str], Non
     return _built[slot]
 
 
-def lake_root(spark: SparkSession, sf_dir: str) -> str:
-    def make(path: str) -> None:
-        report = lakehouse.build_lakehouse(spark, bindings.raw_tables(spark, sf_dir), path, AS_OF, by_month=False)
-        failed = report.filter("status <> 'built'").collect()
-        if failed:
-            raise RuntimeError(f"lakehouse build: {failed}")
-    return _once(spark, sf_dir, "lake", make)
+class _Tables(Mapping):
+    """Tables by name; one is built, with what it is made of, when it is first used."""
+
+    def __init__(self, names: Collection[str], build: Callable[[str], DataFrame]) -> None:
+        self._names, self._build = list(names), build
+        self._open: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._names:
+            raise KeyError(name)
+        if name not in self._open:
+            self._open[name] = self._build(name)
+        return self._open[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._names
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+
+def _lake(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the lakehouse of the given tables."""
+    return _once(spark, sf_dir, "lake", lambda path: files.touch(spark, f"{path}/_started"))
+
+
+def _checked(run: lakehouse.Run) -> None:
+    failed = [step for step in run.status if step[3].startswith("failed")]
+    if failed:
+        raise RuntimeError(f"lakehouse build: {failed}")
+
+
+def _silver(spark: SparkSession, sf_dir: str, entities: Collection[str]) -> str:
+    """The lakehouse with at least the silver tables of ``entities``."""
+    root = _lake(spark, sf_dir)
+    missing = [e for e in entities if tables.current_path(spark, lakehouse.silver_root(root), e) is None]
+    if missing:
+        run, raws = lakehouse.Run(spark), {e: bindings.RAW[e](spark, sf_dir) for e in missing}
+        lakehouse.build_silver(run, raws, root, AS_OF, missing)
+        _checked(run)
+    return root
+
+
+def lake_root(spark: SparkSession, sf_dir: str, facts: Collection[str] = tuple(lakehouse.FACTS)) -> str:
+    """The lakehouse with its dimensions and at least the facts made of the raw tables ``facts``. What is there stays."""
+    wanted = [e for e in lakehouse.ENTITIES if e in SALES or e in facts]
+    root = _silver(spark, sf_dir, wanted)
+    have = tables.sealed(spark, lakehouse.gold_root(root)) or {}
+    missing = [e for e in wanted if e in lakehouse.FACTS and lakehouse.FACTS[e][0] not in have]
+    if missing:
+        run = lakehouse.Run(spark)
+        lakehouse.build_gold(run, root, AS_OF, by_month=False, changed={e: set() for e in missing})
+        _checked(run)
+    return root
+
+
+def _layers(spark: SparkSession, sf_dir: str) -> tuple[_Tables, _Tables]:
+    def gold_table(name: str) -> DataFrame:
+        made_of = [e for e, (fact, _, _) in lakehouse.FACTS.items() if fact == name]
+        return lakehouse.read_gold(spark, lake_root(spark, sf_dir, made_of))[name]
 
+    def silver_table(name: str) -> DataFrame:
+        return lakehouse.read_silver(spark, _silver(spark, sf_dir, [name]))[name]
 
-def _layers(spark: SparkSession, sf_dir: str) -> tuple[tables.Layer, dict[str, DataFrame]]:
-    root = lake_root(spark, sf_dir)
+    root = _lake(spark, sf_dir)
     if root not in _opened:
-        _opened[root] = (lakehouse.read_gold(spark, root), lakehouse.read_silver(spark, root))
+        _opened[root] = (_Tables(GOLD, gold_table), _Tables(lakehouse.ENTITIES, silver_table))
     return _opened[root]
 
 
-def gold(spark: SparkSession, sf_dir: str) -> tables.Layer:
+def gold(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
     return _layers(spark, sf_dir)[0]
 
 
-def clean_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def clean_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
     return _layers(spark, sf_dir)[1]
 
 
