@@ -1,6 +1,7 @@
 import datetime as dt
 import itertools
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -41,6 +42,24 @@ def test_pair_counts_match_brute_force_whatever_counts_as_large(spark, support,
     assert rows(pair_counts(lines, support, large)) == sorted(brute_pairs(baskets, support), key=repr)
 
 
+def test_lines_without_a_transaction_are_one_basket(spark):
+    baskets = {None: {1, 2, 3}, "": {1, 2}, "+": {2, 3}, "T": {1, 2, 3}}
+    lines = spark.createDataFrame(
+        [(t, p) for t, items in baskets.items() for p in items], "transaction_id string, product_key int")
+    for large in (2, 1000):
+        assert rows(pair_counts(lines, 2, large)) == sorted(brute_pairs(baskets, 2), key=repr)
+
+
+def test_baskets_hang_on_the_same_shuffles(spark, tmp_path):
+    """All joins read the lines with one filter, so that Spark shuffles them once for all."""
+    spark.range(4000).selectExpr("concat('T', cast(id div 2 as string)) as transaction_id", "cast(id % 20 as int) as product_key") \
+        .repartition(4).write.parquet(str(tmp_path / "l"))
+    df = pair_counts(spark.read.parquet(str(tmp_path / "l")), 2)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"PushedFilters: \[(.*?)\]", plan)) == {"IsNotNull(product_key)"}
+
+
 def test_one_huge_basket_is_not_unfolded(spark):
     """A third of all lines in one transaction: 20,000 lines would be 200 million pairs."""
     huge = spark.range(20000).selectExpr("'HUGE' as transaction_id", "cast(id as int) as product_key")

@@ -10,6 +10,16 @@ from tidemart.operators.keys import per_key
 LARGE_BASKET = 1000
 
 
+def _named(lines: DataFrame) -> DataFrame:
+    """Lines under a basket name that is never null; the lines without a transaction are one basket.
+
+    Spark reads a key that may be null with another filter for each kind of join. Without that, all joins below
+    hang on the same shuffles, which are then written once.
+    """
+    basket = F.coalesce(F.concat(F.lit("+"), "transaction_id"), F.lit(""))
+    return lines.select(basket.alias("transaction_id"), "product_key")
+
+
 def _frequent(lines: DataFrame, min_support: int) -> DataFrame:
     """Lines whose product is in at least ``min_support`` baskets."""
     counted = per_key(lines, "product_key", F.count(F.lit(1)).alias("n"))
@@ -54,7 +64,7 @@ def pair_counts(lines: DataFrame, min_support: int, large_basket: int = LARGE_BA
         and only such products are paired. While there are fewer large baskets than that, none do.
     Both hang on the lines of large baskets: where there are none, the adaptive planner drops these branches.
     """
-    likely = _frequent(lines, min_support)
+    likely = _frequent(_named(lines), min_support)
     sizes = per_key(likely, "transaction_id", F.count(F.lit(1)).alias("size"))
     large_ids = sizes.filter(F.col("size") > large_basket).select("transaction_id")
     n_large = large_ids.agg(F.count(F.lit(1))).scalar()
