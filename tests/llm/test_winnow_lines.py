@@ -150,3 +150,48 @@ def test_lines_against_brute_force(spark, unit):
 
 def test_lines_of_an_empty_table(spark):
     assert lines.deduplicate(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def cut_sentences(docs, min_words):
+    """(doc, text) -> removed byte spans, by a scan over characters."""
+    seen, removed = set(), defaultdict(list)
+    for d, text in sorted({(d, t) for d, t in docs if t}):
+        for m in re.finditer(r"[^\x20\x09-\x0D](?:[^\n]*?[^\x20\x09-\x0D])??(?:(?<=[.!?])(?=[\x20\x09-\x0D]|\Z)|(?=[\x20\x09\x0B-\x0D]*(?:\n|\Z)))", text):
+            key = tuple(re.findall(r"[^\x20\x09-\x0D]+", lower(m.group())))
+            if len(key) < min_words:
+                continue
+            if key in seen:
+                removed[d, text].append((len(text[:m.start()].encode()), len(text[:m.end()].encode())))
+            seen.add(key)
+    return removed
+
+
+def test_sentences_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    some = lambda n: " ".join(["é", "Ü.b", "c", "d!e", "f"][i] + ["", "", ".", "?", " \t"][j] for i, j in zip(rng.integers(0, 5, n), rng.integers(0, 5, n)))
+    docs = [(i, "".join(some(int(rng.integers(1, 9))) + ["\n", "\n\n", ". ", " "][rng.integers(4)] for _ in range(9))) for i in range(40)]
+    docs += [(50, None), (51, ""), (52, " \n.\n "), (53, "c d"), (54, "c d"), (54, "c d"), (55, "é f c. é f c!\r\né F C."), (56, "x " * 70_000 + "y. c d")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want, originals = cut_sentences(docs, 2), dict(docs)
+    got = lines.deduplicate(frame, "sentence", 2).collect()
+    assert len(got) == len(docs) and sum(map(len, want.values())) > 20
+    for r in got:
+        text = originals[r.doc_id]
+        spans = [(s.start, s.end) for s in r.removed]
+        assert spans == want.get((r.doc_id, text), []), r.doc_id
+        data, at, parts = (text or "").encode(), 0, []
+        for a, b in spans:
+            parts.append(data[at:a])
+            at = min(b + 1, len(data))
+        assert r.text == (None if text is None else (b"".join(parts) + data[at:]).decode())
+
+
+def test_a_passage_inside_lines_is_found_by_its_sentences(spark):
+    """60 words that repeat inside lines with other words around them: no line repeats, the sentences do."""
+    passage = " ".join(" ".join(f"p{i}w{j}" for j in range(20)) + "." for i in range(3))
+    docs = [(1, f"A first line.\nThis one leads in. {passage} And goes on."), (2, f"Quite another start. {passage.upper()} Its end.\nMore."), (3, "Left alone. " * 30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [r.removed for r in lines.deduplicate(frame).collect()] == [[], [], []]
+    found = {r.doc_id: r for r in lines.deduplicate(frame, "sentence").collect()}
+    assert {d: len(r.removed) for d, r in found.items()} == {1: 0, 2: 3, 3: 0}
+    assert [found[d].text for d in (1, 2, 3)] == [docs[0][1], "Quite another start. Its end.\nMore.", docs[2][1]]
