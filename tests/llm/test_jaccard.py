@@ -257,3 +257,29 @@ def test_meetings_in_two_steps_lose_no_pair(rows):
         group = sorted({n for k, n, _ in rows if k == key})
         assert all((a, b) in tested or find(a) == find(b) for i, b in enumerate(group) for a in group[:i])
     assert all(u < v for u, v in tested)
+
+
+def test_packed_rows_travel_in_batches_of_bounded_size(spark, monkeypatch):
+    """A task may read several shards; what it hands to Python at once does not grow with them."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "BATCH", 1 << 13, raising=False)
+    seen, plain = [], jaccard.neighbourhoods
+
+    def measured(batches):
+        for batch in batches:
+            sizes = [len(x) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"n": [len(sizes)], "all": [sum(sizes)], "last": [sizes[-1]]})
+
+    def spied(marked, shards, percent):
+        packed = marked.filter("shard >= 0").select("packed").coalesce(1)
+        seen.extend(packed.mapInArrow(measured, "n long, all long, last long").collect())
+        return plain(marked, shards, percent)
+
+    monkeypatch.setattr(jaccard, "neighbourhoods", spied)
+    rng = np.random.default_rng(7)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 100_000, 200))) for i in range(80)]
+    groups = jaccard.jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in groups) == [(i, i) for i in range(80)]
+    assert len(seen) > 1 and all(r["all"] - r["last"] < 1 << 13 for r in seen)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
