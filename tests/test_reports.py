@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidemart.operators.basket import pair_counts
-from tidemart.plans import kpi, lakehouse, quality, questions, registry, rollups
+from tidemart.plans import bindings, kpi, lakehouse, quality, questions, registry, rollups
 from tidemart.schemas import EMPTY_KPIS
 from tidemart.sources import tables
 
@@ -170,6 +170,31 @@ def test_a_report_builds_the_tables_it_reads(spark, sf, tmp_path):
     assert rows(registry.QUERIES["layer_tables"](spark, here)) == rows(registry.QUERIES["layer_tables"](spark, sf))
 
 
+def test_a_build_drops_its_shuffles_and_large_tables_take_turns(spark, sf, tmp_path, monkeypatch):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = blocks.getAllFiles()
+        return {name for name in (found.apply(i).getName() for i in range(found.size())) if name.startswith("shuffle_")}
+
+    do, busy, most = lakehouse.Run._do, [], []
+
+    def watched(run, step):
+        busy.append(step[1])
+        most.append(len([name for name in busy if name in lakehouse.LARGE]))
+        status = do(run, step)
+        busy.remove(step[1])
+        return status
+
+    monkeypatch.setattr(lakehouse.Run, "_do", watched)
+    before = shuffles()
+    status = lakehouse.build_lakehouse(spark, bindings.raw_tables(spark, sf), str(tmp_path), registry.AS_OF, by_month=False)
+    assert not shuffles() - before
+    assert max(most) == 1
+    want = [*lakehouse.ENTITIES, "dim_users", "dim_products", "dim_stores", "dim_dates", *(fact for fact, _, _ in lakehouse.FACTS.values())]
+    assert [(r.table, r.status) for r in status.collect()] == [(name, "built") for name in want]
+
+
 def test_seasonal_pivot_adds_years_up(spark, sf):
     gold = registry.gold(spark, sf)
     total = sum(sum(v for v in r[1:] if v) for r in rows(rollups.seasonal_pivot(gold)))

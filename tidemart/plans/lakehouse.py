@@ -14,7 +14,7 @@ from tidemart.operators import history, star
 from tidemart.operators.keys import dense_key
 from tidemart.operators.silver import clean
 from tidemart.schemas import SILVER
-from tidemart.session import scratch_scope
+from tidemart.session import scratch_scope, shuffles_dropped
 from tidemart.sources import tables
 from tidemart.sources.raw import read_delimited
 
@@ -76,9 +76,14 @@ class Run:
         return layer, table, tables.open_version(self.spark, path).count(), "built"
 
     def together(self, steps: list[Step]) -> None:
-        """Run steps that do not need each other at the same time, so small ones fill idle cores."""
-        with ThreadPoolExecutor(max_workers=len(steps)) as pool:
-            self.status += pool.map(self._do, steps)
+        """Run steps that do not need each other at the same time, so small ones fill idle cores. Those of ``LARGE`` tables,
+        which fill the cores alone, follow each other, and shuffle files go with their step, so that the disk holds the
+        shuffles of one large table at a time, not of all."""
+        queue = [step for step in steps if step[1] in LARGE]
+        lanes = [[step] for step in steps if step not in queue] + [queue]
+        with shuffles_dropped(self.spark), ThreadPoolExecutor(max_workers=len(lanes)) as pool:
+            done = [status for lane in pool.map(lambda lane: [self._do(step) for step in lane], lanes) for status in lane]
+        self.status += sorted(done, key=lambda status: [step[:2] for step in steps].index(status[:2]))
 
     def report(self) -> DataFrame:
         return self.spark.createDataFrame(self.status, STATUS)
@@ -90,6 +95,7 @@ FACTS = {
     "inventory": ("fact_inventory", "last_restock_date", {"product_id": "products", "store_id": "stores"}),
     "shipments": ("fact_shipments", "shipped_date", {"origin_store_id": "stores", "dest_store_id": "stores"}),
 }
+LARGE = {name for source, (fact, _, _) in FACTS.items() for name in (source, fact)}  # silver and gold
 DIMS = {"users": ("dim_users", "user_id", "surrogate_key"), "products": ("dim_products", "product_id", "product_key"),
         "stores": ("dim_stores", "store_id", "store_key")}
 _NO_MONTH = "__HIVE_DEFAULT_PARTITION__"  # how Spark names the folder of rows without month

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tidemart.sources import files
 
 RETAIN_HOURS = 24.0
+COMPRESSION = "zstd"  # of what a table keeps; a lakehouse is written once and lies on disk while others are built beside it
 
-def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+
+def write_parquet(df: DataFrame, path: str, compression: str = "snappy") -> None:
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
 
 
 def write_partitioned(df: DataFrame, path: str, columns: list[str], compression: str = "snappy") -> None:
@@ -109,9 +111,9 @@ def commit(
     old, number, data = snapshot(spark, root, table), _next_version(spark, root, table), f"{root}/{table}/data"
     own = f"{WRITTEN}={number}"
     if by:
-        write_partitioned(df, f"{data}/{own}", by)
+        write_partitioned(df, f"{data}/{own}", by, COMPRESSION)
     else:
-        write_parquet(df, f"{data}/{own}")
+        write_parquet(df, f"{data}/{own}", COMPRESSION)
     folders: dict[str, int] = {}
     for path, size in files.matching(spark, f"{data}/{own}/{'*/' * len(by)}*.parquet"):
         place = own + path.rpartition(f"/{own}")[2].rpartition("/")[0]
