@@ -170,6 +170,15 @@ def test_a_report_builds_the_tables_it_reads(spark, sf, tmp_path):
     assert rows(registry.QUERIES["layer_tables"](spark, here)) == rows(registry.QUERIES["layer_tables"](spark, sf))
 
 
+def test_guarded_sql_builds_what_its_role_reads(spark, sf, tmp_path):
+    own = tmp_path / "given"
+    own.symlink_to(sf)
+    assert rows(registry.QUERIES["guarded_sql"](spark, str(own))) == rows(registry.QUERIES["guarded_sql"](spark, sf))
+    root = registry._lake(spark, str(own))
+    assert set(tables.discover(spark, lakehouse.silver_root(root))) == {"transactions", "users", "products"}
+    assert set(tables.discover(spark, lakehouse.gold_root(root))) == {"dim_users", "dim_products", "dim_stores", "dim_dates", "fact_transactions"}
+
+
 def test_a_build_drops_its_shuffles_and_large_tables_take_turns(spark, sf, tmp_path, monkeypatch):
     blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 

@@ -605,7 +605,9 @@ def guarded_best_store(spark, sf_dir):
 
 
 def guarded_sql(spark, sf_dir):
-    return access.guarded_sql(spark, lakehouse.gold_root(lake_root(spark, sf_dir)), GUARDED, "manager")
+    """A reading statement of a manager, over the lakehouse with the facts that the role may read."""
+    facts = [source for source, (fact, _, _) in lakehouse.FACTS.items() if fact in access.allowed_tables("manager")]
+    return access.guarded_sql(spark, lakehouse.gold_root(lake_root(spark, sf_dir, facts)), GUARDED, "manager")
 
 
 # -- vectors ------------------------------------------------------------------------------------
