@@ -283,3 +283,34 @@ def test_packed_rows_travel_in_batches_of_bounded_size(spark, monkeypatch):
     assert sorted((r.doc_id, r.component_id) for r in groups) == [(i, i) for i in range(80)]
     assert len(seen) > 1 and all(r["all"] - r["last"] < 1 << 13 for r in seen)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+
+
+def test_edges_leave_python_in_batches_of_bounded_size(monkeypatch):
+    """However many sets share projections, what a task holds and hands on at once stays small."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    chance = rng.integers(1, 1 << 47, (2_000, 16))  # groups that meet once
+    twins = np.repeat(rng.integers(1, 1 << 47, (20, 16)), 100, axis=0)  # and groups that share 100 keys each
+    groups = np.concatenate([chance, twins])
+    keys, nodes = np.repeat(np.arange(len(groups), dtype=np.uint64), 16), groups.ravel()
+    want = {tuple(sorted((a, b))) for g in np.unique(groups, axis=0).tolist() for i, a in enumerate(g) for b in g[:i]}
+    monkeypatch.setattr(jaccard, "EDGES", 1_000, raising=False)
+    rows = pa.RecordBatch.from_pydict({"shard": pa.array([0], pa.int32()), "packed": [jaccard.pack(keys, nodes)]})
+    found = list(jaccard._meet(iter([rows])))
+    assert {tuple(sorted(p)) for b in found for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())} == want
+    assert not any(any(b.column(2).to_pylist()) for b in found)
+    assert max(len(b) for b in found) <= 1_000
+    own = np.column_stack([np.zeros(5_000, np.int64), np.arange(1, 5_001)])
+    rows = pa.RecordBatch.from_pydict({"shard": pa.array([-1], pa.int32()), "packed": [own.tobytes()]})
+    found = list(jaccard._own_edges(iter([rows])))
+    assert np.array_equal(np.concatenate([np.column_stack([b.column(0), b.column(1)]) for b in found]), own)
+    assert max(len(b) for b in found) <= 1_000 and all(all(b.column(2).to_pylist()) for b in found)
+
+    tracemalloc.start()
+    jaccard.meetings(np.repeat(np.arange(2_000, dtype=np.uint64), 16), twins.ravel())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 5 << 20  # all 240,000 pairs of these groups, of which 2,400 are distinct, would be 3.8 MB at once
